@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jpeg, packing, quality, toxicity
+from . import bpe, jpeg, packing, pii, quality, secrets, toxicity
 from .common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(documents(spark, sf_dir))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_digests(documents(spark, sf_dir))
 
@@ -25,6 +29,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN, keep_ids=False).drop("ids")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir))
 
@@ -34,9 +42,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_media": op3_media,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }

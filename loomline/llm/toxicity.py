@@ -59,7 +59,7 @@ def grade_labels(texts: list[list[str]], toxic: np.ndarray, grades: int, lexicon
     return np.where(toxic == 0, 0, np.where(borne, 1 + np.searchsorted(cuts, found, "left"), -1))
 
 
-def telling_words(texts: list[list[str]], toxic: np.ndarray, min_documents: int, min_share: float, min_z: float, min_log_odds: float = 2.5) -> list[str]:
+def telling_words(texts: list[list[str]], toxic: np.ndarray, min_documents: int, min_share: float, min_z: float, min_log_odds: float = 3.0) -> list[str]:
     """Words in min_share of the toxic texts, whose share of toxic texts exceeds that of clean ones by min_z standard errors of the log odds ratio and by min_log_odds at least."""
     df = [Counter(w for words, label in zip(texts, toxic.tolist(), strict=True) if label == k for w in set(words)) for k in (0, 1)]
     # copies of one text repeat a word with its neighbours: a word counts at most once for each pair of neighbours
@@ -75,7 +75,7 @@ def telling_words(texts: list[list[str]], toxic: np.ndarray, min_documents: int,
     return out
 
 
-def fit_ordinal(texts: list[str], toxic: np.ndarray, grades: int = 4, min_documents: int = 4, min_share: float = 0.01, min_z: float = 4.0, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> OrdinalModel:
+def fit_ordinal(texts: list[str], toxic: np.ndarray, grades: int = 4, min_documents: int = 4, min_share: float = 0.01, min_z: float = 3.5, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> OrdinalModel:
     """Maximum likelihood with a ridge, by Adam on the whole (bounded) sample; thresholds stay ordered as sums of positive gaps."""
     toxic = np.asarray(toxic, int)
     split = [words_of(t) for t in texts]
