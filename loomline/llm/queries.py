@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jpeg, packing, pii, quality, secrets, toxicity
+from . import bpe, jpeg, packing, pii, quality, secrets, substring, suffixes, toxicity
 from .common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(documents(spark, sf_dir))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_substrings(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_digests(documents(spark, sf_dir))
 
@@ -41,14 +45,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir), keep_bytes=False).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_substring": op2_substring,
     "op3_media": op3_media,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLES: dict[str, str] = {}
