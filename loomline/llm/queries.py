@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jpeg, packing, pii, quality, secrets, substring, suffixes, toxicity
+from . import bpe, jpeg, near, packing, pii, quality, secrets, substring, suffixes, toxicity
 from .common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_digests(documents(spark, sf_dir))
 
 
+def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_substring": op2_substring,
     "op3_media": op3_media,
+    "op4_near": op4_near,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
