@@ -78,10 +78,11 @@ def _only(kind: str, test: Callable[[Column, str], Column]) -> Column:
     return F.filter(F.col(kind), lambda s: test(s, kind))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """One row a document: __row, doc_id, and an array of spans for each kind."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    text = F.col("text")
+def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """One row a document: doc_id, an array of spans for each kind, and, if wanted, doc: a struct of the document's own columns."""
+    own = [F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if carry else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"), *own)
+    text, more = F.col("__text"), ["doc"] if carry else []
     may = {
         "email": (EMAIL, text.contains("@")),
         "ip": (IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")),
@@ -91,10 +92,10 @@ def candidates(docs: DataFrame) -> DataFrame:
         "social": (SOCIAL, text.rlike(r"[0-9]-[0-9]{2}-[0-9]{4}")),
         "person": (PERSON, text.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z]")),
     }
-    scanned = base.select("doc_id", *[S.pieces(text, *may[k]).alias(k) for k in KINDS])
-    spans = scanned.select("doc_id", *[S.located(F.col(k)).alias(k) for k in KINDS])
+    scanned = base.select("doc_id", *more, *[S.pieces(text, *may[k]).alias(k) for k in KINDS])
+    spans = scanned.select("doc_id", *more, *[S.located(F.col(k)).alias(k) for k in KINDS])
     kept = [_only(k, lambda s, kind: holds(kind, s["value"])).alias(k) for k in KINDS[:N_BASE]]
-    return spans.select(F.monotonically_increasing_id().alias("__row"), "doc_id", *kept, *KINDS[N_BASE:])
+    return spans.select("doc_id", *more, *kept, *KINDS[N_BASE:])
 
 
 def votes(kind: str, s: Column) -> list[Column]:
@@ -190,15 +191,16 @@ def model_of(table: DataFrame) -> tuple[list[float], list]:
     return train(counts, post), reliabilities
 
 
-def find_pii(docs: DataFrame, admit_from: float = 0.5) -> DataFrame:
-    """__row, doc_id, base and all: arrays of (rank, start, end, kind); pii_spans() derives digests from them."""
-    table = settle(candidates(docs), "pii-candidates")
+def find_pii(docs: DataFrame, admit_from: float = 0.5, carry: bool = False) -> DataFrame:
+    """doc_id, base and all: arrays of (rank, start, end, kind); pii_spans() derives digests from them."""
+    table = settle(candidates(docs, carry), "pii-candidates")
+    own = ["doc"] if carry else []
     w, _ = model_of(table)
     tag = lambda k, spans: F.transform(spans, lambda s: F.struct(F.lit(KINDS.index(k)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
     base = F.concat(*[tag(k, F.col(k)) for k in KINDS[:N_BASE]])
     more = F.concat(*[tag(k, _only(k, lambda s, kind: admitted(w, kind, s, admit_from))) for k in KINDS[N_BASE:]])
     apart = F.filter(F.col("more"), lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return table.select("__row", "doc_id", base.alias("base"), more.alias("more")).select("__row", "doc_id", "base", F.array_sort(F.concat("base", apart)).alias("all"))
+    return table.select("doc_id", *own, base.alias("base"), more.alias("more")).select("doc_id", *own, "base", F.array_sort(F.concat("base", apart)).alias("all"))
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
@@ -206,3 +208,23 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     found = find_pii(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:N_BASE]], sha_hex(S.joined(F.array_sort("base"))).alias("base_sha256"), S.joined(F.col("all")).alias("spans"))
+
+
+def redact(docs: DataFrame, admit_from: float = 0.5) -> DataFrame:
+    """The documents, all columns and rows, with each span of personal data in text replaced by its kind in brackets (and n_chars brought up to date)."""
+    found = find_pii(docs, admit_from, carry=True)
+    text = F.col("doc.text")
+    spans = F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    fold = F.aggregate(
+        spans,
+        start,
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
+        ),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    done = found.select("doc", F.when(F.size("all") > 0, fold).otherwise(text).alias("__clean"))
+    fresh = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
+    return done.select(*[fresh.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -54,11 +54,19 @@ def removal_intervals(docs: DataFrame, width: int = 20, gram: int = 6) -> DataFr
     return by_document(later.unionByName(again), "lo", "hi")
 
 
-def remove_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space), one row a row of docs."""
-    base = id_and_text(docs)
+def strip_text(docs: DataFrame, width: int = 20) -> DataFrame:
+    """The documents, all columns and rows, with repeated passages gone from text (and n_chars brought up to date)."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    done = remove_substrings(docs, width, carry)
+    fresh = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*[fresh.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def remove_substrings(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space), one row a row of docs."""
+    base = id_and_text(docs, *carry)
     base = base.repartition("doc_id")  # both joins below read this one exchange
-    marked = base.join(removal_intervals(base, width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "items")
+    marked = base.join(removal_intervals(base.select("doc_id", "text"), width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "items", *carry)
 
     def strip(batches):
         for batch in batches:
@@ -70,6 +78,7 @@ def remove_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if len(lo) else b" ".join(words)
                 rows.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(batch.column, carry), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", *carry, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return marked.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return marked.mapInArrow(strip, f"doc_id long{carried}, n_words long, n_removed long, kept_sha256 string, kept_text string")
