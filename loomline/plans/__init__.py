@@ -1,0 +1,3 @@
+"""Registered queries over the given tables."""
+
+MODULES = ("text_queries",)

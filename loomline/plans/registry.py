@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,13 +19,23 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _ORACLES[name] = sql
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from . import MODULES
+
+    for name in MODULES:
+        import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return _ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["flagship"](spark, sf_dir)
