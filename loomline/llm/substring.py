@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_and_text, mix, rolling
+from .common import WordHashes, id_and_text, mix, rolling, settle
+from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2, by_document, cover, intervals, is_first, judged_runs, run_table
 
 
@@ -46,8 +47,9 @@ def removal_intervals(docs: DataFrame, width: int = 20, gram: int = 6) -> DataFr
                 doc, at, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "at", "h1", "h2"])
 
-    texts = docs.filter("doc_id is not null").join(open_runs.hint("shuffle_hash"), "doc_id")
-    hashed = texts.select("doc_id", "text", "items").mapInArrow(windows, "doc_id long, at long, h1 long, h2 long")
+    open_runs = settle(open_runs, "word-open")
+    texts = KeyFilter(open_runs, "doc_id").split(docs, "doc_id")[0].join(open_runs.hint("shuffle_hash"), "doc_id")
+    hashed = settle(texts.select("doc_id", "text", "items").mapInArrow(windows, "doc_id long, at long, h1 long, h2 long"), "word-windows")
     counted = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1")
     again = hashed.join(counted, ["h1", "h2"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
     again = again.select("doc_id", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
@@ -65,8 +67,11 @@ def strip_text(docs: DataFrame, width: int = 20) -> DataFrame:
 def remove_substrings(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to carry, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space), one row a row of docs."""
     base = id_and_text(docs, *carry)
-    base = base.repartition("doc_id")  # both joins below read this one exchange
-    marked = base.join(removal_intervals(base.select("doc_id", "text"), width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "items", *carry)
+    gone_from = settle(removal_intervals(base.select("doc_id", "text"), width), "word-removals")
+    some, whole = KeyFilter(gone_from, "doc_id").split(base, "doc_id")  # only texts that may lose words are shuffled
+    kind = "array<struct<lo:bigint,hi:bigint>>"
+    marked = some.join(gone_from.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("items").cast(kind).alias("items"), *carry)
+    marked = marked.unionByName(whole.withColumn("items", F.lit(None).cast(kind)))
 
     def strip(batches):
         for batch in batches:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix, rolling, settle
+from .idfilter import KeyFilter
 
 #: Tokens are handled in stretches of this many, so that places fit the low bits of a sort key.
 CHUNK = 1 << 20
@@ -91,8 +92,9 @@ def judged_runs(table: DataFrame, name: str) -> DataFrame:
 
     Both counts combine before their shuffle, so a hot anchor or stretch arrives as one row a task.
     """
-    repeated = table.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    some = settle(table.join(repeated, "anchor", "left_semi"), f"{name}-repeated")
+    repeated = settle(table.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), f"{name}-anchors")
+    likely, _ = KeyFilter(repeated, "anchor").split(table, "anchor")
+    some = settle(likely.join(repeated, "anchor", "left_semi"), f"{name}-repeated")
     stretches = some.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo")).alias("first"))
     kinds = stretches.groupBy("anchor").agg(F.count("*").alias("kinds"))
     return settle(some.join(stretches.join(kinds, "anchor"), ["anchor", "stretch"]), f"{name}-judged")
