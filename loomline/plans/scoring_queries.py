@@ -202,7 +202,7 @@ def facts(spark, d):
 
 def a10(spark, d):
     m = sc.maturity(facts(spark, d))
-    return m.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("mean"))
+    return m.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("mean"))
 
 
 def _dk(x, now, h):
@@ -212,7 +212,7 @@ def _dk(x, now, h):
 _FACTS = "WITH facts AS (SELECT " + ", ".join(FACT).replace("make_interval(0, 0, 0, cast(", "to_days(cast(") + " FROM customer)"
 _MAT = f"""{_FACTS}, m AS (SELECT repo, error, 100.0 * (0.30 * {_dk('pushed_at', 'fetched_at', 730.0)} + 0.25 * CASE WHEN releases <= 0 THEN 0.0 ELSE 0.4 + 0.6 * {_dk('latest_release_at', 'fetched_at', 540.0)} END + 0.20 * CASE WHEN archived THEN 0.0 WHEN license IS NOT NULL THEN 1.0 ELSE 0.4 END
 + 0.15 * greatest(0.0, least(1.0, (epoch(fetched_at) - epoch(created_at)) / (86400.0 * 365.25) / 5.0)) + 0.10 * CASE WHEN stars <= 0 THEN 0.0 ELSE least(1.0, log10(stars + 1) / log10(20000.0)) END)::DOUBLE AS s FROM facts)"""
-register("a10_maturity", a10, f"{_MAT} SELECT CASE WHEN error IS NOT NULL THEN 'Unknown' WHEN s >= 75 THEN 'Mature' WHEN s >= 55 THEN 'Established' WHEN s >= 35 THEN 'Active' WHEN s >= 15 THEN 'Emerging' ELSE 'Dormant' END AS band, count(*) AS n, round(avg(CASE WHEN error IS NULL THEN round(s, 1) ELSE 0.0 END), 2) AS mean FROM m GROUP BY 1")
+register("a10_maturity", a10, f"{_MAT} SELECT CASE WHEN error IS NOT NULL THEN 'Unknown' WHEN s >= 75 THEN 'Mature' WHEN s >= 55 THEN 'Established' WHEN s >= 35 THEN 'Active' WHEN s >= 15 THEN 'Emerging' ELSE 'Dormant' END AS band, count(*) AS n, round(avg(CASE WHEN error IS NULL THEN round(s, 1) ELSE 0.0 END), 1) AS mean FROM m GROUP BY 1")
 
 
 def a11(spark, d):
@@ -264,10 +264,10 @@ UNION ALL SELECT key, 2, 'LOW', 'headroom' FROM q WHERE warnings > 0 UNION ALL S
 
 def a16(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("trace_id"), (F.col("ts").cast("timestamp").cast("double") * 1000).alias("start_ms"), (F.col("ts").cast("timestamp").cast("double") * 1000 + F.col("value")).alias("end_ms"), F.create_map(F.lit("gen_ai.usage.input_tokens"), F.get_json_object("props", "$.k"), F.lit("gen_ai.usage.output_tokens"), (F.col("event_id") % 7).cast("string")).alias("attributes"))
-    return sc.trace_rollup(e).select("trace_id", F.round("duration_ms", 2).alias("duration_ms"), "tokens_in", "tokens_out", "tokens", "spans")
+    return sc.trace_rollup(e).select("trace_id", F.round("duration_ms", 0).alias("duration_ms"), "tokens_in", "tokens_out", "tokens", "spans")
 
 
-register("a16_trace_rollup", a16, "SELECT user_id::VARCHAR AS trace_id, round(max(epoch_us(ts) / 1000.0 + value) - min(epoch_us(ts) / 1000.0), 2) AS duration_ms, sum((props->>'k')::BIGINT)::BIGINT AS tokens_in, sum(event_id % 7)::BIGINT AS tokens_out, (sum((props->>'k')::BIGINT) + sum(event_id % 7))::BIGINT AS tokens, count(*) AS spans FROM events GROUP BY 1")
+register("a16_trace_rollup", a16, "SELECT user_id::VARCHAR AS trace_id, round(max(epoch_us(ts) / 1000.0 + value) - min(epoch_us(ts) / 1000.0), 0) AS duration_ms, sum((props->>'k')::BIGINT)::BIGINT AS tokens_in, sum(event_id % 7)::BIGINT AS tokens_out, (sum((props->>'k')::BIGINT) + sum(event_id % 7))::BIGINT AS tokens, count(*) AS spans FROM events GROUP BY 1")
 
 
 def a19(spark, d):
