@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, id_and_text, mix, rolling, settle
+from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2, by_document, cover, intervals, is_first, judged_runs, run_table
 
 DIGIT = 100
@@ -104,7 +105,8 @@ def removal_intervals(docs: DataFrame, width: int = 400, gram: int = 128, hot_gr
     judged = judged_runs(run_table(docs, byte_tokens, width, gram, "byte-runs"), "byte-runs")
     whole = judged.filter("copies > 1").select("doc_id", "lo", (F.col("lo") + F.col("n") + (width - 1)).alias("hi"))
     open_runs = judged.filter(is_first() & (F.col("kinds") > 1)).select("doc_id", "lo", "n", "anchor", (F.col("kinds") > hot_group).alias("hot")).distinct()
-    texts = docs.filter("doc_id is not null").join(by_document(open_runs, "lo", "n", "anchor", "hot").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items")
+    open_by = settle(by_document(open_runs, "lo", "n", "anchor", "hot"), "byte-open")
+    texts = KeyFilter(open_by, "doc_id").split(docs, "doc_id")[0].join(open_by.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items")
 
     def contexts(batches):
         for batch in batches:
@@ -136,7 +138,11 @@ def removal_intervals(docs: DataFrame, width: int = 400, gram: int = 128, hot_gr
 def remove_repeats(docs: DataFrame, width: int = 400, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, null unless keep_bytes), one row a row of docs."""
     base = id_and_text(docs)
-    marked = base.join(removal_intervals(base, width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "items")
+    gone_from = settle(removal_intervals(base, width), "byte-removals")
+    some, whole = KeyFilter(gone_from, "doc_id").split(base, "doc_id")  # only texts that may lose bytes are shuffled
+    kind = "array<struct<lo:bigint,hi:bigint>>"
+    marked = some.join(gone_from.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("items").cast(kind).alias("items"))
+    marked = marked.unionByName(whole.withColumn("items", F.lit(None).cast(kind)))
 
     def strip(batches):
         for batch in batches:
