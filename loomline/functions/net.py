@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 QUAD = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 # Private networks and the exempt documentation, loopback and metadata networks, as (first, last) numbers below.
@@ -50,7 +51,7 @@ def private_ipv4s(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(QUAD), F.lit(0)), is_private_ipv4)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_private_ipv6(host: pd.Series) -> pd.Series:
     """IPv6 has no SQL type: exact parse of each host."""
     private, exempt = [[ipaddress.ip_network(x) for x in nets] for nets in (PRIVATE_V6, EXEMPT_V6)]

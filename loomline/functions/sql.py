@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..operators.findings import Rule
 
@@ -37,7 +38,7 @@ def register_sql(spark: SparkSession) -> None:
     spark.udtf.register("find_lines", FindLines)
 
 
-@udtf(returnType="line_no int, line string")
+@udtf(returnType=StructType().add("line_no", IntegerType()).add("line", StringType()))
 class FindLines:
     """find_lines(text, pattern): the lines of a text in which a pattern occurs, for LATERAL joins."""
 
