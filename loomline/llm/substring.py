@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from .common import WordHashes, id_and_text, mix, rolling, settle
 from .idfilter import KeyFilter
@@ -58,19 +59,20 @@ def removal_intervals(docs: DataFrame, width: int = 20, gram: int = 6) -> DataFr
 
 def strip_text(docs: DataFrame, width: int = 20) -> DataFrame:
     """The documents, all columns and rows, with repeated passages gone from text (and n_chars brought up to date)."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    done = remove_substrings(docs, width, carry)
+    done = remove_substrings(docs, width, carry=True)
     fresh = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return done.select(*[fresh.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return done.select(*[fresh.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
-def remove_substrings(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to carry, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space), one row a row of docs."""
-    base = id_and_text(docs, *carry)
+def remove_substrings(docs: DataFrame, width: int = 20, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space), one row a row of docs; if wanted, doc: a struct of the row's columns but text."""
+    own = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc")] if carry else []
+    more = ["doc"] if carry else []
+    base = id_and_text(docs, *own)
     gone_from = settle(removal_intervals(base.select("doc_id", "text"), width), "word-removals")
     some, whole = KeyFilter(gone_from, "doc_id").split(base, "doc_id")  # only texts that may lose words are shuffled
     kind = "array<struct<lo:bigint,hi:bigint>>"
-    marked = some.join(gone_from.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("items").cast(kind).alias("items"), *carry)
+    marked = some.join(gone_from.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("items").cast(kind).alias("items"), *more)
     marked = marked.unionByName(whole.withColumn("items", F.lit(None).cast(kind)))
 
     def strip(batches):
@@ -83,7 +85,9 @@ def remove_substrings(docs: DataFrame, width: int = 20, carry: tuple[str, ...] =
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if len(lo) else b" ".join(words)
                 rows.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(batch.column, carry), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", *carry, "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(batch.column, more), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", *more, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return marked.mapInArrow(strip, f"doc_id long{carried}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = StructType([marked.schema["doc_id"], *[marked.schema[c] for c in more]])
+    for name, kind_of in (("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType()), ("kept_text", StringType())):
+        out = out.add(name, kind_of)
+    return marked.mapInArrow(strip, out)
