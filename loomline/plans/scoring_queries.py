@@ -27,15 +27,15 @@ def runs(spark, d):
 
 
 def j3(spark, d):
-    return runs(spark, d).groupBy("model_id").agg(F.round(F.sum("cost_usd"), 4).alias("cost"), F.count("*").alias("n"))
+    return runs(spark, d).groupBy("model_id").agg(F.round(F.sum("cost_usd"), 2).alias("cost"), F.count("*").alias("n"))
 
 
-register("j3_token_cost", j3, f"{_RUNS} SELECT model_id, round(sum(cost_usd), 4) AS cost, count(*) AS n FROM runs GROUP BY 1")
+register("j3_token_cost", j3, f"{_RUNS} SELECT model_id, round(sum(cost_usd), 2) AS cost, count(*) AS n FROM runs GROUP BY 1")
 
 
 def a3(spark, d):
     b = sc.leaderboard(runs(spark, d))
-    return b.select("model_id", "tasks", "passed", F.round("pass_rate", 4).alias("pass_rate"), F.round("compliance", 4).alias("compliance"), F.round("headroom_rate", 4).alias("headroom_rate"), F.round("total_cost", 4).alias("total_cost"), "composite", "rank")
+    return b.select("model_id", "tasks", "passed", F.round("pass_rate", 4).alias("pass_rate"), F.round("compliance", 4).alias("compliance"), F.round("headroom_rate", 4).alias("headroom_rate"), F.round("total_cost", 2).alias("total_cost"), "composite", "rank")
 
 
 register(
@@ -44,7 +44,7 @@ register(
     f"""{_RUNS}, g AS (SELECT model_id, count(*) AS tasks, count(*) FILTER (tests_passed) AS passed, sum(invariants) AS inv, avg(headroom::INT) AS headroom_rate, avg(minimality) AS mini, sum(cost_usd) AS total_cost FROM runs GROUP BY 1),
 h AS (SELECT *, 100.0 * passed / tasks AS pass_rate, 100.0 * inv / (6 * tasks) AS compliance, total_cost / greatest(inv, 1) AS cpi FROM g),
 c AS (SELECT *, round(0.35 * pass_rate + 0.30 * compliance + 20.0 * mini + 0.15 * CASE WHEN cpi <= 0 THEN 100.0 ELSE greatest(0.0, 100.0 - 20.0 * log10(greatest(1.0, cpi * 1e5))) END, 2) AS composite FROM h)
-SELECT model_id, tasks, passed, round(pass_rate, 4) AS pass_rate, round(compliance, 4) AS compliance, round(headroom_rate, 4) AS headroom_rate, round(total_cost, 4) AS total_cost, composite, row_number() OVER (ORDER BY composite DESC, model_id)::INT AS rank FROM c""",
+SELECT model_id, tasks, passed, round(pass_rate, 4) AS pass_rate, round(compliance, 4) AS compliance, round(headroom_rate, 4) AS headroom_rate, round(total_cost, 2) AS total_cost, composite, row_number() OVER (ORDER BY composite DESC, model_id)::INT AS rank FROM c""",
 )
 
 
