@@ -1,6 +1,6 @@
 """N-gram Jaccard join by token-combination prefixes (operator 4).
 
-A document's tokens are its distinct word shingles, ordered rarest first by a counting sketch over all documents.
+A document's tokens are its distinct word shingles, ordered rarest first by fixed-size counts over all documents.
 A prefix is extended until any partner must share, in some class of tokens, as many prefix tokens as the class asks for: one for rare
 tokens, a combination of two for frequent ones, which are split into hashed classes so that combinations stay few.
 Rare tokens and combinations are indexed; documents that share an index entry are candidates and are verified on
@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, id_and_text, mix, rolling, settle
 from .graphs import components
+from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2
 
-_BLOCKS = 64
-
 
 def shingle_set(text: str, hashes: WordHashes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; A-Z count as a-z."""
@@ -37,35 +36,79 @@ def shingle_set(text: str, hashes: WordHashes, width: int) -> np.ndarray:
     return np.unique(mix(rolling(hashes.of(words), own, BASE_1) + U64(own)))
 
 
-def frequency_sketch(texts: DataFrame, width: int, bits: int) -> np.ndarray:
-    """How many documents hold a shingle of each of 2^bits hash buckets: a fixed-size upper bound of every shingle's frequency.
+def pack_places(places: np.ndarray) -> bytes:
+    """Sorted places as byte gaps: 255 only advances, a smaller byte advances and marks a place."""
+    gaps = np.diff(places, prepend=0)
+    skips = gaps // 255
+    out = np.full(int(skips.sum()) + len(gaps), 255, np.uint8)
+    out[np.cumsum(skips + 1) - 1] = gaps - 255 * skips
+    return out.tobytes()
 
-    Each task adds up its own documents; blocks of the sums are added by Spark; the driver gets 2^bits numbers whatever the input.
-    """
+
+def unpack_places(packed: bytes) -> np.ndarray:
+    gaps = np.frombuffer(packed, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 255]
+
+
+class Frequencies:
+    """What the prefixes need to know of all shingles, in fixed space: a bitmap of hash buckets that hold more than one
+    occurrence, and a coarse count. A shingle whose bucket isn't marked occurs in one document only; the coarse count bounds a frequency from above."""
+
+    def __init__(self, repeated: np.ndarray, counts: np.ndarray, bits: int, coarse: int):
+        self.repeated, self.counts, self.bits, self.coarse = repeated, counts, bits, coarse
+
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (tokens >> U64(64 - self.bits)).astype(np.int64)
+        return (self.repeated[at >> 3] >> (7 - (at & 7)) & 1).astype(bool), self.counts[at >> (self.bits - self.coarse)]
+
+
+def frequencies(texts: DataFrame, width: int, bits: int, coarse: int, block: int = 19) -> Frequencies:
+    """One pass over all documents. Each batch sends its shingles' bucket places (about a byte each) and its coarse counts by block;
+    Spark merges the blocks; the driver gets 2^bits / 8 + 4 * 2^coarse bytes whatever the input."""
+    blocks = 1 << (bits - block)
 
     def count(batches):
-        hashes, total = WordHashes(), np.zeros(1 << bits, np.uint32)
+        hashes, total = WordHashes(), np.zeros(1 << coarse, np.uint32)
         for batch in batches:
             sets = [shingle_set(t, hashes, width) for t in batch.column("text").to_pylist()]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        parts = np.split(total, _BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
-
-    def add(batches):
+            if not sets:
+                continue
+            at = np.sort((np.concatenate(sets) >> U64(64 - bits)).astype(np.int64))
+            total += np.bincount(at >> (bits - coarse), minlength=1 << coarse).astype(np.uint32)
+            if len(at) > 2:  # two of a kind say as much as more
+                at = at[np.concatenate([[True, True], at[2:] != at[:-2]])]
+            cuts = np.searchsorted(at, np.arange(blocks + 1) << block)
+            some = [k for k in range(blocks) if cuts[k] < cuts[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([False] * len(some)), pa.array([pack_places(at[cuts[k] : cuts[k + 1]] - (k << block)) for k in some], pa.binary())], ["block", "is_count", "data"])
+        parts = np.split(total, blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([True] * blocks), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "is_count", "data"])
+
+    def merge(batches):
         sums: dict[int, np.ndarray] = {}
+        seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = np.frombuffer(counts, np.uint32).astype(np.uint64)
-                sums[block] = sums[block] + own if block in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
-
-    summed = texts.select("text").mapInArrow(count, "block int, counts binary").repartition(_BLOCKS, "block").mapInArrow(add, "block int, counts binary")
-    out = np.zeros(1 << bits, np.uint32)
-    size = (1 << bits) // _BLOCKS
-    for r in summed.collect():
-        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], np.uint32)
-    return out
+            for k, is_count, data in zip(*(batch.column(c).to_pylist() for c in ("block", "is_count", "data")), strict=True):
+                if is_count:
+                    own = np.frombuffer(data, np.uint32).astype(np.uint64)
+                    sums[k] = sums[k] + own if k in sums else own
+                    continue
+                marks = seen.setdefault(k, np.zeros((2, 1 << block), bool))
+                at = unpack_places(data)
+                marks[1][at[marks[0][at]]] = True
+                marks[1][at[1:][at[1:] == at[:-1]]] = True
+                marks[0][at] = True
+        out = [(k, True, np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes()) for k, v in sums.items()] + [(k, False, np.packbits(v[1]).tobytes()) for k, v in seen.items()]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["block", "is_count", "data"])
+
+    schema = "block int, is_count boolean, data binary"
+    merged = texts.select("text").mapInArrow(count, schema).repartition(blocks, "block").mapInArrow(merge, schema)
+    repeated, counts = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << coarse, np.uint32)
+    for r in merged.collect():
+        whole, kind = (counts, np.uint32) if r["is_count"] else (repeated, np.uint8)
+        size = len(whole) // blocks
+        whole[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["data"], kind)
+    return Frequencies(repeated, counts, bits, coarse)
 
 
 def needed(n: int, percent: int) -> int:
@@ -73,18 +116,23 @@ def needed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, repeated: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> np.ndarray:
     """Index entries of one set: single rare tokens and pairs of frequent tokens from its extended prefix.
 
+    Tokens that no other document has come first in the order; they count for the prefix but need no entry.
+
     Pairs are made in a scheme for the power of two of the smaller partner's size, which sets the number of classes; a set whose partners
     may fall in two schemes makes entries in both.
     """
     n = len(tokens)
     if not n:
         return tokens
+    need = needed(n, percent) - int(len(tokens) - repeated.sum())
+    tokens, counts = tokens[repeated], counts[repeated]
+    if need <= 0:
+        return tokens[:0]
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
-    need = needed(n, percent)
     rare = int(np.searchsorted(counts, frequent))
     out = []
     for scheme in range((-(-percent * n // 100)).bit_length(), n.bit_length() + 1):
@@ -110,15 +158,15 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, percent: i
     return np.unique(np.concatenate(out))
 
 
-def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, frequent: int) -> DataFrame:
+def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, coarse: int, frequent: int) -> DataFrame:
     """Settled: doc_id, n (set size), k1, k2 (128-bit hash of the set), entries array<long>."""
-    sketch = frequency_sketch(texts, width, bits)
+    known = frequencies(texts, width, bits, coarse)
     # buckets hold other shingles too: a token is frequent if its bucket stands out from the mean load
-    limit = int(frequent + 4 * sketch.mean())
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)  # 4 * 2^bits bytes
+    limit = int(frequent + 4 * known.counts.mean())
+    shared = texts.sparkSession.sparkContext.broadcast(known)  # 2^bits / 8 + 4 * 2^coarse bytes
 
     def run(batches):
-        hashes, counted = WordHashes(), shared.value
+        hashes, known = WordHashes(), shared.value
         for batch in batches:
             n, k1, k2, entries = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -127,7 +175,7 @@ def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, frequent
                 n.append(len(tokens))
                 k1.append((key >> 64) - (1 << 63))
                 k2.append((key & (1 << 64) - 1) - (1 << 63))
-                entries.append(pa.array(signatures(tokens, counted[(tokens >> U64(64 - bits)).astype(np.int64)], limit, percent).view(np.int64)))
+                entries.append(pa.array(signatures(tokens, *known.of(tokens), limit, percent).view(np.int64)))
             offsets = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
             flat = pa.concat_arrays(entries) if entries else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "k1", "k2", "entries"])
@@ -139,15 +187,18 @@ def set_table(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Settled: doc_id and its whole set, of the wanted documents."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()  # rows that repeat a doc_id are in one partition
         for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            fresh = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             sets = [pa.array(shingle_set(t, hashes, width).view(np.int64)) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(e) for e in sets])]).astype(np.int32)
             flat = pa.concat_arrays(sets) if sets else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "tokens"])
 
-    own = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    return settle(own.mapInArrow(run, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "near-sets")
+    own = KeyFilter(wanted, "doc_id").split(texts, "doc_id")[0].join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    return settle(own.mapInArrow(run, "doc_id long, tokens array<long>"), "near-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -163,18 +214,20 @@ def fits(n: str, m: str, percent: int):
     return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, frequent: int = 64, rounds: int = 3) -> DataFrame:
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 27, count_bits: int = 20, frequent: int = 64, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a row of docs."""
     texts = id_and_text(docs)
-    table = prefix_table(texts, width, percent, sketch_bits, frequent)
+    table = prefix_table(texts, width, percent, sketch_bits, count_bits, frequent)
     classes = table.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = settle(table.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "near-members")
-    only = members.filter("n > 0 and doc_id = rep").select("doc_id").distinct()
-    index = table.filter("n > 0").join(only.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "n", F.explode("entries").alias("entry"))
+    # every document but the representatives of its set leaves the index
+    others = settle(members.filter("n > 0 and (doc_id is null or doc_id <> rep)").select("doc_id").distinct(), "near-copies")
+    maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select("doc_id", "n", "entries"), "doc_id")
+    index = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti")).select("doc_id", "n", F.explode("entries").alias("entry"))
     index = index.repartition("entry")  # one exchange serves the count and the join
     shared = index.groupBy("entry").agg(F.count("*").alias("c")).filter("c > 1").select("entry")
-    index = settle(index.join(shared, "entry", "left_semi").distinct(), "near-index")
-    sets = set_table(texts, index.select("doc_id").distinct(), width)
+    index = settle(index.join(shared, "entry", "left_semi"), "near-index")
+    sets = set_table(texts, settle(index.select("doc_id").distinct(), "near-active"), width)
     root: DataFrame | None = None  # doc_id, root of the documents linked so far
     tested: DataFrame | None = None
 
