@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, id_and_text, mix, rolling, settle
@@ -158,8 +158,14 @@ def signatures(tokens: np.ndarray, repeated: np.ndarray, counts: np.ndarray, fre
     return np.unique(np.concatenate(out))
 
 
+def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the tokens hashed to it: two sets differ in at least as many tokens as their bitmaps in bits."""
+    odd = np.bincount((tokens >> U64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, coarse: int, frequent: int) -> DataFrame:
-    """Settled: doc_id, n (set size), k1, k2 (128-bit hash of the set), entries array<long>."""
+    """Settled: doc_id, n (set size), own (tokens that no other document has), k1, k2 (128-bit hash of the set), b0 to b3 (parity bitmap), entries array<long>."""
     known = frequencies(texts, width, bits, coarse)
     # buckets hold other shingles too: a token is frequent if its bucket stands out from the mean load
     limit = int(frequent + 4 * known.counts.mean())
@@ -168,19 +174,22 @@ def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, coarse:
     def run(batches):
         hashes, known = WordHashes(), shared.value
         for batch in batches:
-            n, k1, k2, entries = [], [], [], []
+            n, own, k1, k2, entries, bitmaps = [], [], [], [], [], [np.empty((0, 4), np.int64)]
             for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, hashes, width)
                 key = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 n.append(len(tokens))
                 k1.append((key >> 64) - (1 << 63))
                 k2.append((key & (1 << 64) - 1) - (1 << 63))
-                entries.append(pa.array(signatures(tokens, *known.of(tokens), limit, percent).view(np.int64)))
+                repeated, counts = known.of(tokens)
+                own.append(int(len(tokens) - repeated.sum()))
+                bitmaps.append(parity_bitmap(tokens)[None])
+                entries.append(pa.array(signatures(tokens, repeated, counts, limit, percent).view(np.int64)))
             offsets = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
             flat = pa.concat_arrays(entries) if entries else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "k1", "k2", "entries"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *map(pa.array, np.concatenate(bitmaps).T.copy()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "own", "k1", "k2", "b0", "b1", "b2", "b3", "entries"])
 
-    return settle(texts.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, entries array<long>"), "near-prefixes")
+    return settle(texts.mapInArrow(run, "doc_id long, n long, own long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, entries array<long>"), "near-prefixes")
 
 
 def set_table(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -209,9 +218,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
     return settle(both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), name)
 
 
-def fits(n: str, m: str, percent: int):
-    """Sizes that allow the similarity."""
-    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+TRAITS = ("n", "own", "b0", "b1", "b2", "b3")
+
+
+def may_link(percent: int) -> Column:
+    """Can a document and its partner (columns p_...) be similar? What they share must reach percent / (100 + percent) of both sizes together.
+    It is at most what either has in common with anyone, and at most what their parity bitmaps leave. Both bounds are exact: no similar pair fails."""
+    both = F.col("n") + F.col("p_n")
+    share = F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"))
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in TRAITS[2:]), F.lit(0))
+    return ((100 + percent) * share >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 27, count_bits: int = 20, frequent: int = 64, rounds: int = 3) -> DataFrame:
@@ -222,11 +238,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_b
     members = settle(table.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "near-members")
     # every document but the representatives of its set leaves the index
     others = settle(members.filter("n > 0 and (doc_id is null or doc_id <> rep)").select("doc_id").distinct(), "near-copies")
-    maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select("doc_id", "n", "entries"), "doc_id")
-    index = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti")).select("doc_id", "n", F.explode("entries").alias("entry"))
+    maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select("doc_id", "entries"), "doc_id")
+    index = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti")).select("doc_id", F.explode("entries").alias("entry"))
     index = index.repartition("entry")  # one exchange serves the count and the join
     shared = index.groupBy("entry").agg(F.count("*").alias("c")).filter("c > 1").select("entry")
     index = settle(index.join(shared, "entry", "left_semi"), "near-index")
+    traits = table.filter("n > 0 and doc_id is not null").select("doc_id", *TRAITS).dropDuplicates(["doc_id"])
+    index = settle(index.join(traits, "doc_id"), "near-traits")
     sets = set_table(texts, settle(index.select("doc_id").distinct(), "near-active"), width)
     root: DataFrame | None = None  # doc_id, root of the documents linked so far
     tested: DataFrame | None = None
@@ -252,13 +270,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_b
 
     for turn in range(rounds + 1):
         now = rooted()
-        if turn < rounds:  # each entry's documents against one pivot
-            place = F.xxhash64("doc_id", F.lit(turn))
-            pivot = now.groupBy("entry").agg(F.min(F.struct(place.alias("h"), "doc_id", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry", F.col("p.doc_id").alias("pd"), F.col("p.n").alias("pn"), F.col("p.root").alias("pr"))
-            pairs = now.join(pivot, "entry").filter((F.col("root") != F.col("pr")) & fits("n", "pn", percent)).select(F.least("doc_id", "pd").alias("a"), F.greatest("doc_id", "pd").alias("b"))
+        if turn < rounds:  # each entry's documents against one pivot: first the one with the fewest tokens to itself, then others
+            place = F.struct((F.col("own") / F.col("n") if turn == 0 else F.lit(0.0)).alias("o"), F.xxhash64("doc_id", F.lit(turn)).alias("h"))
+            pivot = now.groupBy("entry").agg(F.min(F.struct(place.alias("place"), "doc_id", "root", *TRAITS)).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry", F.col("p.doc_id").alias("pd"), F.col("p.root").alias("pr"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in TRAITS])
+            pairs = now.join(pivot, "entry").filter((F.col("root") != F.col("pr")) & may_link(percent)).select(F.least("doc_id", "pd").alias("a"), F.greatest("doc_id", "pd").alias("b"))
         else:  # whatever is left between components
-            other = now.select("entry", F.col("doc_id").alias("pd"), F.col("n").alias("pn"), F.col("root").alias("pr"))
-            pairs = now.join(other, "entry").filter((F.col("doc_id") < F.col("pd")) & (F.col("root") != F.col("pr")) & fits("n", "pn", percent)).select(F.col("doc_id").alias("a"), F.col("pd").alias("b"))
+            other = now.select("entry", F.col("doc_id").alias("pd"), F.col("root").alias("pr"), *[F.col(c).alias(f"p_{c}") for c in TRAITS])
+            pairs = now.join(other, "entry").filter((F.col("doc_id") < F.col("pd")) & (F.col("root") != F.col("pr")) & may_link(percent)).select(F.col("doc_id").alias("a"), F.col("pd").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
