@@ -27,6 +27,10 @@ from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2
 
 
+BITMAP = tuple(f"b{i}" for i in range(8))
+TRAITS = ("n", "own", *BITMAP)
+
+
 def shingle_set(text: str, hashes: WordHashes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; A-Z count as a-z."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -116,7 +120,12 @@ def needed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signatures(tokens: np.ndarray, repeated: np.ndarray, counts: np.ndarray, frequent: int, percent: int) -> np.ndarray:
+def needed_below(n: int, percent: int) -> int:
+    """The same against partners no smaller: they must share percent / (100 + percent) of both sizes together."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def signatures(tokens: np.ndarray, repeated: np.ndarray, counts: np.ndarray, frequent: int, percent: int, prefix: int | None = None) -> np.ndarray:
     """Index entries of one set: single rare tokens and pairs of frequent tokens from its extended prefix.
 
     Tokens that no other document has come first in the order; they count for the prefix but need no entry.
@@ -127,7 +136,7 @@ def signatures(tokens: np.ndarray, repeated: np.ndarray, counts: np.ndarray, fre
     n = len(tokens)
     if not n:
         return tokens
-    need = needed(n, percent) - int(len(tokens) - repeated.sum())
+    need = (needed(n, percent) if prefix is None else prefix) - int(len(tokens) - repeated.sum())
     tokens, counts = tokens[repeated], counts[repeated]
     if need <= 0:
         return tokens[:0]
@@ -159,13 +168,13 @@ def signatures(tokens: np.ndarray, repeated: np.ndarray, counts: np.ndarray, fre
 
 
 def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the tokens hashed to it: two sets differ in at least as many tokens as their bitmaps in bits."""
-    odd = np.bincount((tokens >> U64(56)).astype(np.int64), minlength=256) & 1
+    """512 bits, each the parity of the tokens hashed to it: two sets differ in at least as many tokens as their bitmaps in bits."""
+    odd = np.bincount((tokens >> U64(55)).astype(np.int64), minlength=512) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, coarse: int, frequent: int) -> DataFrame:
-    """Settled: doc_id, n (set size), own (tokens that no other document has), k1, k2 (128-bit hash of the set), b0 to b3 (parity bitmap), entries array<long>."""
+    """Settled: doc_id, n (set size), own (tokens that no other document has), k1, k2 (128-bit hash of the set), b0 to b7 (parity bitmap), entries array<long>, short array<boolean>."""
     known = frequencies(texts, width, bits, coarse)
     # buckets hold other shingles too: a token is frequent if its bucket stands out from the mean load
     limit = int(frequent + 4 * known.counts.mean())
@@ -174,7 +183,7 @@ def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, coarse:
     def run(batches):
         hashes, known = WordHashes(), shared.value
         for batch in batches:
-            n, own, k1, k2, entries, bitmaps = [], [], [], [], [], [np.empty((0, 4), np.int64)]
+            n, own, k1, k2, entries, short, bitmaps = [], [], [], [], [], [], [np.empty((0, 8), np.int64)]
             for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, hashes, width)
                 key = xxhash.xxh3_128_intdigest(tokens.tobytes())
@@ -184,12 +193,15 @@ def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, coarse:
                 repeated, counts = known.of(tokens)
                 own.append(int(len(tokens) - repeated.sum()))
                 bitmaps.append(parity_bitmap(tokens)[None])
-                entries.append(pa.array(signatures(tokens, repeated, counts, limit, percent).view(np.int64)))
+                every = signatures(tokens, repeated, counts, limit, percent)
+                entries.append(pa.array(every.view(np.int64)))
+                short.append(pa.array(np.isin(every, signatures(tokens, repeated, counts, limit, percent, needed_below(len(tokens), percent)))))
             offsets = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
-            flat = pa.concat_arrays(entries) if entries else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *map(pa.array, np.concatenate(bitmaps).T.copy()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "own", "k1", "k2", "b0", "b1", "b2", "b3", "entries"])
+            flat, marks = (pa.concat_arrays(entries), pa.concat_arrays(short)) if entries else (pa.array([], pa.int64()), pa.array([], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *map(pa.array, np.concatenate(bitmaps).T.copy()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.ListArray.from_arrays(pa.array(offsets), marks)], ["doc_id", "n", "own", "k1", "k2", *BITMAP, "entries", "short"])
 
-    return settle(texts.mapInArrow(run, "doc_id long, n long, own long, k1 long, k2 long, b0 long, b1 long, b2 long, b3 long, entries array<long>"), "near-prefixes")
+    bits_of = ", ".join(f"{b} long" for b in BITMAP)
+    return settle(texts.mapInArrow(run, f"doc_id long, n long, own long, k1 long, k2 long, {bits_of}, entries array<long>, short array<boolean>"), "near-prefixes")
 
 
 def set_table(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -218,15 +230,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
     return settle(both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), name)
 
 
-TRAITS = ("n", "own", "b0", "b1", "b2", "b3")
-
-
 def may_link(percent: int) -> Column:
     """Can a document and its partner (columns p_...) be similar? What they share must reach percent / (100 + percent) of both sizes together.
     It is at most what either has in common with anyone, and at most what their parity bitmaps leave. Both bounds are exact: no similar pair fails."""
     both = F.col("n") + F.col("p_n")
     share = F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"))
-    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in TRAITS[2:]), F.lit(0))
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in BITMAP), F.lit(0))
     return ((100 + percent) * share >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
 
 
@@ -238,8 +247,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_b
     members = settle(table.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "near-members")
     # every document but the representatives of its set leaves the index
     others = settle(members.filter("n > 0 and (doc_id is null or doc_id <> rep)").select("doc_id").distinct(), "near-copies")
-    maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select("doc_id", "entries"), "doc_id")
-    index = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti")).select("doc_id", F.explode("entries").alias("entry"))
+    maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select("doc_id", "entries", "short"), "doc_id")
+    index = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti")).select("doc_id", F.explode(F.arrays_zip("entries", "short")).alias("e")).select("doc_id", F.col("e.entries").alias("entry"), F.col("e.short").alias("short"))
     index = index.repartition("entry")  # one exchange serves the count and the join
     shared = index.groupBy("entry").agg(F.count("*").alias("c")).filter("c > 1").select("entry")
     index = settle(index.join(shared, "entry", "left_semi"), "near-index")
@@ -272,11 +281,14 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_b
         now = rooted()
         if turn < rounds:  # each entry's documents against one pivot: first the one with the fewest tokens to itself, then others
             place = F.struct((F.col("own") / F.col("n") if turn == 0 else F.lit(0.0)).alias("o"), F.xxhash64("doc_id", F.lit(turn)).alias("h"))
-            pivot = now.groupBy("entry").agg(F.min(F.struct(place.alias("place"), "doc_id", "root", *TRAITS)).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry", F.col("p.doc_id").alias("pd"), F.col("p.root").alias("pr"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in TRAITS])
-            pairs = now.join(pivot, "entry").filter((F.col("root") != F.col("pr")) & may_link(percent)).select(F.least("doc_id", "pd").alias("a"), F.greatest("doc_id", "pd").alias("b"))
+            pivot = now.groupBy("entry").agg(F.min(F.struct(place.alias("place"), "doc_id", "root", "short", *TRAITS)).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry", F.col("p.doc_id").alias("pd"), F.col("p.root").alias("pr"), F.col("p.short").alias("p_short"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in TRAITS])
+            below = (F.col("n") < F.col("p_n")) | ((F.col("n") == F.col("p_n")) & (F.col("doc_id") < F.col("pd")))
+            meets = F.when(below, F.col("short")).otherwise(F.col("p_short"))  # the smaller of two meets its partner in its short prefix
+            pairs = now.join(pivot, "entry").filter((F.col("root") != F.col("pr")) & meets & may_link(percent)).select(F.least("doc_id", "pd").alias("a"), F.greatest("doc_id", "pd").alias("b"))
         else:  # whatever is left between components
             other = now.select("entry", F.col("doc_id").alias("pd"), F.col("root").alias("pr"), *[F.col(c).alias(f"p_{c}") for c in TRAITS])
-            pairs = now.join(other, "entry").filter((F.col("doc_id") < F.col("pd")) & (F.col("root") != F.col("pr")) & may_link(percent)).select(F.col("doc_id").alias("a"), F.col("pd").alias("b"))
+            below = (F.col("n") < F.col("p_n")) | ((F.col("n") == F.col("p_n")) & (F.col("doc_id") < F.col("pd")))
+            pairs = now.filter("short").join(other, "entry").filter(below & (F.col("root") != F.col("pr")) & may_link(percent)).select(F.least("doc_id", "pd").alias("a"), F.greatest("doc_id", "pd").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

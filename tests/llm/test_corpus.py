@@ -160,7 +160,10 @@ def test_signatures_always_meet():
         count = lambda t: (t % np.uint64(7)).astype(np.int64) * 20
         mark = lambda t, o: np.isin(t, o) | (t % np.uint64(3) == 0)
         a, b = (near.signatures(s, mark(s, o), count(s), 40, 80) for s, o in ((x, y), (y, x)))
-        assert not set(a.tolist()).isdisjoint(b.tolist()) or common == 0
+        assert not set(a.tolist()).isdisjoint(b.tolist())
+        (small, other), whole = ((x, y), b) if len(x) <= len(y) else ((y, x), a)
+        short = near.signatures(small, mark(small, other), count(small), 40, 80, near.needed_below(len(small), 80))
+        assert not set(short.tolist()).isdisjoint(whole.tolist())
         apart = sum(bin(int(p ^ q) & (2**64 - 1)).count("1") for p, q in zip(near.parity_bitmap(x), near.parity_bitmap(y), strict=True))
         assert apart <= len(x) + len(y) - 2 * common
 
