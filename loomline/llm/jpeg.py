@@ -2,8 +2,8 @@
 
 A payload (bytes, padded with 0 to a positive multiple of 64) is stored without loss as the quantised
 DCT coefficients of a 4:2:0 progressive JPEG: byte b is coefficient b + 256, 64 to a block in zigzag
-order. Scans: DC by itself and AC in two spectral bands, each first without its low bits, then refined
-by one bit a scan. The reader accumulates the scans into coefficient arrays, gives the payload back,
+order. Scans: DC by itself and AC in two spectral bands, first without their low bits; then one bit more
+a scan, all bands together. The reader accumulates the scans into coefficient arrays, gives the payload back,
 dequantises, inverse-transforms all blocks in numpy, upsamples chroma and makes an RGB tensor.
 
 The reader takes any 8-bit progressive JPEG with one or three components; scans whose tables leave only one
@@ -128,8 +128,7 @@ def write_jpeg(payload: bytes, comment: bytes = b"") -> bytes:
         out += [_scan([(i + 1, 0x00)], first, last, 0, 2, (c[:, first : last + 1] >> 2).astype(np.uint8).tobytes()) for i, c in enumerate(parts)]
     out += [_scan([(i + 1, 0x00)], 0, 0, 1, 0, _stuff(_pack((c[:, 0] & 1).astype(np.uint8)))) for i, c in enumerate(parts)]
     for low in (1, 0):
-        for first, last in BANDS:
-            out += [_scan([(i + 1, 0x01)], first, last, low + 1, low, _ac_refine(c[:, first : last + 1], low)) for i, c in enumerate(parts)]
+        out += [_scan([(i + 1, 0x01)], 1, 63, low + 1, low, _ac_refine(c[:, 1:], low)) for i, c in enumerate(parts)]
     out.append(b"\xff\xd9")
     return b"".join(out)
 
