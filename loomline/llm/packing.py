@@ -13,6 +13,8 @@ A null doc_id is packed like any other.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -25,14 +27,24 @@ from pyspark.sql import functions as F
 from .common import id_and_text, settle
 
 
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """Text and id of the added tokens of a tokenizer file, which take their one id wherever they stand in a text."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError(f"{path}: an added token that takes in or looks at its surroundings")
+    return tuple((t["content"], t["id"]) for t in added)
+
+
 @lru_cache(2)
-def byte_bpe(path: str, pattern: str):
-    """The byte-level BPE of a ranks file; its ids equal those of the tokenizer file with the same vocabulary."""
+def byte_bpe(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """Text to ids by the byte-level BPE of a ranks file and the added tokens: the ids of the tokenizer file with the same vocabulary."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+    return lambda text: bpe.encode(text, allowed_special="all") if any(t in text for t, _ in added) else bpe.encode_ordinary(text)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -41,11 +53,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *[(s, capacity) for s in range(first, n, capacity)]]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and salt (spreads pieces of one length)."""
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, tokenizer_path: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and salt (spreads pieces of one length). Added tokens are those of the tokenizer file, by default the .json beside the ranks."""
+    added = added_tokens(tokenizer_path or f"{os.path.splitext(ranks_path)[0]}.json")
 
     def run(batches):
-        encode = byte_bpe(ranks_path, pattern).encode_ordinary
+        encode = byte_bpe(ranks_path, pattern, added)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

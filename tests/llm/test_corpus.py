@@ -311,6 +311,20 @@ def test_packing_places_without_gaps(docs):
     assert len(by_seq) <= -(-total // 2048) + 1
 
 
+def test_packing_gives_added_tokens_their_id(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = {1: "end <|endoftext|> start", 2: "<|endoftext|>", 3: "a  \n<|endoftext|><|endoftext|>  b<|endoftext|", 4: "é <|endoftext|> " + prose(3000, 8) + "<|endoftext|>", 5: "<|endof text|> plain"}
+    assert t.encode(rows[1], add_special_tokens=False).ids == [437, 220, 50256, 923]
+    got = packing.pack_documents(frame(spark, rows), RANKS, P.PATTERN).collect()
+    want = {}
+    for k, text in rows.items():
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        want |= {(k, i): (start, n, brute.crc(ids[start : start + n])) for i, (start, n) in enumerate(packing.cut(len(ids), 2048))}
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+
+
 # ---- toxicity
 
 
