@@ -203,6 +203,16 @@ def small_graph(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey % 110 AS id").distinct(), e
 
 
+#: The same edges from all rows with their whole keys.
+_ALL = "WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey)"
+
+
+def whole_graph(spark, d):
+    """Parts and suppliers as nodes, and an edge from each supplier to each part it delivers; a number is one node in both roles."""
+    e = table(spark, d, "lineitem").selectExpr("l_suppkey AS src", "l_partkey AS dst").filter("src <> dst").distinct()
+    return table(spark, d, "part").selectExpr("p_partkey AS id").union(e.select("src")).union(e.select("dst")).distinct(), e
+
+
 def g1(spark, d):
     p = table(spark, d, "part")
     nodes = p.selectExpr("p_partkey AS id", "concat('n', p_partkey % 700) AS name", "p_partkey % 5 AS file")
@@ -227,8 +237,18 @@ for _k in range(1, 4):
 register("g2_pagerank", g2, f"{_PR} SELECT id, round(r, 8) AS rank FROM q3")
 
 
+def g2_whole(spark, d):
+    nodes, e = whole_graph(spark, d)
+    return gr.pagerank(nodes, e, nodes.filter("id < 5"), fixed_steps=3).select("id", F.round("rank", 8).alias("rank"))
+
+
+_NODES = "SELECT p_partkey AS id FROM part UNION SELECT src FROM e UNION SELECT dst FROM e"
+_PR_ALL = _PR.replace(_PAGES, _ALL).replace("SELECT DISTINCT p_partkey % 110 AS id FROM part", _NODES).replace("THEN 0.2 ", "THEN 1.0 / (SELECT count(*) FROM v WHERE id < 5) ")
+register("g2_pagerank_whole", g2_whole, f"{_PR_ALL} SELECT id, round(r, 8) AS rank FROM q3")
+
+
 def g2c(spark, d):
-    nodes, e = small_graph(spark, d)
+    nodes, e = whole_graph(spark, d)
     return gr.pagerank(nodes, e, tol=1e-3)
 
 
@@ -245,6 +265,16 @@ def g3(spark, d):
 register("g3_graph_findings", g3, f"{_PAGES}, dg AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT id, 'hub' AS what FROM dg WHERE k > (SELECT avg(k) + 1.5 * stddev_pop(k) FROM dg) UNION ALL SELECT id, 'orphan' FROM (SELECT DISTINCT p_partkey % 110 AS id FROM part) WHERE id NOT IN (SELECT id FROM dg) UNION ALL SELECT a.src, 'mutual' FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
 
 
+def g3_whole(spark, d):
+    nodes, e = whole_graph(spark, d)
+    a = gr.hub_outliers(e, 1.5).select("id", F.lit("hub").alias("what"))
+    b = gr.orphans(nodes, e).select("id", F.lit("orphan").alias("what"))
+    return a.unionByName(b).unionByName(gr.mutual_pairs(e).select(F.col("src").alias("id"), F.lit("mutual").alias("what")))
+
+
+register("g3_graph_findings_whole", g3_whole, f"{_ALL}, dg AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT id, 'hub' AS what FROM dg WHERE k > (SELECT avg(k) + 1.5 * stddev_pop(k) FROM dg) UNION ALL SELECT id, 'orphan' FROM (SELECT p_partkey AS id FROM part) WHERE id NOT IN (SELECT id FROM dg) UNION ALL SELECT a.src, 'mutual' FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+
+
 def dag(spark, d):
     return table(spark, d, "orders").selectExpr("o_orderkey % 500 AS src", "o_orderkey % 500 + 1 + o_custkey % 60 AS dst", "CASE WHEN o_orderkey % 11 = 0 THEN 'DEFINES' ELSE 'CALLS' END AS kind")
 
@@ -256,6 +286,18 @@ def g4(spark, d):
 register("g4_blast_radius", g4, "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey % 500 AS src, o_orderkey % 500 + 1 + o_custkey % 60 AS dst FROM orders WHERE o_orderkey % 11 <> 0), r AS (SELECT n_nationkey * 15 + 50 AS seed, n_nationkey * 15 + 50 AS id FROM nation UNION SELECT r.seed, e.src FROM r JOIN e ON e.dst = r.id) SELECT seed::BIGINT AS seed, id::BIGINT AS id FROM r WHERE seed <> id")
 
 
+def whole_dag(spark, d):
+    """Each order points at a later number, by its whole keys."""
+    return table(spark, d, "orders").selectExpr("o_orderkey AS src", "o_orderkey + 1 + o_custkey AS dst", "CASE WHEN o_orderkey % 11 = 0 THEN 'DEFINES' ELSE 'CALLS' END AS kind")
+
+
+def g4_whole(spark, d):
+    return gr.blast_radius(whole_dag(spark, d), table(spark, d, "customer").selectExpr("c_custkey AS id"))
+
+
+register("g4_blast_radius_whole", g4_whole, "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS src, o_orderkey + 1 + o_custkey AS dst FROM orders WHERE o_orderkey % 11 <> 0), r AS (SELECT c_custkey AS seed, c_custkey AS id FROM customer UNION SELECT r.seed, e.src FROM r JOIN e ON e.dst = r.id) SELECT seed, id FROM r WHERE seed <> id")
+
+
 def g5(spark, d):
     acyclic = gr.cyclic_core(dag(spark, d)).agg((F.count("*") > 0).alias("cyclic")).withColumn("which", F.lit("dag"))
     other = gr.cyclic_core(small_graph(spark, d)[1]).agg((F.count("*") > 0).alias("cyclic")).withColumn("which", F.lit("graph"))
@@ -265,6 +307,14 @@ def g5(spark, d):
 register("g5_has_cycle", g5, f"{_PAGES} SELECT 'dag' AS which, false AS cyclic UNION ALL SELECT 'graph', count(*) > 0 FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src")
 
 
+def g5_whole(spark, d):
+    found = lambda e, which: gr.cyclic_core(e).agg((F.count("*") > 0).alias("cyclic")).withColumn("which", F.lit(which))
+    return found(whole_dag(spark, d), "dag").unionByName(found(whole_graph(spark, d)[1], "graph"))
+
+
+register("g5_has_cycle_whole", g5_whole)
+
+
 def g6(spark, d):
     return gr.cycles(small_graph(spark, d)[1], 3).select(F.array_join("cycle", ",").alias("cycle"))
 
@@ -272,6 +322,13 @@ def g6(spark, d):
 register("g6_cycles", g6, f"{_PAGES} SELECT concat(a.src, ',', a.dst) AS cycle FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT concat(a.src, ',', a.dst, ',', b.dst) FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
 
 
+def g6_whole(spark, d):
+    return gr.cycles(whole_graph(spark, d)[1], 3).select(F.array_join("cycle", ",").alias("cycle"))
+
+
+register("g6_cycles_whole", g6_whole, f"{_ALL} SELECT concat(a.src, ',', a.dst) AS cycle FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT concat(a.src, ',', a.dst, ',', b.dst) FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
+
+
 def g7(spark, d):
     nodes = table(spark, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 50 = 0 THEN 'main' ELSE p_name END AS name")
     e = table(spark, d, "lineitem").filter("l_shipdate < '1993-01-01'").selectExpr("l_suppkey AS src", "l_partkey AS dst", "'CALLS' AS kind")
@@ -294,6 +351,18 @@ r AS (SELECT grp, a AS root, a AS node FROM e UNION SELECT r.grp, r.root, e.b FR
 )
 
 
+def g8_whole(spark, d):
+    return gr.components(table(spark, d, "lineitem").selectExpr("l_suppkey AS grp", "l_orderkey AS member", "l_partkey AS shared"), "grp")
+
+
+register(
+    "g8_clusters_whole",
+    g8_whole,
+    """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS grp, l_orderkey AS member, l_partkey AS shared FROM lineitem), e AS (SELECT DISTINCT a.grp, a.member AS a, b.member AS b FROM p a JOIN p b ON a.grp = b.grp AND a.shared = b.shared),
+r AS (SELECT grp, a AS root, a AS node FROM e UNION SELECT r.grp, r.root, e.b FROM r JOIN e ON e.grp = r.grp AND e.a = r.node), m AS (SELECT grp, node, min(root) AS label FROM r GROUP BY 1, 2) SELECT grp, count(DISTINCT label) AS clusters FROM m GROUP BY 1""",
+)
+
+
 def g9(spark, d):
     o = table(spark, d, "orders").selectExpr("o_custkey % 30 AS tree", "CASE WHEN o_orderkey % 5 = 0 THEN 'move' WHEN o_orderkey % 17 = 0 THEN 'delete' ELSE 'insert' END AS op", "concat('n', o_orderkey % 60) AS node", "concat('n', o_custkey % 60) AS parent", "o_orderkey AS lamport", "concat('a', o_custkey % 3) AS agent")
     return gr.materialise(o, "tree")
