@@ -181,6 +181,14 @@ def w5(spark, d):
 register("w5_domain_strategy", w5, "WITH o AS (SELECT concat('d', user_id % 20) AS domain, event_id AS ts, CASE WHEN event_id % 3 = 0 THEN 'headless' ELSE 'static' END AS tier, CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'shell' ELSE 'ok' END AS outcome FROM events WHERE event_id < 600) SELECT domain, arg_max(tier, ts) FILTER (outcome = 'ok') AS tier, count(*) FILTER (outcome = 'ok') AS successes, bool_or(outcome = 'shell' OR (outcome = 'ok' AND tier = 'headless')) AS requires_js, least(0.5 * pow(2.0, count(*) FILTER (outcome = 'rate_limited')), 10.0) AS delay FROM o GROUP BY 1")
 
 
+def w5_whole(spark, d):
+    o = table(spark, d, "events").selectExpr("concat('d', user_id % 20) AS domain", "event_id AS ts", "CASE WHEN event_id % 3 = 0 THEN 'headless' ELSE 'static' END AS tier", "CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'shell' ELSE 'ok' END AS outcome")
+    return pg.domain_strategy(o)
+
+
+register("w5_domain_strategy_whole", w5_whole, "WITH o AS (SELECT concat('d', user_id % 20) AS domain, event_id AS ts, CASE WHEN event_id % 3 = 0 THEN 'headless' ELSE 'static' END AS tier, CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'shell' ELSE 'ok' END AS outcome FROM events) SELECT domain, arg_max(tier, ts) FILTER (outcome = 'ok') AS tier, count(*) FILTER (outcome = 'ok') AS successes, bool_or(outcome = 'shell' OR (outcome = 'ok' AND tier = 'headless')) AS requires_js, least(0.5 * pow(2.0, least(count(*) FILTER (outcome = 'rate_limited'), 10)), 10.0) AS delay FROM o GROUP BY 1")
+
+
 def w6(spark, d):
     e = table(spark, d, "events").select((F.col("event_id") % 4 * 129 + 200).alias("s"))
     return e.groupBy(pg.status_outcome(F.col("s")).alias("outcome")).agg(F.count("*").alias("n"))

@@ -68,3 +68,10 @@ def test_blast_radius_of_whole_keys(spark, graph_tables):
                 todo.append(x)
         want |= {(seed, x) for x in seen}
     assert {tuple(r) for r in run(spark, "g4_blast_radius_whole", graph_tables).select("seed", "id").collect()} == want
+
+
+def test_domain_strategy_sees_late_events(spark, tmp_path):
+    rows = [(3, 1, "click"), (4, 1, "error"), (700, 1, "click"), (900, 1, "error"), (90_001, 2, "signup")]
+    folder = write(spark, tmp_path / "t", events=(rows, "event_id long, user_id long, event_type string"))
+    got = {r["domain"]: (r["tier"], r["successes"], r["requires_js"], r["delay"]) for r in run(spark, "w5_domain_strategy_whole", folder).collect()}
+    assert got == {"d1": ("static", 2, True, 2.0), "d2": (None, 0, True, 0.5)}
