@@ -47,7 +47,7 @@ def lint_prose(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Prose findings outside fences and inline code, at most one a rule and line: key, line_no, rule_id."""
     clean = F.regexp_replace("line", r"`[^`]*`", " __code__ ")
     words = F.split(F.lower(clean), r"[^a-z]+")
-    doubled = F.exists(F.zip_with(words, F.slice(words, 2, 100_000), lambda a, b: (a == b) & (F.length(a) > 1)), lambda x: F.coalesce(x, F.lit(False)))
+    doubled = F.exists(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: (a == b) & (F.length(a) > 1)), lambda x: F.coalesce(x, F.lit(False)))
     rules = F.array(*[F.when(clean.rlike(t), f"TERM{i}") for i, t in enumerate(TERMS)], F.when(doubled, "DOUBLED"), F.when(clean.rlike(PLACEHOLDER), "PLACEHOLDER"))
     rows = flagged_lines(docs, key, text).filter("not fenced")
     return rows.select(key, "line_no", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule_id"))

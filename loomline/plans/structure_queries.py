@@ -19,6 +19,15 @@ def marked(spark, d):
     return table(spark, d, "documents").select("doc_id", F.expr(MARK).alias("t"))
 
 
+#: Real texts of all documents, some with planted lines before or after.
+MARK_WHOLE = """CASE doc_id % 6 WHEN 0 THEN concat('intro', chr(10), '# 1 Goals', chr(10), 'one two', chr(10), '```py', chr(10), '# 2 hidden', chr(10), '```', chr(10), '## 3 Scope', chr(10), text) WHEN 1 THEN concat(text, chr(10), '| a | b |', chr(10), '|---|:-:|', chr(10), '| 1 | 2 |', chr(10), '| 1 | `x|y` | 3 |', chr(10), 'end', chr(10), '| 9 |')
+WHEN 3 THEN concat(text, chr(10), 'see the blacklist', chr(10), '`the the` TODO', chr(10), 'and and so', chr(10), '```', chr(10), 'whitelist') ELSE text END"""
+
+
+def marked_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.expr(MARK_WHOLE).alias("t"))
+
+
 _L = rf"WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE string_split(regexp_replace(t, '\n$', ''), chr(10)) END AS ls FROM (SELECT doc_id, {MARK} AS t FROM documents))), m AS (SELECT *, regexp_matches(line, '^ {{0,3}}```') AS mk FROM l), f AS (SELECT *, mk OR sum(mk::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS fenced FROM m)"
 
 
@@ -29,6 +38,13 @@ def f3(spark, d):
 register("f3_prose", f3, "SELECT doc_id, unnest([1, 2, 3]) AS line_no, unnest(['TERM0', 'PLACEHOLDER', 'DOUBLED']) AS rule_id FROM documents WHERE doc_id % 6 = 3")
 
 
+def f3_whole(spark, d):
+    return st.lint_prose(marked_whole(spark, d), "doc_id", "t")
+
+
+register("f3_prose_whole", f3_whole)
+
+
 def f4(spark, d):
     return st.flagged_lines(marked(spark, d), "doc_id", "t").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("fenced").alias("fenced")).join(st.unclosed_fences(marked(spark, d), "doc_id", "t").withColumn("unclosed", F.lit(True)), "doc_id", "left").fillna(False, ["unclosed"])
 
@@ -43,6 +59,13 @@ def f5(spark, d):
 register("f5_tables", f5, "SELECT doc_id, 4 AS line_no, 2 AS want, 3 AS got FROM documents WHERE doc_id % 6 = 1")
 
 
+def f5_whole(spark, d):
+    return st.check_tables(marked_whole(spark, d), "doc_id", "t")
+
+
+register("f5_tables_whole", f5_whole)
+
+
 def f7_rows(spark, d):
     return st.split_sections(marked(spark, d), "doc_id", "t")
 
@@ -128,6 +151,13 @@ def f15(spark, d):
 register("f15_missing_sections", f15, "SELECT doc_id, unnest([2, 4, 5]) AS missing FROM documents WHERE doc_id % 6 = 0")
 
 
+def f15_whole(spark, d):
+    return st.missing_sections(marked_whole(spark, d), "doc_id", "t", 5)
+
+
+register("f15_missing_sections_whole", f15_whole)
+
+
 def f17(spark, d):
     u = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all(F.expr("concat(html, ' see http://ext', page_id % 9, '.net/a. and ', url, ';')"), F.lit(r"https?://[A-Za-z0-9./_-]+"), F.lit(0))).alias("u")).select("page_id", F.regexp_replace("u", r"[.,;:]+$", "").alias("url"))
     u = u.withColumn("host", F.regexp_extract("url", r"^https?://([^/]+)", 1))

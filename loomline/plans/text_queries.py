@@ -85,6 +85,14 @@ def p7(spark, d):
 
 register("p7_unicode_tags", p7, "SELECT doc_id, 'Hi' AS decoded, 3::BIGINT AS n FROM documents WHERE doc_id % 5 = 0")
 
+
+def p7_whole(spark, d):
+    tagged = table(spark, d, "documents").select("doc_id", F.concat("text", F.decode(F.unhex(F.lit("F3A08188F3A081A9F3A08080")), "UTF-8")).alias("t"))
+    return tagged.select("doc_id", text.decode_tags(F.col("t")).alias("r")).select("doc_id", "r.decoded", "r.n")
+
+
+register("p7_unicode_tags_whole", p7_whole)
+
 P8_RULES = (("purchase|sign", "conversion"), ("^err", "failure"), ("click", "engagement"))
 
 

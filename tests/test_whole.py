@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from loomline.operators import structure
 from loomline.plans import registry
 
 
@@ -75,3 +76,25 @@ def test_domain_strategy_sees_late_events(spark, tmp_path):
     folder = write(spark, tmp_path / "t", events=(rows, "event_id long, user_id long, event_type string"))
     got = {r["domain"]: (r["tier"], r["successes"], r["requires_js"], r["delay"]) for r in run(spark, "w5_domain_strategy_whole", folder).collect()}
     assert got == {"d1": ("static", 2, True, 2.0), "d2": (None, 0, True, 0.5)}
+
+
+REAL = {1: "so so it is\n`a a` ok", 2: "fixme now\n# 4 Last\n| a |\n|---|\n| 1 | 2 |", 3: "whitelisted", 4: "x \U000e0041y", 6: "it it"}
+
+
+@pytest.fixture(scope="module")
+def real_tables(spark, tmp_path_factory):
+    return write(spark, tmp_path_factory.mktemp("real") / "t", documents=(list(REAL.items()), "doc_id long, text string"))
+
+
+def test_real_texts_of_all_documents_are_looked_at(spark, real_tables):
+    got = lambda name: {tuple(r) for r in run(spark, name, real_tables).collect()}
+    assert got("f3_prose_whole") == {(1, 1, "DOUBLED"), (2, 1, "PLACEHOLDER"), (3, 1, "TERM1"), (3, 2, "TERM0"), (3, 3, "PLACEHOLDER"), (3, 4, "DOUBLED"), (6, 8, "DOUBLED")}
+    assert got("f5_tables_whole") == {(1, 6, 2, 3), (2, 5, 1, 2)}
+    assert got("f15_missing_sections_whole") == {(k, n) for k in REAL for n in range(1, 6)} - {(2, 4), (6, 1), (6, 3)}
+    assert got("p7_unicode_tags_whole") == {(k, "AHi" if k == 4 else "Hi", 4 if k == 4 else 3) for k in REAL}
+
+
+def test_doubled_word_late_in_a_long_line(spark):
+    line = "ab cd " * 50_010 + "and and so"
+    rows = structure.lint_prose(spark.createDataFrame([(1, line)], "k long, t string"), "k", "t").collect()
+    assert [(r["line_no"], r["rule_id"]) for r in rows] == [(1, "DOUBLED")]
