@@ -83,12 +83,23 @@ def scan_text(docs: DataFrame, key: str, text: str, rules: Sequence[Rule] = DEFA
     return found.filter(F.size("hits") > 0).select(key, "line_no", F.explode("hits").alias("h")).select(key, "line_no", "h.rule_id", "h.severity", "h.subject")
 
 
-def canary_leaks(texts: DataFrame, key: str, text: str, canaries: DataFrame, canary_key: str, canary: str, max_broadcast: int = 10_000) -> DataFrame:
-    """(key, canary_key) for every marker present in a text. The markers are the small, declared side; beyond max_broadcast rows they are not accepted."""
-    if canaries.limit(max_broadcast + 1).count() > max_broadcast:
-        raise ValueError(f"more than {max_broadcast} canaries")
-    marks = canaries.select(F.col(canary_key), F.col(canary).alias("__mark")).filter(F.length("__mark") > 0)
-    return texts.join(F.broadcast(marks), F.expr(f"instr(`{text}`, __mark) > 0")).select(key, canary_key)
+def canary_leaks(texts: DataFrame, key: str, text: str, canaries: DataFrame, canary_key: str, canary: str, words: int = 4) -> DataFrame:
+    """(key, canary_key) for every marker present in a text; neither side has a limit. A marker in a text shares its inner words (all but its first and last, which may go on in the text),
+    so candidates are joined by the hash of its first `words` inner words; a marker with fewer by the hash of its first characters, 12 at most. Candidates are then verified on whole texts."""
+    marks = canaries.select(F.col(canary_key).alias("__c"), F.col(canary).alias("__mark")).filter(F.length("__mark") > 0)
+    split = lambda x: F.split(x, r"\s+", -1)
+    marks = marks.withColumn("__w", split(F.col("__mark"))).withColumn("__n", F.when(F.size("__w") >= words + 2, 0).otherwise(F.least(F.length("__mark"), F.lit(12))))
+    anchor = F.when(F.col("__n") == 0, F.array_join(F.slice("__w", 2, words), " ")).otherwise(F.left("__mark", F.col("__n")))
+    marks = marks.select("__c", "__mark", "__n", F.xxhash64("__n", anchor).alias("__h"))
+    docs = texts.select(F.col(key).alias("__t"), F.col(text).alias("__text"))
+    grams = F.when(F.size("__w") >= words + 2, F.transform(F.sequence(F.lit(2), F.size("__w") - words), lambda i: F.xxhash64(F.lit(0), F.array_join(F.slice("__w", i, words), " "))))
+    windows = docs.select("__t", split(F.col("__text")).alias("__w")).select("__t", F.explode(F.array_distinct(grams)).alias("__h"))
+    for (n,) in marks.filter("__n > 0").select("__n").distinct().collect():  # 12 numbers at most
+        chars = F.transform(F.sequence(F.lit(1), F.length("__text") - n + 1), lambda i: F.xxhash64(F.lit(n), F.substr("__text", i, F.lit(n))))  # noqa: B023
+        windows = windows.unionByName(docs.filter(F.length("__text") >= n).select("__t", F.explode(F.array_distinct(chars)).alias("__h")))
+    candidates = windows.join(marks.select("__h", "__c").distinct(), "__h").select(F.col("__t").alias("__kt"), F.col("__c").alias("__kc")).distinct()
+    found = candidates.join(marks.select("__c", "__mark"), F.col("__kc").eqNullSafe(F.col("__c"))).join(docs, F.col("__kt").eqNullSafe(F.col("__t")))
+    return found.filter("instr(__text, __mark) > 0").select(F.col("__t").alias(key), F.col("__c").alias(canary_key))
 
 
 def fingerprint(rule: Column, path: Column, subject: Column) -> Column:

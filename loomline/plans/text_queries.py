@@ -233,6 +233,13 @@ def f2(spark, d):
 register("f2_canaries", f2, "SELECT doc_id, item_id FROM documents d, (SELECT item_id, text[1:60] AS mark FROM benchmark) b WHERE contains(d.text, b.mark)")
 
 
+def f2_whole(spark, d):
+    return fi.canary_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+
+
+register("f2_canaries_whole", f2_whole, "SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)")
+
+
 def f13(spark, d):
     return fi.verdict(f1_rows(spark, d), ["doc_id"])
 

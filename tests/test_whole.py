@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from loomline.operators import structure
+from loomline.operators import findings, structure
 from loomline.plans import registry
 
 
@@ -98,3 +98,12 @@ def test_doubled_word_late_in_a_long_line(spark):
     line = "ab cd " * 50_010 + "and and so"
     rows = structure.lint_prose(spark.createDataFrame([(1, line)], "k long, t string"), "k", "t").collect()
     assert [(r["line_no"], r["rule_id"]) for r in rows] == [(1, "DOUBLED")]
+
+
+def test_canaries_of_any_length_and_number(spark):
+    marks = [(0, "one two three four five six seven"), (1, "x y"), (2, "é"), (3, "wo three four five six sev"), (4, " two  three four\nfive six "), (5, "absent words are not in any text"), (6, ""), (7, None), (8, "a rather short one"), (8, "one"), (None, "six seven")]
+    texts = [(1, "zone two three four five six sevenfold"), (1, "x y"), (2, "pre two  three four\nfive six x"), (3, None), (4, ""), (5, "caf\u00e9 a rather short one x"), (None, "one two three four five six seven")]
+    marks += [(k, f"marker number {k} of so many markers that no limit holds") for k in range(100, 10_200)]
+    texts.append((6, "see marker number 10150 of so many markers that no limit holds."))
+    got = findings.canary_leaks(spark.createDataFrame(texts, "k long, t string"), "k", "t", spark.createDataFrame(marks, "c long, m string"), "c", "m").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((k, c) for k, t in texts for c, m in marks if t and m and m in t), key=str)
