@@ -102,7 +102,7 @@ register("f9_ablation", f9, f"{_SEC}, a AS (SELECT tokens, CASE WHEN contains(he
 
 def f10(spark, d):
     lines = fi.exploded_lines(table(spark, d, "documents"), "doc_id", "text")
-    return lines.groupBy(st.normalise_line(F.col("line")).alias("shape")).agg(F.count("*").alias("n")).filter("n > 3")
+    return lines.groupBy(st.normalise_line(F.col("line")).alias("shape")).agg(F.count("*").alias("n"))
 
 
 register("f10_token_classes", f10)

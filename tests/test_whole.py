@@ -107,3 +107,8 @@ def test_canaries_of_any_length_and_number(spark):
     texts.append((6, "see marker number 10150 of so many markers that no limit holds."))
     got = findings.canary_leaks(spark.createDataFrame(texts, "k long, t string"), "k", "t", spark.createDataFrame(marks, "c long, m string"), "c", "m").collect()
     assert sorted(map(tuple, got), key=str) == sorted(((k, c) for k, t in texts for c, m in marks if t and m and m in t), key=str)
+
+
+def test_rare_line_shapes_are_kept(spark, tmp_path):
+    folder = write(spark, tmp_path / "t", documents=([(1, "return 5\nx = 1"), (2, "return 7")], "doc_id long, text string"))
+    assert {tuple(r) for r in run(spark, "f10_token_classes", folder).collect()} == {("return <LIT>", 2), ("<ID> = <LIT>", 1)}
