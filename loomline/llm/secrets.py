@@ -27,11 +27,18 @@ KINDS = ("assign", "access", "hex", "provider")
 
 
 def entropy(value: Column) -> Column:
-    """Shannon entropy of a short string's characters, in bits a character."""
-    chars = F.split(F.left(value, F.lit(512)), "")
+    """Shannon entropy of a string's characters, in bits a character. Equal characters stand together once sorted, so one fold counts them."""
+    chars = F.split(value, "")
     n = F.size(chars).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return -F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + share(c) * F.log2(share(c)))
+    state = "struct<last:string,run:double,bits:double>"
+    closed = lambda acc: acc["bits"] + F.when(acc["run"] > 0, acc["run"] / n * F.log2(acc["run"] / n)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("bits")).cast(state)
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["last"] == c
+        return F.struct(c.alias("last"), F.when(same, acc["run"] + 1).otherwise(1.0).alias("run"), F.when(same, acc["bits"]).otherwise(closed(acc)).alias("bits")).cast(state)
+
+    return -F.aggregate(F.array_sort(chars), start, step, closed)
 
 
 def candidates(docs: DataFrame, repository: str = "source", owner: Column | None = None) -> DataFrame:

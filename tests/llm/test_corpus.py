@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -267,6 +268,16 @@ def test_media_digests(docs):
     assert len(tensor["rgb"]) == 3 * tensor["height"] * tensor["width"]
 
 
+def test_entropy_reads_whole_values(spark):
+    r = random.Random(5)
+    values = ["a" * 512 + "".join(r.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=1500)), "a" * 2000, "abcdefgh" * 3, "Aé9_", "x"]
+    got = [r["e"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", secrets.entropy(F.col("v")).alias("e")).orderBy("i").collect()]
+    want = [-sum(v.count(c) / len(v) * np.log2(v.count(c) / len(v)) for c in set(v)) for v in values]
+    assert np.allclose(got, want, atol=1e-9) and got[0] > 3 and got[2] >= 3
+    late = secrets.scan_secrets(spark.createDataFrame([(1, f"token = {values[0]}", "r/x")], "doc_id long, text string, source string")).first()
+    assert late["n_live"] == 1
+
+
 # ---- packing
 
 
