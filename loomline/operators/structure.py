@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,19 +182,22 @@ def pack_prefix(docs: DataFrame, by: str, order: str, levels: list[str], budget:
     return rows.filter(keep & F.lit(budget > 0)).select(by, order, "level")
 
 
-def pack_greedy(docs: DataFrame, by: str, budget: int, max_group: int = 200_000) -> DataFrame:
-    """Greedy packing in rank order with skips: cost is tokens + 5, what doesn't fit is skipped. docs: by, rank, tokens. Order-dependent, one pass a group;
-    a group of more than max_group rows is refused, not cut."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_group:
-            raise ValueError(f"a group of {len(pdf)} rows")
-        pdf = pdf.sort_values(["rank"])
-        left, taken = budget, []
-        for tokens in pdf["tokens"].tolist():
-            ok = tokens + 5 <= left
-            left -= (tokens + 5) * ok
-            taken.append(bool(ok))
-        return pdf.assign(packed=taken)
-
-    return docs.select(by, "rank", "tokens").groupBy(by).applyInPandas(pack, f"{by} {docs.schema[by].dataType.simpleString()}, rank long, tokens long, packed boolean")
+def pack_greedy(docs: DataFrame, by: str, budget: int) -> DataFrame:
+    """Greedy packing in order of rank and tokens with skips: cost is tokens + 5, what doesn't fit is skipped. docs: by, rank, tokens. Order-dependent, one pass a group:
+    its rows come sorted in batches, and only what is left of the budget is carried on, so a group may have any size."""
+    rows = docs.select(by, F.col("rank").cast("long").alias("rank"), F.col("tokens").cast("long").alias("tokens"))
+    ordered = rows.repartition(by).sortWithinPartitions(by, F.asc_nulls_last("rank"), "tokens")
+
+    def pack(batches):
+        group, left, first = None, budget, True
+        for batch in batches:
+            taken = []
+            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if first or key != group:
+                    group, left, first = key, budget, False
+                ok = tokens is not None and tokens + 5 <= left
+                left -= (tokens + 5) if ok else 0
+                taken.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], [by, "rank", "tokens", "packed"])
+
+    return ordered.mapInArrow(pack, f"`{by}` {docs.schema[by].dataType.simpleString()}, rank long, tokens long, packed boolean")

@@ -364,7 +364,7 @@ r AS (SELECT grp, a AS root, a AS node FROM e UNION SELECT r.grp, r.root, e.b FR
 
 
 def g9(spark, d):
-    o = table(spark, d, "orders").selectExpr("o_custkey % 30 AS tree", "CASE WHEN o_orderkey % 5 = 0 THEN 'move' WHEN o_orderkey % 17 = 0 THEN 'delete' ELSE 'insert' END AS op", "concat('n', o_orderkey % 60) AS node", "concat('n', o_custkey % 60) AS parent", "o_orderkey AS lamport", "concat('a', o_custkey % 3) AS agent")
+    o = table(spark, d, "orders").selectExpr("o_custkey AS tree", "CASE WHEN o_orderkey % 5 = 0 THEN 'move' WHEN o_orderkey % 17 = 0 THEN 'delete' ELSE 'insert' END AS op", "concat('n', o_orderkey % 60) AS node", "concat('n', o_custkey % 60) AS parent", "o_orderkey AS lamport", "concat('a', o_custkey % 3) AS agent")
     return gr.materialise(o, "tree")
 
 

@@ -112,3 +112,21 @@ def test_canaries_of_any_length_and_number(spark):
 def test_rare_line_shapes_are_kept(spark, tmp_path):
     folder = write(spark, tmp_path / "t", documents=([(1, "return 5\nx = 1"), (2, "return 7")], "doc_id long, text string"))
     assert {tuple(r) for r in run(spark, "f10_token_classes", folder).collect()} == {("return <LIT>", 2), ("<ID> = <LIT>", 1)}
+
+
+def test_greedy_pack_of_large_and_null_groups(spark):
+    rows = spark.range(250_000).selectExpr("'big' AS k", "250000 - id AS rank", "id % 50 AS tokens").union(spark.createDataFrame([(None, 1, 5), (None, 2, 900), (None, 3, 7), ("a", 1, None), ("a", 2, 94), ("a", 3, 1)], "k string, rank long, tokens long"))
+    got = defaultdict(list)
+    for r in structure.pack_greedy(rows, "k", 100).filter("packed").collect():
+        got[r["k"]].append(r["rank"])
+    left, want = 100, []
+    for rank in range(1, 250_001):
+        if (cost := (250_000 - rank) % 50 + 5) <= left:
+            left -= cost
+            want.append(rank)
+    assert {k: sorted(v) for k, v in got.items()} == {"big": want, None: [1, 3], "a": [2]}
+
+
+def test_each_customer_has_its_tree(spark, tmp_path):
+    folder = write(spark, tmp_path / "t", orders=([(k, k % 64 + 1) for k in range(1, 400)], "o_orderkey long, o_custkey long"))
+    assert {r["tree"] for r in run(spark, "g9_tree", folder).collect()} == set(range(1, 65))
