@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +38,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: the lineage ends there, and any executor can read it."""
     at = f"{shared_dir(df.sparkSession)}/loomline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.settled_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again: what was made of them is settled itself."""
+    for table in tables:
+        spark, at = table.sparkSession, table.settled_at
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
@@ -42,6 +56,39 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def one_text_each(base: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows whose doc_id has one text, or the one with the smallest hash; the other rows, if there are any). base: doc_id, text and more."""
+    h = F.xxhash64("text")
+    several = base.filter("doc_id is not null").select("doc_id", h.alias("h")).groupBy("doc_id").agg(F.min("h").alias("__h"), F.max("h").alias("top")).filter("__h <> top").select("doc_id", "__h")
+    several = settle(several, "shared-ids")
+    if several.isEmpty():
+        return base, []
+    marked = base.join(several, "doc_id", "left").withColumn("__aside", F.coalesce(h != F.col("__h"), F.lit(False)))
+    split = lambda c: marked.filter(c).select(*base.columns)
+    return split(~F.col("__aside")), [split("__aside")]
+
+
+#: Tasks work on stretches of so many bytes of text at a time, so their memory does not depend on Arrow's batches.
+BLOCK = 1 << 18
+
+
+def slices(batch: pa.RecordBatch, block: int = BLOCK, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A record batch in parts of about `block` bytes of text, one row at least. Nothing is copied."""
+    if not batch.num_rows:
+        return
+    size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + block, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """The texts as UTF-8 bytes; null is empty."""
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
 def sha_hex(col: Column) -> Column:
     """Lower-case hex SHA-256 of a string's UTF-8 bytes."""
     return F.sha2(col.cast("binary"), 256)
@@ -50,7 +97,7 @@ def sha_hex(col: Column) -> Column:
 class WordHashes(dict):
     """word (bytes or str) -> 64-bit hash, remembered; forgets everything beyond a bound, so memory stays bounded."""
 
-    def __init__(self, bound: int = 400_000, seed: int = 0):
+    def __init__(self, bound: int = 100_000, seed: int = 0):
         super().__init__()
         self.bound, self.seed = bound, seed
 
@@ -63,6 +110,12 @@ class WordHashes(dict):
     def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, one after another, and where each text's begin (one more than there are texts)."""
+        split = [t.split() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), U64, offsets[-1]), offsets
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""

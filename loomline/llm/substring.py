@@ -1,11 +1,15 @@
 """Exact substring deduplication over words (operator 2).
 
-Rabin-Karp hashes of every window of `width` words; a window whose words also start earlier in the corpus (smaller
+Rabin-Karp hashes of every window of `width` words are counted in Spark; a window whose words also start earlier in the corpus (smaller
 doc_id, or the same document further left) is repeated, and every word it covers goes. Overlapping repeated windows
 merge into maximal removal intervals. Windows are judged on the input.
 
-Edge cases: null or short texts have no window and keep every word. Rows that repeat a doc_id are one document: they
-do not repeat one another. Rows with a null doc_id are left whole and match nothing.
+Windows whose anchor occurs once (see windows.py) cannot repeat and are not counted. Windows of equal stretches are counted once,
+with the number of stretches as their weight.
+
+Edge cases: null or short texts have no window and keep every word. Rows that repeat a doc_id and its text are one document: they
+do not repeat one another. Of rows that share a doc_id but not a text, the text with the smallest hash is the document; the others
+are left whole and match nothing, like rows with a null doc_id.
 """
 
 from __future__ import annotations
@@ -18,43 +22,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import WordHashes, id_and_text, mix, rolling, settle
+from .common import WordHashes, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
 from .idfilter import KeyFilter
-from .windows import BASE_1, BASE_2, by_document, cover, intervals, is_first, judged_runs, run_table
+from .windows import BASE_1, BASE_2, by_document, cover, flat_items, repeated_runs, run_table, spread
 
 
 def word_tokens():
-    hashes = WordHashes()
-    return lambda text: hashes.of(text.encode("utf-8", "surrogatepass").split())
+    return WordHashes().of_texts
 
 
 def removal_intervals(docs: DataFrame, width: int = 20, gram: int = 6) -> DataFrame:
-    """doc_id and items: array of (lo, hi), word places that repeated windows cover; docs: doc_id and text."""
-    judged = judged_runs(run_table(docs, word_tokens, width, gram, "word-runs"), "word-runs")
-    later = judged.filter(~is_first()).select("doc_id", "lo", (F.col("lo") + F.col("n") + (width - 1)).alias("hi"))
-    open_runs = by_document(judged.filter(is_first() & (F.col("kinds") > 1)).select("doc_id", "lo", "n").distinct(), "lo", "n")
+    """Settled: doc_id and items: array of (lo, hi), word places that repeated windows cover; docs: doc_id and text."""
+    some, stretches = repeated_runs(run_table(docs, word_tokens, lambda v: v, width, gram, width, "word-runs"), "word-runs")
+    places = settle(by_document(stretches.select(F.col("first.doc_id").alias("doc_id"), F.col("first.lo").alias("lo"), "n", "copies"), "lo", "n", "copies"), "word-places")
 
     def windows(batches):
-        tokens = word_tokens()
+        tokens_of = word_tokens()
         for batch in batches:
-            parts = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                values, flat = tokens(text), batch.column("items")[i].values
+            for part in slices(batch):
+                values, offsets = tokens_of(raw_texts(part))
+                if len(values) < width:
+                    continue
                 one, two = mix(rolling(values, width, BASE_1)), mix(rolling(values, width, BASE_2))
-                lo, n = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
-                at = np.unique(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                parts.append((np.full(len(at), batch.column("doc_id")[i].as_py()), at, one[at], two[at]))
-            if parts:
-                doc, at, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "at", "h1", "h2"])
-
-    open_runs = settle(open_runs, "word-open")
-    texts = KeyFilter(open_runs, "doc_id").split(docs, "doc_id")[0].join(open_runs.hint("shuffle_hash"), "doc_id")
-    hashed = settle(texts.select("doc_id", "text", "items").mapInArrow(windows, "doc_id long, at long, h1 long, h2 long"), "word-windows")
-    counted = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1")
+                row, flat = flat_items(part.column("items"))
+                lo, n, copies = (flat.field(c).to_numpy() for c in ("lo", "n", "copies"))
+                at = spread(offsets[row] + lo, n)
+                each = np.repeat(np.arange(len(n)), n)
+                doc = part.column("doc_id").to_numpy()[row]
+                columns = (doc[each], at - offsets[row][each], copies[each], one[at].view(np.int64), two[at].view(np.int64))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "at", "copies", "h1", "h2"])
+
+    texts = KeyFilter(places, "doc_id").split(docs, "doc_id")[0].join(places.hint("shuffle_hash"), "doc_id")
+    hashed = settle(texts.select("doc_id", "text", "items").mapInArrow(windows, "doc_id long, at long, copies long, h1 long, h2 long"), "word-windows")
+    first = F.min(F.struct("doc_id", "at")).alias("first")
+    counted = hashed.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").alias("left"), F.max("at").alias("right"), first).filter("n > 1")
+    # a window at one place alone stays there; its copies go with the other runs of its stretch
+    counted = counted.filter("low < high or left < right").select("h1", "h2", "first")
     again = hashed.join(counted, ["h1", "h2"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
     again = again.select("doc_id", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
-    return by_document(later.unionByName(again), "lo", "hi")
+    # the windows of a later run of a stretch have been counted with the first one's, so none of them is the earliest
+    later = some.join(stretches.filter("copies > 1").select("anchor", "stretch", "first"), ["anchor", "stretch"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("lo") == F.col("first.lo"))))
+    later = later.select("doc_id", "lo", (F.col("lo") + F.col("n") + (width - 1)).alias("hi"))
+    found = settle(by_document(later.unionByName(again), "lo", "hi"), "word-removals")
+    forget(some, stretches, places, hashed)
+    return found
 
 
 def strip_text(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -69,23 +80,27 @@ def remove_substrings(docs: DataFrame, width: int = 20, carry: bool = False) ->
     own = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc")] if carry else []
     more = ["doc"] if carry else []
     base = id_and_text(docs, *own)
-    gone_from = settle(removal_intervals(base.select("doc_id", "text"), width), "word-removals")
-    some, whole = KeyFilter(gone_from, "doc_id").split(base, "doc_id")  # only texts that may lose words are shuffled
+    known, aside = one_text_each(base)
+    gone_from = removal_intervals(known.select("doc_id", "text"), width)
+    some, whole = KeyFilter(gone_from, "doc_id").split(known, "doc_id")  # only texts that may lose words are shuffled
     kind = "array<struct<lo:bigint,hi:bigint>>"
     marked = some.join(gone_from.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("items").cast(kind).alias("items"), *more)
-    marked = marked.unionByName(whole.withColumn("items", F.lit(None).cast(kind)))
+    for rest in (whole, *aside):
+        marked = marked.unionByName(rest.select("doc_id", "text", *more).withColumn("items", F.lit(None).cast(kind)))
 
     def strip(batches):
         for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                words = text.encode("utf-8", "surrogatepass").split()
-                lo, hi = intervals(batch.column("items")[i])
-                gone = cover(len(words), lo, hi)
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if len(lo) else b" ".join(words)
-                rows.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(batch.column, more), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", *more, "n_words", "n_removed", "kept_sha256", "kept_text"])
+            for part in slices(batch):
+                row, flat = flat_items(part.column("items"))
+                lo, hi, bounds = flat.field("lo").to_numpy(), flat.field("hi").to_numpy(), np.searchsorted(row, np.arange(part.num_rows + 1))
+                rows = []
+                for i, text in enumerate(raw_texts(part)):
+                    words, own = text.split(), slice(bounds[i], bounds[i + 1])
+                    gone = cover(len(words), lo[own], hi[own]) if bounds[i] < bounds[i + 1] else None
+                    kept = b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+                    rows.append((len(words), 0 if gone is None else int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(part.column, more), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", *more, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     out = StructType([marked.schema["doc_id"], *[marked.schema[c] for c in more]])
     for name, kind_of in (("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType()), ("kept_text", StringType())):

@@ -3,8 +3,8 @@
 Every window holds one anchor: the gram with the smallest hash in it (leftmost of equals). Equal windows hold equal
 anchors at equal places, so a window can only repeat if its anchor does. Consecutive windows with one anchor travel as one
 run: (anchor hash, hash of the run's whole stretch, document, place). Runs whose anchor occurs once in the corpus are dropped
-before anything else is compared; runs with equal stretches are settled by counting; only the first run of each
-stretch, where an anchor has several stretches, is compared window by window.
+before anything else is compared. Runs with equal stretches hold equal windows: they are counted first, so that a
+group of copies is one stretch with a weight in all that follows.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, rolling, settle
+from .common import U64, forget, mix, raw_texts, rolling, settle, slices
 from .idfilter import KeyFilter
 
-#: Tokens are handled in stretches of this many, so that places fit the low bits of a sort key.
+#: A text with more tokens is handled in stretches of this many, so that places fit the low bits of a sort key.
 CHUNK = 1 << 20
 _PLACE = U64(0xFFFFFF)
 BASE_1, BASE_2, BASE_3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
@@ -47,61 +47,70 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:-rest], keys[rest:]) if rest else keys
 
 
-def runs(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, stretch hash, first window, number of windows) of each run of windows with one anchor."""
-    out = []
-    for at in range(0, max(0, len(values) - width + 1), CHUNK):
-        own = values[at : at + CHUNK + width - 1]
-        grams = mix(rolling(own, gram, BASE_1))
-        place = np.arange(len(grams), dtype=U64)
-        anchor = (sliding_min((grams & ~_PLACE) | place, width - gram + 1) & _PLACE).astype(np.int64)
-        lo = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        hi = np.concatenate([lo[1:], [len(anchor)]])
-        _grow(len(own) + 1)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(own * _powers[: len(own)], dtype=U64)])
-        stretch = (sums[hi + width - 1] - sums[lo]) * _inverses[lo]
-        owner = anchor[lo]
-        stretch = mix(stretch + (owner - lo).astype(U64) * U64(BASE_2) + (hi - lo).astype(U64) * U64(BASE_1))
-        out.append((grams[owner], stretch, lo + at, hi - lo))
-    if not out:
-        return np.empty(0, U64), np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def run_table(docs: DataFrame, tokens: Callable[[], Callable[[str], np.ndarray]], width: int, gram: int, name: str) -> DataFrame:
-    """Settled runs of all texts: doc_id, lo, n, anchor, stretch. `tokens` makes a function from a text to 64-bit values."""
+def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each interval, one after another."""
+    return np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def runs(values: np.ndarray, offsets: np.ndarray, width: int, gram: int, reach: int, most: int = CHUNK) -> tuple[np.ndarray, ...]:
+    """row, first window, number of windows, how many of them have `reach` tokens left in the row, anchor hash and stretch hash of each run.
+
+    values holds the tokens of all rows, one after another; offsets says where each begins. A stretch goes `reach` tokens from its last window's
+    start, or to the end of its row. At most `most` windows a row.
+    """
+    counts = np.clip(np.diff(offsets) - width + 1, 0, most)
+    row = np.repeat(np.arange(len(counts)), counts)
+    if not len(row):
+        return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.int64, U64, U64))
+    at = spread(offsets[:-1], counts)
+    grams = mix(rolling(values, gram, BASE_1))
+    least = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=U64), width - gram + 1)
+    anchor = (least[at] & _PLACE).astype(np.int64)  # a place, so rows never share one
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    row, lo, owner = row[first], at[first], anchor[first]
+    n = np.diff(np.append(first, len(anchor)))
+    end = np.minimum(lo + n + reach - 1, offsets[row + 1])
+    _grow(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * _powers[: len(values)], dtype=U64)])
+    stretch = (sums[end] - sums[lo]) * _inverses[lo]
+    shape = (owner - lo).astype(U64) * U64(BASE_2) + n.astype(U64) * U64(BASE_1) + (end - lo).astype(U64) * U64(BASE_3)
+    return row, lo - offsets[row], n, np.clip(offsets[row + 1] - lo - reach + 1, 0, n), grams[owner], mix(stretch + shape)
+
+
+def run_table(docs: DataFrame, tokens: Callable, lift: Callable[[np.ndarray], np.ndarray], width: int, gram: int, reach: int, name: str) -> DataFrame:
+    """Settled runs of all texts: doc_id, lo, n, deep, anchor, stretch.
+
+    tokens() makes a function from texts to (tokens one after another, offsets); lift turns tokens into 64-bit values.
+    """
 
     def find(batches):
-        values_of = tokens()
+        tokens_of = tokens()
         for batch in batches:
-            ids, parts = batch.column("doc_id").to_numpy(), []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                anchor, stretch, lo, n = runs(values_of(text), width, gram)
-                if len(lo):
-                    parts.append((np.full(len(lo), ids[i]), lo, n, anchor, stretch))
-            if parts:
-                doc, lo, n, anchor, stretch = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(lo.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64))], ["doc_id", "lo", "n", "anchor", "stretch"])
+            for part in slices(batch):
+                ids = part.column("doc_id").to_numpy()
+                values, offsets = tokens_of(raw_texts(part))
+                blocks = [(0, values, offsets)] if len(values) - width < CHUNK else [(at, own := values[at : at + CHUNK + reach - 1], np.array([0, len(own)])) for at in range(0, len(values) - width + 1, CHUNK)]  # a long text has its part for itself
+                for at, own, places in blocks:
+                    row, lo, n, deep, anchor, stretch = runs(lift(own), places, width, gram, reach)
+                    columns = [pa.array(ids[row]), pa.array(lo + at), pa.array(n.astype(np.int32)), pa.array(deep.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lo", "n", "deep", "anchor", "stretch"])
 
     known = docs.filter("doc_id is not null")
-    return settle(known.mapInArrow(find, "doc_id long, lo long, n int, anchor long, stretch long"), name)
+    return settle(known.mapInArrow(find, "doc_id long, lo long, n int, deep int, anchor long, stretch long"), name)
 
 
-def judged_runs(table: DataFrame, name: str) -> DataFrame:
-    """Runs whose anchor repeats, settled, with: copies (runs of that stretch), first (the earliest of them: doc_id, lo) and kinds (stretches of the anchor).
+def repeated_runs(table: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(runs whose anchor repeats, their stretches), both settled; the table of all runs is deleted.
 
-    Both counts combine before their shuffle, so a hot anchor or stretch arrives as one row a task.
+    A stretch has copies (how many runs are equal to it), n, deep and first (the earliest of the runs: doc_id, lo). Every count combines before its shuffle, so
+    a hot anchor or stretch arrives as one row a task.
     """
-    repeated = settle(table.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), f"{name}-anchors")
-    likely, _ = KeyFilter(repeated, "anchor").split(table, "anchor")
-    some = settle(likely.join(repeated, "anchor", "left_semi"), f"{name}-repeated")
-    stretches = some.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo")).alias("first"))
-    kinds = stretches.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    return settle(some.join(stretches.join(kinds, "anchor"), ["anchor", "stretch"]), f"{name}-judged")
-
-
-def is_first() -> Column:
-    return (F.col("doc_id") == F.col("first.doc_id")) & (F.col("lo") == F.col("first.lo"))
+    anchors = settle(table.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), f"{name}-anchors")
+    likely, _ = KeyFilter(anchors, "anchor").split(table, "anchor")
+    some = settle(likely.join(anchors, "anchor", "left_semi"), f"{name}-repeated")
+    forget(table, anchors)
+    stretches = some.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min("deep").alias("deep"), F.min(F.struct("doc_id", "lo")).alias("first"))
+    return some, settle(stretches, f"{name}-stretches")
 
 
 def by_document(rows: DataFrame, *columns: str) -> DataFrame:
@@ -109,17 +118,15 @@ def by_document(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("items"))
 
 
+def flat_items(items: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """(row of each item, the items) of a list column."""
+    sizes = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes), items.flatten()
+
+
 def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places lie in any [start, end): the union of the intervals, whatever their order."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, np.minimum(starts, n), 1)
     np.add.at(edge, np.minimum(ends, n), -1)
     return np.cumsum(edge[:-1]) > 0
-
-
-def intervals(items) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of an Arrow list value of struct(lo, hi); empty for null."""
-    if not items.is_valid:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    flat = items.values
-    return flat.field("lo").to_numpy(), flat.field("hi").to_numpy()

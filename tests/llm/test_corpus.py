@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from loomline.llm import bpe, graphs, jpeg, near, packing, pii, quality, secrets, substring, suffixes, toxicity  # noqa: E402
+from loomline.llm import bpe, graphs, jpeg, near, packing, pii, quality, secrets, substring, suffixes, toxicity, windows  # noqa: E402
 from loomline.llm.common import rolling  # noqa: E402
 from loomline.llm.idfilter import KeyFilter  # noqa: E402
 
@@ -122,15 +122,44 @@ def test_suffixes_equal_brute_force(docs):
 
 @pytest.mark.parametrize("hot", [0, 20_000])
 def test_hot_groups_are_counted_the_same(spark, hot):
-    rows = {k: prose(30, k) + " " + prose(120, 999) + " " + prose(30, 100 + k) for k in range(14)}
+    rows = {k: prose(30, k) + " " + prose(120, 999) + " " + prose(30, 100 + k) for k in range(14)} | {20: prose(20, 3) + " " + prose(60, 999)[:300]}
     base = frame(spark, rows).selectExpr("doc_id", "text")
-    got = {r["doc_id"]: {(x["lo"], x["hi"]) for x in r["items"]} for r in suffixes.removal_intervals(base, 400, 128, hot).collect()}
-    want = brute.suffixes(rows)
+    got = {r["doc_id"]: [(x["lo"], x["hi"]) for x in r["items"] if x["deep"]] for r in suffixes.removal_intervals(base, 400, 256, 96, hot).collect()}
+    shallow = {r["doc_id"]: r["n_repeated"] for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    want, notice = brute.suffixes(rows), brute.suffixes(rows, 256)
     for k, t in rows.items():
-        n = len(t.encode())
-        lo, hi = zip(*got[k], strict=True)
-        gone = suffixes.cover(n, np.array(lo), np.array(hi))
-        assert gone.sum() == want[k][1]
+        lo, hi = np.array(got.get(k, []), np.int64).reshape(-1, 2).T
+        assert suffixes.cover(len(t.encode()), lo, hi).sum() == want[k][1] and shallow[k] == notice[k][1]
+    assert notice[20][1] > want[20][1] == 0
+
+
+def test_radix_passes_find_equal_suffixes():
+    r = np.random.default_rng(3)
+    data = r.integers(97, 99, 4000).astype(np.uint8)
+    data[2000:2600] = data[:600]
+    starts = np.arange(len(data) - 8)
+    for depths in ((8, 17), (24, 40)):
+        raw = data.tobytes()
+        got = suffixes.radix_equal(np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64), suffixes.digits_of(data), starts, np.full(len(starts), len(data)), depths)
+        for g, d in zip(got, depths, strict=True):
+            seen = {}
+            for s in starts.tolist():
+                if s + d <= len(raw):
+                    seen[raw[s : s + d]] = seen.get(raw[s : s + d], 0) + 1
+            assert g.tolist() == [s + d <= len(raw) and seen[raw[s : s + d]] > 1 for s in starts.tolist()]
+    # a weight above one is a group of its own
+    assert suffixes.radix_equal(np.arange(3), np.array([1, 2, 1]), suffixes.digits_of(data), np.array([5, 9, 70]), np.full(3, 4000), (16,))[0].tolist() == [False, True, False]
+
+
+@pytest.mark.parametrize("chunk", [700, 1 << 20])
+def test_texts_longer_than_a_stretch(spark, chunk, monkeypatch):
+    """A text is handled in stretches: its windows are the same ones."""
+    data = np.frombuffer((prose(900, 5) + " " + prose(900, 5)).encode(), np.uint8)
+    values = suffixes.lift(data)
+    whole = windows.runs(values, np.array([0, len(values)]), 256, 96, 400)
+    parts = [windows.runs(values[at : at + chunk + 399], np.array([0, len(values[at : at + chunk + 399])]), 256, 96, 400, chunk) for at in range(0, len(values) - 255, chunk)]
+    assert sum(p[2].sum() for p in parts) == whole[2].sum() == len(values) - 255
+    assert sum(p[3].sum() for p in parts) == whole[3].sum() == len(values) - 399
 
 
 def test_near_duplicates_equal_brute_force(docs):
