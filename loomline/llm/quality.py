@@ -7,8 +7,8 @@ language's reference is too large is rejected; documents too short for a stable
 judged on it.
 
 Edge cases: null text counts as empty (no words: base_failed). Null lang is a language of its own.
-A language whose reference holds too few words judges nothing. Repeated rows are judged one by one.
-Other columns are ignored, whatever their names.
+A language whose reference holds too few words judges nothing. Rows are judged one by one, whatever their doc_id: a row that repeats a
+doc_id, or has none, stays or goes by its own text. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,116 +19,132 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-from .common import WordHashes, settle
+from .common import U64, WordHashes, forget, id_and_text, mix, raw_texts, settle, slices
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "wide", "symbol")
-SENTENCE = ".,;:!?'\"()-"
+SENTENCE = b".,;:!?'\"()-"
 SYMBOLS = b"#*$%&|<>"
-DROP = str.maketrans("", "", ".,;:!?'\"()")
-SPACE = " \t\n\r\x0b\x0c"
+SPACE = b" \t\n\r\x0b\x0c"
+#: Plain words: ASCII capitals lowered, sentence punctuation deleted.
+LOWER = bytes(range(256)).lower()
+DROP = b".,;:!?'\"()"
 
-_CLASS_OF = np.array(
-    [
-        0 if chr(c).islower() else 1 if chr(c).isupper() else 2 if chr(c).isdigit() else 3 if chr(c) in SPACE else 4 if chr(c) in SENTENCE else 6
-        for c in range(128)
-    ]
-    + [5]
-)
 
+def _class(b: int) -> int:
+    c = chr(b)
+    if b >= 0x80:
+        return 7 if b < 0xC0 else 5  # a character counts by its first byte
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if b in SPACE else 4 if b in SENTENCE else 6
 
-def char_classes(text: str) -> np.ndarray:
-    """Counts of the seven character classes; code points from 128 on are 'wide'."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(_CLASS_OF[np.minimum(points, 128)], minlength=len(CLASSES))
 
+_CLASS_OF = np.array([_class(b) for b in range(256)], np.int64)
+_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 
-def repeated_words(words: list, hashes: WordHashes) -> int:
-    """Words inside 3-word windows that occur twice or more in the text."""
-    if len(words) < 4:
-        return 0
-    h = hashes.of(words)
-    key = h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    if not same.any():
-        return 0
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    cover = np.zeros(len(words), bool)
-    for k in range(3):
-        cover[k : k + len(twice)] |= twice
-    return int(cover.sum())
+
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text's part."""
+    return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+
+
+def repeated_words(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words of each text inside 3-word windows that occur twice or more in it. h: word hashes of all texts."""
+    cover = np.zeros(len(h), bool)
+    if len(h) >= 3:
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        at = np.flatnonzero(text[:-2] == text[2:])
+        key = h[:-2] * U64(0x9E3779B97F4A7C15) + h[1:-1] * U64(0xC2B2AE3D27D4EB4F) + h[2:]
+        key = mix(key[at]) + text[at].astype(U64) * U64(0xD6E8FEB86659FD93)
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        twice = np.zeros(len(at), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        for k in range(3):
+            cover[at[twice] + k] = True
+    return per_text(cover, offsets)
 
 
-def duplicate_lines(text: str) -> int:
+def duplicate_lines(text: bytes) -> int:
     """Lines with a word that equal an earlier line."""
-    if "\n" not in text:
+    if b"\n" not in text:
         return 0
-    lines = [x for x in text.split("\n") if x.strip(SPACE)]
+    lines = [x for x in text.split(b"\n") if x.strip()]
     return len(lines) - len(set(lines))
 
 
-def base_counts(text: str, hashes: WordHashes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    spaces = len(raw) - sum(map(len, words))
-    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return len(words), len(text) - spaces, symbols, duplicate_lines(text), repeated_words(words, hashes)
+def classes_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of the character classes of each text; code points from 128 on are 'wide'."""
+    n = len(offsets) - 1
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    return np.bincount(8 * text + _CLASS_OF[data], minlength=8 * n).reshape(n, 8)[:, : len(CLASSES)]
 
 
-def fails_base(n_words: int, n_repeat: int) -> bool:
-    return n_words < 50 or 100 * n_repeat > 50 * n_words
+class Measured:
+    """What the rules need to know of each of some texts."""
 
+    def __init__(self, texts: list[bytes], hashes: WordHashes):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        places = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        h, offsets = hashes.of_texts(texts)
+        self.data, self.classes = data, classes_of(data, places)
+        self.chars = self.classes.sum(1)
+        self.n_words, self.n_repeat = np.diff(offsets), repeated_words(h, offsets)
+        self.word_chars = self.chars - self.classes[:, CLASSES.index("space")]
+        self.n_symbols = per_text(_SYMBOL[data], places)
+        self.failed = (self.n_words < 50) | (100 * self.n_repeat > 50 * self.n_words)
 
-def plain_words(text: str) -> list[str]:
+
+def plain_words(text: bytes) -> list[bytes]:
     """Lower-case words without sentence punctuation."""
-    return text.lower().translate(DROP).split()
+    return text.translate(LOWER, DROP).split()
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two count vectors, 0 to 1; 0 if either is empty."""
-    if not p.sum() or not q.sum():
-        return 0.0
-    p, q = p / p.sum(), q / q.sum()
+def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of counts to one vector of counts, 0 to 1; 0 where either is empty."""
+    total = p.sum(1, keepdims=True)
+    if not q.sum():
+        return np.zeros(len(p))
+    p, q = p / np.maximum(total, 1), np.broadcast_to(q / q.sum(), p.shape)
     m = (p + q) / 2
-    part = lambda a: float(np.sum(a[a > 0] * np.log2(a[a > 0] / m[a > 0])))
-    return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(1)
+    return np.where(total[:, 0] > 0, np.sqrt(np.maximum(0.0, (part(p) + part(q)) / 2)), 0.0)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-    )
+def _rows(docs: DataFrame, *more) -> DataFrame:
+    return id_and_text(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), *more)
 
 
-def language_references(docs: DataFrame, common: int = 40) -> DataFrame:
+def language_references(docs: DataFrame, common: int = 40, held: int = 50_000) -> DataFrame:
     """One row per language: class counts, the commonest words, their counts, and the count of all words.
 
-    Each task sums its own batch first, so the shuffle carries one row per language, word and batch.
+    Each task sums its own texts first and sends what it has once it holds `held` words, so its memory is bounded and a common word is a few rows a task.
     """
+    names = ["lang", "word", "n", "is_class"]
 
     def partial(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            words: dict[str, Counter] = {}
-            classes: dict[str, np.ndarray] = {}
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                split = text.encode("utf-8", "surrogatepass").split()
-                if fails_base(len(split), repeated_words(split, hashes)):
-                    continue
-                words.setdefault(lang, Counter()).update(plain_words(text))
-                classes[lang] = classes.get(lang, 0) + char_classes(text)
+        hashes, words, classes = WordHashes(), {}, {}
+
+        def sent():
             for lang, counted in words.items():
-                n = len(counted)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(list(counted), pa.string()), pa.array(counted.values(), pa.int64()), pa.array([False] * n)], ["lang", "word", "n", "is_class"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted)), pa.array(counted, pa.binary()).cast(pa.string()), pa.array(counted.values(), pa.int64()), pa.array([False] * len(counted))], names)
             for lang, counts in classes.items():
-                n = len(CLASSES)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(CLASSES), pa.array(counts, pa.int64()), pa.array([True] * n)], ["lang", "word", "n", "is_class"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(CLASSES)), pa.array(CLASSES), pa.array(counts, pa.int64()), pa.array([True] * len(CLASSES))], names)
+            words.clear(), classes.clear()
+
+        for batch in batches:
+            for part in slices(batch):
+                texts, langs = raw_texts(part), part.column("lang").to_pylist()
+                m = Measured(texts, hashes)
+                good = np.flatnonzero(~m.failed).tolist()
+                for lang in dict.fromkeys(langs[i] for i in good):
+                    own = [i for i in good if langs[i] == lang]
+                    words.setdefault(lang, Counter()).update(plain_words(b" ".join([texts[i] for i in own])))
+                    classes[lang] = classes.get(lang, 0) + m.classes[own].sum(0)
+                if sum(map(len, words.values())) > held:
+                    yield from sent()
+        yield from sent()
 
     counted = _rows(docs).mapInArrow(partial, "lang string, word string, n long, is_class boolean").groupBy("lang", "is_class", "word").agg(F.sum("n").alias("n"))
     counted = settle(counted, "language-words")
@@ -137,7 +153,7 @@ def language_references(docs: DataFrame, common: int = 40) -> DataFrame:
     totals = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
     first = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= common)
     first = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word"))).alias("top"))
-    return (
+    found = settle(
         classes.join(totals, "lang")
         .join(first, "lang")
         .select(
@@ -146,8 +162,14 @@ def language_references(docs: DataFrame, common: int = 40) -> DataFrame:
             F.col("top.word").alias("ref_words"),
             F.transform("top", lambda x: -x["minus"]).alias("ref_counts"),
             F.col("n_words").alias("ref_total"),
-        )
+        ),
+        "language-references",
     )
+    forget(counted)
+    return found
+
+
+VERDICT = {"n_words": LongType(), "word_chars": LongType(), "n_symbols": LongType(), "n_dup_lines": LongType(), "n_repeat_words": LongType(), "base_failed": BooleanType(), "class_distance": DoubleType(), "word_distance": DoubleType(), "kept": BooleanType()}
 
 
 def quality_verdicts(
@@ -159,62 +181,68 @@ def quality_verdicts(
     min_chars: int = 200,
     min_words: int = 100,
     min_reference_words: int = 5_000,
-    broadcast_languages: int = 4_096,
+    shared_languages: int = 4_096,
+    carry: bool = False,
 ) -> DataFrame:
-    """doc_id, the base counts, base_failed, both distances (null where not judged) and kept.
+    """doc_id, the base counts, base_failed, both distances (null where not judged) and kept; if wanted, doc: a struct of the row's columns but text, and text.
 
     The word limit is word_limit + word_noise / sqrt(n): short texts stray further by chance.
-    The references are broadcast only if there are at most broadcast_languages of them.
+    Up to shared_languages references (a hundred numbers each) go to the tasks as one table; beyond that they are joined to the rows.
     """
-    references = settle(references if references is not None else language_references(docs), "language-references")
-    small = references.count() <= broadcast_languages
-    joined = _rows(docs).join(F.broadcast(references) if small else references, "lang", "left")
+    references = references if references is not None else language_references(docs)
+    columns = ("ref_classes", "ref_words", "ref_counts", "ref_total")
+    few = references.limit(shared_languages + 1).collect()
+    more = ["doc", "text"] if carry else []
+    rows = _rows(docs, *([F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc")] if carry else []))
+    if len(few) <= shared_languages:
+        table = {r["lang"]: tuple(r[c] for c in columns) for r in few}
+    else:
+        table, rows = None, rows.join(references, "lang", "left")
+
+    def reference(total, classes, words, counts):
+        if not total or total < min_reference_words:
+            return None
+        return np.array(classes, float), {w.encode(): k for k, w in enumerate(words)}, np.array([*counts, total - sum(counts)], float)
 
     def judge(batches):
         hashes = WordHashes()
+        shared = {lang: reference(total, classes, words, counts) for lang, (classes, words, counts, total) in (table or {}).items()}
         for batch in batches:
-            known: dict[str, tuple | None] = {}
-            langs, total = batch.column("lang").to_pylist(), batch.column("ref_total")
-            out = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                lang = langs[i]
-                if lang not in known:
-                    n_ref = total[i].as_py()
-                    top = batch.column("ref_words")[i].as_py() or []
-                    counts = batch.column("ref_counts")[i].as_py() or []
-                    known[lang] = (
-                        None
-                        if not n_ref or n_ref < min_reference_words
-                        else (np.array(batch.column("ref_classes")[i].as_py(), float), {w: k for k, w in enumerate(top)}, np.array([*counts, n_ref - sum(counts)], float))
-                    )
-                n, chars, symbols, lines, repeats = base_counts(text, hashes)
-                failed, by_class, by_word, kept = fails_base(n, repeats), None, None, True
-                if known[lang] is not None and not failed:
+            for part in slices(batch):
+                texts, langs = raw_texts(part), part.column("lang").to_pylist()
+                known, m = dict(shared), Measured(texts, hashes)
+                by_class, by_word, kept = np.full(len(texts), np.nan), np.full(len(texts), np.nan), ~m.failed
+                for lang in dict.fromkeys(langs):
+                    own = np.flatnonzero(np.array([x == lang for x in langs]) & ~m.failed)
+                    if table is None:
+                        i = langs.index(lang)
+                        known[lang] = reference(*(part.column(c)[i].as_py() for c in ("ref_total", "ref_classes", "ref_words", "ref_counts")))
+                    if not len(own) or known.get(lang) is None:
+                        continue
                     classes, place, common = known[lang]
-                    if len(text) >= min_chars:
-                        by_class = js_distance(char_classes(text).astype(float), classes)
-                        kept = by_class <= class_limit
-                    if n >= min_words:
-                        own = np.zeros(len(common))
-                        words = plain_words(text)
-                        for w in words:
-                            if (k := place.get(w)) is not None:
-                                own[k] += 1
-                        own[-1] = len(words) - own.sum()
-                        by_word = js_distance(own, common)
-                        kept = kept and by_word <= word_limit + word_noise / n**0.5
-                out.append((n, chars, symbols, lines, repeats, failed, by_class, by_word, kept and not failed))
-            columns = list(zip(*out, strict=True)) or [()] * 9
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=NAMES)
-
-    return joined.mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
-
-
-NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
+                    far = own[m.chars[own] >= min_chars]
+                    by_class[far] = js_distances(m.classes[far], classes)
+                    kept[far] &= by_class[far] <= class_limit
+                    far = own[m.n_words[own] >= min_words]
+                    counts = np.zeros((len(far), len(common)))
+                    for row, i in zip(counts, far.tolist(), strict=True):
+                        found = Counter(map(place.get, plain_words(texts[i])))
+                        row[-1] = found.pop(None, 0)
+                        row[list(found)] = list(found.values())
+                    by_word[far] = js_distances(counts, common)
+                    kept[far] &= by_word[far] <= word_limit + word_noise / np.sqrt(m.n_words[far])
+                lines = pa.array(list(map(duplicate_lines, texts)), pa.int64())
+                judged = [pa.array(x, mask=np.isnan(x)) for x in (by_class, by_word)]
+                made = [pa.array(m.n_words), pa.array(m.word_chars), pa.array(m.n_symbols), lines, pa.array(m.n_repeat), pa.array(m.failed), *judged, pa.array(kept)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(part.column, more), *made], names=["doc_id", *more, *VERDICT])
+
+    schema = StructType([rows.schema[c] for c in ("doc_id", *more)])
+    for name, kind in VERDICT.items():
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(judge, schema)
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that pass, with all their columns. A document goes only if its own row is rejected."""
-    bad = quality_verdicts(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """The rows that pass, with all their columns: each row by its own text."""
+    good = quality_verdicts(docs, carry=True, **limits).filter("kept")
+    return good.select(*[(F.col("text") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

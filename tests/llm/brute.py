@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -60,6 +61,43 @@ def quality(text: str | None) -> tuple:
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover), n < 50 or 100 * len(cover) > 50 * n
 
 
+def js(p: list[float], q: list[float]) -> float:
+    a, b = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    return math.sqrt(max(0.0, sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x) / 2 + sum(y * math.log2(2 * y / (x + y)) for x, y in zip(a, b, strict=True) if y) / 2))
+
+
+def verdicts(rows: dict[int, tuple[str | None, str]]) -> dict[int, tuple]:
+    """Distances and verdicts of (text, language) rows."""
+
+    def histogram(t: str) -> list[int]:
+        kind = lambda c: 5 if ord(c) > 127 else 3 if c in " \t\n\r\x0b\x0c" else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 4 if c in ".,;:!?'\"()-" else 6
+        n = Counter(map(kind, t))
+        return [n[k] for k in range(7)]
+
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t if c not in ".,;:!?'\"()")
+    words = lambda t: SPACE.findall(lower(t))
+    good = {k: (t, lang) for k, (t, lang) in rows.items() if not quality(t)[5]}
+    reference = {}
+    for lang in {lang for _, lang in good.values()}:
+        own = [t for t, x in good.values() if x == lang]
+        n = Counter(w for t in own for w in words(t))
+        top = sorted(n, key=lambda w: (-n[w], w))[:40]
+        if n.total() >= 5000:
+            reference[lang] = ([sum(x) for x in zip(*map(histogram, own), strict=True)], top, [*[n[w] for w in top], n.total() - sum(n[w] for w in top)])
+    out = {}
+    for k, (t, lang) in rows.items():
+        by_class = by_word = None
+        if k in good and lang in reference:
+            classes, top, common = reference[lang]
+            by_class = js(histogram(t), classes) if len(t) >= 200 else None
+            if quality(t)[0] >= 100:
+                n = Counter(words(t))
+                by_word = js([*[n[w] for w in top], n.total() - sum(n[w] for w in top)], common)
+        kept = k in good and (by_class is None or by_class <= 0.30) and (by_word is None or by_word <= 0.36 + 0.6 / quality(t)[0] ** 0.5)
+        out[k] = (by_class, by_word, kept)
+    return out
+
+
 def substring(texts: dict[int, str | None], width: int = 20) -> dict[int, tuple]:
     words = {k: SPACE.findall(t or "") for k, t in texts.items()}
     first: dict = {}

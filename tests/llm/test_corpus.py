@@ -106,7 +106,29 @@ def test_quality_counts_and_verdicts(spark, docs):
     rows |= {100: " ".join(w.upper() + "!!" for w in zipf(300).split()), 101: " ".join(w + "###" for w in zipf(300).split())}
     kept = by_id(quality.quality_verdicts(frame(spark, {k: t for k, t in rows.items()}).drop("lang").selectExpr("*", "'en' AS lang")), "kept")
     assert not kept[100][0] and not kept[101][0] and all(kept[k][0] for k in range(60))
-    assert quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1.0
+    assert quality.js_distances(np.array([[1.0, 0], [0, 3.0], [0, 0]]), np.array([0, 2.0])).tolist() == [1.0, 0.0, 0.0]
+    few = by_id(quality.quality_verdicts(frame(spark, rows).selectExpr("* except (lang)", "'en' AS lang"), shared_languages=0), "kept")  # references joined to the rows
+    assert few == kept
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Both distances and the verdict of every row, by plain counting."""
+    r = random.Random(4)
+    zipf = lambda n: " ".join(r.choices(WORDS, [1 / (i + 1) for i in range(len(WORDS))], k=n))
+    rows = {k: zipf(r.randint(60, 400)) for k in range(80)} | {90: prose(300, 9).upper(), 91: "#$% " * 120 + zipf(150), 92: zipf(40), 93: None, 94: " ".join(f"{w}9" for w in zipf(250).split())}
+    df = spark.createDataFrame([(k, t, "xx" if k % 2 else "yy") for k, t in rows.items()], "doc_id long, text string, lang string")
+    near_enough = lambda found: {k: tuple(x if x is None else round(x, 9) for x in v) for k, v in found.items()}
+    assert near_enough(by_id(quality.quality_verdicts(df), "class_distance", "word_distance", "kept")) == near_enough(brute.verdicts({k: (t, "xx" if k % 2 else "yy") for k, t in rows.items()}))
+
+
+def test_rows_stay_or_go_by_their_own_text(spark):
+    r = random.Random(3)
+    good = [" ".join(r.choices(WORDS, [1 / (i + 1) for i in range(len(WORDS))], k=200)) for _ in range(30)]
+    rows = [(1, good[0]), (1, "too short"), (None, good[1]), (None, "too short"), (None, None), (2, good[2]), (2, good[2])] + [(10 + i, t) for i, t in enumerate(good)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "3 AS kept", "'q' AS doc")
+    got = quality.keep_good(df)
+    assert got.columns == df.columns
+    assert sorted((x["doc_id"] or -1, x["text"]) for x in got.collect()) == sorted((k or -1, t) for k, t in rows if t and t != "too short")
 
 
 def test_substring_equals_brute_force(spark, docs):
