@@ -9,8 +9,8 @@ entry first compares its documents with one pivot, over a few rounds with other
 still in different components, so a group of copies never becomes all its pairs and no link between components is lost.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing. Texts with fewer words than a
-shingle have one token, the whole sequence. Rows that repeat a doc_id are one document (their texts should agree). A null
-doc_id stays null unless another document has the same set.
+shingle have one token, the whole sequence. Rows that repeat a doc_id and its text are one document. Of rows that share a doc_id but not a
+text, the text with the smallest hash is the document; the others are linked with nothing. A null doc_id stays null unless another document has the same set.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, id_and_text, mix, rolling, settle
+from .common import U64, WordHashes, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
 from .graphs import components
 from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2
@@ -31,13 +31,14 @@ BITMAP = tuple(f"b{i}" for i in range(8))
 TRAITS = ("n", "own", *BITMAP)
 
 
-def shingle_set(text: str, hashes: WordHashes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; A-Z count as a-z."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, U64)
-    own = min(width, len(words))
-    return np.unique(mix(rolling(hashes.of(words), own, BASE_1) + U64(own)))
+def shingle_sets(texts: list[bytes], hashes: WordHashes, width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text; A-Z count as a-z."""
+    words, offsets = hashes.of_texts([t.lower() for t in texts])
+    every, out = mix(rolling(words, width, BASE_1) + U64(width)), []
+    for at, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = min(width, end - at)
+        out.append(np.unique(every[at : end - width + 1] if own == width else mix(rolling(words[at:end], own, BASE_1) + U64(own))) if own else words[:0])
+    return out
 
 
 def pack_places(places: np.ndarray) -> bytes:
@@ -66,24 +67,32 @@ class Frequencies:
         return (self.repeated[at >> 3] >> (7 - (at & 7)) & 1).astype(bool), self.counts[at >> (self.bits - self.coarse)]
 
 
-def frequencies(texts: DataFrame, width: int, bits: int, coarse: int, block: int = 19) -> Frequencies:
-    """One pass over all documents. Each batch sends its shingles' bucket places (about a byte each) and its coarse counts by block;
+def frequencies(texts: DataFrame, width: int, bits: int, coarse: int, block: int = 19, at_once: int = 1 << 21) -> Frequencies:
+    """One pass over all documents. Tasks send the bucket places of `at_once` shingles together (about a byte each) and their coarse counts, by block;
     Spark merges the blocks; the driver gets 2^bits / 8 + 4 * 2^coarse bytes whatever the input."""
     blocks = 1 << (bits - block)
 
     def count(batches):
-        hashes, total = WordHashes(), np.zeros(1 << coarse, np.uint32)
-        for batch in batches:
-            sets = [shingle_set(t, hashes, width) for t in batch.column("text").to_pylist()]
-            if not sets:
-                continue
-            at = np.sort((np.concatenate(sets) >> U64(64 - bits)).astype(np.int64))
-            total += np.bincount(at >> (bits - coarse), minlength=1 << coarse).astype(np.uint32)
+        hashes, total, held, n = WordHashes(), np.zeros(1 << coarse, np.uint32), [], 0
+
+        def sent():
+            at = np.sort((np.concatenate(held) >> U64(64 - bits)).astype(np.int64))
+            np.add.at(total, at >> (bits - coarse), np.uint32(1))
             if len(at) > 2:  # two of a kind say as much as more
                 at = at[np.concatenate([[True, True], at[2:] != at[:-2]])]
             cuts = np.searchsorted(at, np.arange(blocks + 1) << block)
             some = [k for k in range(blocks) if cuts[k] < cuts[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([False] * len(some)), pa.array([pack_places(at[cuts[k] : cuts[k + 1]] - (k << block)) for k in some], pa.binary())], ["block", "is_count", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([False] * len(some)), pa.array([pack_places(at[cuts[k] : cuts[k + 1]] - (k << block)) for k in some], pa.binary())], ["block", "is_count", "data"])
+
+        for batch in batches:
+            for part in slices(batch):
+                own = shingle_sets(raw_texts(part), hashes, width)
+                held, n = held + own, n + sum(map(len, own))
+                if n >= at_once:
+                    yield sent()
+                    held, n = [], 0
+        if held:
+            yield sent()
         parts = np.split(total, blocks)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([True] * blocks), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "is_count", "data"])
 
@@ -182,23 +191,22 @@ def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, coarse:
 
     def run(batches):
         hashes, known = WordHashes(), shared.value
-        for batch in batches:
-            n, own, k1, k2, entries, short, bitmaps = [], [], [], [], [], [], [np.empty((0, 8), np.int64)]
-            for text in batch.column("text").to_pylist():
-                tokens = shingle_set(text, hashes, width)
+        for part in (part for batch in batches for part in slices(batch)):
+            n, own, k1, k2, entries, short, bitmaps = [], [], [], [], [], [], []
+            for tokens in shingle_sets(raw_texts(part), hashes, width):
                 key = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 n.append(len(tokens))
                 k1.append((key >> 64) - (1 << 63))
                 k2.append((key & (1 << 64) - 1) - (1 << 63))
                 repeated, counts = known.of(tokens)
                 own.append(int(len(tokens) - repeated.sum()))
-                bitmaps.append(parity_bitmap(tokens)[None])
+                bitmaps.append(parity_bitmap(tokens))
                 every = signatures(tokens, repeated, counts, limit, percent)
-                entries.append(pa.array(every.view(np.int64)))
-                short.append(pa.array(np.isin(every, signatures(tokens, repeated, counts, limit, percent, needed_below(len(tokens), percent)))))
-            offsets = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
-            flat, marks = (pa.concat_arrays(entries), pa.concat_arrays(short)) if entries else (pa.array([], pa.int64()), pa.array([], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *map(pa.array, np.concatenate(bitmaps).T.copy()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.ListArray.from_arrays(pa.array(offsets), marks)], ["doc_id", "n", "own", "k1", "k2", *BITMAP, "entries", "short"])
+                entries.append(every)
+                short.append(np.isin(every, signatures(tokens, repeated, counts, limit, percent, needed_below(len(tokens), percent))) if len(every) else np.empty(0, bool))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.concatenate(entries).view(np.int64), np.concatenate(short))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, own, k1, k2)], *map(pa.array, np.stack(bitmaps, 1)), *lists], ["doc_id", "n", "own", "k1", "k2", *BITMAP, "entries", "short"])
 
     bits_of = ", ".join(f"{b} long" for b in BITMAP)
     return settle(texts.mapInArrow(run, f"doc_id long, n long, own long, k1 long, k2 long, {bits_of}, entries array<long>, short array<boolean>"), "near-prefixes")
@@ -209,14 +217,13 @@ def set_table(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         hashes, seen = WordHashes(), set()  # rows that repeat a doc_id are in one partition
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            fresh = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
-            batch = batch.take(pa.array(fresh, pa.int64()))
-            sets = [pa.array(shingle_set(t, hashes, width).view(np.int64)) for t in batch.column("text").to_pylist()]
+        for part in (part for batch in batches for part in slices(batch)):
+            fresh = [i for i, x in enumerate(part.column("doc_id").to_pylist()) if not (x in seen or seen.add(x))]
+            part = part.take(pa.array(fresh, pa.int64()))
+            sets = shingle_sets(raw_texts(part), hashes, width)
             offsets = np.concatenate([[0], np.cumsum([len(e) for e in sets])]).astype(np.int32)
-            flat = pa.concat_arrays(sets) if sets else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "tokens"])
+            flat = np.concatenate([np.empty(0, U64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "tokens"])
 
     own = KeyFilter(wanted, "doc_id").split(texts, "doc_id")[0].join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
     return settle(own.mapInArrow(run, "doc_id long, tokens array<long>"), "near-sets")
@@ -239,9 +246,17 @@ def may_link(percent: int) -> Column:
     return ((100 + percent) * share >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 27, count_bits: int = 20, frequent: int = 64, rounds: int = 3) -> DataFrame:
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80, **options) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a row of docs."""
-    texts = id_and_text(docs)
+    known, aside = one_text_each(id_and_text(docs))
+    found = linked(known, width, percent, **options)
+    for rest in aside:
+        found = found.unionByName(set_sizes(rest, width))
+    return found
+
+
+def linked(texts: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 27, count_bits: int = 20, frequent: int = 64, rounds: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id of texts whose doc_ids have one text each."""
     table = prefix_table(texts, width, percent, sketch_bits, count_bits, frequent)
     classes = table.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = settle(table.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "near-members")
@@ -251,10 +266,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_b
     index = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti")).select("doc_id", F.explode(F.arrays_zip("entries", "short")).alias("e")).select("doc_id", F.col("e.entries").alias("entry"), F.col("e.short").alias("short"))
     index = index.repartition("entry")  # one exchange serves the count and the join
     shared = index.groupBy("entry").agg(F.count("*").alias("c")).filter("c > 1").select("entry")
-    index = settle(index.join(shared, "entry", "left_semi"), "near-index")
+    bare = settle(index.join(shared, "entry", "left_semi"), "near-index")
     traits = table.filter("n > 0 and doc_id is not null").select("doc_id", *TRAITS).dropDuplicates(["doc_id"])
-    index = settle(index.join(traits, "doc_id"), "near-traits")
-    sets = set_table(texts, settle(index.select("doc_id").distinct(), "near-active"), width)
+    index = settle(bare.join(traits, "doc_id"), "near-traits")
+    forget(table, others, bare)
+    active = settle(index.select("doc_id").distinct(), "near-active")
+    sets = set_table(texts, active, width)
+    done: list[DataFrame] = []  # settled pairs of all rounds
     root: DataFrame | None = None  # doc_id, root of the documents linked so far
     tested: DataFrame | None = None
 
@@ -293,17 +311,42 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_b
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs, "near-pairs")
+        done.append(pairs)
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        root = merge(verified(pairs, sets, percent, "near-links")) or root
-    if root is None:
-        return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
-    return members.join(root.select(F.col("doc_id").alias("rep"), "root"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+        links = verified(pairs, sets, percent, "near-links")
+        root = merge(links) or root
+        forget(links)
+    forget(index, sets, active, *done)
+    found = members.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
+    if root is not None:
+        found = members.join(root.select(F.col("doc_id").alias("rep"), "root"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    return found
+
+
+def set_sizes(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of rows that are linked with nothing."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for part in (part for batch in batches for part in slices(batch)):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in shingle_sets(raw_texts(part), hashes, width)], pa.int64()), part.column("doc_id")], ["doc_id", "n_shingles", "component_id"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, and those without one, with all their columns."""
-    found = near_components(docs, **options)
-    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct()
-    return docs.join(others, docs["doc_id"].cast("long") == others["__other"], "left_anti")
+    """The documents that are the smallest doc_id of their component, and those without one, with all their columns.
+
+    Rows that repeat a doc_id and its text stay or go together; other texts of a shared doc_id, and rows without a doc_id, stay.
+    """
+    rest = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")]
+    known, aside = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest))
+    found = linked(known.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), **options)
+    others = settle(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-others")
+    maybe, kept = KeyFilter(others, "doc_id").split(known, "doc_id")  # only documents that may go are shuffled
+    kept = kept.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*kept.columns))
+    for more in aside:
+        kept = kept.unionByName(more)
+    return kept.select(*[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

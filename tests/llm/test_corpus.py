@@ -235,8 +235,25 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == [(-1, 0), (-1, 0), (1, 0), (1, 0), (3, 130)]
     assert suffixes.remove_repeats(df).count() == 5 and near.near_components(df).count() == 5
     assert pii.pii_spans(df).count() == 5 and packing.pack_documents(df, RANKS, P.PATTERN).count() == 5
-    for op in (quality.keep_good, near.keep_one, substring.strip_text, pii.redact):
-        op(df).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in near.keep_one(df).collect()) == sorted([(-1, base), (-1, "x"), (1, base), (1, base)])
+    for op in (quality.keep_good, substring.strip_text, pii.redact):
+        assert op(df).count() <= 5
+
+
+def test_one_doc_id_with_several_texts(spark):
+    """One of the texts is the document; the others match nothing and stay whole."""
+    base, other = prose(130, 8), prose(300, 9)
+    df = spark.createDataFrame([(1, base), (1, other), (2, base), (3, other), (1, base)], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "5 AS row", "6 AS h")
+    first = df.select("text", F.xxhash64("text").alias("x")).filter("doc_id = 1").orderBy("x").first()["text"]
+    twin = 2 if first == base else 3
+    n = {base: 126, other: 296}
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.near_components(df).collect())
+    assert got == sorted([(1, n[base], 1), (1, n[base], 1), (1, n[other], 1), (2, n[base], 1 if twin == 2 else 2), (3, n[other], 1 if twin == 3 else 3)])
+    assert {r["doc_id"] for r in near.keep_one(df).collect()} == {1, 5 - twin} and near.keep_one(df).columns == df.columns
+    assert {r["doc_id"] for r in substring.remove_substrings(df).filter("n_removed > 0").collect()} == {twin}
+    gone = {(r["doc_id"], r["n_bytes"]) for r in suffixes.remove_repeats(df).filter("n_removed > 0").collect()}
+    assert gone == {(1, len(first.encode())), (twin, len(first.encode()))}
+    assert substring.strip_text(df).count() == 5
 
 
 # ---- BPE
