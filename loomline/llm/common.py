@@ -51,8 +51,16 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of whole texts are bounded by bytes, not by rows alone: sets the session's limit, unless it is smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+        spark.conf.set(key, str(most))
+
+
+def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text ('' for null), whatever other columns there are; doc_id as long."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -130,7 +130,7 @@ def _sorted_groups(notice: int, width: int, rows: int = 500):
     return run
 
 
-def removal_intervals(docs: DataFrame, width: int = 400, notice: int = 256, gram: int = 96, hot_group: int = 20_000) -> DataFrame:
+def removal_intervals(docs: DataFrame, width: int = 400, notice: int = 256, gram: int = 96, hot_group: int = 4_000) -> DataFrame:
     """Settled: doc_id and items: array of (lo, hi, deep), bytes that repeated windows cover (of `width` bytes where deep, else of `notice`); docs: doc_id and text."""
     some, stretches = repeated_runs(run_table(docs, byte_tokens, lift, notice, gram, width, "byte-runs"), "byte-runs")
     hot = stretches.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > hot_group).select("anchor", F.lit(True).alias("hot"))
