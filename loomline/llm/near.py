@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
+from .common import U64, WordHashes, bound_batches, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
 from .graphs import components
 from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2
@@ -341,6 +341,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id and its text stay or go together; other texts of a shared doc_id, and rows without a doc_id, stay.
     """
+    bound_batches(docs.sparkSession)
     rest = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")]
     known, aside = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest))
     found = linked(known.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), **options)

@@ -431,6 +431,41 @@ def test_thresholds_are_ordered():
     assert (np.diff(model.thresholds) > 0).all()
 
 
+def test_gradient_equals_finite_differences():
+    r = np.random.default_rng(4)
+    n, d = 30, 6
+    dense = r.poisson(0.7, (n, d)) * 1.0
+    row, column = np.nonzero(dense)
+    x = toxicity.Rows(row, column, dense[row, column], n, d)
+    y, weight, w, gaps = r.integers(0, 4, n), r.random(n) + 0.5, r.normal(size=d), r.normal(size=2)
+    _, gw, gf, gg = toxicity.loss_and_gradient(x, y, weight, w, 0.3, gaps, 0.01)
+    loss = lambda w, f, g: toxicity.loss_and_gradient(x, y, weight, w, f, g, 0.01)[0]
+    step = lambda size, i: 1e-6 * (np.arange(size) == i)
+    numeric = [(loss(w + step(d, i), 0.3, gaps) - loss(w - step(d, i), 0.3, gaps)) / 2e-6 for i in range(d)]
+    assert np.allclose(gw, numeric, atol=1e-5) and np.isclose(gf, (loss(w, 0.3 + 1e-6, gaps) - loss(w, 0.3 - 1e-6, gaps)) / 2e-6, atol=1e-5)
+    assert np.allclose(gg, [(loss(w, 0.3, gaps + step(2, i)) - loss(w, 0.3, gaps - step(2, i))) / 2e-6 for i in range(2)], atol=1e-5)
+
+
+def test_stretches_of_characters_tell_of_unseen_words():
+    r = random.Random(9)
+    texts = [" ".join(r.choices(WORDS, k=40) + ([r.choice(WORDS) + "zubbox" + r.choice(WORDS) for _ in range(3)] if k % 5 == 0 else [])) for k in range(400)]
+    model = toxicity.fit_ordinal(texts, np.arange(400) % 5 == 0)
+    assert model.grades(np.array([model.score(prose(40, 3)), model.score(prose(40, 3) + " unseenzubboxword newzubboxone zubboxtail")]))[:, 0].round().tolist() == [0, 1]
+
+
+def test_every_sampled_row_is_fitted_and_small_samples_give_grades(spark, monkeypatch):
+    seen = []
+    fit = toxicity.fit_grades
+    monkeypatch.setattr(toxicity, "fit_grades", lambda x, y, *a: seen.append((x.n, y.copy())) or fit(x, y, *a))
+    rows = {k: prose(30, k) + (" vilex groxt" if k % 6 == 1 and k != 1 else "") for k in range(60)}
+    labels = spark.createDataFrame([(k, int(k % 6 == 1)) for k in rows] + [(5, None), (None, 1)], "doc_id long, toxic int")
+    docs = frame(spark, rows).unionByName(frame(spark, {3: "another text of document 3", 4: rows[4]}))
+    found = toxicity.score_toxicity(docs, labels).collect()
+    n, y = seen[-1]
+    assert n == 60 and (y > 0).sum() == 10  # document 1 has a toxic label and no telling word; it is fitted too
+    assert len(found) == 62 and sum(r["severity"] > 0 for r in found) >= 8
+
+
 # ---- shared parts
 
 
