@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import WordHashes, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
+from .common import U64, WordHashes, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
 from .idfilter import KeyFilter
-from .windows import BASE_1, BASE_2, by_document, cover, flat_items, repeated_runs, run_table, spread
+from .windows import BASE_1, BASE_2, by_document, cover, flat_items, later_runs, repeated_runs, run_table, spread
 
 
 def word_tokens():
@@ -49,20 +49,17 @@ def removal_intervals(docs: DataFrame, width: int = 20, gram: int = 6) -> DataFr
                 at = spread(offsets[row] + lo, n)
                 each = np.repeat(np.arange(len(n)), n)
                 doc = part.column("doc_id").to_numpy()[row]
-                columns = (doc[each], at - offsets[row][each], copies[each], one[at].view(np.int64), two[at].view(np.int64))
+                columns = (doc[each], at - offsets[row][each], copies[each], one[at].view(np.int64), (two[at] >> U64(32)).astype(np.uint32).view(np.int32))  # 96 bits
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "at", "copies", "h1", "h2"])
 
     texts = KeyFilter(places, "doc_id").split(docs, "doc_id")[0].join(places.hint("shuffle_hash"), "doc_id")
-    hashed = settle(texts.select("doc_id", "text", "items").mapInArrow(windows, "doc_id long, at long, copies long, h1 long, h2 long"), "word-windows")
-    first = F.min(F.struct("doc_id", "at")).alias("first")
-    counted = hashed.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").alias("left"), F.max("at").alias("right"), first).filter("n > 1")
-    # a window at one place alone stays there; its copies go with the other runs of its stretch
-    counted = counted.filter("low < high or left < right").select("h1", "h2", "first")
-    again = hashed.join(counted, ["h1", "h2"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
+    hashed = settle(texts.select("doc_id", "text", "items").mapInArrow(windows, "doc_id long, at long, copies long, h1 long, h2 int"), "word-windows")
+    # a window at one place alone stays there: its copies go with the later runs of its stretch
+    counted = hashed.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.count("*").alias("places"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1 and places > 1")
+    again = hashed.join(counted.select("h1", "h2", "first"), ["h1", "h2"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
     again = again.select("doc_id", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
-    # the windows of a later run of a stretch have been counted with the first one's, so none of them is the earliest
-    later = some.join(stretches.filter("copies > 1").select("anchor", "stretch", "first"), ["anchor", "stretch"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("lo") == F.col("first.lo"))))
-    later = later.select("doc_id", "lo", (F.col("lo") + F.col("n") + (width - 1)).alias("hi"))
+    # the windows of a later run have been counted with the first one's, so none of them is the earliest
+    later = later_runs(some, stretches).select("doc_id", "lo", (F.col("lo") + F.col("n") * F.col("times") + (width - 1)).alias("hi"))
     found = settle(by_document(later.unionByName(again), "lo", "hi"), "word-removals")
     forget(some, stretches, places, hashed)
     return found

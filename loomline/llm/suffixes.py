@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
 from .idfilter import KeyFilter
-from .windows import BASE_1, BASE_2, by_document, cover, flat_items, repeated_runs, run_table, spread
+from .windows import BASE_1, BASE_2, by_document, cover, flat_items, later_runs, repeated_runs, run_table, spread
 
 DIGIT = 8
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(BASE_1))
@@ -170,10 +170,9 @@ def removal_intervals(docs: DataFrame, width: int = 400, notice: int = 256, gram
     many = cut.filter("hot").mapInArrow(all_digits, "doc_id long, at long, copies long, depth int, h1 long, h2 long")
     equal = many.groupBy("depth", "h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
     many = many.join(equal, ["depth", "h1", "h2"], "left_semi").select("doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("depth")).alias("hi"), (F.col("depth") == width).alias("deep"))
-    # the suffixes of a later run of a stretch have been sorted with the first one's, as its weight
-    later = some.join(stretches.filter("copies > 1").select("anchor", "stretch", "first"), ["anchor", "stretch"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("lo") == F.col("first.lo"))))
-    end = lambda n, depth, deep: F.struct((F.col("lo") + F.col(n) + (depth - 1)).alias("hi"), F.lit(deep).alias("deep"))
-    later = later.select("doc_id", "lo", F.explode(F.array(end("n", notice, False), F.when(F.col("deep") > 0, end("deep", width, True)))).alias("x"))
+    # the suffixes of a later run have been sorted with the first one's, as its weight
+    end = lambda n, depth, deep: F.struct((F.col("lo") + F.col("n") * (F.col("times") - 1) + F.col(n) + (depth - 1)).alias("hi"), F.lit(deep).alias("deep"))
+    later = later_runs(some, stretches).select("doc_id", "lo", F.explode(F.array(end("n", notice, False), F.when(F.col("deep") > 0, end("deep", width, True)))).alias("x"))
     later = later.filter("x is not null").select("doc_id", "lo", "x.hi", "x.deep")
     found = settle(by_document(later.unionByName(few).unionByName(many), "lo", "hi", "deep"), "byte-removals")
     forget(some, stretches, places, cut)

@@ -53,15 +53,15 @@ def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def runs(values: np.ndarray, offsets: np.ndarray, width: int, gram: int, reach: int, most: int = CHUNK) -> tuple[np.ndarray, ...]:
-    """row, first window, number of windows, how many of them have `reach` tokens left in the row, anchor hash and stretch hash of each run.
+    """row, first window, number of windows, how many of them have `reach` tokens left in the row, anchor hash, stretch hash and times of each run.
 
     values holds the tokens of all rows, one after another; offsets says where each begins. A stretch goes `reach` tokens from its last window's
-    start, or to the end of its row. At most `most` windows a row.
+    start, or to the end of its row. Equal runs that follow one another (periodic text) are one run so many times. At most `most` windows a row.
     """
     counts = np.clip(np.diff(offsets) - width + 1, 0, most)
     row = np.repeat(np.arange(len(counts)), counts)
     if not len(row):
-        return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.int64, U64, U64))
+        return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.int64, U64, U64, np.int64))
     at = spread(offsets[:-1], counts)
     grams = mix(rolling(values, gram, BASE_1))
     least = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=U64), width - gram + 1)
@@ -74,11 +74,16 @@ def runs(values: np.ndarray, offsets: np.ndarray, width: int, gram: int, reach:
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * _powers[: len(values)], dtype=U64)])
     stretch = (sums[end] - sums[lo]) * _inverses[lo]
     shape = (owner - lo).astype(U64) * U64(BASE_2) + n.astype(U64) * U64(BASE_1) + (end - lo).astype(U64) * U64(BASE_3)
-    return row, lo - offsets[row], n, np.clip(offsets[row + 1] - lo - reach + 1, 0, n), grams[owner], mix(stretch + shape)
+    stretch, anchor = mix(stretch + shape), grams[owner]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])
+    times = np.diff(np.append(np.flatnonzero(new), len(row)))
+    row, lo, n, anchor, stretch = (x[new] for x in (row, lo, n, anchor, stretch))
+    return row, lo - offsets[row], n, np.clip(offsets[row + 1] - lo - reach + 1, 0, n), anchor, stretch, times
 
 
 def run_table(docs: DataFrame, tokens: Callable, lift: Callable[[np.ndarray], np.ndarray], width: int, gram: int, reach: int, name: str) -> DataFrame:
-    """Settled runs of all texts: doc_id, lo, n, deep, anchor, stretch.
+    """Settled runs of all texts: doc_id, lo, n, deep, anchor, stretch, times.
 
     tokens() makes a function from texts to (tokens one after another, offsets); lift turns tokens into 64-bit values.
     """
@@ -91,12 +96,12 @@ def run_table(docs: DataFrame, tokens: Callable, lift: Callable[[np.ndarray], np
                 values, offsets = tokens_of(raw_texts(part))
                 blocks = [(0, values, offsets)] if len(values) - width < CHUNK else [(at, own := values[at : at + CHUNK + reach - 1], np.array([0, len(own)])) for at in range(0, len(values) - width + 1, CHUNK)]  # a long text has its part for itself
                 for at, own, places in blocks:
-                    row, lo, n, deep, anchor, stretch = runs(lift(own), places, width, gram, reach)
-                    columns = [pa.array(ids[row]), pa.array(lo + at), pa.array(n.astype(np.int32)), pa.array(deep.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lo", "n", "deep", "anchor", "stretch"])
+                    row, lo, n, deep, anchor, stretch, times = runs(lift(own), places, width, gram, reach)
+                    columns = [pa.array(ids[row]), pa.array(lo + at), pa.array(n.astype(np.int32)), pa.array(deep.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(times.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lo", "n", "deep", "anchor", "stretch", "times"])
 
     known = docs.filter("doc_id is not null")
-    return settle(known.mapInArrow(find, "doc_id long, lo long, n int, deep int, anchor long, stretch long"), name)
+    return settle(known.mapInArrow(find, "doc_id long, lo long, n int, deep int, anchor long, stretch long, times int"), name)
 
 
 def repeated_runs(table: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -105,14 +110,22 @@ def repeated_runs(table: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     A stretch has copies (how many runs are equal to it), n, deep and first (the earliest of the runs: doc_id, lo). Every count combines before its shuffle, so
     a hot anchor or stretch arrives as one row a task.
     """
-    anchors = settle(table.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"), f"{name}-anchors")
+    anchors = settle(table.groupBy("anchor").agg(F.sum("times").alias("c")).filter("c > 1").select("anchor"), f"{name}-anchors")
     likely, _ = KeyFilter(anchors, "anchor").split(table, "anchor")
     some = settle(likely.join(anchors, "anchor", "left_semi"), f"{name}-repeated")
     forget(table, anchors)
-    stretches = some.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min("deep").alias("deep"), F.min(F.struct("doc_id", "lo")).alias("first"))
+    stretches = some.groupBy("anchor", "stretch").agg(F.sum("times").alias("copies"), F.min("n").alias("n"), F.min("deep").alias("deep"), F.min(F.struct("doc_id", "lo")).alias("first"))
     return some, settle(stretches, f"{name}-stretches")
 
 
+def later_runs(some: DataFrame, stretches: DataFrame) -> DataFrame:
+    """The runs that are not the first of their stretch: doc_id, lo, n, deep, times. Their windows count with the first run's."""
+    twice = stretches.filter("copies > 1").select("anchor", "stretch", "first")
+    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("lo") == F.col("first.lo"))
+    joined = some.join(twice, ["anchor", "stretch"]).filter(~is_first | (F.col("times") > 1))
+    return joined.select("doc_id", F.when(is_first, F.col("lo") + F.col("n")).otherwise(F.col("lo")).alias("lo"), "n", "deep", F.when(is_first, F.col("times") - 1).otherwise(F.col("times")).alias("times"))
+
+
 def by_document(rows: DataFrame, *columns: str) -> DataFrame:
     """doc_id and `items`: the rows' columns as an array of structs; bounded by what one text holds."""
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("items"))

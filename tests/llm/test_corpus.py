@@ -73,6 +73,61 @@ def test_pii_keeps_base_spans_and_redacts(spark, docs):
     assert "a@b.co" not in text and "[EMAIL]" in text and "999.1.1.1" in text
 
 
+def planted_pii(seed, n):
+    """(text, wanted): spans outside the base kinds, and decoys of the same shapes."""
+    r, out = random.Random(seed), []
+    digit = lambda k: "".join(r.choices("0123456789", k=k))
+    for _ in range(n):
+        area, exchange, tail = r.choice("23456789") + r.choice("0123456") + digit(1), r.choice("23456789") + r.choice("023456789") + digit(1), digit(4)
+        real = {
+            "local": [f"please call ({area}) {exchange}-{tail} today", f"my phone is {area}-{exchange}-{tail}", f"mobile: {area}.{exchange}.{tail}"],
+            "social": [f"SSN {r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)} on file", f"social security no {r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"],
+            "person": [f"Dr. {r.choice(pii.FAMILY)} wrote to us", f"by Mrs {r.choice(pii.GIVEN)} {r.choice(pii.FAMILY)}", f"contact Prof. {r.choice(pii.FAMILY)}"],
+        }
+        fake = [f"order {area}-{exchange}-{tail} serial", f"part 000-{digit(2)}-{digit(4)} model", f"sku 9{digit(2)}-{digit(2)}-{digit(4)}", f"Dr. {r.choice(['Blue', 'Stone', 'North'])} Hospital", f"isbn 011-1{digit(2)}-{digit(4)} order"]
+        kind = r.choice([*real, "fake", "fake"])
+        text = r.choice(fake if kind == "fake" else real[kind])
+        out.append((f"{prose(12, r.random())} {text} {prose(12, r.random())}", kind))
+    return out
+
+
+def test_classifier_admits_planted_spans_and_rejects_decoys(spark):
+    """Trained on other documents than those it is held against."""
+    schema = "doc_id long, text string"
+    seen, held = planted_pii(1, 500), planted_pii(2, 400)
+    w, _ = pii.model_of(pii.candidates(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(seen)], schema)))
+    table = pii.candidates(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], schema))
+    decide = lambda kind: F.exists(kind, lambda s: pii.admitted(w, kind, s, 0.5)).alias(kind)
+    admitted = table.select("doc_id", *map(decide, pii.KINDS[4:]))
+    got = {r["doc_id"]: {k for k in pii.KINDS[4:] if r[k]} for r in admitted.collect()}
+    real = [i for i, (_, k) in enumerate(held) if k != "fake"]
+    fake = [i for i, (_, k) in enumerate(held) if k == "fake"]
+    assert sum(held[i][1] in got[i] for i in real) > 0.9 * len(real)
+    assert sum(not got[i] for i in fake) > 0.9 * len(fake)
+
+
+def test_untrained_kinds_follow_the_prior(spark):
+    rows = {1: "SSN 123-45-6789 tax", 2: "Dr. Smith wrote", 3: "(212) 555-0187 phone", 4: "part 000-12-0000 model", 5: "Dr. Stone Hospital", 6: "Prof. Wolfeschlegelsteinhausenbergerdorffwelche wrote"}
+    got = by_id(pii.pii_spans(spark.createDataFrame(list(rows.items()), "doc_id long, text string")), "spans", "n_spans")
+    assert [got[i] for i in (1, 2, 3, 4, 5)] == [("social:4:15", 1), ("person:0:9", 1), ("local:0:14", 1), ("", 0), ("", 0)]
+    assert got[6] == (f"person:0:{len(rows[6]) - 6}", 1)  # a name of any length is one span
+
+
+def test_labelers_disagree(spark, docs):
+    """No labeler votes the same on everything."""
+    table = pii.candidates(spark.createDataFrame(list(enumerate([t for t, _ in planted_pii(3, 200)] + ["mail noreply@x.invalid bob@a.com 1..2@x.y from 10.0.0.0 8.8.8.8 224.1.1.255 card 4111 1111 1111 1111 or 4 111 11 1111 111111; +999 11 11 11 111 +1 212 555 0187"])), "doc_id long, text string"))
+    for k in pii.KINDS:
+        votes = table.select(F.explode(k).alias("s")).select(*[x.alias(n) for n, x in zip(pii.LABELERS, pii.votes(k, F.col("s")), strict=True)]).collect()
+        assert len({tuple(v) for v in votes}) > 1, k
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@x{i}.org" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert by_id(pii.pii_spans(df), "n_email", "base_sha256")[1] == (3000, brute.pii(text)[4])
+    assert by_id(pii.redact(df), "text")[1] == (" ".join(["[EMAIL]"] * 3000),)
+
+
 def test_em_recovers_reliable_labelers():
     r = random.Random(1)
     counts = {}
@@ -180,8 +235,17 @@ def test_texts_longer_than_a_stretch(spark, chunk, monkeypatch):
     values = suffixes.lift(data)
     whole = windows.runs(values, np.array([0, len(values)]), 256, 96, 400)
     parts = [windows.runs(values[at : at + chunk + 399], np.array([0, len(values[at : at + chunk + 399])]), 256, 96, 400, chunk) for at in range(0, len(values) - 255, chunk)]
-    assert sum(p[2].sum() for p in parts) == whole[2].sum() == len(values) - 255
-    assert sum(p[3].sum() for p in parts) == whole[3].sum() == len(values) - 399
+    assert sum((p[2] * p[6]).sum() for p in parts) == (whole[2] * whole[6]).sum() == len(values) - 255
+    assert sum((p[3] * p[6]).sum() for p in parts) == (whole[3] * whole[6]).sum() == len(values) - 399
+
+
+def test_periodic_texts(spark):
+    """Equal runs that follow one another travel as one."""
+    rows = {1: "of the " * 90, 2: "x " + "of the " * 80, 3: "a " * 200, 4: prose(50, 1) + " of the" * 70, 5: "ab" * 900, 6: "ab" * 210, 7: "b" + "ab" * 300}
+    assert by_id(substring.remove_substrings(frame(spark, rows)), "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
+    assert by_id(suffixes.remove_repeats(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffixes(rows)
+    one = windows.runs(suffixes.lift(np.frombuffer(rows[5].encode(), np.uint8)), np.array([0, 1800]), 256, 96, 400)
+    assert len(one[0]) < 250
 
 
 def test_near_duplicates_equal_brute_force(docs):
