@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ SECRET_SHAPES = (
     r"\bBearer\s+[a-zA-Z0-9_\-\.]{20,}\b",
     r"""(?i)\b(?:api_key|auth_token|secret_key|password)\s*[:=]\s*['"][^'"]{8,}['"]""",
 )
+#: What a lower-cased text must hold for one of these shapes to be in it: texts without any are left as they are.
+SHAPE_NEEDS = ("akia", "ghp_", "github_pat_", "sk-", "private key-----", "bearer", "api_key", "auth_token", "secret_key", "password")
 # Internal host names and home folders.
 INTERNAL_HOST = r"(?i)\b[a-zA-Z0-9_\-\.]+\.(?:lan|local|internal|corp|home|priv)\b"
 HOME_PATH = r"/(?:home|Users)/[a-zA-Z0-9_\-]+"
@@ -45,11 +49,15 @@ def token_count(text: Column, method: str = "chars38", ratio: float = 4.0) -> Co
 
 def redact_secrets(text: Column, shapes: Iterable[str] = SECRET_SHAPES, mark: str = "[REDACTED_SECRET]") -> Column:
     """struct(text, n): every shape replaced in turn, each seeing the result of the one before; n counts replacements."""
-    out, n = text, F.lit(0)
+    out, n, shapes = text, F.lit(0), tuple(shapes)
     for shape in shapes:
         n = n + F.coalesce(F.regexp_count(out, F.lit(shape)), F.lit(0))
         out = F.regexp_replace(out, shape, mark.replace("$", r"\$"))
-    return F.struct(out.alias("text"), n.cast("long").alias("n"))
+    done = F.struct(out.alias("text"), n.cast("long").alias("n"))
+    if shapes != SECRET_SHAPES:
+        return done
+    low = F.lower(text)
+    return F.when(reduce(or_, [low.contains(x) for x in SHAPE_NEEDS]), done).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
 
 
 def redact_hosts_paths(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,18 +16,34 @@ from ..functions.text import decode_tags, lines_of
 
 @dataclass(frozen=True)
 class Rule:
-    """A line rule. One finding for each pattern found on a line; `test` replaces the patterns where one is given."""
+    """A line rule. One finding for each pattern found on a line; `test` replaces the patterns where one is given.
+
+    needs has, for each pattern (or for the test), lower-case strings of which the lower-cased text must hold one for a match anywhere; hint is a pattern that a
+    text must hold for the test to fire. Both only save work: a text without them is not split into lines.
+    """
 
     rule_id: str
     severity: str
     patterns: tuple[str, ...] = ()
     test: object = field(default=None, compare=False)  # Column -> Column: the subject, null where the rule doesn't fire
     family: str = "injection"
+    needs: tuple[tuple[str, ...], ...] = ()
+    hint: str | None = None
+
+    def possible(self, text: Column, low: Column) -> list[Column]:
+        """Can a line of the text match, for each subject? A line's match is one of the whole text."""
+        out = []
+        for i, pattern in enumerate(self.patterns if self.test is None else [self.hint]):
+            may = reduce(or_, [low.contains(x) for x in self.needs[i]]) if i < len(self.needs) and self.needs[i] else None
+            found = text.rlike(pattern) if pattern else None
+            out.append(F.lit(True) if may is None and found is None else found if may is None else may if found is None else may & found)
+        return out
+
+    def fires(self, line: Column) -> list[Column]:
+        return [self.test(line).isNotNull()] if self.test is not None else [line.rlike(p) for p in self.patterns]
 
     def subjects(self, line: Column) -> list[Column]:
-        if self.test is not None:
-            return [self.test(line)]
-        return [F.when(line.rlike(p), F.regexp_extract(line, p, 0)) for p in self.patterns]
+        return [self.test(line)] if self.test is not None else [F.regexp_extract(line, p, 0) for p in self.patterns]
 
 
 def literal(text: str) -> str:
@@ -56,15 +74,15 @@ INTERNAL_HOSTS = (r"(?i)\b[a-z0-9-_]+\.(?:lan|local|internal|home\.arpa)\b", r"(
 ZERO_WIDTH = "[​‌‍⁠﻿‎‏]"
 
 DEFAULT_RULES = (
-    Rule("INJ001", "critical", test=lambda x: F.when(decode_tags(x)["n"] > 0, decode_tags(x)["decoded"])),
-    Rule("INJ002", "high", test=lambda x: F.when(x.rlike(ZERO_WIDTH), F.concat(F.regexp_count(x, F.lit(ZERO_WIDTH)).cast("string"), F.lit(" zero-width")))),
-    Rule("INJ003", "critical", tuple(map(literal, DELIMITERS))),
-    Rule("INJ004", "high", OVERRIDES),
-    Rule("INJ005", "high", (EXFILTRATION,)),
-    Rule("EGR001", "critical", CREDENTIALS, family="egress"),
-    Rule("EGR002", "high", tuple(rf"""(?i)\b{v}\s*=\s*['"]?[^'"\s\n]{{8,}}""" for v in VARIABLES), family="egress"),
-    Rule("EGR003", "high", test=lambda x: F.get(private_ipv4s(x), F.lit(0)), family="egress"),
-    Rule("EGR004", "medium", INTERNAL_HOSTS, family="egress"),
+    Rule("INJ001", "critical", test=lambda x: F.when(decode_tags(x)["n"] > 0, decode_tags(x)["decoded"]), hint=r"[\x{E0000}-\x{E007F}]"),
+    Rule("INJ002", "high", test=lambda x: F.when(x.rlike(ZERO_WIDTH), F.concat(F.regexp_count(x, F.lit(ZERO_WIDTH)).cast("string"), F.lit(" zero-width"))), hint=ZERO_WIDTH),
+    Rule("INJ003", "critical", tuple(map(literal, DELIMITERS)), needs=tuple((x.lower(),) for x in DELIMITERS)),
+    Rule("INJ004", "high", OVERRIDES, needs=(("instructions",), ("you",), ("override",), ("anything",), ("unrestricted",))),
+    Rule("INJ005", "high", (EXFILTRATION,), needs=(("](",),)),
+    Rule("EGR001", "critical", CREDENTIALS, family="egress", needs=(("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("sk-",), ("sk-ant-",), ("akia",), ("private key-----",), ("bearer",))),
+    Rule("EGR002", "high", tuple(rf"""(?i)\b{v}\s*=\s*['"]?[^'"\s\n]{{8,}}""" for v in VARIABLES), family="egress", needs=tuple((v.lower(),) for v in VARIABLES)),
+    Rule("EGR003", "high", test=lambda x: F.get(private_ipv4s(x), F.lit(0)), family="egress", hint=r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"),
+    Rule("EGR004", "medium", INTERNAL_HOSTS, family="egress", needs=((".lan", ".local", ".internal", ".home.arpa"), ("localhost:",))),
 )
 
 
@@ -73,14 +91,21 @@ def exploded_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.posexplode(lines_of(F.col(text))).alias("line_no", "line")).select(key, (F.col("line_no") + 1).alias("line_no"), "line")
 
 
-def scan_text(docs: DataFrame, key: str, text: str, rules: Sequence[Rule] = DEFAULT_RULES, families: Iterable[str] | None = None) -> DataFrame:
-    """Findings of line rules: key, line_no, rule_id, severity, subject. One pass over the lines for all rules."""
+def scan_text(docs: DataFrame, key: str, text: str, rules: Sequence[Rule] = DEFAULT_RULES, families: Iterable[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Findings of line rules: key, line_no, rule_id, severity, subject and the carried columns of docs. One pass over the texts for all rules: only
+    texts that some rule can match are split into lines, and a line is tried only against the rules that its text can match."""
     active = [r for r in rules if families is None or r.family in set(families)]
-    hits = [F.when(s.isNotNull(), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), s.alias("subject"))) for r in active for s in r.subjects(F.col("line"))]
-    if not hits:
-        hits = [F.lit(None).cast("struct<rule_id:string,severity:string,subject:string>")]
-    found = exploded_lines(docs, key, text).select(key, "line_no", F.filter(F.array(*hits), lambda h: h.isNotNull()).alias("hits"))
-    return found.filter(F.size("hits") > 0).select(key, "line_no", F.explode("hits").alias("h")).select(key, "line_no", "h.rule_id", "h.severity", "h.subject")
+    may = [c for r in active for c in r.possible(F.col(text), F.col("__low"))]
+    if not may:
+        return docs.select(key, F.lit(0).alias("line_no"), F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit("").alias("subject"), *carry).filter("false")
+    flagged = docs.select(key, *carry, text, F.lower(text).alias("__low")).select(key, *carry, text, F.array(*may).alias("__may"))
+    lines = flagged.select(key, *carry, "__may", F.posexplode(F.when(F.array_contains("__may", True), lines_of(F.col(text)))).alias("__at", "line"))
+    line = F.col("line")
+    fires = [F.col("__may")[i] & c for i, c in enumerate(c for r in active for c in r.fires(line))]
+    names = [r for r in active for _ in r.subjects(line)]
+    hits = [F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), s.alias("subject"))) for ok, r, s in zip(fires, names, (s for r in active for s in r.subjects(line)), strict=True)]
+    found = lines.filter(reduce(or_, fires)).select(key, (F.col("__at") + 1).alias("line_no"), *carry, F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    return found.select(key, "line_no", "h.rule_id", "h.severity", "h.subject", *carry)
 
 
 def canary_leaks(texts: DataFrame, key: str, text: str, canaries: DataFrame, canary_key: str, canary: str, words: int = 4) -> DataFrame:
@@ -107,14 +132,16 @@ def fingerprint(rule: Column, path: Column, subject: Column) -> Column:
     return F.left(F.sha2(F.concat_ws("|", rule, path, subject), 256), F.lit(16))
 
 
+def partition_flagged(findings: DataFrame, in_baseline: Column, key: str = "fingerprint") -> DataFrame:
+    """Findings tagged new (not in the baseline), known (in both) or resolved (in the baseline alone): key and status, once each. One scan and one grouping,
+    combined before its shuffle."""
+    both = findings.select(key, in_baseline.alias("__b")).filter("__b is not null").groupBy(key).agg(F.bool_or("__b").alias("__old"), F.bool_and("__b").alias("__gone"))
+    return both.select(key, F.when(F.col("__gone"), "resolved").when(F.col("__old"), "known").otherwise("new").alias("status"))
+
+
 def partition_findings(current: DataFrame, baseline: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Current findings tagged new or known, and baseline entries no longer seen tagged resolved: key and status, once each."""
-    now, before = current.select(key).distinct(), baseline.select(key).distinct()
-    return (
-        now.join(before, key, "left_anti").withColumn("status", F.lit("new"))
-        .unionByName(now.join(before, key, "left_semi").withColumn("status", F.lit("known")))
-        .unionByName(before.join(now, key, "left_anti").withColumn("status", F.lit("resolved")))
-    )
+    return partition_flagged(current.select(key, F.lit(False).alias("__base")).unionByName(baseline.select(key, F.lit(True).alias("__base"))), F.col("__base"), key)
 
 
 def record_baseline(findings: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -137,11 +164,16 @@ def verdict(findings: DataFrame, by: Sequence[str], error: Sequence[str] = ("cri
     return worst.select(*by, "n_findings", F.when(F.col("r") == 2, "REQUEST_CHANGES").when(F.col("r") == 1, "COMMENT").otherwise("APPROVE").alias("verdict"))
 
 
+def diff_flagged(findings: DataFrame, in_base: Column, keys: Sequence[str]) -> DataFrame:
+    """Violations introduced, persistent and resolved between two sets that a flag tells apart, in one scan."""
+    both = findings.select(*keys, in_base.alias("__b")).groupBy(*keys).agg(F.bool_or("__b").alias("__old"), F.bool_and("__b").alias("__gone"))
+    return both.select(*keys, F.when(F.col("__gone"), "resolved").when(F.col("__old"), "persistent").otherwise("introduced").alias("status"))
+
+
 def diff_sets(current: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Violations introduced, persistent and resolved between two sets."""
-    a, b = current.select(*keys).distinct(), base.select(*keys).distinct()
-    both = a.withColumn("__a", F.lit(1)).join(b.withColumn("__b", F.lit(1)), list(keys), "full_outer")
-    return both.select(*keys, F.when(F.col("__b").isNull(), "introduced").when(F.col("__a").isNull(), "resolved").otherwise("persistent").alias("status"))
+    both = current.select(*keys, F.lit(False).alias("__base")).unionByName(base.select(*keys, F.lit(True).alias("__base")))
+    return diff_flagged(both, F.col("__base"), keys)
 
 
 def health(findings: DataFrame, totals: DataFrame, key: str, weights: dict[str, float] | None = None, other: float = 2.0) -> DataFrame:

@@ -195,15 +195,6 @@ def e1(spark, d):
 register("e1_drift", e1, "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), a AS (SELECT vec_id, e, CASE vec_id % 3 WHEN 0 THEN list_concat(list_transform(e[1:8], lambda x: -x), e[9:]) WHEN 1 THEN list_transform(e, lambda x: x * 2) ELSE list_transform(e, lambda x: -x) END AS f FROM v) SELECT vec_id, round(greatest(0.0, 1 - list_cosine_similarity(e, f)), 4) AS distance FROM a")
 
 # ---- graphs
-_PAGES = "WITH e AS (SELECT DISTINCT l_suppkey % 100 AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_orderkey % 40 = 0 AND l_suppkey % 100 <> l_partkey % 100)"
-
-
-def small_graph(spark, d):
-    e = table(spark, d, "lineitem").filter("l_orderkey % 40 = 0").selectExpr("l_suppkey % 100 AS src", "l_partkey % 100 AS dst").filter("src <> dst").distinct()
-    return table(spark, d, "part").selectExpr("p_partkey % 110 AS id").distinct(), e
-
-
-#: The same edges from all rows with their whole keys.
 _ALL = "WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey)"
 
 
@@ -224,27 +215,19 @@ register("g1_edges", g1, "WITH n AS (SELECT p_partkey AS id, p_partkey % 700 AS
 
 
 def g2(spark, d):
-    nodes, e = small_graph(spark, d)
+    nodes, e = whole_graph(spark, d)
     return gr.pagerank(nodes, e, nodes.filter("id < 5"), fixed_steps=3).select("id", F.round("rank", 8).alias("rank"))
 
 
-_PR = _PAGES + ", v AS (SELECT DISTINCT p_partkey % 110 AS id FROM part), p0 AS (SELECT id, CASE WHEN id < 5 THEN 0.2 ELSE 0.0 END::DOUBLE AS p FROM v), dg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1)"
+_NODES = "SELECT p_partkey AS id FROM part UNION SELECT src FROM e UNION SELECT dst FROM e"
+_PR = _ALL + f", v AS ({_NODES}), p0 AS (SELECT id, CASE WHEN id < 5 THEN 1.0 / (SELECT count(*) FROM v WHERE id < 5) ELSE 0.0 END::DOUBLE AS p FROM v), dg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1)"
 _rank = "p0"
 for _k in range(1, 4):
     _col = "p" if _k == 1 else "r"
     _PR += f", i{_k} AS (SELECT dst, sum(x.{_col} / deg) AS f FROM {_rank} x JOIN e ON e.src = x.id JOIN dg ON dg.src = x.id GROUP BY 1), l{_k} AS (SELECT coalesce(sum(x.{_col}), 0) AS lost FROM {_rank} x WHERE x.id NOT IN (SELECT src FROM dg)), q{_k} AS (SELECT p0.id, p, 0.15 * p + 0.85 * (coalesce(f, 0) + lost * p) AS r FROM p0 LEFT JOIN i{_k} ON dst = p0.id CROSS JOIN l{_k})"
     _rank = f"q{_k}"
-register("g2_pagerank", g2, f"{_PR} SELECT id, round(r, 8) AS rank FROM q3")
-
-
-def g2_whole(spark, d):
-    nodes, e = whole_graph(spark, d)
-    return gr.pagerank(nodes, e, nodes.filter("id < 5"), fixed_steps=3).select("id", F.round("rank", 8).alias("rank"))
-
-
-_NODES = "SELECT p_partkey AS id FROM part UNION SELECT src FROM e UNION SELECT dst FROM e"
-_PR_ALL = _PR.replace(_PAGES, _ALL).replace("SELECT DISTINCT p_partkey % 110 AS id FROM part", _NODES).replace("THEN 0.2 ", "THEN 1.0 / (SELECT count(*) FROM v WHERE id < 5) ")
-register("g2_pagerank_whole", g2_whole, f"{_PR_ALL} SELECT id, round(r, 8) AS rank FROM q3")
+for _name in ("g2_pagerank", "g2_pagerank_whole"):
+    register(_name, g2, f"{_PR} SELECT id, round(r, 8) AS rank FROM q3")
 
 
 def g2c(spark, d):
@@ -256,34 +239,15 @@ register("g2_converged", g2c)
 
 
 def g3(spark, d):
-    nodes, e = small_graph(spark, d)
-    a = gr.hub_outliers(e, 1.5).select("id", F.lit("hub").alias("what"))
-    b = gr.orphans(nodes, e).select("id", F.lit("orphan").alias("what"))
-    return a.unionByName(b).unionByName(gr.mutual_pairs(e).select(F.col("src").alias("id"), F.lit("mutual").alias("what")))
-
-
-register("g3_graph_findings", g3, f"{_PAGES}, dg AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT id, 'hub' AS what FROM dg WHERE k > (SELECT avg(k) + 1.5 * stddev_pop(k) FROM dg) UNION ALL SELECT id, 'orphan' FROM (SELECT DISTINCT p_partkey % 110 AS id FROM part) WHERE id NOT IN (SELECT id FROM dg) UNION ALL SELECT a.src, 'mutual' FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
-
-
-def g3_whole(spark, d):
     nodes, e = whole_graph(spark, d)
     a = gr.hub_outliers(e, 1.5).select("id", F.lit("hub").alias("what"))
     b = gr.orphans(nodes, e).select("id", F.lit("orphan").alias("what"))
     return a.unionByName(b).unionByName(gr.mutual_pairs(e).select(F.col("src").alias("id"), F.lit("mutual").alias("what")))
 
 
-register("g3_graph_findings_whole", g3_whole, f"{_ALL}, dg AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT id, 'hub' AS what FROM dg WHERE k > (SELECT avg(k) + 1.5 * stddev_pop(k) FROM dg) UNION ALL SELECT id, 'orphan' FROM (SELECT p_partkey AS id FROM part) WHERE id NOT IN (SELECT id FROM dg) UNION ALL SELECT a.src, 'mutual' FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
-
-
-def dag(spark, d):
-    return table(spark, d, "orders").selectExpr("o_orderkey % 500 AS src", "o_orderkey % 500 + 1 + o_custkey % 60 AS dst", "CASE WHEN o_orderkey % 11 = 0 THEN 'DEFINES' ELSE 'CALLS' END AS kind")
-
-
-def g4(spark, d):
-    return gr.blast_radius(dag(spark, d), table(spark, d, "nation").selectExpr("cast(n_nationkey * 15 + 50 AS BIGINT) AS id"))
-
-
-register("g4_blast_radius", g4, "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey % 500 AS src, o_orderkey % 500 + 1 + o_custkey % 60 AS dst FROM orders WHERE o_orderkey % 11 <> 0), r AS (SELECT n_nationkey * 15 + 50 AS seed, n_nationkey * 15 + 50 AS id FROM nation UNION SELECT r.seed, e.src FROM r JOIN e ON e.dst = r.id) SELECT seed::BIGINT AS seed, id::BIGINT AS id FROM r WHERE seed <> id")
+_SQL = f"{_ALL}, dg AS (SELECT id, count(*) AS k FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT id, 'hub' AS what FROM dg WHERE k > (SELECT avg(k) + 1.5 * stddev_pop(k) FROM dg) UNION ALL SELECT id, 'orphan' FROM (SELECT p_partkey AS id FROM part) WHERE id NOT IN (SELECT id FROM dg) UNION ALL SELECT a.src, 'mutual' FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst"
+for _name in ("g3_graph_findings", "g3_graph_findings_whole"):
+    register(_name, g3, _SQL)
 
 
 def whole_dag(spark, d):
@@ -291,42 +255,34 @@ def whole_dag(spark, d):
     return table(spark, d, "orders").selectExpr("o_orderkey AS src", "o_orderkey + 1 + o_custkey AS dst", "CASE WHEN o_orderkey % 11 = 0 THEN 'DEFINES' ELSE 'CALLS' END AS kind")
 
 
-def g4_whole(spark, d):
+def g4(spark, d):
     return gr.blast_radius(whole_dag(spark, d), table(spark, d, "customer").selectExpr("c_custkey AS id"))
 
 
-register("g4_blast_radius_whole", g4_whole, "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS src, o_orderkey + 1 + o_custkey AS dst FROM orders WHERE o_orderkey % 11 <> 0), r AS (SELECT c_custkey AS seed, c_custkey AS id FROM customer UNION SELECT r.seed, e.src FROM r JOIN e ON e.dst = r.id) SELECT seed, id FROM r WHERE seed <> id")
+_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS src, o_orderkey + 1 + o_custkey AS dst FROM orders WHERE o_orderkey % 11 <> 0), r AS (SELECT c_custkey AS seed, c_custkey AS id FROM customer UNION SELECT r.seed, e.src FROM r JOIN e ON e.dst = r.id) SELECT seed, id FROM r WHERE seed <> id"
+for _name in ("g4_blast_radius", "g4_blast_radius_whole"):
+    register(_name, g4, _SQL)
 
 
 def g5(spark, d):
-    acyclic = gr.cyclic_core(dag(spark, d)).agg((F.count("*") > 0).alias("cyclic")).withColumn("which", F.lit("dag"))
-    other = gr.cyclic_core(small_graph(spark, d)[1]).agg((F.count("*") > 0).alias("cyclic")).withColumn("which", F.lit("graph"))
-    return acyclic.unionByName(other)
-
-
-register("g5_has_cycle", g5, f"{_PAGES} SELECT 'dag' AS which, false AS cyclic UNION ALL SELECT 'graph', count(*) > 0 FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src")
-
-
-def g5_whole(spark, d):
     found = lambda e, which: gr.cyclic_core(e).agg((F.count("*") > 0).alias("cyclic")).withColumn("which", F.lit(which))
     return found(whole_dag(spark, d), "dag").unionByName(found(whole_graph(spark, d)[1], "graph"))
 
 
-register("g5_has_cycle_whole", g5_whole)
+# an edge to a later number can't close a cycle; in the other graph only nodes with edges out of them can be on one
+_SQL = f"""{_ALL.replace("WITH", "WITH RECURSIVE", 1)}, i AS (SELECT src, dst FROM e WHERE dst IN (SELECT src FROM e)), r AS (SELECT src, dst FROM i UNION SELECT r.src, i.dst FROM r JOIN i ON i.src = r.dst)
+SELECT 'dag' AS which, bool_or(o_orderkey + 1 + o_custkey <= o_orderkey) AS cyclic FROM orders UNION ALL SELECT 'graph', count(*) > 0 FROM r WHERE src = dst"""
+for _name in ("g5_has_cycle", "g5_has_cycle_whole"):
+    register(_name, g5, _SQL)
 
 
 def g6(spark, d):
-    return gr.cycles(small_graph(spark, d)[1], 3).select(F.array_join("cycle", ",").alias("cycle"))
-
-
-register("g6_cycles", g6, f"{_PAGES} SELECT concat(a.src, ',', a.dst) AS cycle FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT concat(a.src, ',', a.dst, ',', b.dst) FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
-
-
-def g6_whole(spark, d):
     return gr.cycles(whole_graph(spark, d)[1], 3).select(F.array_join("cycle", ",").alias("cycle"))
 
 
-register("g6_cycles_whole", g6_whole, f"{_ALL} SELECT concat(a.src, ',', a.dst) AS cycle FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT concat(a.src, ',', a.dst, ',', b.dst) FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
+_SQL = f"{_ALL} SELECT concat(a.src, ',', a.dst) AS cycle FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT concat(a.src, ',', a.dst, ',', b.dst) FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst"
+for _name in ("g6_cycles", "g6_cycles_whole"):
+    register(_name, g6, _SQL)
 
 
 def g7(spark, d):
@@ -339,28 +295,13 @@ register("g7_unreferenced", g7, "SELECT p_partkey AS id FROM part WHERE p_partke
 
 
 def g8(spark, d):
-    p = table(spark, d, "lineitem").selectExpr("l_suppkey % 40 AS grp", "l_orderkey % 50 AS member", "l_partkey % 900 AS shared")
-    return gr.components(p.filter("shared % 6 = 0"), "grp")
-
-
-register(
-    "g8_clusters",
-    g8,
-    """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey % 40 AS grp, l_orderkey % 50 AS member, l_partkey % 900 AS shared FROM lineitem WHERE l_partkey % 900 % 6 = 0), e AS (SELECT DISTINCT a.grp, a.member AS a, b.member AS b FROM p a JOIN p b ON a.grp = b.grp AND a.shared = b.shared),
-r AS (SELECT grp, a AS root, a AS node FROM e UNION SELECT r.grp, r.root, e.b FROM r JOIN e ON e.grp = r.grp AND e.a = r.node), m AS (SELECT grp, node, min(root) AS label FROM r GROUP BY 1, 2) SELECT grp, count(DISTINCT label) AS clusters FROM m GROUP BY 1""",
-)
-
-
-def g8_whole(spark, d):
     return gr.components(table(spark, d, "lineitem").selectExpr("l_suppkey AS grp", "l_orderkey AS member", "l_partkey AS shared"), "grp")
 
 
-register(
-    "g8_clusters_whole",
-    g8_whole,
-    """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS grp, l_orderkey AS member, l_partkey AS shared FROM lineitem), e AS (SELECT DISTINCT a.grp, a.member AS a, b.member AS b FROM p a JOIN p b ON a.grp = b.grp AND a.shared = b.shared),
-r AS (SELECT grp, a AS root, a AS node FROM e UNION SELECT r.grp, r.root, e.b FROM r JOIN e ON e.grp = r.grp AND e.a = r.node), m AS (SELECT grp, node, min(root) AS label FROM r GROUP BY 1, 2) SELECT grp, count(DISTINCT label) AS clusters FROM m GROUP BY 1""",
-)
+_SQL = """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS grp, l_orderkey AS member, l_partkey AS shared FROM lineitem), e AS (SELECT DISTINCT a.grp, a.member AS a, b.member AS b FROM p a JOIN p b ON a.grp = b.grp AND a.shared = b.shared),
+r AS (SELECT grp, a AS root, a AS node FROM e UNION SELECT r.grp, r.root, e.b FROM r JOIN e ON e.grp = r.grp AND e.a = r.node), m AS (SELECT grp, node, min(root) AS label FROM r GROUP BY 1, 2) SELECT grp, count(DISTINCT label) AS clusters FROM m GROUP BY 1"""
+for _name in ("g8_clusters", "g8_clusters_whole"):
+    register(_name, g8, _SQL)
 
 
 def g9(spark, d):

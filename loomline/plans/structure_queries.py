@@ -31,18 +31,20 @@ def marked_whole(spark, d):
 _L = rf"WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE string_split(regexp_replace(t, '\n$', ''), chr(10)) END AS ls FROM (SELECT doc_id, {MARK} AS t FROM documents))), m AS (SELECT *, regexp_matches(line, '^ {{0,3}}```') AS mk FROM l), f AS (SELECT *, mk OR sum(mk::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS fenced FROM m)"
 
 
-def f3(spark, d):
-    return st.lint_prose(marked(spark, d).filter("doc_id % 6 = 3"), "doc_id", "t")
-
-
-register("f3_prose", f3, "SELECT doc_id, unnest([1, 2, 3]) AS line_no, unnest(['TERM0', 'PLACEHOLDER', 'DOUBLED']) AS rule_id FROM documents WHERE doc_id % 6 = 3")
+#: The same over the texts of MARK_WHOLE.
+_LW = _L.replace(MARK, MARK_WHOLE)
 
 
-def f3_whole(spark, d):
+def f3(spark, d):
     return st.lint_prose(marked_whole(spark, d), "doc_id", "t")
 
 
-register("f3_prose_whole", f3_whole)
+_TERMS = " UNION ALL ".join(f"SELECT doc_id, line_no, 'TERM{i}' AS rule_id FROM c WHERE regexp_matches(clean, '{t}')" for i, t in enumerate(st.TERMS))
+_F3 = rf"""{_LW}, c AS (SELECT doc_id, line_no, regexp_replace(line, '`[^`]*`', ' __code__ ', 'g') AS clean FROM f WHERE NOT fenced), w AS (SELECT doc_id, line_no, regexp_split_to_array(lower(clean), '[^a-z]+') AS ws FROM c)
+{_TERMS} UNION ALL SELECT doc_id, line_no, 'PLACEHOLDER' FROM c WHERE regexp_matches(clean, '{st.PLACEHOLDER}')
+UNION ALL SELECT doc_id, line_no, 'DOUBLED' FROM w WHERE len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1] AND len(ws[i]) > 1)) > 0"""
+for _name in ("f3_prose", "f3_prose_whole"):
+    register(_name, f3, _F3)
 
 
 def f4(spark, d):
@@ -53,17 +55,15 @@ register("f4_fences", f4, f"{_L} SELECT doc_id, count(*) AS lines, count(*) FILT
 
 
 def f5(spark, d):
-    return st.check_tables(marked(spark, d).filter("doc_id % 6 < 4"), "doc_id", "t")
-
-
-register("f5_tables", f5, "SELECT doc_id, 4 AS line_no, 2 AS want, 3 AS got FROM documents WHERE doc_id % 6 = 1")
-
-
-def f5_whole(spark, d):
     return st.check_tables(marked_whole(spark, d), "doc_id", "t")
 
 
-register("f5_tables_whole", f5_whole)
+_F5 = rf"""{_LW}, c AS (SELECT doc_id, line_no, len(string_split(regexp_replace(regexp_replace(regexp_replace(line, '`[^`]*`', 'c', 'g'), '\\\|', 'c', 'g'), '^\s*\||\|\s*$', '', 'g'), '|')) AS cells,
+fenced OR NOT contains(line, '|') AS e, NOT fenced AND contains(line, '|') AND regexp_matches(line, '^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$') AS dl FROM f),
+w AS (SELECT *, last_value(CASE WHEN e THEN 0 WHEN dl THEN cells END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS want FROM c)
+SELECT doc_id, line_no, want, cells AS got FROM w WHERE want > 0 AND NOT dl AND NOT e AND cells <> want"""
+for _name in ("f5_tables", "f5_tables_whole"):
+    register(_name, f5, _F5)
 
 
 def f7_rows(spark, d):
@@ -145,17 +145,12 @@ register("f14_checklist", f14, "SELECT doc_id, unnest([2, 9]) AS line_no, unnest
 
 
 def f15(spark, d):
-    return st.missing_sections(marked(spark, d).filter("doc_id % 6 = 0"), "doc_id", "t", 5)
-
-
-register("f15_missing_sections", f15, "SELECT doc_id, unnest([2, 4, 5]) AS missing FROM documents WHERE doc_id % 6 = 0")
-
-
-def f15_whole(spark, d):
     return st.missing_sections(marked_whole(spark, d), "doc_id", "t", 5)
 
 
-register("f15_missing_sections_whole", f15_whole)
+_F15 = rf"""{_LW} SELECT doc_id, missing FROM (SELECT DISTINCT doc_id, unnest([1, 2, 3, 4, 5]) AS missing FROM f) EXCEPT SELECT doc_id, try_cast(regexp_extract(line, '^#+ *(\d+)\b', 1) AS INT) FROM f WHERE NOT fenced"""
+for _name in ("f15_missing_sections", "f15_missing_sections_whole"):
+    register(_name, f15, _F15)
 
 
 def f17(spark, d):
@@ -204,19 +199,13 @@ SELECT page_id, unnest(range(len(hs)))::INT AS n, unnest(list_transform(hs, lamb
 
 
 def w5(spark, d):
-    o = table(spark, d, "events").selectExpr("concat('d', user_id % 20) AS domain", "event_id AS ts", "CASE WHEN event_id % 3 = 0 THEN 'headless' ELSE 'static' END AS tier", "CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'shell' ELSE 'ok' END AS outcome").filter("ts < 600")
-    return pg.domain_strategy(o)
-
-
-register("w5_domain_strategy", w5, "WITH o AS (SELECT concat('d', user_id % 20) AS domain, event_id AS ts, CASE WHEN event_id % 3 = 0 THEN 'headless' ELSE 'static' END AS tier, CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'shell' ELSE 'ok' END AS outcome FROM events WHERE event_id < 600) SELECT domain, arg_max(tier, ts) FILTER (outcome = 'ok') AS tier, count(*) FILTER (outcome = 'ok') AS successes, bool_or(outcome = 'shell' OR (outcome = 'ok' AND tier = 'headless')) AS requires_js, least(0.5 * pow(2.0, count(*) FILTER (outcome = 'rate_limited')), 10.0) AS delay FROM o GROUP BY 1")
-
-
-def w5_whole(spark, d):
     o = table(spark, d, "events").selectExpr("concat('d', user_id % 20) AS domain", "event_id AS ts", "CASE WHEN event_id % 3 = 0 THEN 'headless' ELSE 'static' END AS tier", "CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'shell' ELSE 'ok' END AS outcome")
     return pg.domain_strategy(o)
 
 
-register("w5_domain_strategy_whole", w5_whole, "WITH o AS (SELECT concat('d', user_id % 20) AS domain, event_id AS ts, CASE WHEN event_id % 3 = 0 THEN 'headless' ELSE 'static' END AS tier, CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'shell' ELSE 'ok' END AS outcome FROM events) SELECT domain, arg_max(tier, ts) FILTER (outcome = 'ok') AS tier, count(*) FILTER (outcome = 'ok') AS successes, bool_or(outcome = 'shell' OR (outcome = 'ok' AND tier = 'headless')) AS requires_js, least(0.5 * pow(2.0, least(count(*) FILTER (outcome = 'rate_limited'), 10)), 10.0) AS delay FROM o GROUP BY 1")
+_W5 = "WITH o AS (SELECT concat('d', user_id % 20) AS domain, event_id AS ts, CASE WHEN event_id % 3 = 0 THEN 'headless' ELSE 'static' END AS tier, CASE event_type WHEN 'error' THEN 'rate_limited' WHEN 'signup' THEN 'shell' ELSE 'ok' END AS outcome FROM events) SELECT domain, arg_max(tier, ts) FILTER (outcome = 'ok') AS tier, count(*) FILTER (outcome = 'ok') AS successes, bool_or(outcome = 'shell' OR (outcome = 'ok' AND tier = 'headless')) AS requires_js, least(0.5 * pow(2.0, least(count(*) FILTER (outcome = 'rate_limited'), 10)), 10.0) AS delay FROM o GROUP BY 1"
+for _name in ("w5_domain_strategy", "w5_domain_strategy_whole"):
+    register(_name, w5, _W5)
 
 
 def w6(spark, d):

@@ -5,7 +5,7 @@ The tables hold few hits of the default rules, so some queries plant them with a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import net, text
@@ -79,19 +79,14 @@ FROM (SELECT doc_id, {PLANTED} AS t FROM documents)) WHERE hosts + paths > 0""",
 
 
 def p7(spark, d):
-    tagged = table(spark, d, "documents").filter("doc_id % 5 = 0").select("doc_id", F.concat("text", F.decode(F.unhex(F.lit("F3A08188F3A081A9F3A08080")), "UTF-8")).alias("t"))
-    return tagged.select("doc_id", text.decode_tags(F.col("t")).alias("r")).select("doc_id", "r.decoded", "r.n")
-
-
-register("p7_unicode_tags", p7, "SELECT doc_id, 'Hi' AS decoded, 3::BIGINT AS n FROM documents WHERE doc_id % 5 = 0")
-
-
-def p7_whole(spark, d):
     tagged = table(spark, d, "documents").select("doc_id", F.concat("text", F.decode(F.unhex(F.lit("F3A08188F3A081A9F3A08080")), "UTF-8")).alias("t"))
     return tagged.select("doc_id", text.decode_tags(F.col("t")).alias("r")).select("doc_id", "r.decoded", "r.n")
 
 
-register("p7_unicode_tags_whole", p7_whole)
+_P7 = r"""SELECT doc_id, concat(array_to_string(list_transform(regexp_extract_all(text, '[\x{E0020}-\x{E007E}]'), lambda c: chr(unicode(c) - 917504)), ''), 'Hi') AS decoded,
+3 + len(regexp_extract_all(text, '[\x{E0000}-\x{E007F}]')) AS n FROM documents"""
+for _name in ("p7_unicode_tags", "p7_unicode_tags_whole"):
+    register(_name, p7, _P7)
 
 P8_RULES = (("purchase|sign", "conversion"), ("^err", "failure"), ("click", "engagement"))
 
@@ -186,8 +181,8 @@ register("p13_external_url", p13, "SELECT page_id, page_id % 4 = 2 AS external F
 # ---- rule scans
 
 
-def f1_rows(spark, d):
-    return fi.scan_text(planted(spark, d), "doc_id", "t")
+def f1_rows(spark, d, *carry):
+    return fi.scan_text(planted(spark, d), "doc_id", "t", carry=carry)
 
 
 def f1(spark, d):
@@ -226,18 +221,11 @@ register("f18_doc_egress", f18, f"{_F1_CTE} SELECT doc_id, line_no, rule_id, sub
 
 
 def f2(spark, d):
-    marks = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("mark"))
-    return fi.canary_leaks(table(spark, d, "documents"), "doc_id", "text", marks, "item_id", "mark")
-
-
-register("f2_canaries", f2, "SELECT doc_id, item_id FROM documents d, (SELECT item_id, text[1:60] AS mark FROM benchmark) b WHERE contains(d.text, b.mark)")
-
-
-def f2_whole(spark, d):
     return fi.canary_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
-register("f2_canaries_whole", f2_whole, "SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)")
+for _name in ("f2_canaries", "f2_canaries_whole"):
+    register(_name, f2, "SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)")
 
 
 def f13(spark, d):
@@ -248,14 +236,11 @@ register("f13_verdict", f13, f"{_F1_CTE} SELECT doc_id, count(*) AS n_findings,
 
 
 def fingerprinted(spark, d):
-    f = f1_rows(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
-    return f.withColumn("fingerprint", fi.fingerprint(F.col("rule_id"), F.lit(""), F.col("subject")))
+    return f1_rows(spark, d, "source", "lang").withColumn("fingerprint", fi.fingerprint(F.col("rule_id"), F.lit(""), F.col("subject")))
 
 
 def j1(spark, d):
-    f = fingerprinted(spark, d)
-    parts = fi.partition_findings(f.filter("source <> 'src0'"), f.filter("source = 'src0'"))
-    return parts.groupBy("status").agg(F.count("*").alias("n"))
+    return fi.partition_flagged(fingerprinted(spark, d), F.col("source") == "src0").groupBy("status").agg(F.count("*").alias("n"))
 
 
 _FP = f"{_F1_CTE}, f AS (SELECT h.*, source, lang, sha256(concat_ws('|', rule_id, '', subject))[1:16] AS fingerprint FROM hits h JOIN documents USING (doc_id))"
@@ -276,8 +261,7 @@ register("j2_record_prune", j2, f"{_FP} SELECT fingerprint, rule_id, doc_id, lin
 
 
 def t1(spark, d):
-    f = fingerprinted(spark, d)
-    return fi.diff_sets(f.filter("doc_id % 2 = 0"), f.filter("doc_id % 2 = 1"), ["rule_id", "subject"]).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
+    return fi.diff_flagged(fingerprinted(spark, d), F.col("doc_id") % 2 == 1, ["rule_id", "subject"]).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
 
 
 register(
@@ -320,10 +304,11 @@ register("k6_ordered", k6, f"{_FP} SELECT CASE severity WHEN 'critical' THEN 0 W
 
 def flagship(spark, d):
     """Scan, fingerprint, gate against the baseline of one source, and count by rule and language."""
-    f = fingerprinted(spark, d)
-    known = f.filter("source = 'src0'").select("fingerprint").distinct()
-    fresh = f.filter("source <> 'src0'").join(known, "fingerprint", "left_anti")
-    return fresh.groupBy("rule_id", "lang").agg(F.count("*").alias("n"), F.countDistinct("fingerprint").alias("fingerprints"))
+    base = F.col("source") == "src0"
+    # a row for each fingerprint, rule and language, combined before the shuffle; then a fingerprint's few rows say whether the baseline has it
+    each = fingerprinted(spark, d).groupBy("fingerprint", "rule_id", "lang").agg(F.count_if(~base).alias("n"), F.bool_or(base).alias("base"))
+    fresh = each.withColumn("known", F.bool_or("base").over(Window.partitionBy("fingerprint"))).filter("not known and n > 0")
+    return fresh.groupBy("rule_id", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("fingerprints"))
 
 
 register("flagship", flagship, f"{_FP} SELECT rule_id, lang, count(*) AS n, count(DISTINCT fingerprint) AS fingerprints FROM f WHERE source <> 'src0' AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE source = 'src0') GROUP BY 1, 2")
