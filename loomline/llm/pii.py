@@ -5,8 +5,8 @@ The votes of the whole corpus are counted by pattern; expectation-maximisation o
 (kinds x vote patterns x span features) estimates how reliable each labeler is for each kind and how likely each pattern is personal data, and a logistic
 span classifier on votes, kind and span features is trained on those likelihoods. Base spans always stay; the classifier decides on the other candidates.
 
-Kinds with few candidates lean on what all kinds together show, and that on a stated prior (VOTE_PRIOR, WEIGHT_PRIOR): a kind never seen in training is
-admitted when its votes for outweigh those against by one at least.
+Kinds with few candidates lean on what all kinds together show, and that on a stated prior (VOTE_PRIOR): the form of a span is weak evidence, its context
+strong. A kind never seen in training is admitted when its votes outweigh PRIOR_BIAS, each by its log likelihood ratio in VOTE_PRIOR.
 
 Edge cases: null text is empty; texts without candidates get empty spans; a corpus without candidates trains nothing and leaves the
 prior. Repeated rows are handled each. Other columns are ignored.
@@ -68,11 +68,19 @@ NAMES = rf"(?:^|[\x20'’-])(?:{'|'.join([*GIVEN, *FAMILY])})(?:$|[\x20'’-])"
 #: Words that follow a title without naming a person.
 PLACES = r"\x20(?:Street|Hospital|University|Award|Avenue|Road|Institute|Clinic|School|Museum|Square|Park)$"
 PRIVATE = r"^(?:0*10|0*127|0*0|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|169\.254)\."
-#: P(vote -1, 0, +1) for other and for personal spans before any data, and how many votes that counts for.
-VOTE_PRIOR = ((0.4, 0.4, 0.2), (0.1, 0.3, 0.6))
+#: P(vote -1, 0, +1) of each labeler for other and for personal spans before any data, and how many votes that counts for.
+_FORM = ((0.3, 0.3, 0.4), (0.1, 0.2, 0.7))
+VOTE_PRIOR = (_FORM, _FORM, ((0.5, 0.4, 0.1), (0.03, 0.47, 0.5)), _FORM)
 PRIOR_VOTES = 20.0
-#: What the classifier's weights are drawn to: bias, each vote for, each vote against, each span feature, each kind.
-WEIGHT_PRIOR = (-0.5, 1.0, -1.0, 0.0, 0.0)
+#: How much of a labeler's evidence counts: three of them look at the same characters, so each counts by half.
+EVIDENCE = (0.5, 0.5, 1.0, 0.5)
+PRIOR_BIAS = -0.5
+
+
+def weight_prior() -> list[float]:
+    """What the classifier's weights are drawn to: the bias, each labeler's log likelihood ratios for and against; nothing for span features and kinds."""
+    ratio = lambda i, x: EVIDENCE[i] * math.log(VOTE_PRIOR[i][1][x] / VOTE_PRIOR[i][0][x])
+    return [PRIOR_BIAS, *[ratio(i, x) for i in range(len(LABELERS)) for x in (2, 0)], *[0.0] * (len(FEATURES) + len(KINDS))]
 
 
 def digits(value: Column) -> Column:
@@ -182,7 +190,7 @@ def em(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = 50) -> tupl
     is the personal one.
     """
     post = {(v, k): min(0.95, max(0.05, 0.4 + 0.15 * sum(v))) for v, k, _ in counts}
-    table: list[list[list[float]]] = [[list(row) for row in VOTE_PRIOR] for _ in LABELERS]
+    table: list[list[list[float]]] = [[list(row) for row in own] for own in VOTE_PRIOR]
     kinds = sorted({k for _, k, _ in counts})
     for _ in range(rounds if counts else 0):
         seen = {k: [[[0.0] * 3, [0.0] * 3] for _ in LABELERS] for k in kinds}
@@ -195,10 +203,10 @@ def em(counts: list[tuple[tuple[int, ...], int, int]], rounds: int = 50) -> tupl
             prior[k][1] += n * p
             prior[k][0] += n * (1 - p)
         mixed = lambda votes, drawn: [(a + PRIOR_VOTES * b) / (sum(votes) + PRIOR_VOTES) for a, b in zip(votes, drawn, strict=True)]
-        table = [[mixed([sum(seen[k][i][c][x] for k in kinds) for x in range(3)], VOTE_PRIOR[c]) for c in (0, 1)] for i in range(len(LABELERS))]
+        table = [[mixed([sum(seen[k][i][c][x] for k in kinds) for x in range(3)], VOTE_PRIOR[i][c]) for c in (0, 1)] for i in range(len(LABELERS))]
         own = {k: [[mixed(seen[k][i][c], table[i][c]) for c in (0, 1)] for i in range(len(LABELERS))] for k in kinds}
         for v, k, _ in counts:
-            log = [math.log(prior[k][c]) + sum(math.log(own[k][i][c][x + 1]) for i, x in enumerate(v)) for c in (0, 1)]
+            log = [math.log(prior[k][c]) + sum(EVIDENCE[i] * math.log(own[k][i][c][x + 1]) for i, x in enumerate(v)) for c in (0, 1)]
             post[v, k] = 1 / (1 + math.exp(max(-50, min(50, log[0] - log[1]))))
     return post, table
 
@@ -209,14 +217,13 @@ def features(v: tuple[int, ...], kind: int, more: tuple[int, ...] = (0,) * len(F
 
 
 def train(counts: list[tuple[tuple[int, ...], int, int]], post: dict, more: list[tuple[int, ...]] | None = None, steps: int = 300, rate: float = 0.5, l2: float = 0.02) -> list[float]:
-    """Logistic regression on the likelihoods, each pattern weighted by its count (damped, so that no kind drowns the others), with a ridge around WEIGHT_PRIOR.
+    """Logistic regression on the likelihoods, each pattern weighted by its count (damped, so that no kind drowns the others), with a ridge around weight_prior().
 
     more: the span features of each count."""
     more = more or [(0,) * len(FEATURES)] * len(counts)
     rows = [(features(v, k, f), post[v, k], math.sqrt(n)) for (v, k, n), f in zip(counts, more, strict=True)]
     total = sum(r[2] for r in rows) or 1.0
-    bias, good, bad, by_feature, by_kind = WEIGHT_PRIOR
-    drawn = [bias, *[good, bad] * len(LABELERS), *[by_feature] * len(FEATURES), *[by_kind] * len(KINDS)]
+    drawn = weight_prior()
     w = list(drawn)
     for _ in range(steps if rows else 0):
         grad = [l2 * (x - y) for x, y in zip(w, drawn, strict=True)]

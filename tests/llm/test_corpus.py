@@ -137,7 +137,7 @@ def test_em_recovers_reliable_labelers():
         counts[v] = counts.get(v, 0) + 1
     post, table = pii.em([(v, 0, n) for v, n in sorted(counts.items())])
     assert post[(1, 1, 1, 0), 0] > 0.9 and post[(-1, -1, -1, 0), 0] < 0.1
-    assert table[0][1][2] > table[2][1][2] > 0.7
+    assert table[0][1][2] > table[1][1][2] > 0.8  # 0.95 and 0.9; the third labeler's evidence counts twice as much
     w = pii.train([(v, 0, n) for v, n in counts.items()], post)
     assert w[1] > 0 > w[2]
 
