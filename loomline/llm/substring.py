@@ -56,12 +56,14 @@ def removal_intervals(docs: DataFrame, width: int = 20, gram: int = 6) -> DataFr
     hashed = settle(texts.select("doc_id", "text", "items").mapInArrow(windows, "doc_id long, at long, copies long, h1 long, h2 int"), "word-windows")
     # a window at one place alone stays there: its copies go with the later runs of its stretch
     counted = hashed.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.count("*").alias("places"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1 and places > 1")
-    again = hashed.join(counted.select("h1", "h2", "first"), ["h1", "h2"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
+    twice = settle(counted.select("h1", "h2", "first"), "word-twice")
+    likely = KeyFilter(twice, "h1").split(hashed, "h1")[0]  # only windows at two places or more are shuffled again
+    again = likely.join(twice, ["h1", "h2"]).filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
     again = again.select("doc_id", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
     # the windows of a later run have been counted with the first one's, so none of them is the earliest
     later = later_runs(some, stretches).select("doc_id", "lo", (F.col("lo") + F.col("n") * F.col("times") + (width - 1)).alias("hi"))
     found = settle(by_document(later.unionByName(again), "lo", "hi"), "word-removals")
-    forget(some, stretches, places, hashed)
+    forget(some, stretches, places, hashed, twice)
     return found
 
 
