@@ -109,20 +109,33 @@ def scan_text(docs: DataFrame, key: str, text: str, rules: Sequence[Rule] = DEFA
 
 
 def canary_leaks(texts: DataFrame, key: str, text: str, canaries: DataFrame, canary_key: str, canary: str, words: int = 4) -> DataFrame:
-    """(key, canary_key) for every marker present in a text; neither side has a limit. A marker in a text shares its inner words (all but its first and last, which may go on in the text),
-    so candidates are joined by the hash of its first `words` inner words; a marker with fewer by the hash of its first characters, 12 at most. Candidates are then verified on whole texts."""
-    marks = canaries.select(F.col(canary_key).alias("__c"), F.col(canary).alias("__mark")).filter(F.length("__mark") > 0)
+    """(key, canary_key) for every marker present in a text; neither side has a limit. A text that holds a marker holds all its grams: runs of `words` inner words (the first and last may
+    go on in the text), or, for a marker with fewer words, of 8, 4, 2 characters or one. Candidates share the marker's gram that fewest markers have, and are verified on whole texts."""
     split = lambda x: F.split(x, r"\s+", -1)
-    marks = marks.withColumn("__w", split(F.col("__mark"))).withColumn("__n", F.when(F.size("__w") >= words + 2, 0).otherwise(F.least(F.length("__mark"), F.lit(12))))
-    anchor = F.when(F.col("__n") == 0, F.array_join(F.slice("__w", 2, words), " ")).otherwise(F.left("__mark", F.col("__n")))
-    marks = marks.select("__c", "__mark", "__n", F.xxhash64("__n", anchor).alias("__h"))
+    none = F.array().cast("array<bigint>")
+    by_words = F.when(F.size("__w") >= words + 2, F.transform(F.sequence(F.lit(2), F.size("__w") - words), lambda i: F.xxhash64(F.lit(0), F.array_join(F.slice("__w", i, words), " ")))).otherwise(none)
+
+    def by_chars(column: str, n: int) -> Column:
+        hashed = F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda i: F.xxhash64(F.lit(n), F.substr(column, i, F.lit(n))))
+        return F.when(F.length(column) >= n, hashed).otherwise(none)
+
+    marks = canaries.select(F.col(canary_key).alias("__c"), F.col(canary).alias("__mark")).filter(F.length("__mark") > 0).withColumn("__w", split(F.col("__mark")))
+    kind = F.when(F.size("__w") >= words + 2, 0)
+    for n in (8, 4, 2, 1):
+        kind = kind.when(F.length("__mark") >= n, n)
+    marks = marks.withColumn("__n", kind)
+    kinds = sorted(r["__n"] for r in marks.select("__n").distinct().collect())  # 5 numbers at most
+    if not kinds:
+        return texts.select(key).crossJoin(canaries.select(canary_key)).filter("false")
+    own = by_words
+    for n in kinds:
+        own = F.when(F.col("__n") == n, by_chars("__mark", n)).otherwise(own) if n else own
+    grams = marks.select("__c", "__mark", F.explode(F.array_distinct(own)).alias("__h"))
+    rarest = grams.join(grams.groupBy("__h").agg(F.count("*").alias("__f")), "__h").groupBy("__c", "__mark").agg(F.min(F.struct("__f", "__h")).alias("g"))
     docs = texts.select(F.col(key).alias("__t"), F.col(text).alias("__text"))
-    grams = F.when(F.size("__w") >= words + 2, F.transform(F.sequence(F.lit(2), F.size("__w") - words), lambda i: F.xxhash64(F.lit(0), F.array_join(F.slice("__w", i, words), " "))))
-    windows = docs.select("__t", split(F.col("__text")).alias("__w")).select("__t", F.explode(F.array_distinct(grams)).alias("__h"))
-    for (n,) in marks.filter("__n > 0").select("__n").distinct().collect():  # 12 numbers at most
-        chars = F.transform(F.sequence(F.lit(1), F.length("__text") - n + 1), lambda i: F.xxhash64(F.lit(n), F.substr("__text", i, F.lit(n))))  # noqa: B023
-        windows = windows.unionByName(docs.filter(F.length("__text") >= n).select("__t", F.explode(F.array_distinct(chars)).alias("__h")))
-    candidates = windows.join(marks.select("__h", "__c").distinct(), "__h").select(F.col("__t").alias("__kt"), F.col("__c").alias("__kc")).distinct()
+    every = F.concat(*[by_chars("__text", n) if n else by_words for n in kinds])
+    windows = docs.withColumn("__w", split(F.col("__text"))).select("__t", F.explode(F.array_distinct(every)).alias("__h"))
+    candidates = windows.join(rarest.select(F.col("g.__h").alias("__h"), "__c").distinct(), "__h").select(F.col("__t").alias("__kt"), F.col("__c").alias("__kc")).distinct()
     found = candidates.join(marks.select("__c", "__mark"), F.col("__kc").eqNullSafe(F.col("__c"))).join(docs, F.col("__kt").eqNullSafe(F.col("__t")))
     return found.filter("instr(__text, __mark) > 0").select(F.col("__t").alias(key), F.col("__c").alias(canary_key))
 

@@ -5,22 +5,36 @@ Iterations are Spark jobs; the driver sees one number a step. Lineage is cut by
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; a folder is set only where the session names none."""
+    """A checkpoint in the shared folder of spark.checkpoint.dir. Where the session names none, one is made on a single machine; on a cluster that is an error, since
+    executors don't see the driver's folders."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="loomline-"))
     return df.checkpoint()
 
 
+def number_rows(rows: DataFrame, order: Sequence[str | Column], name: str, start: int = 1) -> DataFrame:
+    """Rows numbered from `start` in the given order, by range partitions: each numbers its own, after the counts of those before it."""
+    ranged = settled(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))  # settled, so that counts and numbers see the same ranges
+    counts = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = counts.withColumn("__before", F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).drop("__c")  # one row a partition
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return ranged.withColumn("__n", own).join(before, "__p").withColumn(name, F.col("__n") + F.col("__before") + (start - 1)).drop("__p", "__n", "__before")
+
+
 def build_edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """Distinct edges from references by name: a candidate in the same file first, else the first one; no self edges.
     nodes: id, name, file; refs: src, name, file."""
@@ -118,13 +132,17 @@ def unreferenced(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] = ("CA
 
 
 def components(pairs: DataFrame, group: str) -> DataFrame:
-    """Clusters of each group (member, shared): members joined by a shared thing, by smallest label over the bipartite graph to a fixed point. Groups of one member have 1."""
+    """Clusters of each group (member, shared): members joined by a shared thing, by smallest label over the bipartite graph to a fixed point. Groups of one member have 1.
+
+    A round takes the smallest label over the shared things, then the label's own label, so long chains close in logarithmically many rounds."""
     labels = settled(pairs.select(group, "member").distinct().withColumn("label", F.col("member")))
     rows = settled(pairs.select(group, "member", "shared").distinct())
     while True:
         low = rows.join(labels, [group, "member"]).groupBy(group, "shared").agg(F.min("label").alias("low"))
         new = rows.join(low, [group, "shared"]).groupBy(group, "member").agg(F.min("low").alias("low"))
-        moved = settled(labels.join(new, [group, "member"], "left").select(group, "member", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label")).alias("label")))
+        lower = labels.join(new, [group, "member"], "left").select(group, "member", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label")).alias("label"))
+        jump = labels.select(group, F.col("member").alias("label"), F.col("label").alias("further"))
+        moved = settled(lower.join(jump, [group, "label"], "left").select(group, "member", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = moved.drop("was")
         if moved.filter("was <> label").isEmpty():
             return labels.groupBy(group).agg(F.countDistinct("label").alias("clusters"))
@@ -132,14 +150,20 @@ def components(pairs: DataFrame, group: str) -> DataFrame:
 
 def materialise(ops: DataFrame, key: str) -> DataFrame:
     """Trees from change logs: key, node, parent, deleted, rejected. The first insert of a node wins, a delete is a tombstone, moves apply in order of (lamport, agent, node, parent);
-    one that would make a cycle is rejected; repeats are ignored. ops: key, op (insert, delete, move), node, parent, lamport, agent. One replay a tree, since each move depends on those before."""
+    one that would make a cycle is rejected; repeats are ignored. `place` numbers siblings by (pos, node) where ops have a pos, else by node; `absent` says that a node was last put
+    under a parent that no insert made, so it stands at the root. ops: key, op (insert, delete, move), node, parent, lamport, agent and, if wanted, pos. One replay a tree, since each move
+    depends on those before."""
+    with_pos = "pos" in ops.columns
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates().sort_values(["lamport", "agent", "node", "parent"])
         parent: dict[str, str] = {}
+        pos: dict[str, str] = {}
         dead, bad = set(), dict.fromkeys(pdf["node"], 0)
         for r in pdf[pdf["op"] == "insert"].itertuples():
-            parent.setdefault(r.node, r.parent)
+            if r.node not in parent:
+                parent[r.node], pos[r.node] = r.parent, (r.pos or "") if with_pos else ""
+        lost = {n for n, p in parent.items() if p and p not in parent}
         parent = {n: p if p in parent else "" for n, p in parent.items()}
         for r in pdf[pdf["op"] != "insert"].itertuples():
             if r.node not in parent:
@@ -153,8 +177,15 @@ def materialise(ops: DataFrame, key: str) -> DataFrame:
             if at == r.node:
                 bad[r.node] += 1
             else:
+                (lost.add if r.parent and r.parent not in parent else lost.discard)(r.node)
                 parent[r.node] = r.parent if r.parent in parent else ""
-        return pd.DataFrame([(pdf[key].iloc[0], n, p, n in dead, bad[n]) for n, p in sorted(parent.items())], columns=[key, "node", "parent", "deleted", "rejected"])
+                pos[r.node] = (r.pos or "") if with_pos else ""
+        place: dict[str, int] = {}
+        seen: dict[str, int] = {}
+        for n in sorted(parent, key=lambda n: (parent[n], pos[n], n)):
+            place[n] = seen[parent[n]] = seen.get(parent[n], 0) + 1
+        return pd.DataFrame([(pdf[key].iloc[0], n, p, n in dead, bad[n], place[n], n in lost) for n, p in sorted(parent.items())], columns=[key, "node", "parent", "deleted", "rejected", "place", "absent"])
 
     kind = ops.schema[key].dataType.simpleString()
-    return ops.select(key, "op", "node", "parent", "lamport", "agent").groupBy(key).applyInPandas(replay, f"{key} {kind}, node string, parent string, deleted boolean, rejected int")
+    columns = ["op", "node", "parent", "lamport", "agent", *(["pos"] if with_pos else [])]
+    return ops.select(key, *columns).groupBy(key).applyInPandas(replay, f"{key} {kind}, node string, parent string, deleted boolean, rejected int, place int, absent boolean")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compat_series, semver
+from .findings import canary_leaks
 
 
 def classify_paths(paths: DataFrame, key: str, path: str, prefixes: DataFrame, default: Column) -> DataFrame:
@@ -19,15 +20,16 @@ def classify_paths(paths: DataFrame, key: str, path: str, prefixes: DataFrame, d
     return paths.join(best, key, "left").select(key, F.coalesce("b.kind", default).alias("kind"), F.when(F.col("b").isNotNull(), F.concat(F.lit("declared:"), F.col("b.prefix"))).otherwise("location").alias("provenance"))
 
 
-def match_titles(items: DataFrame, key: str, title: str, matrix: DataFrame, max_broadcast: int = 10_000) -> DataFrame:
-    """Sizing of each item from matrix (name, size): by the normalised title, else by containment either way where exactly one name fits."""
-    if matrix.limit(max_broadcast + 1).count() > max_broadcast:
-        raise ValueError(f"more than {max_broadcast} names to contain")
+def match_titles(items: DataFrame, key: str, title: str, matrix: DataFrame) -> DataFrame:
+    """Sizing of each item from matrix (name, size): by the normalised title, else by containment either way where exactly one name fits.
+    Containment is an equi-join on pieces of the names and titles, then verified; neither side has a limit."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
     a, m = items.select(key, norm(F.col(title)).alias("__t")), matrix.select(norm(F.col("name")).alias("__n"), "size")
     exact = a.join(m, F.col("__t") == F.col("__n")).select(key, "size", F.lit("exact").alias("how"))
     rest = a.join(exact.select(key), key, "left_anti").filter("__t <> ''")
-    near = rest.join(F.broadcast(m.filter("__n <> ''")), F.expr("instr(__t, __n) > 0 or instr(__n, __t) > 0"))
+    titles, names = rest.select(F.col("__t").alias("title")).distinct(), m.filter("__n <> ''").select(F.col("__n").alias("name")).distinct()
+    inside = canary_leaks(titles, "title", "title", names, "name", "name").unionByName(canary_leaks(names, "name", "name", titles, "title", "title")).distinct()
+    near = rest.join(inside, F.col("__t") == F.col("title")).join(m, F.col("name") == F.col("__n"))
     return exact.unionByName(near.groupBy(key).agg(F.count("*").alias("c"), F.max("size").alias("size")).filter("c = 1").select(key, "size", F.lit("contained").alias("how")))
 
 
@@ -101,14 +103,14 @@ def migrate_args(calls: DataFrame, args: str, renames: Mapping[str, str], to_lis
 def validate_spans(spans: DataFrame, types: DataFrame, attributes: DataFrame) -> DataFrame:
     """Findings on attribute maps: span_id, issue, subject. spans: span_id, span_type, kind, attributes; types: span_type, kind, required (array);
     attributes: name, type (string, int, bool), replaced_by (null if current), allowed (array, null for any)."""
-    s = spans.join(F.broadcast(types.withColumnRenamed("kind", "want")), "span_type", "left")
+    s = spans.join(types.withColumnRenamed("kind", "want"), "span_type", "left")
     of_span = F.array(
         F.when(F.col("want").isNull(), F.struct(F.lit("unknown_type").alias("issue"), F.col("span_type").alias("subject"))),
         F.when(F.col("want") != F.col("kind"), F.struct(F.lit("wrong_kind").alias("issue"), F.col("kind").alias("subject"))),
     )
     missing = F.transform(F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda r: ~F.map_contains_key("attributes", r)), lambda r: F.struct(F.lit("missing").alias("issue"), r.alias("subject")))
     first = s.select("span_id", F.explode(F.concat(F.filter(of_span, lambda x: x.isNotNull()), missing)).alias("f")).select("span_id", "f.*")
-    each = spans.select("span_id", F.explode("attributes").alias("name", "value")).join(F.broadcast(attributes), "name", "left")
+    each = spans.select("span_id", F.explode("attributes").alias("name", "value")).join(attributes, "name", "left")
     bad_type = ((F.col("type") == "int") & ~F.col("value").rlike(r"^-?\d+$")) | ((F.col("type") == "bool") & ~F.col("value").isin("true", "false"))
     issue = F.when(F.col("type").isNull(), "unknown_attribute").when(F.col("replaced_by").isNotNull(), "deprecated").when(bad_type, "wrong_type").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("value")), "undeclared_value")
     return first.unionByName(each.select("span_id", issue.alias("issue"), F.col("name").alias("subject")).filter("issue is not null"))
@@ -118,14 +120,14 @@ def validate_calls(calls: DataFrame, contract: DataFrame) -> DataFrame:
     """Findings on call arguments: call_id, issue, param. calls: call_id, tool, args map<string,string>;
     contract: tool, param, type, required, max_len, low, high. A wrong type stops further checks of that parameter."""
     tools = contract.select("tool").distinct()
-    unknown = calls.join(F.broadcast(tools), "tool", "left_anti").select("call_id", F.lit("unknown_tool").alias("issue"), F.col("tool").alias("param"))
-    known = calls.join(F.broadcast(tools), "tool", "left_semi")
+    unknown = calls.join(tools, "tool", "left_anti").select("call_id", F.lit("unknown_tool").alias("issue"), F.col("tool").alias("param"))
+    known = calls.join(tools, "tool", "left_semi")
     given = known.select("call_id", "tool", F.explode("args").alias("param", "value"))
     wrong = (F.col("type") == "int") & ~F.col("value").rlike(r"^-?\d+$")
     number = F.col("value").try_cast("double")
     issue = F.when(F.col("type").isNull(), "extra").when(wrong, "type").when(F.length("value") > F.col("max_len"), "too_long").when((F.col("type") == "int") & ((number < F.col("low")) | (number > F.col("high"))), "range")
-    judged = given.join(F.broadcast(contract), ["tool", "param"], "left").select("call_id", issue.alias("issue"), "param").filter("issue is not null")
-    missing = known.select("call_id", "tool").join(F.broadcast(contract.filter("required").select("tool", "param")), "tool").join(given.select("call_id", "param"), ["call_id", "param"], "left_anti").select("call_id", F.lit("missing").alias("issue"), "param")
+    judged = given.join(contract, ["tool", "param"], "left").select("call_id", issue.alias("issue"), "param").filter("issue is not null")
+    missing = known.select("call_id", "tool").join(contract.filter("required").select("tool", "param"), "tool").join(given.select("call_id", "param"), ["call_id", "param"], "left_anti").select("call_id", F.lit("missing").alias("issue"), "param")
     return unknown.unionByName(judged).unionByName(missing)
 
 

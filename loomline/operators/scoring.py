@@ -277,9 +277,12 @@ def retain(ledger: DataFrame, order: str, keep: int = 100) -> DataFrame:
 
 def slo_state(history: DataFrame, objectives: DataFrame, critical_burn: float = 2.0, min_iterations: int = 3, slack: float = 0.05) -> DataFrame:
     """Error-budget state of each objective over its last iterations. history: iteration, sli, good, valid; objectives: sli, target, window, min_valid."""
-    steps = history.select("iteration").distinct().withColumn("age", F.row_number().over(Window.orderBy(F.desc("iteration"))))
-    n = steps.agg(F.count("*").alias("n_all"))
-    inside = history.join(steps, "iteration").join(F.broadcast(objectives), "sli").filter("age <= window")
+    iterations = history.select("iteration").distinct()
+    n = iterations.agg(F.count("*").alias("n_all"))
+    longest = objectives.agg(F.coalesce(F.max("window"), F.lit(0))).first()[0]
+    newest = iterations.orderBy(F.desc("iteration")).limit(int(longest))  # as many as the longest window, whatever the history
+    steps = newest.withColumn("age", F.row_number().over(Window.orderBy(F.desc("iteration"))))
+    inside = history.join(steps, "iteration").join(objectives, "sli").filter("age <= window")
     sums = inside.groupBy("sli").agg(F.sum("good").alias("good"), F.sum("valid").alias("valid"))
     s = objectives.join(sums, "sli", "left").crossJoin(F.broadcast(n)).withColumn("n", F.least("n_all", "window")).fillna(0, ["good", "valid"])
     s = s.withColumn("observed", F.when(F.col("valid") == 0, 1.0).otherwise(F.col("good") / F.col("valid")))

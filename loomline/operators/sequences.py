@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import number_rows
+
 
 def convergence(steps: DataFrame, by: str, order: str) -> DataFrame:
     """Per step: repeat_of (order of the first step with that state), new_rules (against the step before, only if that had any), rising (violations rose twice running).
@@ -34,7 +36,7 @@ def accumulate(items: DataFrame, value: str, order: Sequence[str], by: str | Non
     at = F.struct(*order)
     keys = [by] if by else []
     first = items.groupBy(*keys, value).agg(F.min(at).alias("__first"))
-    number = first.withColumn("number", F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("__first")))
+    number = first.withColumn("number", F.row_number().over(Window.partitionBy(by).orderBy("__first", value))) if by else number_rows(first, ["__first", value], "number")
     return items.join(number, [*keys, value]).withColumn("repeat", at > F.col("__first")).drop("__first")
 
 
@@ -104,7 +106,7 @@ def incremental(current: DataFrame, index: DataFrame, key: str, content: str) ->
 
 def merge_backlog(items: DataFrame, backlog: DataFrame, order: str, start: int = 2001) -> DataFrame:
     """The backlog with its roadmap rows replaced by the items, numbered from `start`. items: title; backlog: number, title, kind."""
-    fresh = items.select((F.row_number().over(Window.orderBy(order)) + (start - 1)).cast("long").alias("number"), "title", F.lit("roadmap").alias("kind"))
+    fresh = number_rows(items.select("title", order) if order != "title" else items.select("title"), [order], "number", start).select(F.col("number").cast("long").alias("number"), "title", F.lit("roadmap").alias("kind"))
     return backlog.filter("kind <> 'roadmap'").select(F.col("number").cast("long").alias("number"), "title", "kind").unionByName(fresh)
 
 
@@ -156,6 +158,27 @@ def perturb_insert(text: Column, key: Column, snippets: Sequence[str], seed: int
     return F.array_join(F.array_insert(lines, at + 1, pick), "\n")
 
 
+def perturb_dilute(text: Column, key: Column, filler: Sequence[str], intensity: float, seed: int) -> Column:
+    """Filler sentences after lines of a text, so that a share of `intensity` of its lines is followed by one; key, seed and line number decide which."""
+    lines = F.split(text, "\n", -1)
+    h = lambda i: F.pmod(F.xxhash64(key, F.lit(seed), i), F.lit(1 << 30))
+    pick = lambda i: F.element_at(F.array(*map(F.lit, filler)), ((h(i) / 1009).cast("long") % len(filler) + 1).cast("int"))
+    return F.array_join(F.transform(lines, lambda x, i: F.when(h(i) % 1000 < int(1000 * intensity), F.concat(x, F.lit("\n"), pick(i))).otherwise(x)), "\n")
+
+
+def perturb_inject(text: Column, key: Column, instructions: Sequence[str], seed: int, fence: str = "<!-- {} -->") -> Column:
+    """An instruction that the text should not carry, wrapped and inserted as a line at a place that key and seed decide."""
+    return perturb_insert(text, key, [fence.format(x) for x in instructions], seed)
+
+
+def perturb_trap(text: Column, intensity: float, step: str = "if condition_{}:") -> Column:
+    """A complexity trap: a nest of conditions before the text, 1 to 12 levels deep by intensity, with the text's first line inside."""
+    depth = max(1, min(12, round(12 * intensity)))
+    nest = "\n".join("    " * i + step.format(i) for i in range(depth))
+    lines = F.split(text, "\n", -1)
+    return F.concat_ws("\n", F.lit(nest), F.concat(F.lit("    " * depth), F.get(lines, F.lit(0))), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "\n"))
+
+
 def classify_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classified, rejects): renamed with its replacement, moved, removed; what can't be read is a reject. notes: key, note."""
     n = F.col("note")

@@ -75,11 +75,14 @@ def split_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     return g.select(key, "section", F.coalesce(F.length(F.regexp_extract("head", r"^(#+)", 1)), F.lit(0)).alias("level"), F.coalesce(F.trim(F.regexp_replace("head", r"^#+", "")), F.lit("")).alias("heading"), "first_line", "last_line", "tokens")
 
 
-def attribute_gates(gates: DataFrame, sections: DataFrame, key: str, default: str = "unattributed") -> DataFrame:
-    """The first section of each document that names a gate's code, or else one of its keywords of over 3 letters, in its heading. gates: gate, code, keywords (a small rule table)."""
+def attribute_gates(gates: DataFrame, sections: DataFrame, key: str, default: str = "unattributed", max_gates: int = 1_000) -> DataFrame:
+    """The first section of each document that names a gate's code, or else one of its keywords of over 3 letters, in its heading. gates: gate, code, keywords
+    (declared rules: the result has a row for each document and gate, so more than max_gates are refused)."""
+    if gates.limit(max_gates + 1).count() > max_gates:
+        raise ValueError(f"more than {max_gates} gates")
     words = F.filter("keywords", lambda w: F.length(w) > 3)
     hit = F.col("heading").contains(F.col("code")) | F.exists(words, lambda w: F.lower("heading").contains(F.lower(w)))
-    pairs = sections.select(key, "section", "heading").crossJoin(F.broadcast(gates)).filter(hit)  # gates are declared rules, a few dozen rows
+    pairs = sections.select(key, "section", "heading").crossJoin(F.broadcast(gates)).filter(hit)
     best = pairs.groupBy(key, "gate").agg(F.min_by("heading", F.struct(F.when(F.col("heading").contains(F.col("code")), 0).otherwise(1), "section")).alias("heading"))
     all_ = sections.select(key).distinct().crossJoin(F.broadcast(gates.select("gate")))
     return all_.join(best, [key, "gate"], "left").select(key, "gate", F.coalesce("heading", F.lit(default)).alias("heading"))
@@ -92,17 +95,31 @@ def ablation(sections: DataFrame) -> DataFrame:
     return sections.withColumn("action", action).withColumn("saved", saved)
 
 
-def normalise_line(line: Column) -> Column:
-    """Identifiers to <ID>, numbers and strings to <LIT>, keywords kept, white space single; comment lines are empty."""
-    keywords = "if|else|for|while|return|def|class|import|from|in|and|or|not|the"
+# Keywords that normalisation keeps, by language.
+KEYWORDS = {
+    "any": "if|else|for|while|return|def|class|import|from|in|and|or|not|the",
+    "python": "if|elif|else|for|while|return|def|class|import|from|as|in|is|and|or|not|with|try|except|finally|raise|lambda|yield|pass|break|continue|None|True|False",
+    "javascript": "if|else|for|while|do|return|function|class|import|from|export|const|let|var|new|this|try|catch|finally|throw|switch|case|break|continue|null|true|false",
+    "java": "if|else|for|while|do|return|class|interface|import|package|public|private|protected|static|final|void|new|this|try|catch|finally|throw|switch|case|break|continue|null|true|false",
+    "go": "if|else|for|range|return|func|package|import|type|struct|interface|var|const|go|defer|switch|case|break|continue|nil|true|false",
+    "rust": "if|else|for|while|loop|return|fn|struct|enum|impl|trait|use|mod|pub|let|mut|match|break|continue|true|false",
+}
+COMMENTS = {"python": r"^#", "any": r"^(#|//)"}
+
+
+def normalise_line(line: Column, language: str = "any") -> Column:
+    """Identifiers to <ID>, numbers and strings to <LIT>, the language's keywords kept, white space single; comment lines are empty."""
+    keywords = KEYWORDS[language]
     lits = F.regexp_replace(F.regexp_replace(line, r"\"[^\"]*\"|'[^']*'", "0"), r"\b[0-9]+(?:\.[0-9]+)?\b", "<LIT>")
     ids = F.regexp_replace(lits, rf"(?<![<\w])(?!(?:{keywords})\b)[A-Za-z_]\w*(?!\w*>)", "<ID>")
-    return F.when(F.trim(line).rlike(r"^(#|//)"), "").otherwise(F.trim(F.regexp_replace(F.regexp_replace(ids, r"\b0\b", "<LIT>"), r"\s+", " ")))
+    return F.when(F.trim(line).rlike(COMMENTS.get(language, r"^(//|/\*|\*)")), "").otherwise(F.trim(F.regexp_replace(F.regexp_replace(ids, r"\b0\b", "<LIT>"), r"\s+", " ")))
 
 
-def clone_groups(docs: DataFrame, key: str, text: str, size: int = 6, minimum: int = 2) -> DataFrame:
-    """Windows of `size` consecutive non-empty lines that stand at `minimum` places or more: fingerprint, sites."""
-    rows = exploded_lines(docs, key, text).filter(F.trim("line") != "").withColumn("line", F.trim("line"))
+def clone_groups(docs: DataFrame, key: str, text: str, size: int = 6, minimum: int = 2, language: str | None = None) -> DataFrame:
+    """Windows of `size` consecutive non-empty lines that stand at `minimum` places or more: fingerprint, sites. With a language, lines are compared as normalise_line() leaves them,
+    so copies with other names and literals are clones too, and comment lines don't count."""
+    shape = F.trim("line") if language is None else normalise_line(F.col("line"), language)
+    rows = exploded_lines(docs, key, text).withColumn("line", shape).filter("line <> ''")
     ahead = Window.partitionBy(key).orderBy("line_no").rowsBetween(0, size - 1)
     w = rows.select(key, "line_no", F.collect_list("line").over(ahead).alias("ls")).filter(F.size("ls") == size)
     w = w.select(key, "line_no", F.sha2(F.array_join("ls", "\n"), 256).alias("fingerprint"))

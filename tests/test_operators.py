@@ -141,7 +141,7 @@ def test_tree_replay_rejects_cycles_whatever_the_order(spark):
         got = sorted(map(tuple, graph.materialise(df, "k").collect()))
         assert want in (None, got)
         want = got
-    assert want == [("t", "a", "", False, 1), ("t", "b", "a", False, 0), ("t", "c", "", True, 0)]
+    assert want == [("t", "a", "", False, 1, 1, False), ("t", "b", "a", False, 0, 1, False), ("t", "c", "", True, 0, 2, True)]
 
 
 def test_audit_source_fails_on_a_malformed_line(spark):
