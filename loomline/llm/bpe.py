@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -71,6 +71,16 @@ class Transducer:
         self.moves: list[dict[int, int]] = [{}]
         self.last: list[tuple[int, int]] = [(-1, 0)]  # on arrival: the last token and its length
 
+    def _forget_but(self, at: int) -> int:
+        """Start over in the middle of a piece, keeping the state reached; its new number."""
+        state, last = self.states[at], self.last[at]
+        self._forget()
+        to = self.number[state, last[1]] = len(self.states)
+        self.states.append(state)
+        self.moves.append({})
+        self.last.append(last)
+        return to
+
     def made_of(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge is t; None for a single byte. A token that merging never builds maps to (-1, -1)."""
         if t not in self.halves:
@@ -137,14 +147,17 @@ class Transducer:
         """Ids of one piece. Every `lookahead` bytes, tokens that all live hypotheses share leave the buffer."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) >= self.max_states:
-            self._forget()
         at, out, due = 0, [], lookahead
         last: list[tuple[int, int]] = []  # (last token, its length) at each position not settled
         moves, arrive = self.moves, self.last
         for byte in piece:
             to = moves[at].get(byte)
-            at = self._move(at, byte) if to is None else to
+            if to is None:
+                to = self._move(at, byte)
+                if len(self.states) > self.max_states:
+                    to = self._forget_but(to)
+                    moves, arrive = self.moves, self.last
+            at = to
             last.append(arrive[at])
             if len(last) >= due:
                 settled = self._settled(last, [len(last) - n for _, _, n in self.states[at]])
@@ -260,20 +273,20 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 
     def run(batches):
         encoder = encoder_of(ranks_path, pattern)
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 ids = encoder.encode(text)
                 digest, stream, ok, at = hashlib.sha256(), Utf8Stream(), True, 0
-                for part in encoder.decode(ids):
-                    digest.update(part)
-                    piece = stream.feed(part)
+                for some in encoder.decode(ids):
+                    digest.update(some)
+                    piece = stream.feed(some)
                     ok, at = ok and text.startswith(piece, at), at + len(piece)
                 piece = stream.close()
                 ok = ok and text[at:] == piece
                 rows.append((ids.tolist() if keep_ids else None, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), digest.hexdigest(), ok))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.list_(pa.int64()), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_text_ok"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_text_ok"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<long>, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_text_ok boolean")

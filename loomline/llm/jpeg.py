@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, raw_texts, slices
 
 OFFSET = 256
 #: (first, last) coefficient of each AC scan band.
@@ -385,15 +385,16 @@ def media_table(docs: DataFrame, with_tensor: bool = True) -> DataFrame:
 
     Null text counts as empty; equal texts give equal media.
     """
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary(), "height": pa.int32(), "width": pa.int32(), "rgb": pa.binary()}
 
     def run(batches):
-        for batch in batches:
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass")
+        for part in (part for batch in batches for part in slices(batch)):
+            rows = []
+            for raw in raw_texts(part):
                 media = write_jpeg(pad(raw), b"bytes=%d" % len(raw))
                 rgb = read_jpeg(media).rgb() if with_tensor else None
-                row = [batch.column("doc_id")[i].as_py(), len(raw), media, *((rgb.shape[0], rgb.shape[1], rgb.tobytes()) if with_tensor else (None,) * 3)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "media", "height", "width", "rgb"])
+                rows.append((len(raw), media, *((rgb.shape[0], rgb.shape[1], rgb.tobytes()) if with_tensor else (None,) * 3)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, kinds[k]) for k, c in zip(list(kinds)[1:], zip(*rows, strict=True), strict=True)]], list(kinds))
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, height int, width int, rgb binary")
 
@@ -403,10 +404,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "rgb_crc32": pa.int64()}
 
     def run(batches):
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+            for doc_id, raw in zip(part.column("doc_id").to_pylist(), raw_texts(part), strict=True):
                 media = write_jpeg(pad(raw), b"bytes=%d" % len(raw))
                 image = read_jpeg(media)
                 n = int(image.comment[6:])

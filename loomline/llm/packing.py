@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, settle
+from .common import id_and_text, settle, slices
 
 
 def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
@@ -59,9 +59,9 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048,
 
     def run(batches):
         encode = byte_bpe(ranks_path, pattern, added)
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode(text), end_id], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].data)))

@@ -346,6 +346,14 @@ def test_transducer_on_very_long_pieces(encoders):
     assert own.encode(text).tolist() == other.encode_ordinary(text)
 
 
+def test_transducer_keeps_its_bound_inside_a_piece(encoders):
+    _, other = encoders
+    machine = bpe.Transducer(bpe.load_ranks(RANKS), max_states=60)
+    r = random.Random(3)
+    piece = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5000))
+    assert machine.encode(piece.encode()) == other.encode_ordinary(piece) and len(machine.states) <= 61
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=40), st.integers(1, 5))
 def test_utf8_stream_equals_whole_decode(data, step):
