@@ -188,14 +188,46 @@ def summarise(reconciled: DataFrame, include_resolved: bool = True) -> DataFrame
     return rows.groupBy("period").agg(F.count("*").alias("n"), F.sum("difference").alias("difference"), F.count_if("resolved").alias("resolved"))
 
 
-def apply_policy(events: DataFrame, allow: Sequence[str], deny: Sequence[str], paths: Sequence[str]) -> DataFrame:
-    """Verdict of each event, first rule wins: evasion, deny list, allow list for exec, sensitive path by whole component, else allow.
-    events: event_id, hook, target."""
-    target = F.col("target")
-    evasive = target.contains("../") | target.contains("\u0000")
-    sensitive = F.lit(False)
-    for p in paths:
-        sensitive = sensitive | (target == p) | target.startswith(p + "/")
-    exec_ = F.col("hook") == "exec"
-    rule = F.when(evasive, "evasion").when(exec_ & target.isin(*deny), "denied").when(exec_ & ~target.isin(*allow), "not_allowed").when((F.col("hook") == "open") & sensitive, "sensitive_path").otherwise("allow")
+def normal_path(path: Column) -> Column:
+    """A path with `.`, `..` and repeated slashes resolved by its text; links are not followed."""
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x != "..", F.array_append(acc, x)).when((F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).when(F.trim(path).startswith("/"), acc).otherwise(F.array_append(acc, x))
+    parts = F.aggregate(F.split(F.trim(path), "/"), F.array().cast("array<string>"), step)
+    joined = F.array_join(parts, "/")
+    return F.when(F.trim(path).startswith("/"), F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
+def outside_address(target: Column, loopback_only: bool) -> Column:
+    """Is the target an address that egress may not reach? IPv4 with or without a port, IPv6 with or without brackets; names are no addresses."""
+    t = F.trim(target)
+    host = F.when(t.rlike(r"^\[[^\]]*\]"), F.regexp_extract(t, r"^\[([^\]]*)\]", 1)).when(F.regexp_count(t, F.lit(":")) == 1, F.split_part(t, F.lit(":"), F.lit(1))).otherwise(t)
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    v4, v6 = host.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), host.rlike(r"^(?=.*:.*:)[0-9A-Fa-f:.]+$")
+    loopback = host.rlike(r"^127\.") | (host == "::1")
+    inner = host.rlike(r"^(?:10|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|0)\.|^(?i:f[cd]|fe[89ab])")
+    return (v4 | v6) & ~loopback & (F.lit(True) if loopback_only else inner)
+
+
+def apply_policy(events: DataFrame, allow: Sequence[str], deny: Sequence[str], paths: Sequence[str], aliases: Mapping[str, Sequence[str]] | None = None, homes: Sequence[str] = (), loopback_only: bool = True, capabilities: Sequence[str] = ("root", "cap_sys_admin", "cap_net_admin")) -> DataFrame:
+    """Verdict of each event, first rule wins: evasion (negative flags, null bytes, climbing paths), then by hook: exec against the deny list with its aliases and the allow list,
+    connect against loopback or private addresses, open against sensitive paths by whole components (`~` stands for each home, a relative path matches at any depth),
+    setuid and capset against user 0 and capabilities. events: event_id, hook, target and, if there are any, flags and uid."""
+    target, names = F.col("target"), set(deny).union(*[(aliases or {}).get(x, ()) for x in deny])
+    evasive = target.contains("..//") | target.contains(".../") | target.contains("/..") | target.contains("\\..") | target.contains("../") | target.contains("\u0000") | target.contains("\\0")
+    if "flags" in events.columns:
+        evasive = evasive | F.coalesce(F.col("flags") < 0, F.lit(False))
+    root = F.coalesce(F.col("uid") == 0, F.lit(False)) if "uid" in events.columns else F.lit(False)
+    path, sensitive = normal_path(target), F.lit(False)
+    for p in dict.fromkeys(x for entry in paths for x in ([h + entry[1:] for h in homes] if entry == "~" or entry.startswith("~/") else [entry])):
+        sensitive = sensitive | ((path == p) | path.startswith(p + "/") if p.startswith("/") else F.concat(F.lit("/"), path, F.lit("/")).contains(f"/{p.strip('/')}/"))
+    by_hook = {
+        "exec": F.when(target.isin(*names), "denied").when((F.trim(target) != "") & ~target.isin(*allow), "not_allowed"),
+        "connect": F.when(outside_address(target, loopback_only), "egress"),
+        "open": F.when(sensitive, "sensitive_path"),
+        "setuid": F.when(root | F.lower(target).isin(*capabilities), "privilege"),
+        "capset": F.when(root | F.lower(target).isin(*capabilities), "privilege"),
+    }
+    rule = F.when(evasive, "evasion")
+    for hook, verdict in by_hook.items():
+        rule = rule.when((F.col("hook") == hook) & verdict.isNotNull(), verdict)
+    rule = rule.otherwise("allow")
     return events.select("event_id", rule.alias("rule"), (rule != "allow").alias("blocked"))

@@ -141,3 +141,28 @@ def test_baseline_partitions(spark):
     now, before = spark.createDataFrame([("a",), ("b",), ("b",)], "fingerprint string"), spark.createDataFrame([("b",), ("c",)], "fingerprint string")
     assert {tuple(r) for r in findings.partition_findings(now, before).collect()} == {("a", "new"), ("b", "known"), ("c", "resolved")}
     assert {tuple(r) for r in findings.diff_sets(now, before, ["fingerprint"]).collect()} == {("a", "introduced"), ("b", "persistent"), ("c", "resolved")}
+
+
+def test_paths_are_resolved_by_their_text(spark):
+    import posixpath
+
+    r = random.Random(8)
+    paths = ["/" * r.randint(0, 3) + "/".join(r.choices(["a", "b", ".", "..", ""], k=r.randint(1, 7))) for _ in range(200)] + ["", "/", " /a/ "]
+    want = {i: "/" + n.lstrip("/") if (n := posixpath.normpath(p.strip())).startswith("//") else n for i, p in enumerate(paths)}
+    got = spark.createDataFrame(list(enumerate(paths)), "i int, p string").select("i", joins.normal_path(F.col("p")).alias("n")).collect()
+    assert {x["i"]: x["n"] for x in got} == want
+
+
+def test_policy_verdicts(spark):
+    cases = [
+        ("exec", "nc", 0, 1000, "denied"), ("exec", "nc.openbsd", 0, 1000, "denied"), ("exec", "git", 0, 1000, "allow"), ("exec", "perl", 0, 1000, "not_allowed"), ("exec", "git", -1, 1000, "evasion"),
+        ("open", "/etc/shadow", 0, 1000, "sensitive_path"), ("open", "//etc/./shadow", 0, 1000, "sensitive_path"), ("open", "/etc/shadow2", 0, 1000, "allow"), ("open", "/home/a/.ssh/id", 0, 1000, "sensitive_path"),
+        ("open", "/w/x/.git/hooks/pre", 0, 1000, "sensitive_path"), ("open", "/w/../etc", 0, 1000, "evasion"), ("open", "a\\0b", 0, 1000, "evasion"),
+        ("connect", "127.0.0.1:80", 0, 1000, "allow"), ("connect", "8.8.8.8:53", 0, 1000, "egress"), ("connect", "[::1]:80", 0, 1000, "allow"), ("connect", "fe80::1", 0, 1000, "egress"), ("connect", "example.org:80", 0, 1000, "allow"),
+        ("setuid", "user", 0, 0, "privilege"), ("capset", "CAP_SYS_ADMIN", 0, 1000, "privilege"), ("setuid", "user", 0, 1000, "allow"),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "event_id int, hook string, target string, flags int, uid int")
+    got = {r["event_id"]: r["rule"] for r in joins.apply_policy(df, ["git", "sh"], ["nc"], ["/etc/shadow", "~/.ssh", ".git/hooks"], {"nc": ["nc.openbsd"]}, ["/home/a"]).collect()}
+    assert got == {i: c[4] for i, c in enumerate(cases)}
+    wide = {r["event_id"]: r["rule"] for r in joins.apply_policy(df.filter("hook = 'connect'"), [], [], [], loopback_only=False).collect()}
+    assert [wide[i] for i in sorted(wide)] == ["allow", "allow", "allow", "egress", "allow"]
