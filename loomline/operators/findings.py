@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import private_ipv4s
-from ..functions.text import decode_tags, lines_of
+from ..functions.text import decode_tags, lines_of, normal_path
 
 
 @dataclass(frozen=True)
@@ -31,11 +32,11 @@ class Rule:
     hint: str | None = None
 
     def possible(self, text: Column, low: Column) -> list[Column]:
-        """Can a line of the text match, for each subject? A line's match is one of the whole text."""
+        """Can a line of the text match, for each subject? A line's match is one of the whole text, unless the pattern looks around itself or gives nothing back."""
         out = []
         for i, pattern in enumerate(self.patterns if self.test is None else [self.hint]):
             may = reduce(or_, [low.contains(x) for x in self.needs[i]]) if i < len(self.needs) and self.needs[i] else None
-            found = text.rlike(pattern) if pattern else None
+            found = text.rlike(f"(?m){pattern}") if pattern and not re.search(r"\(\?[<=!>]|\\[AzZG]|[*+?}]\+", pattern) else None
             out.append(F.lit(True) if may is None and found is None else found if may is None else may if found is None else may & found)
         return out
 
@@ -206,6 +207,32 @@ def tally(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
     return known.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+# What audit events are judged by.
+SHELLS = r"(?:^|/)(?:nc|ncat|netcat|socat|telnet)$"
+REVERSE_SHELL = r"bash -i|/dev/tcp/|\bnc\b.* -e\b"
+SENSITIVE_PATHS = ("/etc/shadow", "/etc/sudoers", "/root/.ssh", "~/.ssh", "~/.aws")
+PRIVILEGE_CALLS = ("setuid", "setgid", "setreuid", "capset", "unshare", "setns", "mount")
+
+
+def audit_events(events: DataFrame, key: str, sensitive: Sequence[str] = SENSITIVE_PATHS, homes: Sequence[str] = ("/home/user",)) -> DataFrame:
+    """Findings on audit events: key, rule_id, severity, subject; an event may break several rules. events: key, kind (exec, connect, open, ...), program, arguments, target, syscall.
+    Paths are resolved by their text and compared by whole components; `~` stands for each home."""
+    path = normal_path(F.coalesce("target", F.lit("")))
+    entries = dict.fromkeys(x for p in sensitive for x in ([h + p[1:] for h in homes] if p.startswith("~/") else [p]))
+    under = reduce(or_, [(path == p) | path.startswith(p + "/") for p in entries])
+    call = F.lower(F.coalesce("syscall", F.lit("")))
+    command = F.concat_ws(" ", "program", "arguments")
+    rules = [
+        ("EBPF001", "critical", (F.col("kind") == "exec") & (F.col("program").rlike(SHELLS) | command.rlike(REVERSE_SHELL)), command),
+        ("EBPF002", "high", (F.col("kind") == "connect") & (F.size(private_ipv4s(F.col("target"))) > 0), F.get(private_ipv4s(F.col("target")), F.lit(0))),
+        ("EBPF003", "critical", (F.col("kind") == "open") & under, path),
+        ("EBPF004", "high", (F.col("kind") == "privilege") | call.isin(*PRIVILEGE_CALLS), call),
+        ("EBPF005", "high", call.contains("ptrace"), call),
+    ]
+    hits = [F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), x.alias("subject"))) for r, s, c, x in rules]
+    return events.select(key, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "h.*")
+
+
 def order_findings(findings: DataFrame, ranks: Sequence[str], then: Sequence[str]) -> DataFrame:
     """Listing by severity, worst first, then by the given columns; `position` numbers it within ranks without a global sort being needed twice."""
     rank = F.lit(len(ranks))

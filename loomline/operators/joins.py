@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compat_series, semver
+from ..functions.text import compat_series, normal_path, semver
 from .findings import canary_leaks
 
 
@@ -188,14 +188,6 @@ def summarise(reconciled: DataFrame, include_resolved: bool = True) -> DataFrame
     return rows.groupBy("period").agg(F.count("*").alias("n"), F.sum("difference").alias("difference"), F.count_if("resolved").alias("resolved"))
 
 
-def normal_path(path: Column) -> Column:
-    """A path with `.`, `..` and repeated slashes resolved by its text; links are not followed."""
-    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x != "..", F.array_append(acc, x)).when((F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).when(F.trim(path).startswith("/"), acc).otherwise(F.array_append(acc, x))
-    parts = F.aggregate(F.split(F.trim(path), "/"), F.array().cast("array<string>"), step)
-    joined = F.array_join(parts, "/")
-    return F.when(F.trim(path).startswith("/"), F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
-
-
 def outside_address(target: Column, loopback_only: bool) -> Column:
     """Is the target an address that egress may not reach? IPv4 with or without a port, IPv6 with or without brackets; names are no addresses."""
     t = F.trim(target)

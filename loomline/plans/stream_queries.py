@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.net import private_ipv4s
 from ..functions.text import jitter
 from ..operators import findings as fi
 from ..operators import joins as jo
@@ -204,22 +203,28 @@ def a9(spark, d):
 
 register("a9_balance", a9, "WITH k AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'feature' WHEN l_returnflag = 'A' THEN 'tooling' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'quality' ELSE 'other' END AS kind, l_quantity AS q FROM lineitem) SELECT kind, round(sum(q), 2) AS added, round(sum(q) / sum(sum(q)) OVER (), 6) AS share, count(*) AS declared FROM k WHERE kind <> 'other' GROUP BY 1")
 
-AUDIT_RULES = (
-    fi.Rule("EBPF001", "critical", (r"^exec (?:nc|ncat|socat)\b", r"bash -i")),
-    fi.Rule("EBPF002", "high", test=lambda x: F.when(x.startswith("connect"), F.get(private_ipv4s(x), F.lit(0))), family="network"),
-    fi.Rule("EBPF003", "high", (r"^open /etc/shadow(?:/|$)", r"^open /root/\.ssh(?:/|$)")),
-    fi.Rule("EBPF004", "critical", (r"^(?:setuid|capset)\b",)),
-    fi.Rule("EBPF005", "high", (r"^ptrace\b",)),
+#: Audit events made of the rows of events; valid in Spark and DuckDB.
+_EVENT = (
+    "CASE event_id % 7 WHEN 0 THEN 'exec' WHEN 1 THEN 'connect' WHEN 2 THEN 'open' WHEN 3 THEN 'open' WHEN 4 THEN 'privilege' ELSE 'other' END AS kind",
+    "CASE WHEN event_id % 7 = 0 THEN concat('/usr/bin/', CASE event_type WHEN 'click' THEN 'nc' WHEN 'error' THEN 'bash' ELSE 'git' END) ELSE '' END AS program",
+    "CASE WHEN event_type = 'error' THEN '-i' ELSE '' END AS arguments",
+    "CASE event_id % 7 WHEN 1 THEN concat('10.', user_id % 250, '.0.', event_id % 9, ':80') WHEN 2 THEN concat('/etc/', event_type, '/../shadow', CASE WHEN event_id % 2 = 0 THEN '' ELSE 'y' END) WHEN 3 THEN concat('//root/./.ssh/', event_type) ELSE '' END AS target",
+    "CASE event_id % 7 WHEN 4 THEN 'setuid' WHEN 5 THEN 'PTRACE_attach' ELSE '' END AS syscall",
 )
-_EVENT_LINE = "CASE event_id % 7 WHEN 0 THEN 'exec nc -l' WHEN 1 THEN concat('connect 10.0.0.', event_id % 9) WHEN 2 THEN 'open /etc/shadow' WHEN 3 THEN 'open /etc/shadowy' WHEN 4 THEN 'setuid 0' WHEN 5 THEN 'ptrace 1' ELSE 'connect 8.8.8.8' END"
 
 
 def a18(spark, d):
-    e = table(spark, d, "events").select("event_id", F.expr(_EVENT_LINE).alias("line"))
-    return fi.scan_text(e, "event_id", "line", AUDIT_RULES).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+    e = table(spark, d, "events").selectExpr("event_id", *_EVENT)
+    return fi.audit_events(e, "event_id")
 
 
-register("a18_event_rules", a18, "SELECT rule_id, CASE WHEN rule_id IN ('EBPF001', 'EBPF004') THEN 'critical' ELSE 'high' END AS severity, count(*) AS n FROM (SELECT CASE event_id % 7 WHEN 0 THEN 'EBPF001' WHEN 1 THEN 'EBPF002' WHEN 2 THEN 'EBPF003' WHEN 4 THEN 'EBPF004' WHEN 5 THEN 'EBPF005' END AS rule_id FROM events) WHERE rule_id IS NOT NULL GROUP BY 1")
+register(
+    "a18_event_rules",
+    a18,
+    f"""WITH e AS (SELECT event_id, event_type, user_id, {', '.join(_EVENT)} FROM events) SELECT event_id, 'EBPF001' AS rule_id, 'critical' AS severity, concat(program, ' ', arguments) AS subject FROM e WHERE kind = 'exec' AND event_type IN ('click', 'error')
+UNION ALL SELECT event_id, 'EBPF002', 'high', split_part(target, ':', 1) FROM e WHERE kind = 'connect' UNION ALL SELECT event_id, 'EBPF003', 'critical', '/etc/shadow' FROM e WHERE event_id % 7 = 2 AND event_id % 2 = 0
+UNION ALL SELECT event_id, 'EBPF003', 'critical', concat('/root/.ssh/', event_type) FROM e WHERE event_id % 7 = 3 UNION ALL SELECT event_id, 'EBPF004', 'high', 'setuid' FROM e WHERE kind = 'privilege' UNION ALL SELECT event_id, 'EBPF005', 'high', 'ptrace_attach' FROM e WHERE event_id % 7 = 5""",
+)
 
 
 def u4(spark, d):

@@ -106,3 +106,23 @@ def read_junit(spark: SparkSession, path: str) -> DataFrame:
     cases = spark.read.format("xml").option("rowTag", "testcase").schema(schema).load(path)
     bad = F.col("failure").isNotNull() | F.col("error").isNotNull()
     return cases.groupBy(F.coalesce("_file", "_classname").alias("file")).agg(F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"), F.sum(F.coalesce("_time", F.lit(0.0))).alias("seconds"))
+
+
+LEDGER = "timestamp string, measurements map<string, array<bigint>>"
+
+
+def append_ledger(entries: DataFrame, folder: str) -> None:
+    """Add ledger entries (timestamp, measurements) as JSON shards of their own: writers never touch each other's files."""
+    entries.select("timestamp", "measurements").write.mode("append").json(folder)
+
+
+def read_ledger(spark: SparkSession, folder: str, keep: int | None = 100) -> DataFrame:
+    """timestamp, sli, good, valid of the newest `keep` entries (all for None) of a folder of shards. A shard with a line that is no entry is left out as a whole; entries that
+    say nothing of an indicator have no row for it."""
+    raw = spark.read.schema(f"{LEDGER}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder).select("*", F.col("_metadata.file_path").alias("shard"))
+    bad = raw.filter(F.col("_corrupt_record").isNotNull() | F.col("timestamp").isNull()).select("shard").distinct()
+    good = raw.join(bad, "shard", "left_anti").select("timestamp", "measurements")
+    if keep is not None:
+        newest = good.select("timestamp").distinct().orderBy(F.desc("timestamp")).limit(keep)
+        good = good.join(newest, "timestamp", "left_semi")
+    return good.select("timestamp", F.explode("measurements").alias("sli", "m")).select("timestamp", "sli", F.get("m", F.lit(0)).alias("good"), F.get("m", F.lit(1)).alias("valid"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import sql, text
 from loomline.operators import findings, graph, joins, scoring, sequences, structure
+from loomline.sources import formats
 
 
 def test_greedy_packing_equals_a_loop(spark):
@@ -149,7 +150,7 @@ def test_paths_are_resolved_by_their_text(spark):
     r = random.Random(8)
     paths = ["/" * r.randint(0, 3) + "/".join(r.choices(["a", "b", ".", "..", ""], k=r.randint(1, 7))) for _ in range(200)] + ["", "/", " /a/ "]
     want = {i: "/" + n.lstrip("/") if (n := posixpath.normpath(p.strip())).startswith("//") else n for i, p in enumerate(paths)}
-    got = spark.createDataFrame(list(enumerate(paths)), "i int, p string").select("i", joins.normal_path(F.col("p")).alias("n")).collect()
+    got = spark.createDataFrame(list(enumerate(paths)), "i int, p string").select("i", text.normal_path(F.col("p")).alias("n")).collect()
     assert {x["i"]: x["n"] for x in got} == want
 
 
@@ -166,3 +167,21 @@ def test_policy_verdicts(spark):
     assert got == {i: c[4] for i, c in enumerate(cases)}
     wide = {r["event_id"]: r["rule"] for r in joins.apply_policy(df.filter("hook = 'connect'"), [], [], [], loopback_only=False).collect()}
     assert [wide[i] for i in sorted(wide)] == ["allow", "allow", "allow", "egress", "allow"]
+
+
+def test_ledger_shards(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    for k in range(4):
+        entry = spark.createDataFrame([(f"2026-01-0{k + 1}", {"a": [k, 9], "b": [1, 2]})], "timestamp string, measurements map<string, array<bigint>>")
+        formats.append_ledger(entry.coalesce(1), folder)
+    (tmp_path / "ledger" / "broken.json").write_text('{"timestamp": "2026-01-09", "measurements": {"a": [7, 7]}}\n{"timestamp": "2026-')
+    assert {tuple(r) for r in formats.read_ledger(spark, folder, 2).filter("sli = 'a'").collect()} == {("2026-01-03", "a", 2, 9), ("2026-01-04", "a", 3, 9)}
+    assert formats.read_ledger(spark, folder, None).count() == 8
+
+
+def test_anchored_rules_see_every_line(spark):
+    """Texts are tried before they are split; anchors, look-arounds and possessive repeats still see lines."""
+    patterns = (r"^needle", r"needle$", r"(?<!\s)needle", r"a\s*+$", r"\Aneedle\z")
+    df = spark.createDataFrame([(1, "x\nneedle\ny"), (2, "x needle y"), (3, "a\nb")], "id long, t string")
+    got = {(r["id"], r["rule_id"]) for r in findings.scan_text(df, "id", "t", [findings.Rule(f"R{i}", "low", (p,)) for i, p in enumerate(patterns)]).collect()}
+    assert got == {(1, "R0"), (1, "R1"), (1, "R2"), (1, "R4"), (3, "R3")}
