@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -10,61 +11,120 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Elements and roles that are no content, elements without an end, marks of a blocked page.
 CHROME = {"nav", "script", "style", "footer", "aside", "noscript", "form"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKED = ("captcha", "access denied", "verify you are human", "cf-challenge")
 
 
 class _Markdown(HTMLParser):
-    """A page's main region as Markdown; small on purpose: headings, paragraphs, lists, links, code."""
+    """A page's main region as Markdown: headings, paragraphs, lists, tables, links, images, code. Chrome is skipped by element, ARIA role and aria-hidden."""
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.skip, self.out, self.links, self.title, self.region, self.href, self.in_title = url, 0, [], [], "", "body", None, False
+        self.base, self.base_seen, self.out, self.links, self.title, self.in_title = url, False, [], [], "", False
         self.marks: dict[str, int] = {}
+        self.skipped: list[str] = []  # the element being skipped, once for each nesting of its own name
+        self.lists: list[list] = []  # kind and number of each open list
+        self.href: str | None = None
+        self.pre = False
+        self.cells: list[str] | None = None
+        self.cell_from = self.rows = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if tag in CHROME:
-            self.skip += 1
-        elif tag == "base" and a.get("href"):
-            self.base = urljoin(self.base, a["href"])
+        a = {k: v or "" for k, v in attrs}
+        if self.skipped:
+            if tag == self.skipped[-1]:
+                self.skipped.append(tag)
+            return
+        if tag in CHROME or a.get("role") in ROLES or a.get("aria-hidden") == "true":
+            if tag not in VOID:  # a void element has no end to wait for
+                self.skipped.append(tag)
+        elif tag == "base":
+            if a.get("href") and not self.base_seen:
+                self.base, self.base_seen = urljoin(self.base, a["href"]), True
         elif tag == "title":
             self.in_title = True
-        elif tag in ("main", "article"):
-            self.marks.setdefault(tag, len(self.out))
-        elif not self.skip:
-            if tag[0] == "h" and tag[1:].isdigit():
-                self.out.append("\n\n" + "#" * int(tag[1:]) + " ")
-            elif tag in ("p", "div", "section", "blockquote", "ul", "ol"):
-                self.out.append("\n\n" + ("> " if tag == "blockquote" else ""))
-            elif tag == "li":
-                self.out.append("\n- ")
-            elif tag == "br":
-                self.out.append("\n")
-            elif tag in ("code", "pre"):
-                self.out.append("`")
-            elif tag == "a" and a.get("href") and not a["href"].startswith("#"):
-                self.href = urljoin(self.base, a["href"])
-                self.links.append(self.href)
+        elif tag in ("main", "article") or a.get("role") == "main":
+            self.marks.setdefault("main" if a.get("role") == "main" else tag, len(self.out))
+        elif tag[0] == "h" and tag[1:].isdigit():
+            self.out.append("\n\n" + "#" * int(tag[1:]) + " ")
+        elif tag in ("ul", "ol"):
+            self.lists.append([tag, 0])
+            self.out.append("\n" if len(self.lists) == 1 else "")
+        elif tag == "li":
+            top = self.lists[-1] if self.lists else ["ul", 0]
+            top[1] += 1
+            self.out.append("\n" + "  " * max(0, len(self.lists) - 1) + (f"{top[1]}. " if top[0] == "ol" else "- "))
+        elif tag in ("p", "div", "section", "blockquote") and self.cells is None:
+            self.out.append("\n\n" + ("> " if tag == "blockquote" else ""))
+        elif tag == "br":
+            self.out.append(" " if self.cells is not None else "\n")
+        elif tag == "hr":
+            self.out.append("\n\n---\n\n")
+        elif tag == "pre":
+            self.pre = True
+            self.out.append("\n\n```\n")
+        elif tag == "code" and not self.pre:
+            self.out.append("`")
+        elif tag == "img" and a.get("alt"):
+            self.out.append(f"![{a['alt']}]({urljoin(self.base, a.get('src', ''))}) ")
+        elif tag == "a" and a.get("href") and not a["href"].startswith("#"):
+            self.href = urljoin(self.base, a["href"])
+            self.links.append(self.href)
+            self.out.append("[")
+        elif tag == "table":
+            self.rows = 0
+            self.out.append("\n")
+        elif tag == "tr":
+            self.cells = []
+        elif tag in ("td", "th") and self.cells is not None:
+            self.cell_from = len(self.out)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in CHROME:
-            self.skip = max(0, self.skip - 1)
+        if self.skipped:
+            if tag == self.skipped[-1]:
+                self.skipped.pop()
         elif tag == "title":
             self.in_title = False
-        elif tag in ("code", "pre") and not self.skip:
-            self.out.append("`")
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+        elif tag == "pre" and self.pre:
+            self.pre = False
+            self.out.append("\n```\n")
+        elif tag == "code" and not self.pre:
+            if self.out:
+                self.out[-1] = self.out[-1].rstrip(" ")
+            self.out.append("` ")
+        elif tag == "a" and self.href:
+            if self.out:
+                self.out[-1] = self.out[-1].rstrip(" ")
+            self.out.append(f"]({self.href}) ")
+            self.href = None
+        elif tag in ("td", "th") and self.cells is not None:
+            self.cells.append("".join(self.out[self.cell_from :]).strip().replace("|", "\\|"))
+            del self.out[self.cell_from :]
+        elif tag == "tr" and self.cells is not None:
+            if self.cells:
+                self.out.append("\n| " + " | ".join(self.cells) + " |" + ("\n|" + "---|" * len(self.cells) if not self.rows else ""))
+                self.rows += 1
+            self.cells = None
 
     def handle_data(self, data: str) -> None:
+        if self.skipped:
+            return
         if self.in_title:
             self.title += data
-        elif not self.skip:
-            self.out.append(" ".join(data.split()) + " " if data.strip() else "")
+        elif self.pre:
+            self.out.append(data)
+        elif data.strip():
+            self.out.append(" ".join(data.split()) + " ")
 
     def result(self) -> tuple[str, str]:
         region = "main" if "main" in self.marks else "article" if "article" in self.marks else "body"
         text = "".join(self.out[self.marks.get(region, 0) :])
-        return "\n".join(x.rstrip() for x in text.strip().split("\n")), region
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in text.strip().split("\n"))), region
 
 
 def extract_pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import sql, text
-from loomline.operators import findings, graph, joins, scoring, sequences, structure
+from loomline.operators import findings, graph, joins, pages, scoring, sequences, structure
 from loomline.sources import formats
 
 
@@ -185,3 +185,16 @@ def test_anchored_rules_see_every_line(spark):
     df = spark.createDataFrame([(1, "x\nneedle\ny"), (2, "x needle y"), (3, "a\nb")], "id long, t string")
     got = {(r["id"], r["rule_id"]) for r in findings.scan_text(df, "id", "t", [findings.Rule(f"R{i}", "low", (p,)) for i, p in enumerate(patterns)]).collect()}
     assert got == {(1, "R0"), (1, "R1"), (1, "R2"), (1, "R4"), (3, "R3")}
+
+
+def test_pages_with_tables_lists_images_and_roles(spark):
+    html = """<html><head><base href="/docs/"><base href="/late/"><title>T</title></head><body><div role="navigation"><div>menu</div></div><input aria-hidden="true">
+<article><h1>Top</h1><p aria-hidden="true">hidden <p aria-hidden="true">more</p></p><p>See <a href="a/b">the page</a> now<br>next</p><img src="x.png" alt="Pic"><ol><li>one</li><li>two<ul><li>deep</li></ul></li></ol>
+<table><tr><th>A</th><th>B|C</th></tr><tr><td>1</td><td><code>x y</code></td></tr></table><pre>  keep
+   this</pre></article><footer>end</footer></body></html>"""
+    r = pages.extract_pages(spark.createDataFrame([(1, "https://e.net/d/", html)], "k int, u string, h string"), "k", "u", "h").first()
+    md = r["markdown"]
+    assert r["links"] == ["https://e.net/docs/a/b"] and r["region"] == "article" and r["title"] == "T"
+    assert md.startswith("# Top") and "[the page](https://e.net/docs/a/b) now\nnext" in md and "![Pic](https://e.net/docs/x.png)" in md
+    assert "\n1. one\n2. two\n  - deep" in md and "| A | B\\|C |\n|---|---|\n| 1 | `x y` |" in md and "```\n  keep\n   this\n```" in md
+    assert not any(x in md for x in ("menu", "hidden", "more", "end"))
