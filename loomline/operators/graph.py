@@ -10,19 +10,24 @@ import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of spark.checkpoint.dir. Where the session names none, one is made on a single machine; on a cluster that is an error, since
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, from spark.checkpoint.dir. Where the session names none, one is made on a single machine; on a cluster that is an error, since
     executors don't see the driver's folders."""
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="loomline-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

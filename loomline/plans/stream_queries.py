@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.text import jitter
 from ..operators import findings as fi
+from ..operators import graph as gr
 from ..operators import joins as jo
 from ..sources import formats as fm
 from ..streaming import alerts as al
@@ -192,6 +195,28 @@ def s11(spark, d):
 register("s11_batch_load", s11, "SELECT what, count(*) AS n FROM (SELECT CASE WHEN o_totalprice > 1000 AND o_custkey % 9 <> 0 THEN 'accepted' ELSE array_to_string(list_filter([CASE WHEN o_totalprice <= 1000 THEN 'price' END, CASE WHEN o_custkey % 9 = 0 THEN 'customer' END], lambda x: x IS NOT NULL), '+') END AS what FROM orders WHERE strftime(o_orderdate, '%Y') = '1995') GROUP BY 1")
 
 
+def s9(spark, d):
+    """Snapshots of one nation's suppliers each, written as files of their own and read again."""
+    s = table(spark, d, "supplier").selectExpr("s_nationkey", "named_struct('requested', concat('o/r', s_suppkey), 'full_name', s_name, 'stars', s_suppkey * 3, 'archived', s_suppkey % 7 = 0, 'error', CASE WHEN s_suppkey % 11 = 0 THEN 'gone' END) AS r")
+    at = f"{gr.shared_folder(spark)}/facts-{uuid4().hex}"
+    s.groupBy("s_nationkey").agg(F.collect_list("r").alias("repositories")).select("repositories").write.option("maxRecordsPerFile", 1).json(at)
+    return fm.read_facts(spark, at).select("requested", "full_name", "stars", "archived", "error")
+
+
+register("s9_facts", s9, "SELECT concat('o/r', s_suppkey) AS requested, s_name AS full_name, s_suppkey * 3 AS stars, s_suppkey % 7 = 0 AS archived, CASE WHEN s_suppkey % 11 = 0 THEN 'gone' END AS error FROM supplier")
+
+
+def s13(spark, d):
+    """Test reports with a case for each order, written as XML and read again."""
+    o = table(spark, d, "orders").selectExpr("concat('tests/test_', o_custkey % 50, '.py') AS _file", "concat('c', o_custkey % 50) AS _classname", "concat('t', o_orderkey) AS _name", "cast(o_orderkey % 8 AS double) / 4 AS _time", "CASE WHEN o_orderkey % 9 = 0 THEN 'no' END AS failure", "CASE WHEN o_orderkey % 10 = 0 THEN 'bad' END AS error")
+    at = f"{gr.shared_folder(spark)}/junit-{uuid4().hex}"
+    o.write.format("xml").option("rowTag", "testcase").option("rootTag", "testsuite").save(at)
+    return fm.read_junit(spark, at).select("file", "passed", "failed", F.round("seconds", 3).alias("seconds"))
+
+
+register("s13_junit", s13, "SELECT concat('tests/test_', o_custkey % 50, '.py') AS file, count(*) FILTER (o_orderkey % 9 <> 0 AND o_orderkey % 10 <> 0) AS passed, count(*) FILTER (o_orderkey % 9 = 0 OR o_orderkey % 10 = 0) AS failed, round(sum((o_orderkey % 8)::DOUBLE / 4), 3) AS seconds FROM orders GROUP BY 1")
+
+
 def a9(spark, d):
     p = table(spark, d, "lineitem").selectExpr("concat('src/', l_returnflag, '/', l_linestatus, '/x') AS path", "l_quantity AS added")
     prefixes = spark.createDataFrame([("src/R", "feature"), ("src/N/O", "quality"), ("src/A", "tooling")], "prefix string, kind string")

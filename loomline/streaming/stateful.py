@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OPEN, CLOSE, CAP = "<think>", "</think>", 65_536
@@ -121,8 +122,6 @@ def token_bucket_stream(events: DataFrame, rate: float, burst: float) -> DataFra
 
 def consume(stream: DataFrame, column: str, schema: str, table: str, dead: str, checkpoint: str):
     """Start a query that decodes JSON rows into `table` and appends undecodable ones to `dead` (both parquet folders)."""
-    from pyspark.sql import functions as F
-
     def write(batch: DataFrame, _: int) -> None:
         decoded = batch.select(F.col(column), F.from_json(column, schema).alias("r"), F.try_parse_json(column).isNotNull().alias("ok"))
         decoded.filter("ok and r is not null").select("r.*").write.mode("append").parquet(table)
@@ -131,11 +130,18 @@ def consume(stream: DataFrame, column: str, schema: str, table: str, dead: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _expired(ts: str, as_of: str, hours: float) -> Column:
+    return F.col(ts).cast("timestamp").cast("double") < F.lit(as_of).cast("timestamp").cast("double") - hours * 3600
+
+
+def keep_dead(dead: DataFrame, ts: str, as_of: str, hours: float) -> DataFrame:
+    """The dead letters that a purge leaves; those without a time stay."""
+    return dead.filter(~F.coalesce(_expired(ts, as_of, hours), F.lit(False)))
+
+
 def purge_dead(dead: DataFrame, ts: str, as_of: str, hours: float) -> DataFrame:
     """One row: how many dead letters would go and stay (a dry run); keep_dead() gives those that stay."""
-    from pyspark.sql import functions as F
-
-    old = F.col(ts).cast("timestamp").cast("double") < F.lit(as_of).cast("timestamp").cast("double") - hours * 3600
+    old = F.coalesce(_expired(ts, as_of, hours), F.lit(False))
     return dead.agg(F.count_if(old).alias("purged"), F.count_if(~old).alias("kept"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import sql, text
 from loomline.operators import findings, graph, joins, pages, scoring, sequences, structure
 from loomline.sources import formats
+from loomline.streaming import stateful
 
 
 def test_greedy_packing_equals_a_loop(spark):
@@ -198,3 +199,18 @@ def test_pages_with_tables_lists_images_and_roles(spark):
     assert md.startswith("# Top") and "[the page](https://e.net/docs/a/b) now\nnext" in md and "![Pic](https://e.net/docs/x.png)" in md
     assert "\n1. one\n2. two\n  - deep" in md and "| A | B\\|C |\n|---|---|\n| 1 | `x y` |" in md and "```\n  keep\n   this\n```" in md
     assert not any(x in md for x in ("menu", "hidden", "more", "end"))
+
+
+def test_dead_letters_that_stay(spark):
+    dead = spark.createDataFrame([(1, "2026-01-01 00:00:00"), (2, "2026-01-02 12:00:00"), (3, None)], "id int, seen string")
+    assert [r["id"] for r in stateful.keep_dead(dead, "seen", "2026-01-03 00:00:00", 24).collect()] == [2, 3]
+    assert tuple(stateful.purge_dead(dead, "seen", "2026-01-03 00:00:00", 24).first()) == (1, 2)
+
+
+def test_changed_rows_are_handled(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    seen = []
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"row {k}\n")
+        stateful.on_change(spark.readStream.text(str(tmp_path / "in")), lambda batch: seen.extend(r["value"] for r in batch.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert seen == ["row 0", "row 1"]
