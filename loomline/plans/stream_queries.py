@@ -128,7 +128,14 @@ def r2(spark, d):
     return sf.token_bucket(e, 0.5, 5.0)
 
 
-register("r2_token_bucket", r2)
+register(
+    "r2_token_bucket",
+    r2,
+    """WITH RECURSIVE t AS (SELECT user_id::VARCHAR AS key, event_id AS id, event_id::DOUBLE / 100 AS came, (1 + event_id % 3)::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r AS (SELECT key, id, k, greatest(0.0, (cost - 5.0) / 0.5) AS wait, came + greatest(0.0, (cost - 5.0) / 0.5) AS admitted, 5.0::DOUBLE + greatest(0.0, (cost - 5.0) / 0.5) * 0.5 - cost AS tokens FROM t WHERE k = 1
+UNION ALL SELECT key, id, k, begun + hold - came, begun + hold, room + hold * 0.5 - cost FROM (SELECT *, greatest(0.0, (cost - room) / 0.5) AS hold FROM (SELECT t.*, greatest(t.came, r.admitted) AS begun, least(5.0, r.tokens + (greatest(t.came, r.admitted) - r.admitted) * 0.5) AS room FROM r JOIN t ON t.key = r.key AND t.k = r.k + 1)))
+SELECT key, id, admitted, wait FROM r""",
+)
 
 
 def r16j(spark, d):

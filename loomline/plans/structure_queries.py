@@ -120,7 +120,15 @@ def f11m(spark, d):
     return st.merge_clones(st.clone_groups(table(spark, d, "documents"), "doc_id", "text", 3), "doc_id").select("doc_id", "line_no", "fingerprint")
 
 
-register("f11_merged_clones", f11m)
+register(
+    "f11_merged_clones",
+    f11m,
+    f"""{_CL.replace("WITH", "WITH RECURSIVE", 1)}, w AS (SELECT doc_id, line_no, list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS ls FROM n),
+s AS (SELECT doc_id, line_no, sha256(array_to_string(ls, chr(10))) AS fingerprint FROM w WHERE len(ls) = 3), g AS (SELECT fingerprint FROM s GROUP BY 1 HAVING count(*) >= 2),
+t AS (SELECT doc_id, line_no, fingerprint, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM s JOIN g USING (fingerprint)),
+r AS (SELECT *, true AS kept, line_no AS last FROM t WHERE k = 1 UNION ALL SELECT t.*, t.line_no - last >= 6, CASE WHEN t.line_no - last >= 6 THEN t.line_no ELSE last END FROM r JOIN t ON t.doc_id = r.doc_id AND t.k = r.k + 1)
+SELECT doc_id, line_no, fingerprint FROM r WHERE kept""",
+)
 
 
 def f12(spark, d):
@@ -244,4 +252,11 @@ def k5(spark, d):
     return st.pack_greedy(t, "source", 3000).filter("packed")
 
 
-register("k5_greedy_pack", k5)
+register(
+    "k5_greedy_pack",
+    k5,
+    """WITH RECURSIVE t AS (SELECT source, doc_id AS rank, ceil(length(text) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT source, rank, tokens, k, coalesce(tokens + 5 <= 3000, false) AS packed, 3000 - CASE WHEN tokens + 5 <= 3000 THEN tokens + 5 ELSE 0 END AS room FROM t WHERE k = 1
+UNION ALL SELECT t.source, t.rank, t.tokens, t.k, coalesce(t.tokens + 5 <= room, false), room - CASE WHEN t.tokens + 5 <= room THEN t.tokens + 5 ELSE 0 END FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source AND t.k = r.k + 1)
+SELECT source, rank, tokens, packed FROM r WHERE packed""",
+)
