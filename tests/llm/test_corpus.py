@@ -565,15 +565,36 @@ def test_components_of_a_chain(spark):
     assert {(r["node"], r["component"]) for r in graphs.components(e).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (101, 100)}
 
 
-def test_pipeline_stages(spark, docs):
+def test_pipeline_stages(spark, docs, tmp_path):
+    """Every stage's rows and texts by plain Python, on what its predecessor kept."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    now, want = docs, set(texts())
-    for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, "")
-        if name != "packing":
-            assert now.columns == docs.columns
-    ids = {r["doc_id"] for r in now.select("doc_id").distinct().collect()}
-    good = {k for k in want if not brute.quality(texts()[k])[5]}
-    keep = {k for k, (_, c) in brute.near({k: texts()[k] for k in good}).items() if k == c}
-    assert ids == keep
+    stage = dict(corpus_pipeline.STAGES)
+    assert list(stage) == ["quality", "near", "substring", "pii", "packing"]
+    good = stage["quality"](spark, docs, "")
+    assert good.columns == docs.columns
+    texts_of = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    verdicts = brute.verdicts({k: (t, "" if k % 4 == 0 else "en") for k, t in texts().items()})
+    now = {k: t for k, t in texts().items() if verdicts[k][2]}
+    assert texts_of(good) == now
+    one = stage["near"](spark, good, "")
+    now = {k: t for k, t in now.items() if brute.near(now)[k][1] == k}
+    assert one.columns == docs.columns and texts_of(one) == now
+    cut = stage["substring"](spark, one, "")
+    want = {k: v[2] for k, v in brute.substring(now).items()}
+    got = texts_of(cut)
+    assert cut.columns == docs.columns and {k: brute.sha(t) for k, t in got.items()} == want
+    clean = stage["pii"](spark, cut, "")
+    now = texts_of(clean)
+    assert clean.columns == docs.columns and set(now) == set(got)
+    assert all(now[k] == t for k, t in got.items() if brute.pii(t)[:4] == (0, 0, 0, 0) and "Dr" not in t)
+    rows = stage["packing"](spark, clean, "").collect()
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for k, t in now.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == k)
+        assert own == [(a, n, brute.crc(ids[a : a + n])) for a, n in packing.cut(len(ids), 2048)]
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(key, rows))
