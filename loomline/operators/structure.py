@@ -33,8 +33,9 @@ def fence_flags(lines: Column) -> Column:
 
 def flagged_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no (from 1), line, fenced."""
-    lines = docs.select(key, lines_of(F.col(text)).alias("__l"))
-    zipped = lines.select(key, fence_flags(F.col("__l")).alias("z"))
+    lines = docs.select(key, lines_of(F.col(text)).alias("__l"), F.col(text).rlike(r"(?m)^ {0,3}(?:`{3}|~{3})").alias("__any"))
+    plain = F.transform("__l", lambda x: F.struct(x.alias("line"), F.lit(False).alias("fenced")))  # without a fence there is no state to fold
+    zipped = lines.select(key, F.when(F.col("__any"), fence_flags(F.col("__l"))).otherwise(plain).alias("z"))
     return zipped.select(key, F.posexplode("z").alias("p", "z")).select(key, (F.col("p") + 1).alias("line_no"), F.col("z.line").alias("line"), F.col("z.fenced").alias("fenced"))
 
 
@@ -47,8 +48,7 @@ def unclosed_fences(docs: DataFrame, key: str, text: str) -> DataFrame:
 def lint_prose(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Prose findings outside fences and inline code, at most one a rule and line: key, line_no, rule_id."""
     clean = F.regexp_replace("line", r"`[^`]*`", " __code__ ")
-    words = F.split(F.lower(clean), r"[^a-z]+")
-    doubled = F.exists(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: (a == b) & (F.length(a) > 1)), lambda x: F.coalesce(x, F.lit(False)))
+    doubled = F.lower(clean).rlike(r"(?<![a-z])([a-z]{2,})[^a-z]+\1(?![a-z])")
     rules = F.array(*[F.when(clean.rlike(t), f"TERM{i}") for i, t in enumerate(TERMS)], F.when(doubled, "DOUBLED"), F.when(clean.rlike(PLACEHOLDER), "PLACEHOLDER"))
     rows = flagged_lines(docs, key, text).filter("not fenced")
     return rows.select(key, "line_no", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule_id"))
