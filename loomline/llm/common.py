@@ -54,6 +54,12 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def named(name: str, inside: str = "") -> Column:
+    """A column by its whole name, dots and backticks included; a field of the struct `inside`, if one is named."""
+    quoted = f"`{name.replace('`', '``')}`"
+    return F.col(f"{inside}.{quoted}" if inside else quoted).alias(name)
+
+
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Arrow batches of whole texts are bounded by bytes, not by rows alone: sets the session's limit, unless it is smaller already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, bound_batches, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
+from .common import U64, WordHashes, bound_batches, forget, id_and_text, mix, named, one_text_each, raw_texts, rolling, settle, slices
 from .graphs import components
 from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2
@@ -82,7 +82,7 @@ def frequencies(texts: DataFrame, width: int, bits: int, coarse: int, block: int
                 at = at[np.concatenate([[True, True], at[2:] != at[:-2]])]
             cuts = np.searchsorted(at, np.arange(blocks + 1) << block)
             some = [k for k in range(blocks) if cuts[k] < cuts[k + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([False] * len(some)), pa.array([pack_places(at[cuts[k] : cuts[k + 1]] - (k << block)) for k in some], pa.binary())], ["block", "is_count", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([False] * len(some), pa.bool_()), pa.array([pack_places(at[cuts[k] : cuts[k + 1]] - (k << block)) for k in some], pa.binary())], ["block", "is_count", "data"])
 
         for batch in batches:
             for part in slices(batch):
@@ -94,7 +94,7 @@ def frequencies(texts: DataFrame, width: int, bits: int, coarse: int, block: int
         if held:
             yield sent()
         parts = np.split(total, blocks)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([True] * blocks), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "is_count", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([True] * blocks, pa.bool_()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "is_count", "data"])
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
@@ -342,7 +342,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat a doc_id and its text stay or go together; other texts of a shared doc_id, and rows without a doc_id, stay.
     """
     bound_batches(docs.sparkSession)
-    rest = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")]
+    rest = [F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("row")]
     known, aside = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest))
     found = linked(known.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), **options)
     others = settle(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-others")
@@ -350,4 +350,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     kept = kept.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*kept.columns))
     for more in aside:
         kept = kept.unionByName(more)
-    return kept.select(*[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return kept.select(*[F.col("text") if c == "text" else named(c, "row") for c in docs.columns])

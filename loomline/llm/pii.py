@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import settle, sha_hex
+from .common import named, settle, sha_hex
 
 #: Possessive quantifiers and the look-behind keep matching linear; \G lets a match begin right after another one.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -111,7 +111,7 @@ def _only(kind: str, test: Callable[[Column, str], Column]) -> Column:
 
 def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
     """One row a document: doc_id, an array of spans for each kind, and, if wanted, doc: a struct of the document's own columns."""
-    own = [F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if carry else []
+    own = [F.struct(*[named(c) for c in docs.columns]).alias("doc")] if carry else []
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"), *own)
     text, more = F.col("__text"), ["doc"] if carry else []
     may = {
@@ -299,4 +299,4 @@ def redact(docs: DataFrame, admit_from: float = 0.5) -> DataFrame:
     )
     done = found.select("doc", F.when(F.size("all") > 0, fold).otherwise(text).alias("__clean"))
     fresh = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
-    return done.select(*[fresh.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return done.select(*[fresh[c].alias(c) if c in fresh else named(c, "doc") for c in docs.columns])

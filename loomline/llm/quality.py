@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-from .common import U64, WordHashes, forget, id_and_text, mix, raw_texts, settle, slices
+from .common import U64, WordHashes, forget, id_and_text, mix, named, raw_texts, settle, slices
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "wide", "symbol")
 SENTENCE = b".,;:!?'\"()-"
@@ -128,7 +128,7 @@ def language_references(docs: DataFrame, common: int = 40, held: int = 50_000) -
 
         def sent():
             for lang, counted in words.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted)), pa.array(counted, pa.binary()).cast(pa.string()), pa.array(counted.values(), pa.int64()), pa.array([False] * len(counted))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.binary()).cast(pa.string()), pa.array(list(counted.values()), pa.int64()), pa.array([False] * len(counted), pa.bool_())], names)
             for lang, counts in classes.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(CLASSES)), pa.array(CLASSES), pa.array(counts, pa.int64()), pa.array([True] * len(CLASSES))], names)
             words.clear(), classes.clear()
@@ -193,7 +193,7 @@ def quality_verdicts(
     columns = ("ref_classes", "ref_words", "ref_counts", "ref_total")
     few = references.limit(shared_languages + 1).collect()
     more = ["doc", "text"] if carry else []
-    rows = _rows(docs, *([F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc")] if carry else []))
+    rows = _rows(docs, *([F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("doc")] if carry else []))
     if len(few) <= shared_languages:
         table = {r["lang"]: tuple(r[c] for c in columns) for r in few}
     else:
@@ -245,4 +245,4 @@ def quality_verdicts(
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows that pass, with all their columns: each row by its own text."""
     good = quality_verdicts(docs, carry=True, **limits).filter("kept")
-    return good.select(*[(F.col("text") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return good.select(*[F.col("text") if c == "text" else named(c, "doc") for c in docs.columns])

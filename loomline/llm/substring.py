@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import U64, WordHashes, forget, id_and_text, mix, one_text_each, raw_texts, rolling, settle, slices
+from .common import U64, WordHashes, forget, id_and_text, mix, named, one_text_each, raw_texts, rolling, settle, slices
 from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2, by_document, cover, flat_items, later_runs, repeated_runs, run_table, spread
 
@@ -71,12 +71,12 @@ def strip_text(docs: DataFrame, width: int = 20) -> DataFrame:
     """The documents, all columns and rows, with repeated passages gone from text (and n_chars brought up to date)."""
     done = remove_substrings(docs, width, carry=True)
     fresh = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return done.select(*[fresh.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return done.select(*[fresh[c].alias(c) if c in fresh else named(c, "doc") for c in docs.columns])
 
 
 def remove_substrings(docs: DataFrame, width: int = 20, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space), one row a row of docs; if wanted, doc: a struct of the row's columns but text."""
-    own = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc")] if carry else []
+    own = [F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("doc")] if carry else []
     more = ["doc"] if carry else []
     base = id_and_text(docs, *own)
     known, aside = one_text_each(base)
