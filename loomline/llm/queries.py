@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jpeg, near, packing, pii, quality, secrets, substring, suffixes, toxicity
+from . import bpe, forest, jpeg, near, packing, pii, quality, resampling, secrets, substring, suffixes, toxicity, whitening
 from .common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,6 +53,18 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), keep_bytes=False).drop("kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_substring": op2_substring,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_suffixes": op10_suffixes,
+    "op11_whitening": op11_whitening,
+    "op12_resampling": op12_resampling,
+    "op13_forest": op13_forest,
 }
 
 ORACLES: dict[str, str] = {}

@@ -160,3 +160,61 @@ def near(texts: dict[int, str | None]) -> dict[int, tuple]:
 
 def crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+LETTERS = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
+def resampled(docs: list[tuple], targets: list, percent: int = 25, least: int = 20, seed: int = 7, buckets: int = 10_000) -> list[tuple]:
+    """(doc_id, n_features, weight, score, rank) of each document."""
+
+    def features(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LETTERS))
+        return len(words), [zlib.crc32(g.encode()) % buckets for g in [*words, *map(" ".join, zip(words, words[1:], strict=False))]]
+
+    own, aims = [(i, *features(t)) for i, t in docs], [features(t)[1] for t in targets]
+    s, t = Counter(b for _, _, f in own for b in f), Counter(b for f in aims for b in f)
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets)))) for b in s}
+    rows = []
+    for i, n, f in own:
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(sha(f"{seed}:{'' if i is None else i}")[:8], 16)
+        rows.append((i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), n))
+    able = sorted((k for k, r in enumerate(rows) if r[4] >= least), key=lambda k: (-rows[k][3], rows[k][0] is None, rows[k][0] or 0, rows[k][1]))
+    rank = {k: j + 1 for j, k in enumerate(able[: percent * len(able) // 100])}
+    return [(*r[:4], rank.get(k)) for k, r in enumerate(rows)]
+
+
+def jaccard_components(docs: dict, width: int, percent: int = 80) -> dict[int, tuple[int, int]]:
+    """doc_id -> (set size, smallest doc_id reachable), from all pairs."""
+    sets = {}
+    for i, t in docs.items():
+        words = [w.translate(LETTERS) for w in SPACE.findall(t or "")]
+        sets[i] = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+    up = {i: i for i in docs}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(docs)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: (len(sets[i]), root(i)) for i in docs}
+
+
+def whitened(vectors: list) -> tuple[int, list[int], list[int | None], list[float], list[list[float]]]:
+    """(n, S, deviations of the rows, eigenvalues, eigenvectors as rows) by whole-matrix doubles on exact sums; vectors that stay only."""
+    import numpy as np
+
+    rows = [[math.floor(256 * float(c)) for c in v] for v in vectors]
+    distinct = sorted({tuple(r) for r in rows})
+    n, sums = len(distinct), [sum(c) for c in zip(*distinct, strict=True)]
+    deviation = [sum((n * x - s) ** 2 for x, s in zip(r, sums, strict=True)) for r in rows]
+    far = np.array([[float(n * x - s) for x, s in zip(r, sums, strict=True)] for r in distinct]) / n
+    values, vectors = np.linalg.eigh(far.T @ far / n)
+    return n, sums, deviation, values[::-1].tolist(), vectors.T[::-1].tolist()
