@@ -5,12 +5,12 @@ longest common prefix stand next to each other, so a document's candidates are t
 they share depends on the region: where few documents begin alike, one hash is enough, and where many do (a hot shingle, a template), the order separates them by further hashes. Spark sorts
 by ranges of (tree, signature, id), which split a region of any size.
 
-A first pass over the orders takes next neighbours alone; its links already join what is much alike. A second pass looks as far as `reach`, but only
-at rows of other components. Candidates are pruned by exact bounds (sizes, parity bitmaps), and confirmed on whole sets, the most promising pair of each component first. So a group of near copies
+A first pass over some of the orders takes next neighbours alone; its links already join what is much alike. A second pass looks as far as `reach`, but only
+at rows of other components. Candidates are pruned by exact bounds (sizes, parity bitmaps of a fixed size, then of each set's own), and confirmed on whole sets, the most promising pair of each component first. So a group of near copies
 is never compared in all its pairs. Documents with equal sets count once.
 
-Two sets of similarity s share the first hash of a tree with probability s. A row whose region was seen whole in `whole` trees misses a partner at 0.8 with probability 0.2^whole (4 in 10^9 at
-the default). Rows that were seen whole in fewer trees, since their regions are longer than `reach` or cut by the end of a range, are compared among each other once more, by the exact join of
+Two sets of similarity s share the first hash of a tree with probability s. A row whose region was seen whole in `whole` trees misses a partner at 0.8 with probability 0.2^whole (5 in 10^7 at
+the default, where 9 of 16 trees are asked for; rows outside crowds are seen whole in all 16: 7 in 10^12). Rows that were seen whole in fewer trees, since their regions are longer than `reach` or cut by the end of a range, are compared among each other once more, by the exact join of
 operator 4 with this operator's shingles; there are none, or few, unless groups of near copies are larger than `reach`.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing. Texts with fewer words than a
@@ -30,10 +30,10 @@ from .common import U64, WordHashes, forget, id_and_text, mix, one_text_each, ra
 from .graphs import components
 from .idfilter import KeyFilter
 from .near import linked as exactly_linked
-from .near import parity_bitmap, set_sizes, set_table, shingle_sets, verified
+from .near import set_sizes, set_table, shingle_sets, verified
 
-BITS = 4  # longs of a parity bitmap
-ROW = "tree int, key binary, doc_id long, root long, n long, parity binary"
+LONGS = 4  # of the parity bitmap that travels with the orders
+ROW = "tree int, key binary, doc_id long, root long, n int, parity binary"
 
 
 def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
@@ -52,49 +52,74 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
-def forest_table(texts: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
-    """Settled: doc_id, n (set size), k1, k2 (128-bit hash of the set), parity (bitmap), keys (signatures of all trees)."""
+def forest_table(texts: DataFrame, width: int, hashes: int) -> DataFrame:
+    """Settled: doc_id, n (set size), k1, k2 (128-bit hash of the set), bits (parity bitmap of two to four times n bits, 256 at least), keys (minimum hashes)."""
 
     def run(batches):
-        hashes = WordHashes()
+        known = WordHashes()
         for part in (part for batch in batches for part in slices(batch)):
-            sets = shingle_sets(raw_texts(part), hashes, width)
+            sets = shingle_sets(raw_texts(part), known, width)
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            keys = signatures(sets, trees * depth).astype(">u4")
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([(h >> 64) - (1 << 63) for h in digests], pa.int64()),
                     pa.array([(h & (1 << 64) - 1) - (1 << 63) for h in digests], pa.int64()),
-                    pa.array([folded(s) for s in sets], pa.binary()),
-                    pa.array([k.tobytes() for k in keys], pa.binary()),
+                    pa.array([parities(s) for s in sets], pa.binary()),
+                    pa.array([k.tobytes() for k in signatures(sets, hashes).astype(">u4")], pa.binary()),
                 ],
-                ["doc_id", "n", "k1", "k2", "parity", "keys"],
+                ["doc_id", "n", "k1", "k2", "bits", "keys"],
             )
 
-    return settle(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, parity binary, keys binary"), "forest-signatures")
+    return settle(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, keys binary"), "forest-signatures")
 
 
-def folded(tokens: np.ndarray) -> bytes:
-    """A parity bitmap of 64 * BITS bits: the parity of two halves' parities is that of both."""
-    whole = parity_bitmap(tokens)
-    return np.bitwise_xor.reduce(whole.reshape(-1, BITS), 0).tobytes()
+def parities(tokens: np.ndarray) -> bytes:
+    """How many tokens have each value of their lowest bits, modulo 2: two sets differ in at least as many tokens as their bitmaps in bits."""
+    size = max(64 * LONGS, 1 << (2 * len(tokens)).bit_length())
+    odd = np.bincount((tokens & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, longs: int) -> np.ndarray:
+    """A parity bitmap in fewer bits: the parity of two halves' parities is that of both."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, U64).reshape(-1, longs), 0)
+
+
+def near_enough(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their bitmaps leave: |A and B| is at most half of what both sizes have beyond the bits that differ. Exact: no similar pair goes. Bitmaps have a fortieth of a set's bytes."""
+
+    def run(batches):
+        for batch in batches:
+            may = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
+                longs = min(len(x), len(y)) // 8
+                apart = int(np.bitwise_count(folded(x, longs) ^ folded(y, longs)).sum())
+                may.append((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb))
+            yield batch.select(["a", "b", "hits"]).filter(pa.array(may, pa.bool_()))
+
+    # a doc_id that repeats its text has a row for each repetition
+    of = lambda c: table.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")).dropDuplicates([c])
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hits", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, hits long")
 
 
 def orders(table: DataFrame, trees: int, depth: int) -> DataFrame:
-    """A row (ROW) for each document and tree. table: doc_id, root, n, parity, keys."""
+    """A row (ROW) for each document and each of the first trees. table: doc_id, root, n, bits, keys."""
     size = 4 * depth
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            flat = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint8).reshape(n, trees, size).transpose(1, 0, 2)
+            if not n:
+                continue
+            flat = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint8).reshape(n, -1, size).transpose(1, 0, 2)
+            parity = pa.array([folded(b, LONGS).tobytes() for b in batch.column("bits").to_pylist()], pa.binary())
             for tree in range(trees):
                 keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), n, [None, pa.py_buffer(np.ascontiguousarray(flat[tree]))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), keys, *map(batch.column, ("doc_id", "root", "n", "parity"))], ["tree", "key", "doc_id", "root", "n", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), keys, *map(batch.column, ("doc_id", "root", "n")), parity], ["tree", "key", "doc_id", "root", "n", "parity"])
 
-    return table.select("keys", "doc_id", "root", "n", "parity").mapInArrow(run, ROW)
+    return table.select("keys", "doc_id", "root", F.col("n").cast("int").alias("n"), "bits").mapInArrow(run, ROW)
 
 
 def neighbours(depth: int, reach: int, percent: int, flag: bool):
@@ -110,8 +135,9 @@ def neighbours(depth: int, reach: int, percent: int, flag: bool):
             old = 0 if held is None else held.num_rows
             held = batch if held is None else pa.concat_batches([held, batch])
             tree, ids, root, n = (held.column(c).to_numpy() for c in ("tree", "doc_id", "root", "n"))
+            n = n.astype(np.int64)
             keys = np.frombuffer(b"".join(held.column("key").to_pylist()), ">u4").reshape(-1, depth)
-            parity = np.frombuffer(b"".join(held.column("parity").to_pylist()), U64).reshape(-1, BITS)
+            parity = np.frombuffer(b"".join(held.column("parity").to_pylist()), U64).reshape(-1, LONGS)
             begins = np.concatenate([[True], (tree[1:] != tree[:-1]) | (keys[1:, 0] != keys[:-1, 0])])
             region = np.cumsum(begins)
             found, lost = [], []
@@ -183,10 +209,12 @@ def joined(root: DataFrame | None, links: DataFrame) -> DataFrame:
     return settle(known.unionByName(alone).join(higher, "old", "left").select("doc_id", F.coalesce("root", "old").alias("root")), "forest-roots")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rounds: int, root: DataFrame | None) -> DataFrame | None:
-    """The roots after all links among the pairs (a, b, hits). Rounds test the most promising pair of each component; then all pairs that are still between components."""
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, rounds: int, to_the_end: bool, root: DataFrame | None) -> DataFrame | None:
+    """The roots after the links among the pairs (a, b, hits): rounds test the most promising pair of each component, and at last, if wanted, all pairs that are still between components."""
     tested: list[DataFrame] = []
-    for turn in range(rounds + 1):
+    active = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "forest-active")
+    sets = set_table(texts, active, width)
+    for turn in range(rounds + to_the_end):
         left = rooted(pairs, root)
         for t in tested:
             left = left.join(t.select("a", "b"), ["a", "b"], "left_anti")
@@ -197,39 +225,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rounds: int, root
         tested.append(now)
         if now.isEmpty():
             break
-        links = verified(now, sets, percent, "forest-links")
+        asked = now.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        links = verified(now, KeyFilter(asked, "doc_id").split(sets, "doc_id")[0], percent, "forest-links")
         if not links.isEmpty():
             before, root = root, joined(root, links.join(now, ["a", "b"]))
             if before is not None:
                 forget(before)
         forget(links)
-    forget(*tested)
+    forget(active, sets, *tested)
     return root
 
 
-def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 24, depth: int = 8, reach: int = 256, whole: int = 12, rounds: int = 3) -> DataFrame:
+def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 16, depth: int = 4, reach: int = 256, whole: int = 9, first_trees: int = 6, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of texts whose doc_ids have one text each."""
-    table = forest_table(texts, width, trees, depth)
+    table = forest_table(texts, width, trees * depth)
     classes = table.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = settle(table.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "forest-members")
     others = settle(members.filter("n > 0 and (doc_id is null or doc_id <> rep)").select("doc_id").distinct(), "forest-copies")
-    columns = ["doc_id", "n", "parity", "keys"]
+    columns = ["doc_id", "n", "bits", "keys"]
     maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select(*columns), "doc_id")
     own = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns))
-    n_rows, root = trees * members.count(), None
+    n_docs, root = members.count(), None
 
-    for far, flag in ((1, False), (reach, True)):
+    for some, far, last in ((min(first_trees, trees), 2, False), (trees, reach, True)):
         known = own.withColumn("root", F.col("doc_id")) if root is None else own.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        found = candidates(orders(known, trees, depth), depth, far, percent, n_rows, flag)
-        pairs = found.filter("b is not null")
-        active = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "forest-active")
-        sets = set_table(texts, active, width)
-        root = confirmed(pairs, sets, percent, rounds, root)
-        crowded = settle(found.filter((F.col("b").isNull()) & (F.col("hits") > trees - whole)).select(F.col("a").alias("doc_id")), "forest-crowded") if flag else None
-        forget(found, active, sets)
+        found = candidates(orders(known, some, depth), depth, far, percent, some * n_docs, last)
+        pairs = settle(near_enough(found.filter("b is not null"), own, percent), "forest-near")
+        root = confirmed(pairs, texts, width, percent, rounds, last, root)
+        crowded = settle(found.filter((F.col("b").isNull()) & (F.col("hits") > trees - whole)).select(F.col("a").alias("doc_id")), "forest-crowded") if last else None
+        forget(found, pairs)
     if not crowded.isEmpty():
-        some = KeyFilter(crowded, "doc_id").split(texts, "doc_id")[0].join(crowded.hint("shuffle_hash"), "doc_id", "left_semi")
-        links = exactly_linked(some, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"), F.lit(0).alias("hits"))
+        crowd = KeyFilter(crowded, "doc_id").split(texts, "doc_id")[0].join(crowded.hint("shuffle_hash"), "doc_id", "left_semi")
+        links = exactly_linked(crowd, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"), F.lit(0).alias("hits"))
         between = settle(rooted(links, root), "forest-links")
         if not between.isEmpty():
             root = joined(root, between)

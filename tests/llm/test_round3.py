@@ -69,7 +69,7 @@ def test_forest_of_crowds(spark, reach):
 def test_forest_candidates_and_flags(spark):
     """A sorted region over several ranges: rows within reach meet, unless a range ends between them, and rows with unseen ones around them are reported."""
     n, reach = 30, 4
-    table = spark.createDataFrame([(0, b"\0\0\0\1" * 2, i, i, 5, b"\0" * 8 * forest.BITS) for i in range(n)] + [(1, bytes([i] * 8), i, i, 5, b"\0" * 8 * forest.BITS) for i in range(n)], forest.ROW)
+    table = spark.createDataFrame([(0, b"\0\0\0\1" * 2, i, i, 5, b"\0" * 8 * forest.LONGS) for i in range(n)] + [(1, bytes([i] * 8), i, i, 5, b"\0" * 8 * forest.LONGS) for i in range(n)], forest.ROW)
     for parts in (1, 3):
         found = table.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(forest.neighbours(2, reach, 80, True), "a long, b long, depth long").collect()
         pairs = {(r["a"], r["b"]) for r in found if r["b"] is not None}
