@@ -19,6 +19,11 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _ORACLES[name] = sql
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query registered before: its stream form has the same."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     """Import the modules that register queries."""
     from . import MODULES

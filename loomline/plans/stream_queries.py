@@ -13,7 +13,8 @@ from ..operators import joins as jo
 from ..sources import formats as fm
 from ..streaming import alerts as al
 from ..streaming import stateful as sf
-from .registry import register
+from ..streaming import timed as tm
+from .registry import oracle_of, register
 from .tables import table
 
 _SLIDE = "SELECT unnest(generate_series(time_bucket(INTERVAL '{s} minutes', ts) - INTERVAL '{back} minutes', time_bucket(INTERVAL '{s} minutes', ts), INTERVAL '{s} minutes')) + INTERVAL '{l} minutes' AS ended, events.* FROM events"
@@ -279,3 +280,44 @@ def u5(spark, d):
 
 
 register("u5_table_function", u5, r"WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1))::INT AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) SELECT doc_id, line_no, md5(line) AS digest FROM l WHERE contains(line, 'token = ')")
+
+
+def replayed(spark, d, name, build, delay="1 hour"):
+    """build(stream) over the events table read as a stream, run to its end. A last row a century later moves the watermark past all others; its key is -1 and empty."""
+    e, at = table(spark, d, "events"), f"{gr.shared_folder(spark)}/{name}-{uuid4().hex}"
+    last = e.agg(F.max("ts").alias("ts")).select(*[(F.col("ts") + F.expr("interval 100 years") if f.name == "ts" else F.lit(-1 if f.name == "user_id" else "" if f.name == "event_type" else None)).cast(f.dataType).alias(f.name) for f in e.schema])
+    last.write.parquet(f"{at}/last")
+    streams = [spark.readStream.schema(e.schema).parquet(p) for p in (f"{d}/events.parque[t]", f"{at}/last")]  # a pattern: a stream's path must be a folder else
+    rows = streams[0].unionByName(streams[1]).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    out = build(rows)
+    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+_SPELLS = "WITH b AS (SELECT user_id, epoch_us(ts) AS beat, epoch_us(ts) >= lag(epoch_us(ts)) OVER w + 86400000000 AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(CASE WHEN coalesce(fresh, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY beat ROWS UNBOUNDED PRECEDING) AS k FROM b) SELECT user_id::VARCHAR AS key, min(beat)::BIGINT AS acquired, max(beat)::BIGINT + 86400000000 AS expires, count(*) AS beats FROM n GROUP BY user_id, k"
+
+
+def _spells(rows):
+    return rows.select("key", F.unix_micros("acquired").alias("acquired"), F.unix_micros("expires").alias("expires"), "beats")
+
+
+register("r11_lease_spells", lambda spark, d: _spells(tm.lease_spells(events(spark, d), "user_id", "ts", 86400)), _SPELLS)
+register("r11_lease_stream", lambda spark, d: _spells(replayed(spark, d, "leases", lambda s: tm.lease_spells(s, "user_id", "ts", 86400))).filter("key <> '-1'"), _SPELLS)
+
+
+def r9s(spark, d):
+    samples = lambda s: s.withColumn("counter", F.col("event_id") % 50)
+    out = replayed(spark, d, "increase", lambda s: tm.increase_stream(samples(s), "user_id", "ts", "event_id", "counter"))
+    return out.filter("key <> '-1'").groupBy("key").agg(F.sum("increase").cast("long").alias("increase"))
+
+
+register("r9_increase_stream", r9s, "WITH c AS (SELECT user_id, event_id % 50 AS c, lag(event_id % 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id::VARCHAR AS key, sum(CASE WHEN b IS NULL THEN 0 WHEN c < b THEN c ELSE c - b END)::BIGINT AS increase FROM c GROUP BY 1")
+
+
+def r3s(spark, d):
+    held = lambda s: al.held(al.alert_rate(s, "ts", "value", ["event_type"], 60.0, "60 minutes", "15 minutes", 1.0), ["event_type"], F.col("fires"), 2, 900)
+    return replayed(spark, d, "rate", held).select(F.col("at").cast("long").alias("ended"), "event_type", F.round("rate", 3).alias("rate"))
+
+
+register("r3_rate_alert_stream", r3s, oracle_of("r3_rate_alert"))

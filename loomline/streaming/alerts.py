@@ -10,17 +10,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timed import held_stream
+
 
 def windowed(events: DataFrame, ts: str, by: Sequence[str], length: str, slide: str | None, **measures: Column) -> DataFrame:
-    """Aggregates by window end and keys."""
+    """Aggregates by window end and keys; on a stream also `closed`, the window's event time, which state that follows goes by."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
-    return events.groupBy(w.alias("__w"), *by).agg(*[m.alias(n) for n, m in measures.items()]).select(F.col("__w.end").alias("at"), *by, *measures)
+    closed = [F.window_time("__w").alias("closed")] if events.isStreaming else []
+    return events.groupBy(w.alias("__w"), *by).agg(*[m.alias(n) for n, m in measures.items()]).select(F.col("__w.end").alias("at"), *by, *measures, *closed)
 
 
 def held(measured: DataFrame, by: Sequence[str], firing: Column, times: int, slide_seconds: int) -> DataFrame:
-    """Windows in which the condition has held for `times` consecutive windows; a missing window breaks the run. Batch, or inside foreachBatch."""
+    """Windows in which the condition has held for `times` consecutive windows; a missing window breaks the run. On a stream, as the windows close."""
     if times <= 1:
-        return measured.filter(firing)
+        return measured.filter(firing).drop("closed")
+    if measured.isStreaming:
+        return held_stream(measured, by, firing, times, slide_seconds)
     w = Window.partitionBy(*by).orderBy("__t")
     rows = measured.withColumn("__t", F.col("at").cast("timestamp").cast("long")).filter(firing)
     back = F.lag("__t", times - 1).over(w)
@@ -76,9 +81,9 @@ def hit_ratio(events: DataFrame, ts: str, hit: Column, length: str = "5 minutes"
 
 
 def increase(samples: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
-    """Increase of a counter since the sample before; a fall is a reset, so the new value counts whole; the first sample has 0."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
-    return samples.withColumn("increase", F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
+    """Increase of a counter since the sample before; a fall is a reset, so the new value counts whole; the first sample has 0. A null sample is passed over. timed.increase_stream() is its stream form."""
+    before = F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return samples.withColumn("increase", F.when(F.col(value).isNull(), None).when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
 
 
 # Headers that never leave, attributes inserted where absent.

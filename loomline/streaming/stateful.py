@@ -1,24 +1,19 @@
-"""Per-key state machines: the reasoning splitter and the token bucket, as batches and as streams.
+"""Per-key state machines as batches: the reasoning splitter and the token bucket (timed.py has their streams); dead letters and change loops.
 
-Within a key, rows are handled in sequence order. A stream holds back nothing but the splitter's tag prefix; rows of a key that arrive
-out of order across micro-batches are taken as they come, so order the source by key or set its watermark upstream.
+Within a key, rows are handled in sequence order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OPEN, CLOSE, CAP = "<think>", "</think>", 65_536
-SPLIT_SCHEMA = "key string, seq long, emitted string, thought string, dropped_closes int, overflow long, unclosed boolean"
-SPLIT_STATE = "buffer string, thinking boolean, kept long, closes int, overflow long"
+SPLIT_COLUMNS = {"key": "string", "seq": "long", "emitted": "string", "thought": "string", "dropped_closes": "int", "overflow": "long", "unclosed": "boolean"}
 
 
-def _advance(buffer: str, thinking: bool, kept: int, chunk: str, last: bool) -> tuple[str, bool, int, str, str, int, int]:
+def advance(buffer: str, thinking: bool, kept: int, chunk: str, last: bool, cap: int = CAP) -> tuple[str, bool, int, str, str, int, int]:
     """Feed a chunk: (buffer, thinking, thought kept so far, emitted, thought, stray closes, thought dropped)."""
     text, out, thought, stray, over = buffer + chunk, [], [], 0, 0
     while text:
@@ -30,7 +25,7 @@ def _advance(buffer: str, thinking: bool, kept: int, chunk: str, last: bool) ->
         cut = at if at >= 0 else len(text) - hold
         piece, text = text[:cut], text[cut + len(tag) :] if at >= 0 else text[cut:]
         if thinking:
-            room = max(0, CAP - kept)
+            room = max(0, cap - kept)
             thought.append(piece[:room])
             kept += min(room, len(piece))
             over += max(0, len(piece) - room)
@@ -53,36 +48,15 @@ def split_reasoning(chunks: DataFrame, starts_thinking: bool = False) -> DataFra
         rows = pdf.sort_values("seq")
         n = len(rows)
         for i, chunk in enumerate(rows["chunk"].fillna("").tolist()):
-            buffer, thinking, kept, e, t, c, o = _advance(buffer, thinking, kept, chunk, i == n - 1)
-            emitted.append(e), thought.append(t)
-            closes, over = closes + c, over + o
-        return pd.DataFrame([(rows["key"].iloc[0], int(rows["seq"].max()), "".join(emitted), "".join(thought), closes, over, thinking)], columns=["key", "seq", "emitted", "thought", "dropped_closes", "overflow", "unclosed"])
-
-    return chunks.selectExpr("cast(key as string) key", "cast(seq as bigint) seq", "chunk").groupBy("key").applyInPandas(run, SPLIT_SCHEMA)
-
-
-def split_reasoning_stream(chunks: DataFrame, starts_thinking: bool = False) -> DataFrame:
-    """The same over a stream: one row a key and micro-batch with what became certain. A chunk that is null flushes and ends its key."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, thinking, kept, closes, over = state.get if state.exists else ("", starts_thinking, 0, 0, 0)
-        rows = pd.concat(list(parts)).sort_values("seq")
-        emitted, thought, ended = [], [], False
-        for chunk in rows["chunk"].tolist():
-            ended = chunk is None
-            buffer, thinking, kept, e, t, c, o = _advance(buffer, thinking, kept, chunk or "", ended)
+            buffer, thinking, kept, e, t, c, o = advance(buffer, thinking, kept, chunk, i == n - 1)
             emitted.append(e), thought.append(t)
             closes, over = closes + c, over + o
-        if ended:
-            state.remove()
-        else:
-            state.update((buffer, thinking, kept, closes, over))
-        yield pd.DataFrame([(key[0], int(rows["seq"].max()), "".join(emitted), "".join(thought), closes, over, ended and thinking)], columns=["key", "seq", "emitted", "thought", "dropped_closes", "overflow", "unclosed"])
+        return pd.DataFrame([(rows["key"].iloc[0], int(rows["seq"].max()), "".join(emitted), "".join(thought), closes, over, thinking)], columns=list(SPLIT_COLUMNS))
 
-    return chunks.selectExpr("cast(key as string) key", "cast(seq as bigint) seq", "chunk").groupBy("key").applyInPandasWithState(run, SPLIT_SCHEMA, SPLIT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return chunks.selectExpr("cast(key as string) key", "cast(seq as bigint) seq", "chunk").groupBy("key").applyInPandas(run, ", ".join(f"{n} {t}" for n, t in SPLIT_COLUMNS.items()))
 
 
-def _admit(tokens: float, last: float, at: float, cost: float, rate: float, burst: float) -> tuple[float, float, float]:
+def admit(tokens: float, last: float, at: float, cost: float, rate: float, burst: float) -> tuple[float, float, float]:
     """(tokens left, time of admission, wait): refill, wait while short, subtract."""
     now = max(at, last)
     tokens = min(burst, tokens + (now - last) * rate)
@@ -97,35 +71,23 @@ def token_bucket(events: DataFrame, rate: float, burst: float) -> DataFrame:
         pdf = pdf.sort_values(["at", "id"])
         tokens, last, out = burst, float(pdf["at"].iloc[0]), []
         for r in pdf.itertuples():
-            tokens, last, wait = _admit(tokens, last, float(r.at), float(r.cost), rate, burst)
+            tokens, last, wait = admit(tokens, last, float(r.at), float(r.cost), rate, burst)
             out.append((r.key, r.id, last, wait))
         return pd.DataFrame(out, columns=["key", "id", "admitted", "wait"])
 
     return events.selectExpr("cast(key as string) key", "cast(id as bigint) id", "cast(at as double) at", "cast(cost as double) cost").groupBy("key").applyInPandas(run, "key string, id long, admitted double, wait double")
 
 
-def token_bucket_stream(events: DataFrame, rate: float, burst: float) -> DataFrame:
-    """The same over a stream, with the bucket as state."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["at", "id"])
-        tokens, last = state.get if state.exists else (burst, float(rows["at"].iloc[0]))
-        out = []
-        for r in rows.itertuples():
-            tokens, last, wait = _admit(tokens, last, float(r.at), float(r.cost), rate, burst)
-            out.append((key[0], r.id, last, wait))
-        state.update((tokens, last))
-        yield pd.DataFrame(out, columns=["key", "id", "admitted", "wait"])
-
-    return events.selectExpr("cast(key as string) key", "cast(id as bigint) id", "cast(at as double) at", "cast(cost as double) cost").groupBy("key").applyInPandasWithState(run, "key string, id long, admitted double, wait double", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+def consume(stream: DataFrame, column: str, schema: str, table: str, dead: str, checkpoint: str):
+    """Start a query that decodes JSON rows into `table` and undecodable ones into `dead` (parquet folders).
 
+    A micro-batch has a folder of its own in each (batch=N, a partition column), which is overwritten: one that is run again after a failure leaves no row twice.
+    """
 
-def consume(stream: DataFrame, column: str, schema: str, table: str, dead: str, checkpoint: str):
-    """Start a query that decodes JSON rows into `table` and appends undecodable ones to `dead` (both parquet folders)."""
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         decoded = batch.select(F.col(column), F.from_json(column, schema).alias("r"), F.try_parse_json(column).isNotNull().alias("ok"))
-        decoded.filter("ok and r is not null").select("r.*").write.mode("append").parquet(table)
-        decoded.filter("not ok or r is null").select(column, F.current_timestamp().alias("seen")).write.mode("append").parquet(dead)
+        decoded.filter("ok and r is not null").select("r.*").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        decoded.filter("not ok or r is null").select(column, F.current_timestamp().alias("seen")).write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
