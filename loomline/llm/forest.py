@@ -5,8 +5,9 @@ longest common prefix stand next to each other, so a document's candidates are t
 they share depends on the region: where few documents begin alike, one hash is enough, and where many do (a hot shingle, a template), the order separates them by further hashes. Spark sorts
 by ranges of (tree, signature, id), which split a region of any size.
 
-A first pass over some of the orders takes next neighbours alone; its links already join what is much alike. A second pass looks as far as `reach`, but only
-at rows of other components. Candidates are pruned by exact bounds (sizes, parity bitmaps of a fixed size, then of each set's own), and confirmed on whole sets, the most promising pair of each component first. So a group of near copies
+A first pass goes over some of the trees by their first hash alone. How many others share a document's first hashes says how central it is: an original has the hashes of most
+of its near copies, which have fewer of each other's. Each region compares its documents with its most central one, one pair a document, and these links already join what is much alike. A second pass
+looks around each row, as far as `reach`, but only at rows of other components. Candidates are pruned by exact bounds (sizes, parity bitmaps of a fixed size, then of each set's own), and confirmed on whole sets, the most promising pair of each component first. So a group of near copies
 is never compared in all its pairs. Documents with equal sets count once.
 
 Two sets of similarity s share the first hash of a tree with probability s. A row whose region was seen whole in `whole` trees misses a partner at 0.8 with probability 0.2^whole (5 in 10^7 at
@@ -104,26 +105,26 @@ def near_enough(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hits", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, hits long")
 
 
-def orders(table: DataFrame, trees: int, depth: int) -> DataFrame:
-    """A row (ROW) for each document and each of the first trees. table: doc_id, root, n, bits, keys."""
-    size = 4 * depth
+def orders(table: DataFrame, trees: int, depth: int, taken: int | None = None) -> DataFrame:
+    """A row (ROW) for each document and each of the first trees, with the first `taken` hashes of the signature. table: doc_id, root, n, bits, keys."""
+    size, own = 4 * depth, 4 * (taken or depth)
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            flat = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint8).reshape(n, -1, size).transpose(1, 0, 2)
+            flat = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint8).reshape(n, -1, size)[:, :, :own].transpose(1, 0, 2)
             parity = pa.array([folded(b, LONGS).tobytes() for b in batch.column("bits").to_pylist()], pa.binary())
             for tree in range(trees):
-                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), n, [None, pa.py_buffer(np.ascontiguousarray(flat[tree]))]).cast(pa.binary())
+                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(own), n, [None, pa.py_buffer(np.ascontiguousarray(flat[tree]))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), keys, *map(batch.column, ("doc_id", "root", "n")), parity], ["tree", "key", "doc_id", "root", "n", "parity"])
 
     return table.select("keys", "doc_id", "root", F.col("n").cast("int").alias("n"), "bits").mapInArrow(run, ROW)
 
 
-def neighbours(depth: int, reach: int, percent: int, flag: bool):
-    """A task over a range of sorted rows: candidates (a, b, depth of the common prefix) of different roots at most `reach` rows apart; and, if wanted, (a, null, 0) for
+def neighbours(depth: int, reach: int, percent: int):
+    """A task over a range of sorted rows: candidates (a, b, depth of the common prefix) of different roots at most `reach` rows apart; and (a, null, 0) for
     each row whose region goes on beyond its reach or begins or ends with the range, so that it may have partners there that it hasn't met."""
     far = reach + 1
 
@@ -153,22 +154,20 @@ def neighbours(depth: int, reach: int, percent: int, flag: bool):
                     break
                 some = at[np.searchsorted(at, old - step) :]  # the second row is new
                 if step == far:
-                    lost += [ids[some], ids[some + step]] if flag else []
+                    lost += [ids[some], ids[some + step]]
                     break
                 to = some + step
-                both = n[some] + n[to]
-                may = (root[some] != root[to]) & (100 * np.minimum(n[some], n[to]) >= percent * np.maximum(n[some], n[to]))
-                some, to, both = some[may], to[may], both[may]
-                apart = np.bitwise_count(parity[some] ^ parity[to]).sum(1, dtype=np.int64)
-                may = (100 + percent) * (both - apart) >= 2 * percent * both
+                may = root[some] != root[to]
+                some, to = some[may], to[may]
+                may = alike(n, parity, some, to, percent)
                 some, to = some[may], to[may]
                 common = np.cumprod(keys[some] == keys[to], axis=1).sum(1)
                 found.append((np.minimum(ids[some], ids[to]), np.maximum(ids[some], ids[to]), common))
             yield rows_of(*([np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3))
-            if flag and lost:
+            if lost:
                 yield lost_rows(np.concatenate(lost))
             held = held.slice(max(0, held.num_rows - far))
-        if flag and held is not None:  # the region that ends the range
+        if held is not None and held.num_rows:  # the region that ends the range
             tree, keys, ids = held.column("tree").to_pylist(), [k[:4] for k in held.column("key").to_pylist()], held.column("doc_id").to_numpy()
             yield lost_rows(ids[[(t, k) == (tree[-1], keys[-1]) for t, k in zip(tree, keys, strict=True)]])
 
@@ -181,11 +180,77 @@ def neighbours(depth: int, reach: int, percent: int, flag: bool):
     return run
 
 
-def candidates(rows: DataFrame, depth: int, reach: int, percent: int, n_rows: int, flag: bool) -> DataFrame:
-    """Settled: a, b and hits (the depths of their common prefixes, over all trees); with b null: trees in which the row a was not seen whole."""
+def sizes(batches):
+    """A task over a range of rows sorted by tree and first hash: doc_id and the logarithm of its region's size."""
+
+    def sent(ids, region):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.log2(np.bincount(region)[region]))], ["doc_id", "weight"])
+
+    held = None
+    for batch in batches:
+        held = batch if held is None else pa.concat_batches([held, batch])
+        if not held.num_rows:
+            continue
+        tree, keys = held.column("tree").to_numpy(), np.frombuffer(b"".join(held.column("key").to_pylist()), ">u4")
+        region = np.cumsum(np.concatenate([[0], (tree[1:] != tree[:-1]) | (keys[1:] != keys[:-1])]))
+        done = int(np.searchsorted(region, region[-1]))  # the last region may go on
+        if done:
+            yield sent(held.column("doc_id").to_numpy()[:done], region[:done])
+        held = held.slice(done).select(["tree", "key", "doc_id", "root", "n", "parity"])
+    if held is not None and held.num_rows:
+        yield sent(held.column("doc_id").to_numpy(), np.zeros(held.num_rows, np.int64))
+
+
+def against_first(percent: int):
+    """A task over a range of rows sorted by tree, first hash and centrality: candidates (a, b, 1) of each row and the first of its region."""
+
+    def run(batches):
+        first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch if first is None else pa.concat_batches([first, batch])
+            tree, ids, n = held.column("tree").to_numpy(), held.column("doc_id").to_numpy(), held.column("n").to_numpy().astype(np.int64)
+            keys, parity = np.frombuffer(b"".join(held.column("key").to_pylist()), ">u4"), np.frombuffer(b"".join(held.column("parity").to_pylist()), U64).reshape(-1, LONGS)
+            begins = np.concatenate([[True], (tree[1:] != tree[:-1]) | (keys[1:] != keys[:-1])])
+            to = np.maximum.accumulate(np.where(begins, np.arange(len(ids)), 0))
+            some = np.flatnonzero(ids != ids[to])
+            some, to, last = some[alike(n, parity, some, to[some], percent)], to, int(to[-1])
+            a, b = ids[some], ids[to[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(len(a), np.int64))], ["a", "b", "depth"])
+            first = held.slice(last, 1)
+
+    return run
+
+
+def alike(n: np.ndarray, parity: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """May the sets at two places be similar, by their sizes and parity bitmaps? Exact: no similar pair fails."""
+    both = n[one] + n[two]
+    apart = np.bitwise_count(parity[one] ^ parity[two]).sum(1, dtype=np.int64)
+    return (100 * np.minimum(n[one], n[two]) >= percent * np.maximum(n[one], n[two])) & ((100 + percent) * (both - apart) >= 2 * percent * both)
+
+
+def dealt(rows: DataFrame, order: list[str], n_rows: int) -> DataFrame:
+    """Rows sorted in ranges of some ten thousand at least."""
     parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // 10_000))
-    order = ["tree", "key", "doc_id"]
-    found = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(neighbours(depth, reach, percent, flag), "a long, b long, depth long")
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def central_pairs(own: DataFrame, trees: int, depth: int, percent: int, n_docs: int) -> DataFrame:
+    """Settled: a, b and hits (trees), of each document and the most central one of each of its regions."""
+    flat = own.withColumn("root", F.lit(0).cast("long"))
+    weights = dealt(orders(flat, trees, depth, 1), ["tree", "key", "doc_id"], trees * n_docs).mapInArrow(sizes, "doc_id long, weight double")
+    weights = settle(weights.groupBy("doc_id").agg((-1000 * F.sum("weight")).cast("long").alias("root")), "forest-weights")
+    ranked = orders(own.join(weights, "doc_id"), trees, depth, 1)
+    found = dealt(ranked, ["tree", "key", "root", "doc_id"], trees * n_docs).mapInArrow(against_first(percent), "a long, b long, depth long")
+    out = settle(found.groupBy("a", "b").agg(F.sum("depth").alias("hits")), "forest-candidates")
+    forget(weights)
+    return out
+
+
+def candidates(rows: DataFrame, depth: int, reach: int, percent: int, n_rows: int) -> DataFrame:
+    """Settled: a, b and hits (the depths of their common prefixes, over all trees); with b null: trees in which the row a was not seen whole."""
+    found = dealt(rows, ["tree", "key", "doc_id"], n_rows).mapInArrow(neighbours(depth, reach, percent), "a long, b long, depth long")
     hits = F.when(F.col("b").isNull(), F.count("*")).otherwise(F.sum("depth"))
     return settle(found.groupBy("a", "b").agg(hits.alias("hits")), "forest-candidates")
 
@@ -236,7 +301,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, roun
     return root
 
 
-def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 16, depth: int = 4, reach: int = 256, whole: int = 9, first_trees: int = 6, rounds: int = 2) -> DataFrame:
+def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 16, depth: int = 4, reach: int = 64, whole: int = 9, first_trees: int = 8, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of texts whose doc_ids have one text each."""
     table = forest_table(texts, width, trees * depth)
     classes = table.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -245,18 +310,22 @@ def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 16,
     columns = ["doc_id", "n", "bits", "keys"]
     maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select(*columns), "doc_id")
     own = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns))
-    n_docs, root = members.count(), None
-
-    for some, far, last in ((min(first_trees, trees), 2, False), (trees, reach, True)):
-        known = own.withColumn("root", F.col("doc_id")) if root is None else own.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        found = candidates(orders(known, some, depth), depth, far, percent, some * n_docs, last)
-        pairs = settle(near_enough(found.filter("b is not null"), own, percent), "forest-near")
-        root = confirmed(pairs, texts, width, percent, rounds, last, root)
-        crowded = settle(found.filter((F.col("b").isNull()) & (F.col("hits") > trees - whole)).select(F.col("a").alias("doc_id")), "forest-crowded") if last else None
-        forget(found, pairs)
+    n_docs = members.count()
+
+    found = central_pairs(own, min(first_trees, trees), depth, percent, n_docs)
+    pairs = settle(near_enough(found, own, percent), "forest-near")
+    root = confirmed(pairs, texts, width, percent, rounds, False, None)
+    forget(found, pairs)
+    known = own.withColumn("root", F.col("doc_id")) if root is None else own.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    found = candidates(orders(known, trees, depth), depth, reach, percent, trees * n_docs)
+    pairs = settle(near_enough(found.filter("b is not null"), own, percent), "forest-near")
+    root = confirmed(pairs, texts, width, percent, rounds, True, root)
+    crowded = settle(found.filter((F.col("b").isNull()) & (F.col("hits") > trees - whole)).select(F.col("a").alias("doc_id")), "forest-crowded")
+    forget(found, pairs)
     if not crowded.isEmpty():
         crowd = KeyFilter(crowded, "doc_id").split(texts, "doc_id")[0].join(crowded.hint("shuffle_hash"), "doc_id", "left_semi")
-        links = exactly_linked(crowd, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"), F.lit(0).alias("hits"))
+        bits = min(27, max(22, (crowded.count() << 9).bit_length() + 4))  # its sketches only prune: a small crowd needs small ones
+        links = exactly_linked(crowd, width, percent, sketch_bits=bits).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"), F.lit(0).alias("hits"))
         between = settle(rooted(links, root), "forest-links")
         if not between.isEmpty():
             root = joined(root, between)

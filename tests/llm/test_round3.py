@@ -71,14 +71,14 @@ def test_forest_candidates_and_flags(spark):
     n, reach = 30, 4
     table = spark.createDataFrame([(0, b"\0\0\0\1" * 2, i, i, 5, b"\0" * 8 * forest.LONGS) for i in range(n)] + [(1, bytes([i] * 8), i, i, 5, b"\0" * 8 * forest.LONGS) for i in range(n)], forest.ROW)
     for parts in (1, 3):
-        found = table.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(forest.neighbours(2, reach, 80, True), "a long, b long, depth long").collect()
+        found = table.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(forest.neighbours(2, reach, 80), "a long, b long, depth long").collect()
         pairs = {(r["a"], r["b"]) for r in found if r["b"] is not None}
         lost = {r["a"] for r in found if r["b"] is None}
         close = {(i, j) for i in range(n) for j in range(i + 1, min(n, i + reach + 1))}
         assert pairs <= close and (parts > 1 or pairs == close)
         assert all(x in lost for p in close - pairs for x in p)
         assert lost == set(range(n))  # all of them see only a part of the region
-    apart = table.filter("tree = 1").coalesce(1).sortWithinPartitions("key").mapInArrow(forest.neighbours(2, reach, 80, True), "a long, b long, depth long").collect()
+    apart = table.filter("tree = 1").coalesce(1).sortWithinPartitions("key").mapInArrow(forest.neighbours(2, reach, 80), "a long, b long, depth long").collect()
     assert {r["a"] for r in apart} == {0, n - 1}
 
 
