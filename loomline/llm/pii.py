@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +25,22 @@ from pyspark.sql import functions as F
 from . import spans as S
 from .common import named, settle, sha_hex
 
+#: Java's regular expressions recurse into a repeated group, once for each repetition, so a long text would run out of stack. Repeated groups are single characters here: in a
+#: copy of the text, dots between domain characters, and blanks and hyphens between digits, are these marks. A mark that the text itself has is another character that no pattern knows.
+DOT, BLANK, HYPHEN, FOREIGN = "\ue000", "\ue001", "\ue002", "\ue003"
+MARKS = (DOT + BLANK + HYPHEN, ".\x20-")
 #: Possessive quantifiers and the look-behind keep matching linear; \G lets a match begin right after another one.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+EMAIL = rf"(?:(?<![A-Za-z0-9._%+{DOT}-])|\G)[A-Za-z0-9._%+{DOT}-]++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9{DOT}-]++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = rf"[0-9][0-9{BLANK}{HYPHEN}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Candidates that only the classifier can admit.
 LOCAL = r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PERSON = r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)*+(?:\x20\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)*+)?"
+#: A part of a name has at most 40 letters after its capital, and at most nine parts are joined by hyphens: bounds that keep the recursion flat and votes quick.
+_NAME = r"\p{Lu}\p{Ll}{1,40}+(?!\p{Ll})"
+_NAMES = rf"{_NAME}(?:[-'’]{_NAME}){{0,8}}+"
+PERSON = rf"(?<![\p{{L}}])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20{_NAMES}(?:\x20{_NAMES})?"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 KINDS = ("email", "ip", "card", "phone", "local", "social", "person")
@@ -114,6 +123,11 @@ def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
     own = [F.struct(*[named(c) for c in docs.columns]).alias("doc")] if carry else []
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"), *own)
     text, more = F.col("__text"), ["doc"] if carry else []
+    own = F.translate(text, DOT + BLANK + HYPHEN, FOREIGN * 3)
+    marked = {
+        "email": F.regexp_replace(own, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT),
+        "card": F.regexp_replace(F.regexp_replace(own, r"(?<=[0-9])\x20(?=[0-9])", BLANK), r"(?<=[0-9])-(?=[0-9])", HYPHEN),
+    }
     may = {
         "email": (EMAIL, text.contains("@")),
         "ip": (IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")),
@@ -123,8 +137,8 @@ def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
         "social": (SOCIAL, text.rlike(r"[0-9]-[0-9]{2}-[0-9]{4}")),
         "person": (PERSON, text.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}")),
     }
-    scanned = base.select("doc_id", *more, *[S.pieces(text, *may[k]).alias(k) for k in KINDS])
-    spans = scanned.select("doc_id", *more, *[S.located(F.col(k)).alias(k) for k in KINDS])
+    scanned = base.select("doc_id", *more, *[S.pieces(marked.get(k, text), *may[k]).alias(k) for k in KINDS])
+    spans = scanned.select("doc_id", *more, *[S.located(F.col(k), marks=MARKS if k in marked else ("", "")).alias(k) for k in KINDS])
     kept = [_only(k, lambda s, kind: holds(kind, s["value"])).alias(k) for k in KINDS[:N_BASE]]
     return spans.select("doc_id", *more, *kept, *KINDS[N_BASE:])
 
@@ -145,7 +159,7 @@ def votes(kind: str, s: Column) -> list[Column]:
     v, around = s["value"], F.lower(F.concat_ws(" ", s["before"], s["after"]))
     d, n = digits(v), F.length(digits(v))
     shape = {
-        "email": _vote(v.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}$"), v.rlike(r"\.[0-9]+$|^[.%-]")),
+        "email": _vote(v.rlike(r"\.[A-Za-z]{2,10}$"), v.rlike(r"\.[0-9]+$|^[.%-]")),
         "ip": _vote(~v.rlike(r"(?:^|\.)0[0-9]"), v.rlike(r"(?:^|\.)0[0-9]")),
         "card": _vote(v.rlike(r"^[0-9]{4}([\x20-])[0-9]{4,6}\1|^[0-9]{14,16}$"), v.rlike(r"[\x20-][0-9]{1,2}[\x20-]")),
         "phone": _vote(n.between(10, 13), v.rlike(r"\([^)]*\(|\.\.|--")),
@@ -270,9 +284,9 @@ def find_pii(docs: DataFrame, admit_from: float = 0.5, carry: bool = False) -> D
     w, _ = model_of(table)
     tag = lambda k, spans: F.transform(spans, lambda s: F.struct(F.lit(KINDS.index(k)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
     base = F.concat(*[tag(k, F.col(k)) for k in KINDS[:N_BASE]])
-    more = F.concat(*[tag(k, _only(k, lambda s, kind: admitted(w, kind, s, admit_from))) for k in KINDS[N_BASE:]])
-    apart = F.filter(F.col("more"), lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return table.select("doc_id", *own, base.alias("base"), more.alias("more")).select("doc_id", *own, "base", F.array_sort(F.concat("base", apart)).alias("all"))
+    free = lambda s: ~reduce(or_, [S.touched(F.col(k), s["start"], s["end"]) for k in KINDS[:N_BASE]])
+    more = F.concat(*[tag(k, _only(k, lambda s, kind: free(s) & admitted(w, kind, s, admit_from))) for k in KINDS[N_BASE:]])
+    return table.select("doc_id", *own, base.alias("base"), more.alias("more")).select("doc_id", *own, "base", F.array_sort(F.concat("base", "more")).alias("all"))
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
@@ -282,21 +296,27 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:N_BASE]], sha_hex(S.joined(F.array_sort("base"))).alias("base_sha256"), S.joined(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
+def replaced(text: Column, spans: Column, seen: Column, many: int = 64) -> Column:
+    """text with each span that begins at or after seen (how far the spans before it reach) replaced by its kind in brackets.
+
+    A piece of a string is found by counting from its beginning, so texts with many spans are taken apart into characters first.
+    """
+    ends = F.array_append(F.transform(F.arrays_zip(spans.alias("s"), seen.alias("f")), lambda x: F.struct(x["f"].alias("from"), x["s"]["start"].alias("to"), x["s"]["kind"].alias("kind"))), F.struct(F.greatest(F.array_max(seen), F.array_max(F.transform(spans, lambda s: s["end"]))).alias("from"), F.length(text).alias("to"), F.lit(None).cast("string").alias("kind")))
+
+    def joined(piece: Callable[[Column, Column], Column]) -> Column:
+        """Each stretch between the spans that count, and the kind of the one after it."""
+        return F.array_join(F.transform(F.filter(ends, lambda e: e["to"] >= e["from"]), lambda e: F.concat(piece(e["from"], e["to"] - e["from"]), F.coalesce(F.concat(F.lit("["), F.upper(e["kind"]), F.lit("]")), F.lit("")))), "")
+
+    letters = F.transform(F.array(F.split(text, "")), lambda chars: joined(lambda at, n: F.array_join(F.slice(chars, at + 1, n), "")))
+    return F.when(F.size(spans) > many, F.element_at(letters, 1)).otherwise(joined(lambda at, n: F.substring(text, at + 1, n)))
+
+
 def redact(docs: DataFrame, admit_from: float = 0.5) -> DataFrame:
     """The documents, all columns and rows, with each span of personal data in text replaced by its kind in brackets (and n_chars brought up to date)."""
     found = find_pii(docs, admit_from, carry=True)
-    text = F.col("doc.text")
+    # of spans that overlap, the first one goes in; what begins before the end of one before it is covered by it
     spans = F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    fold = F.aggregate(
-        spans,
-        start,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    done = found.select("doc", F.when(F.size("all") > 0, fold).otherwise(text).alias("__clean"))
+    marked = found.select("doc", spans.alias("__spans")).withColumn("__from", S.running_maxima(F.transform("__spans", lambda s: s["end"])))
+    done = marked.select("doc", F.when(F.size("__spans") > 0, replaced(F.col("doc.text"), F.col("__spans"), F.col("__from"))).otherwise(F.col("doc.text")).alias("__clean"))
     fresh = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
     return done.select(*[fresh[c].alias(c) if c in fresh else named(c, "doc") for c in docs.columns])

@@ -214,3 +214,38 @@ def test_names_with_dots_and_clashes(spark):
         out = stage(df)
         assert out.columns == df.columns
         assert {(r["a.b"], r["doc"], r["row"], r["items"], r["text_"]) for r in out.collect()} == {(k, "doc", "row", "items", "kept") for k in range(6)}
+
+
+def test_personal_data_in_very_long_texts(spark):
+    """One match of a million characters, many thousands of short ones, and long runs that are none; marks that the text has itself."""
+    texts = {
+        0: "a@" + "b." * 500_000,
+        1: " ".join(f"u{i}@x.co" for i in range(30_000)),
+        2: "7" * 4_000 + " x 4111 1111-1111 1111",
+        3: "a@b..c@d.e a@.b.c a@b.c. a@b.c_d@e.f xy@z.co 12 a@bc  qr@s.t 41111111 1111 1111",
+        4: "+1" + "(" * 200_000,
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256")) for r in pii.pii_spans(df).collect()}
+    assert got == {k: brute.pii(t) for k, t in texts.items()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[1] == " ".join(["[EMAIL]"] * 30_000) and clean[0] == "[EMAIL]." and clean[2].endswith("7 x [CARD]")
+    names = {0: "Dr. Ab" + "-Cd" * 100_000, 1: "Mr. Jo" + "o" * 300_000, 2: "Ms. Anna Maria-Luisa Meyer wrote"}
+    found = {r["doc_id"]: r["spans"] for r in pii.pii_spans(spark.createDataFrame(list(names.items()), "doc_id long, text string")).collect()}
+    assert all(len(s) < 100 for s in found.values())
+
+
+def test_running_values_and_overlaps(spark):
+    from loomline.llm import spans
+
+    r = random.Random(2)
+    lists = [[], [5], [0, 0], [r.randint(0, 9) for _ in range(97)], [r.randint(0, 9) for _ in range(100)]]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(lists)], "k int, v array<int>").select("k", "v", spans.running_sums(F.col("v")).alias("s"), spans.running_maxima(F.col("v")).alias("m"))
+    for row in df.collect():
+        assert row["s"] == [sum(row["v"][:i]) for i in range(len(row["v"]))]
+        assert row["m"] == [max([0, *row["v"][:i]]) for i in range(len(row["v"]))]
+    own = [(3 * i, 3 * i + r.randint(1, 3)) for i in range(1, 50)]
+    asked = [(a, a + n) for a in range(160) for n in (1, 2, 5)]
+    table = spark.createDataFrame([(own, asked), ([], asked)], "own array<struct<start:int,end:int>>, asked array<struct<start:int,end:int>>")
+    got = table.select(F.transform("asked", lambda s: spans.touched(F.col("own"), s["start"], s["end"])).alias("hit")).collect()
+    assert got[0]["hit"] == [any(a < e and s < b for s, e in own) for a, b in asked] and not any(got[1]["hit"])
