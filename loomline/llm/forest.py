@@ -11,7 +11,7 @@ looks around each row, as far as `reach`, but only at rows of other components.
 is never compared in all its pairs. Documents with equal sets count once.
 
 Two sets of similarity s share the first hash of a tree with probability s. A row whose region was seen whole in `whole` trees misses a partner at 0.8 with probability 0.2^whole (5 in 10^7 at
-the default, where 9 of 16 trees are asked for; rows outside crowds are seen whole in all 16: 7 in 10^12). Rows that were seen whole in fewer trees, since their regions are longer than `reach` or cut by the end of a range, are compared among each other once more, by the exact join of
+the default, where 9 of 16 trees are asked for; rows outside crowds are seen whole in all 16: 7 in 10^12). Rows that were seen whole in fewer trees, since their regions are longer than `reach` or cut by the end of a range, are compared among each other once more, as far as they are in different components, by the exact join of
 operator 4 with this operator's shingles; there are none, or few, unless groups of near copies are larger than `reach`.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing. Texts with fewer words than a
@@ -348,7 +348,7 @@ def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 16,
     if several_roots(crowded, root):
         crowd = KeyFilter(crowded, "doc_id").split(texts, "doc_id")[0].join(crowded.hint("shuffle_hash"), "doc_id", "left_semi")
         bits = min(27, max(22, (crowded.count() << 9).bit_length() + 4))  # its sketches only prune: a small crowd needs small ones
-        links = exactly_linked(crowd, width, percent, sketch_bits=bits).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"), F.lit(0).alias("hits"))
+        links = exactly_linked(crowd, width, percent, sketch_bits=bits, known=root).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"), F.lit(0).alias("hits"))
         between = settle(rooted(links, root), "forest-links")
         if not between.isEmpty():
             root = joined(root, between)

@@ -255,25 +255,28 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, **option
     return found
 
 
-def linked(texts: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 27, count_bits: int = 20, frequent: int = 64, rounds: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id of texts whose doc_ids have one text each."""
+def linked(texts: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 27, count_bits: int = 20, frequent: int = 64, rounds: int = 3, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of texts whose doc_ids have one text each. known: doc_id and root of documents that are linked already; only links between roots are looked for then."""
     table = prefix_table(texts, width, percent, sketch_bits, count_bits, frequent)
     classes = table.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = settle(table.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "near-members")
     # every document but the representatives of its set leaves the index
     others = settle(members.filter("n > 0 and (doc_id is null or doc_id <> rep)").select("doc_id").distinct(), "near-copies")
     maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select("doc_id", "entries", "short"), "doc_id")
-    index = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti")).select("doc_id", F.explode(F.arrays_zip("entries", "short")).alias("e")).select("doc_id", F.col("e.entries").alias("entry"), F.col("e.short").alias("short"))
-    index = index.repartition("entry")  # one exchange serves the count and the join
-    shared = index.groupBy("entry").agg(F.count("*").alias("c")).filter("c > 1").select("entry")
-    bare = settle(index.join(shared, "entry", "left_semi"), "near-index")
+    index = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti")).withColumn("of", F.col("doc_id"))
+    if known is not None:
+        index = index.drop("of").join(known.select("doc_id", F.col("root").alias("of")), "doc_id", "left").withColumn("of", F.coalesce("of", "doc_id"))
+    index = index.select("doc_id", "of", F.explode(F.arrays_zip("entries", "short")).alias("e")).select("doc_id", "of", F.col("e.entries").alias("entry"), F.col("e.short").alias("short"))
+    index = index.repartition("entry")  # one exchange serves the bounds and the join
+    shared = index.groupBy("entry").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("entry")
+    bare = settle(index.join(shared, "entry", "left_semi").drop("of"), "near-index")
     traits = table.filter("n > 0 and doc_id is not null").select("doc_id", *TRAITS).dropDuplicates(["doc_id"])
     index = settle(bare.join(traits, "doc_id"), "near-traits")
     forget(table, others, bare)
     active = settle(index.select("doc_id").distinct(), "near-active")
     sets = set_table(texts, active, width)
     done: list[DataFrame] = []  # settled pairs of all rounds
-    root: DataFrame | None = None  # doc_id, root of the documents linked so far
+    root = known  # doc_id, root of the documents linked so far
     tested: DataFrame | None = None
 
     def rooted() -> DataFrame:
