@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,15 +132,68 @@ def structural_filter(spec: str, columns: Mapping[str, str]) -> Column:
     return out
 
 
+def edit_script(before: list, after: list) -> list[tuple[str, int, int]]:
+    """A shortest edit script: ('-', i, j) for an element i of before that goes, ('+', i, j) for an element j of after that comes, in order; i and j say where both texts stand.
+
+    Greedy by furthest-reaching paths, in linear space: the middle of a shortest path is found from both ends, and the halves are solved alone."""
+    out, stack = [], [(0, len(before), 0, len(after))]
+    while stack:
+        lo, hi, left, right = stack.pop()
+        while lo < hi and left < right and before[lo] == after[left]:
+            lo, left = lo + 1, left + 1
+        while lo < hi and left < right and before[hi - 1] == after[right - 1]:
+            hi, right = hi - 1, right - 1
+        if lo == hi or left == right:
+            out += [("-", i, left) for i in range(lo, hi)] + [("+", lo, j) for j in range(left, right)]
+            continue
+        x, y = _middle(before, after, lo, hi, left, right)
+        stack += [(x, hi, y, right), (lo, x, left, y)]
+    return out
+
+
+def _middle(a: list, b: list, lo: int, hi: int, left: int, right: int) -> tuple[int, int]:
+    """A point on a shortest edit path of a[lo:hi] to b[left:right], which begin and end differently, other than its two ends."""
+    n, m = hi - lo, right - left
+    odd = (n - m) % 2
+    ahead, back = {1: 0}, {1: 0}  # furthest x on each diagonal x - y, from the beginning and, mirrored, from the end
+    for d in range((n + m + 1) // 2 + 1):
+        for own, other, mirrored in ((ahead, back, False), (back, ahead, True)):
+            for k in range(-d, d + 1, 2):
+                x = own[k + 1] if k == -d or (k != d and own.get(k - 1, -1) < own.get(k + 1, -1)) else own[k - 1] + 1
+                y = x - k
+                while x < n and y < m and (a[hi - 1 - x] == b[right - 1 - y] if mirrored else a[lo + x] == b[left + y]):
+                    x, y = x + 1, y + 1
+                own[k] = x
+                met = other.get(n - m - k)
+                if met is not None and bool(odd) != mirrored and x + met >= n and x <= n and y <= m:
+                    return (hi - x, right - y) if mirrored else (lo + x, left + y)
+    raise AssertionError("two paths always meet")
+
+
+def line_diff(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """The shortest line diff of each pair of texts: key, step (0, 1, ...), op (- or +), at_before, at_after (line numbers from 0), line. A moved line goes and comes. Null is empty."""
+    change = "array<struct<step:int,op:string,at_before:int,at_after:int,line:string>>"
+
+    @F.pandas_udf(change)
+    def changes(old: pd.Series, new: pd.Series) -> pd.Series:
+        def of(x, y):
+            x, y = x.split("\n") if x else [], y.split("\n") if y else []
+            return [{"step": s, "op": op, "at_before": i, "at_after": j, "line": x[i] if op == "-" else y[j]} for s, (op, i, j) in enumerate(edit_script(x, y))]
+
+        return pd.Series([of(x, y) for x, y in zip(old, new, strict=True)])
+
+    return pairs.filter(~F.col(before).eqNullSafe(F.col(after))).select(key, F.explode(changes(F.col(before), F.col(after))).alias("c")).select(key, "c.*")
+
+
 def patch_minimality(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """Share of meaningful changed lines, less what the churn costs; by line multisets, so moved lines are no change. Identical texts score 1."""
-    count = lambda c, n: pairs.select(key, F.explode(F.split(c, "\n")).alias("line")).groupBy(key, "line").agg(F.count("*").alias(n))
-    j = count(before, "b").join(count(after, "a"), [key, "line"], "full_outer").fillna(0, ["a", "b"])
-    delta = F.abs(F.col("a") - F.col("b"))
-    noise = (F.trim("line") == "") | F.col("line").startswith("#")
-    g = j.groupBy(key).agg(F.sum(delta).alias("churn"), F.sum(F.when(noise, 0).otherwise(delta)).alias("real"), F.sum("b").alias("size"))
-    score = F.when(F.col("churn") == 0, 1.0).otherwise(F.col("real") / F.col("churn") * (1.0 - 0.5 * F.least(F.lit(1.0), F.col("churn") / (2.0 * F.greatest("size", F.lit(1))))))
-    return g.select(key, score.alias("minimality"))
+    """Share of meaningful changed lines of the shortest diff, less what the churn costs; so a moved line is a change. Texts that are equal but for the white space around them score 1."""
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    own = pairs.select(key, F.coalesce(before, F.lit("")).alias("__b"), F.coalesce(after, F.lit("")).alias("__a"), F.when(F.coalesce(before, F.lit("")) == "", 0).otherwise(F.size(F.split(before, "\n"))).alias("__size"))
+    lines = line_diff(own.filter(bare(F.col("__b")) != bare(F.col("__a"))), key, "__b", "__a")
+    noise = (F.trim("line") == "") | F.ltrim("line").startswith("#")
+    counted = lines.groupBy(key).agg(F.count("*").alias("churn"), F.count_if(~noise).alias("real"))
+    score = F.col("real") / F.col("churn") * (1.0 - 0.5 * F.least(F.lit(1.0), F.col("churn") / (2.0 * F.greatest("__size", F.lit(1)))))
+    return own.select(key, "__size").join(counted, key, "left").select(key, F.coalesce(score, F.lit(1.0)).alias("minimality"))
 
 
 def perturb_truncate(text: Column, intensity: float) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..operators import sequences as sq
+from ..sources.index_store import StoredIndex
 from .registry import register
 from .tables import table
 
@@ -310,3 +313,16 @@ def g9(spark, d):
 
 
 register("g9_tree", g9)
+
+
+def t7s(spark, d):
+    """Tokens of each document in a stored index, built over an older state of the table (fewer documents, some with another text) and brought up to date."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    older = docs.filter("doc_id % 7 <> 3").withColumn("text", F.when(F.col("doc_id") % 11 == 5, F.lit("old")).otherwise(F.col("text"))).unionByName(docs.selectExpr("-1 - doc_id AS doc_id", "text").filter("doc_id % 13 = 0"))
+    index = StoredIndex(spark, f"{gr.shared_folder(spark)}/index-{uuid4().hex}", "doc_id", "text", lambda r: r.select("doc_id", F.length("text").alias("characters"), F.md5("text").alias("digest")), buckets=64)
+    index.update(older)
+    index.update(docs)
+    return index.rows()
+
+
+register("t7_stored_index", t7s, "SELECT doc_id, length(text)::INT AS characters, md5(text) AS digest FROM documents")

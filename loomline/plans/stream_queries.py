@@ -10,6 +10,7 @@ from ..functions.text import jitter
 from ..operators import findings as fi
 from ..operators import graph as gr
 from ..operators import joins as jo
+from ..sources import filesource as fsrc
 from ..sources import formats as fm
 from ..streaming import alerts as al
 from ..streaming import stateful as sf
@@ -177,6 +178,22 @@ def s6(spark, d):
 register("s6_otlp", s6, "SELECT event_id::VARCHAR AS span_id, (event_id * 1000000 + 1500000)::VARCHAR AS ended, props->>'k' AS k, 'true' AS z, CASE WHEN event_id % 2 = 1 THEN 'p' END AS parent FROM events")
 
 
+def s6s(spark, d):
+    """Spans of the events, with array values, written as trace files and read again."""
+    fsrc.register(spark)
+    e = table(spark, d, "events").selectExpr(
+        "cast(user_id AS string) AS trace_id", "cast(event_id AS string) AS span_id", "CASE WHEN event_id % 2 = 1 THEN 'p' END AS parent_span_id", "event_type AS name", "1 AS kind", "cast(event_id AS double) AS start_ms", "event_id + 1.5D AS end_ms",
+        "map('k', get_json_object(props, '$.k'), 'tools', concat('[\"', event_type, '\", \"', event_id % 3, '\"]')) AS attributes", "cast(array() AS array<struct<name:string,at_ms:double,attributes:map<string,string>>>) AS events", "0 AS status_code", "'' AS status_message", "'lib' AS scope", "map('service.name', 's') AS resource",
+    )
+    at = f"{gr.shared_folder(spark)}/traces-{uuid4().hex}"
+    e.write.format("otlp_traces").mode("append").save(at)
+    back = spark.read.format("otlp_traces").load(at)
+    return back.selectExpr("trace_id", "span_id", "parent_span_id AS parent", "name", "start_ms", "end_ms", "attributes['k'] AS k", "get_json_object(attributes['tools'], '$[0]') AS tool", "get_json_object(attributes['tools'], '$[1]') AS n", "resource['service.name'] AS service")
+
+
+register("s6_trace_source", s6s, "SELECT user_id::VARCHAR AS trace_id, event_id::VARCHAR AS span_id, CASE WHEN event_id % 2 = 1 THEN 'p' END AS parent, event_type AS name, event_id::DOUBLE AS start_ms, event_id + 1.5::DOUBLE AS end_ms, props->>'k' AS k, event_type AS tool, (event_id % 3)::VARCHAR AS n, 's' AS service FROM events")
+
+
 def s8(spark, d):
     from ..operators.pages import decode_body
 
