@@ -117,20 +117,85 @@ def has_cycle(edges: DataFrame) -> bool:
     return not cyclic_core(edges).isEmpty()
 
 
-def cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
-    """Elementary cycles of up to max_len nodes as arrays that begin with the smallest node (the length bound is the feature's)."""
-    e = cyclic_core(edges)
-    loops = e.filter("src = dst").select(F.array("src").alias("cycle"))
-    paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"))
-    for n in range(2, max_len + 1):
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after every node has taken the smallest label that reaches it along edges (src, dst)."""
+    while True:
+        came = edges.join(labels.select(F.col("node").alias("src"), "label"), "src").groupBy("dst").agg(F.min("label").alias("came"))
+        moved = settled(labels.join(came, labels["node"] == came["dst"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("came", "label")).alias("label")))
+        labels = moved.drop("was")
+        if moved.filter("was <> label").isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest node) of every node on a cycle of two nodes or more.
+
+    Forward-backward colouring: what can lie on no cycle is peeled off; each node takes the smallest node that reaches it as its colour; those of a colour that reach the node it is named after are a
+    component. What is left goes into the next round, in which only edges inside a colour count; each round finds a component of every colour."""
+    left, found = edges.filter("src <> dst").select("src", "dst").distinct(), None
+    while True:
+        left = cyclic_core(left)
+        if left.isEmpty():
+            break
+        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+        colours = _spread(settled(nodes.withColumn("label", F.col("node"))), left)
+        colour = lambda c: colours.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: E731, B023
+        inner = settled(left.join(colour("src"), "src").join(colour("dst"), "dst").filter("src_label = dst_label").select("src", "dst"))
+        front = reach = settled(colours.filter("node = label"))
+        while not front.isEmpty():
+            back = inner.join(front.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label").distinct()
+            front = settled(back.join(reach.select("node"), "node", "left_anti"))
+            reach = settled(reach.unionByName(front))
+        found = reach if found is None else found.unionByName(reach)
+        gone = reach.select("node")
+        left = settled(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    # the node that names a colour alone is no cycle of two
+    named = found.select("node", F.col("label").alias("component"))
+    return named.join(named.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "component").select("node", "component")
+
+
+def cycles(edges: DataFrame, max_len: int | None = 4) -> DataFrame:
+    """Elementary cycles of up to max_len nodes as arrays that begin with the smallest node. None: of any length; a dense component has exponentially many.
+
+    Paths are extended inside strongly connected components only, and never back to a node that is smaller than their first."""
+    loops = edges.filter("src = dst").select(F.array("src").alias("cycle")).distinct()
+    named = settled(strong_components(edges))
+    largest = named.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    e = settled(edges.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").filter("src_in = dst_in and src <> dst").select("src", "dst"))
+    paths, longest = settled(e.filter("src < dst").select(F.array("src", "dst").alias("path"))), largest if max_len is None else min(max_len, largest)
+    for n in range(2, longest + 1):
         tail = F.element_at("path", -1)
         closing = paths.join(e, (tail == e["src"]) & (F.element_at("path", 1) == e["dst"])).select(F.col("path").alias("cycle"))
         loops = loops.unionByName(closing)
-        if n < max_len:
-            paths = paths.join(e, tail == e["src"]).filter((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"))
+        if n == longest:
+            break
+        paths = settled(paths.join(e, tail == e["src"]).filter((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path")))
+        if paths.isEmpty():
+            break
     return loops
 
 
+def witness_cycles(edges: DataFrame) -> DataFrame:
+    """component and cycle: a shortest cycle through the smallest node of each strongly connected component, as an array that begins and ends with it. One breadth-first search for all components at once, so dense ones cost no more."""
+    named = settled(strong_components(edges))
+    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    e = settled(edges.filter("src <> dst").select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").filter("src_in = dst_in").select("src", "dst", F.col("src_in").alias("component")))
+    front = settled(named.filter("node = component").select("node", F.array("node").alias("path")))
+    seen, done = settled(front.select("node")), None
+    while not front.isEmpty():
+        steps = settled(front.join(e, front["node"] == e["src"]).select("component", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")))
+        closed = settled(steps.filter("node = component").groupBy("component").agg(F.min("path").alias("cycle")))
+        done = closed if done is None else done.unionByName(closed.join(done, "component", "left_anti"))
+        # components that have their cycle go no further
+        open_ = steps.join(done.select("component"), "component", "left_anti").groupBy("component", "node").agg(F.min("path").alias("path"))
+        front = settled(open_.join(seen, "node", "left_anti").select("node", "path"))
+        seen = settled(seen.unionByName(front.select("node")))
+    return done if done is not None else named.select("component", F.array("node").alias("cycle")).limit(0)
+
+
 def unreferenced(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] = ("CALLS", "INHERITS"), exempt: str = r"^(main|__\w+__|test_.*)$") -> DataFrame:
     """Nodes that nothing calls or inherits from, exempt names aside. nodes: id, name."""
     return nodes.filter(~F.col("name").rlike(exempt)).join(edges.filter(F.col("kind").isin(*kinds)).select(F.col("dst").alias("id")), "id", "left_anti")
