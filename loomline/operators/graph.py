@@ -159,12 +159,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, max_len: int | None = 4) -> DataFrame:
     """Elementary cycles of up to max_len nodes as arrays that begin with the smallest node. None: of any length; a dense component has exponentially many.
 
-    Paths are extended inside strongly connected components only, and never back to a node that is smaller than their first."""
+    Paths are extended inside the cyclic core, for cycles of more than four nodes inside strongly connected components, and never back to a node that is smaller than their first."""
     loops = edges.filter("src = dst").select(F.array("src").alias("cycle")).distinct()
-    named = settled(strong_components(edges))
-    largest = named.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    e = settled(edges.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").filter("src_in = dst_in and src <> dst").select("src", "dst"))
+    if max_len is not None and max_len <= 4:
+        e, largest = cyclic_core(edges.filter("src <> dst")), max_len
+    else:
+        named = settled(strong_components(edges))
+        largest = named.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        e = settled(edges.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").filter("src_in = dst_in and src <> dst").select("src", "dst"))
     paths, longest = settled(e.filter("src < dst").select(F.array("src", "dst").alias("path"))), largest if max_len is None else min(max_len, largest)
     for n in range(2, longest + 1):
         tail = F.element_at("path", -1)
