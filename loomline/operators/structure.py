@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, token_count
 from .findings import exploded_lines
+from .lexer import lexed_lines
 
 # Terms that prose should not use, placeholders.
 TERMS = (r"(?i)\bblacklist(?:ed|ing|s)?\b", r"(?i)\bwhitelist(?:ed|ing|s)?\b", r"(?i)\bmaster[-/]slave\b", r"(?i)\bsanity[- ]check(?:ed|ing|s)?\b")
@@ -107,19 +108,24 @@ KEYWORDS = {
 COMMENTS = {"python": r"^#", "any": r"^(#|//)"}
 
 
-def normalise_line(line: Column, language: str = "any") -> Column:
-    """Identifiers to <ID>, numbers and strings to <LIT>, the language's keywords kept, white space single; comment lines are empty."""
-    keywords = KEYWORDS[language]
-    lits = F.regexp_replace(F.regexp_replace(line, r"\"[^\"]*\"|'[^']*'", "0"), r"\b[0-9]+(?:\.[0-9]+)?\b", "<LIT>")
+def normalise_line(line: Column, language: str = "any", lexed: bool = False) -> Column:
+    """Identifiers to <ID>, numbers and strings to <LIT>, the language's keywords kept, white space single; comment lines are empty. lexed: the line is code of lexed_lines(), which has
+    neither comments nor strings left, so whatever looks like one is code."""
+    keywords = KEYWORDS.get(language, KEYWORDS["any"]) if lexed else KEYWORDS[language]
+    lits = F.regexp_replace(line if lexed else F.regexp_replace(line, r"\"[^\"]*\"|'[^']*'", "0"), r"\b[0-9]+(?:\.[0-9]+)?\b", "<LIT>")
     ids = F.regexp_replace(lits, rf"(?<![<\w])(?!(?:{keywords})\b)[A-Za-z_]\w*(?!\w*>)", "<ID>")
-    return F.when(F.trim(line).rlike(COMMENTS.get(language, r"^(//|/\*|\*)")), "").otherwise(F.trim(F.regexp_replace(F.regexp_replace(ids, r"\b0\b", "<LIT>"), r"\s+", " ")))
+    shape = F.trim(F.regexp_replace(F.regexp_replace(ids, r"\b0\b", "<LIT>"), r"\s+", " "))
+    return shape if lexed else F.when(F.trim(line).rlike(COMMENTS.get(language, r"^(//|/\*|\*)")), "").otherwise(shape)
 
 
-def clone_groups(docs: DataFrame, key: str, text: str, size: int = 6, minimum: int = 2, language: str | None = None) -> DataFrame:
+def clone_groups(docs: DataFrame, key: str, text: str, size: int = 6, minimum: int = 2, language: str | None = None, lexed: bool = False) -> DataFrame:
     """Windows of `size` consecutive non-empty lines that stand at `minimum` places or more: fingerprint, sites. With a language, lines are compared as normalise_line() leaves them,
-    so copies with other names and literals are clones too, and comment lines don't count."""
-    shape = F.trim("line") if language is None else normalise_line(F.col("line"), language)
-    rows = exploded_lines(docs, key, text).withColumn("line", shape).filter("line <> ''")
+    so copies with other names and literals are clones too, and comment lines don't count. lexed: comments and strings that go over lines count as such (lexed_lines()), at the price of Python tasks."""
+    if lexed:
+        rows = lexed_lines(docs, key, text, language).select(key, "line_no", normalise_line(F.col("code"), language, True).alias("line")).filter("line <> ''")
+    else:
+        shape = F.trim("line") if language is None else normalise_line(F.col("line"), language)
+        rows = exploded_lines(docs, key, text).withColumn("line", shape).filter("line <> ''")
     ahead = Window.partitionBy(key).orderBy("line_no").rowsBetween(0, size - 1)
     w = rows.select(key, "line_no", F.collect_list("line").over(ahead).alias("ls")).filter(F.size("ls") == size)
     w = w.select(key, "line_no", F.sha2(F.array_join("ls", "\n"), 256).alias("fingerprint"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import findings as fi
+from ..operators import lexer as lx
 from ..operators import pages as pg
 from ..operators import structure as st
 from .registry import register
@@ -108,6 +109,38 @@ def f10(spark, d):
 register("f10_token_classes", f10)
 
 
+#: All documents, with comment marks in place of two letters, so that comments go over lines.
+CODE = "replace(replace(text, 'q', '/*'), 'z', '*/')"
+_INK = "'[ \\t\\r\\n]'"
+
+
+def f10_lexed(spark, d):
+    rows = lx.lexed_lines(table(spark, d, "documents").select("doc_id", F.expr(CODE).alias("t")), "doc_id", "t", "go")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length(F.regexp_replace("comment", "[ \t\r\n]", ""))).alias("comment_chars"))
+
+
+register(
+    "f10_lexed",
+    f10_lexed,
+    rf"""WITH t AS (SELECT doc_id, {CODE} AS t FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '(?s)/\*.*?(?:\*/|\z)|//[^\n]*|`[^`]*(?:`|\z)|"(?:\\[^\n]|[^"\\\n])*"?|''(?:\\[^\n]|[^''\\\n])*''?'), lambda x: x[1] = '/') AS cs FROM t)
+SELECT doc_id, (length(t) - length(replace(t, chr(10), '')) + CASE WHEN t LIKE '%' || chr(10) THEN 0 ELSE 1 END)::BIGINT AS n_lines, length(regexp_replace(array_to_string(cs, ''), {_INK}, '', 'g'))::BIGINT AS comment_chars FROM c""",
+)
+
+
+def f10_pages(spark, d):
+    ink = lambda c: F.sum(F.length(F.regexp_replace(c, "[ \t\r\n]", "")))
+    return lx.lexed_lines(table(spark, d, "pages"), "page_id", "html", "html").groupBy("page_id").agg(ink("comment").alias("comment_chars"), ink("code").alias("code_chars"))
+
+
+register(
+    "f10_page_comments",
+    f10_pages,
+    rf"""WITH c AS (SELECT page_id, length(regexp_replace(html, {_INK}, '', 'g')) AS ink, length(regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<!--.*?(?:-->|\z)'), ''), {_INK}, '', 'g')) AS comment FROM pages WHERE html <> '')
+SELECT page_id, comment::BIGINT AS comment_chars, (ink - comment)::BIGINT AS code_chars FROM c""",
+)
+
+
 def f11(spark, d):
     return st.clone_groups(table(spark, d, "documents"), "doc_id", "text", 3).groupBy("fingerprint").agg(F.count("*").alias("sites"))
 
