@@ -144,10 +144,10 @@ def states_before(functions: DataFrame, key: str, fan: int, nested: bool) -> Dat
 def lexed_lines(docs: DataFrame, key: str, text: str, language: str, block: int = 256, fan: int = 256) -> DataFrame:
     """key, line_no (from 1), line, state (before the line), code (comments gone, strings as <LIT>) and comment (the comments' text), of every line.
 
-    Keys are not null and have one text each; null and empty texts have no lines. Only texts of more than one block of lines are read twice; a line inside a long string has the code <LIT>.
+    A key has one text, and so has null; null and empty texts have no lines. Only texts of more than one block of lines are read twice; a line inside a long string has the code <LIT>.
     """
     lexis = LANGUAGES[language]
-    flat = docs.select(F.col(key).alias("key"), lines_of(F.col(text)).alias("ls")).filter(F.size("ls") > 0)
+    flat = docs.select(F.struct(F.col(key).alias("key")).alias("key"), lines_of(F.col(text)).alias("ls")).filter(F.size("ls") > 0)
     starts = F.sequence(F.lit(0), F.expr(f"(size(ls) - 1) div {block}"))
     blocks = flat.select("key", F.col("ls"), (F.size("ls") > block).alias("more"), F.explode(starts).alias("at"))
     blocks = blocks.select("key", F.col("at").cast("long").alias("at"), "more", F.slice("ls", F.col("at").cast("int") * block + 1, block).alias("lines"))
@@ -175,4 +175,4 @@ def lexed_lines(docs: DataFrame, key: str, text: str, language: str, block: int
                 yield pa.RecordBatch.from_arrays([keys, numbers, pa.array(some, pa.string()), pa.array(states, pa.int32()), pa.array(codes, pa.string()), pa.array(comments, pa.string())], ["key", "line_no", "line", "state", "code", "comment"])
 
     out = begun.mapInArrow(lines, f"{of_key}, line_no long, line string, state int, code string, comment string")
-    return out.select(F.col("key").alias(key), "line_no", "line", "state", "code", "comment")
+    return out.select(F.col("key.key").alias(key), "line_no", "line", "state", "code", "comment")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, token_count
 from .findings import exploded_lines
-from .lexer import lexed_lines
+from .graph import settled
+from .lexer import lexed_lines, states_before
 
 # Terms that prose should not use, placeholders.
 TERMS = (r"(?i)\bblacklist(?:ed|ing|s)?\b", r"(?i)\bwhitelist(?:ed|ing|s)?\b", r"(?i)\bmaster[-/]slave\b", r"(?i)\bsanity[- ]check(?:ed|ing|s)?\b")
@@ -133,18 +133,32 @@ def clone_groups(docs: DataFrame, key: str, text: str, size: int = 6, minimum: i
     return w.join(good, "fingerprint")
 
 
-def merge_clones(sites: DataFrame, key: str, apart: int = 6) -> DataFrame:
-    """Findings of one file less than `apart` lines after the last one kept are dropped, in line order: order-dependent, so one pass a file."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for row in pdf.sort_values(["line_no", "fingerprint"]).itertuples():
-            if last is None or row.line_no - last >= apart:
-                out.append(row.Index)
-                last = row.line_no
-        return pdf.loc[out]
-
-    return sites.groupBy(key).applyInPandas(keep, sites.schema)
+def merge_clones(sites: DataFrame, key: str, apart: int = 6, block: int = 256, fan: int = 256) -> DataFrame:
+    """Findings of one file less than `apart` lines after the last one kept are dropped, in line order; of several on a line the one with the smallest fingerprint stays.
+
+    Which lines stay depends on the lines before only by how many of the next ones are still barred: fewer than `apart`. So a block of lines is a function on that number,
+    and functions compose (states_before()): no task reads a whole file. Null keys are one file; rows without a line go.
+    """
+    block, apart = max(block, apart), max(apart, 1)
+    firsts = sites.filter("line_no is not null").groupBy(F.struct(F.col(key).alias("k")).alias("file"), F.col("line_no").cast("long").alias("l")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in sites.columns]), "fingerprint").alias("row"))
+    firsts = settled(firsts)
+    blocks = settled(firsts.groupBy("file", F.expr(f"l div {block}").alias("at")).agg(F.sort_array(F.collect_list("l")).alias("ls")))
+    follows = blocks.select("file", (F.col("at") + 1).alias("at"), F.lit(True).alias("follows"))  # blocks right after another; before all others nothing is barred
+    blocks = blocks.join(follows, ["file", "at"], "left").withColumn("follows", F.coalesce("follows", F.lit(False)))
+    begin = F.col("at") * block
+    none = F.array().cast("array<bigint>")
+
+    def walk(barred: Column) -> Column:
+        """struct(free: the first line that may stay, kept) after the block's lines."""
+        step = lambda acc, x: F.when(x >= acc["free"], F.struct((x + apart).alias("free"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+        return F.aggregate("ls", F.struct((begin + barred).alias("free"), none.alias("kept")), step)
+
+    after = lambda s: F.greatest(walk(F.when(F.col("follows"), s).otherwise(0).cast("long"))["free"] - begin - block, F.lit(0)).cast("int")
+    functions = settled(blocks.select("file", "at", F.transform(F.sequence(F.lit(0), F.lit(apart - 1)), after).alias("f")))
+    barred = states_before(functions, "file", fan, False).filter("state > 0")
+    open_blocks = blocks.join(barred, ["file", "at"], "left").withColumn("state", F.when(F.col("follows"), F.coalesce("state", F.lit(0))).otherwise(0).cast("long"))
+    kept = open_blocks.select("file", F.explode(walk(F.col("state"))["kept"]).alias("l"))
+    return firsts.join(kept, ["file", "l"], "left_semi").select("row.*")
 
 
 def text_metrics(docs: DataFrame, key: str, text: str) -> DataFrame:

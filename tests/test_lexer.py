@@ -14,6 +14,7 @@ PIECES = {
     "python": ["#", '"', "'", '"""', "'''", "\\", "\n", "\n", "a", " "],
     "html": ["<!--", "-->", "<b>", "\n", "-", "a"],
 }
+NULLS_TEXT = {k: "".join(rng.choices(v, k=60)) + "x" for k, v in PIECES.items()}
 
 
 def character(line, i):
@@ -74,10 +75,11 @@ def scanned(text, language):
 def test_lexed_lines_equal_a_scan(spark, language):
     """Blocks of three lines in groups of two, so that states come down several levels."""
     texts = {k: "".join(rng.choices(PIECES[language], k=rng.choice((3, 30, 150)))) + "x" for k in range(60)}
-    df = spark.createDataFrame([*texts.items(), (97, None), (98, "")], "k long, t string")
+    df = spark.createDataFrame([*texts.items(), (97, None), (98, ""), (None, NULLS_TEXT[language])], "k long, t string")
     got = {}
     for r in lexer.lexed_lines(df, "k", "t", language, block=3, fan=2).collect():
         got.setdefault(r["k"], []).append((r["line_no"], r["code"], r["comment"]))
+    texts[None] = NULLS_TEXT[language]
     assert set(got) == set(texts)
     for k, text in texts.items():
         assert [x[1:] for x in sorted(got[k])] == scanned(text, language), (k, text)
@@ -100,3 +102,24 @@ def test_clones_of_lexed_code(spark):
     assert sorted((r["k"], r["line_no"]) for r in sites) == [(1, 1), (2, 1)]
     star = structure.clone_groups(spark.createDataFrame([(1, "*p = 1\n*q = 2"), (2, "*a = 5\n*b = 6")], "k long, t string"), "k", "t", size=2, language="go", lexed=True)
     assert star.count() == 2
+
+
+def test_merged_clones_equal_one_walk_a_file(spark):
+    """Dense, sparse and repeated lines over many blocks, in groups of two and three; a null key; other columns stay with their row."""
+    rows = []
+    for k in [*range(12), None]:
+        line = 0
+        for _ in range(rng.choice((1, 5, 80))):
+            line += rng.choice((0, 1, 1, 2, 5, 6, 7, 40)) if k != 3 else 1
+            rows.append((k, line, f"f{rng.random()}", f"x{len(rows)}"))
+    want, last = [], {}
+    for k, line, fingerprint, x in sorted(rows, key=lambda r: (repr(r[0]), r[1], r[2])):
+        if k not in last or line - last[k] >= 6:
+            want.append((k, line, fingerprint, x))
+            last[k] = line
+    df = spark.createDataFrame(rows, "k long, line_no int, fingerprint string, `a.b` string")
+    for block, fan in ((6, 2), (7, 3), (256, 256)):
+        got = structure.merge_clones(df, "k", 6, block, fan)
+        assert got.schema == df.schema
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), (block, fan)
+    assert structure.merge_clones(df.limit(0), "k").count() == 0
