@@ -62,7 +62,7 @@ def touched(sorted_spans: Column, start: Column, end: Column) -> Column:
     heads = F.transform(F.sequence(F.lit(0), F.floor((F.size(sorted_spans) - 1) / size).cast("int")), lambda b: F.get(sorted_spans, b * size)["start"])
     block = F.size(F.filter(heads, lambda h: h < end)) - 1
     last = F.element_at(F.filter(F.slice(sorted_spans, block * size + 1, size), lambda s: s["start"] < end), -1)
-    return F.when(F.size(sorted_spans) > 0, F.when(block >= 0, last["end"] > start)).otherwise(False)
+    return F.when((F.size(sorted_spans) > 0) & (block >= 0), last["end"] > start).otherwise(False)
 
 
 def located(p: Column, context: int = 32, marks: tuple[str, str] = ("", "")) -> Column:
