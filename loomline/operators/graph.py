@@ -9,7 +9,7 @@ import re
 import tempfile
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -225,40 +225,80 @@ def materialise(ops: DataFrame, key: str) -> DataFrame:
     """Trees from change logs: key, node, parent, deleted, rejected. The first insert of a node wins, a delete is a tombstone, moves apply in order of (lamport, agent, node, parent);
     one that would make a cycle is rejected; repeats are ignored. `place` numbers siblings by (pos, node) where ops have a pos, else by node; `absent` says that a node was last put
     under a parent that no insert made, so it stands at the root. ops: key, op (insert, delete, move), node, parent, lamport, agent and, if wanted, pos. One replay a tree, since each move
-    depends on those before."""
+    depends on those before: Spark sorts each partition by tree, inserts first, and a task goes through its rows once, so it holds the nodes of one tree and no tree costs a call of its own."""
     with_pos = "pos" in ops.columns
+    given = ops.select(F.col(key).alias("key"), "op", "node", "parent", "lamport", "agent", (F.col("pos") if with_pos else F.lit("")).alias("pos"))
+    rows = given.repartition("key").sortWithinPartitions("key", ~F.col("op").eqNullSafe("insert"), *[F.col(c).asc_nulls_last() for c in ("lamport", "agent", "node", "parent", "op", "pos")])
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates().sort_values(["lamport", "agent", "node", "parent"])
-        parent: dict[str, str] = {}
-        pos: dict[str, str] = {}
-        dead, bad = set(), dict.fromkeys(pdf["node"], 0)
-        for r in pdf[pdf["op"] == "insert"].itertuples():
-            if r.node not in parent:
-                parent[r.node], pos[r.node] = r.parent, (r.pos or "") if with_pos else ""
-        lost = {n for n, p in parent.items() if p and p not in parent}
-        parent = {n: p if p in parent else "" for n, p in parent.items()}
-        for r in pdf[pdf["op"] != "insert"].itertuples():
-            if r.node not in parent:
-                continue
-            if r.op == "delete":
-                dead.add(r.node)
-                continue
-            at, steps = r.parent, 0
-            while at in parent and at != r.node and steps <= len(parent):
-                at, steps = parent[at], steps + 1
-            if at == r.node:
-                bad[r.node] += 1
-            else:
-                (lost.add if r.parent and r.parent not in parent else lost.discard)(r.node)
-                parent[r.node] = r.parent if r.parent in parent else ""
-                pos[r.node] = (r.pos or "") if with_pos else ""
-        place: dict[str, int] = {}
+    def built(k, tree):
+        parent, pos, dead, bad, lost = tree["parent"], tree["pos"], tree["dead"], tree["bad"], tree["lost"]
         seen: dict[str, int] = {}
+        place: dict[str, int] = {}
         for n in sorted(parent, key=lambda n: (parent[n], pos[n], n)):
             place[n] = seen[parent[n]] = seen.get(parent[n], 0) + 1
-        return pd.DataFrame([(pdf[key].iloc[0], n, p, n in dead, bad[n], place[n], n in lost) for n, p in sorted(parent.items())], columns=[key, "node", "parent", "deleted", "rejected", "place", "absent"])
+        return [(k, n, p, n in dead, bad.get(n, 0), place[n], n in lost) for n, p in sorted(parent.items())]
+
+    def rooted(tree):
+        """All inserts are in: a parent that none made is the root."""
+        parent = tree["parent"]
+        tree["lost"] = {n for n, p in parent.items() if p and p not in parent}
+        tree["parent"] = {n: p if p in parent else "" for n, p in parent.items()}
+        tree["rooted"] = True
+
+    def apply(tree, op, node, at, pos):
+        parent, lost = tree["parent"], tree["lost"]
+        if node not in parent:
+            return
+        if op == "delete":
+            tree["dead"].add(node)
+            return
+        up, steps = at, 0
+        while up in parent and up != node and steps <= len(parent):
+            up, steps = parent[up], steps + 1
+        if up == node:
+            tree["bad"][node] = tree["bad"].get(node, 0) + 1
+        else:
+            (lost.add if at and at not in parent else lost.discard)(node)
+            parent[node] = at if at in parent else ""
+            tree["pos"][node] = pos or ""
+
+    def replay(batches):
+        last, tree, out, kind = None, None, [], None
+        names = ["key", "node", "parent", "deleted", "rejected", "place", "absent"]
+        types = [pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
+
+        def flushed():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), [kind, *types], strict=True)], names)
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row == last:
+                    continue
+                k, op, node, parent, _, _, pos = row
+                if tree is None or k != last[0] and (k == k or last[0] == last[0]):
+                    if tree is not None:
+                        if not tree["rooted"]:
+                            rooted(tree)
+                        out += built(last[0], tree)
+                    tree = {"parent": {}, "pos": {}, "dead": set(), "bad": {}, "lost": set(), "rooted": False}
+                last = row
+                if op == "insert":
+                    if node not in tree["parent"]:
+                        tree["parent"][node], tree["pos"][node] = parent, pos or ""
+                    continue
+                if not tree["rooted"]:
+                    rooted(tree)
+                apply(tree, op, node, parent, pos)
+            if len(out) >= 10_000:
+                yield flushed()
+                out = []
+        if tree is not None:
+            if not tree["rooted"]:
+                rooted(tree)
+            out += built(last[0], tree)
+        if out:
+            yield flushed()
 
     kind = ops.schema[key].dataType.simpleString()
-    columns = ["op", "node", "parent", "lamport", "agent", *(["pos"] if with_pos else [])]
-    return ops.select(key, *columns).groupBy(key).applyInPandas(replay, f"{key} {kind}, node string, parent string, deleted boolean, rejected int, place int, absent boolean")
+    return rows.mapInArrow(replay, f"key {kind}, node string, parent string, deleted boolean, rejected int, place int, absent boolean").withColumnRenamed("key", key)
