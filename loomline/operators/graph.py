@@ -41,11 +41,13 @@ def number_rows(rows: DataFrame, order: Sequence[str | Column], name: str, start
 
 
 def build_edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Distinct edges from references by name: a candidate in the same file first, else the first one; no self edges.
+    """Distinct edges from references by name: a candidate in the same file first, else the first one; no self edges. Only the first candidate of a name, and of a name in a file, can be
+    taken, so a reference meets two rows, however many nodes share its name.
     nodes: id, name, file; refs: src, name, file."""
-    c = refs.select("src", "name", F.col("file").alias("rf")).distinct().join(nodes, "name")
-    best = c.groupBy("src", "name").agg(F.min_by("id", F.struct(F.when(F.col("file") == F.col("rf"), 0).otherwise(1), "id")).alias("dst"))
-    return best.filter("src <> dst").select("src", "dst").distinct()
+    near = nodes.groupBy("name", "file").agg(F.min("id").alias("near"))
+    any_ = near.groupBy("name").agg(F.min("near").alias("any"))
+    best = refs.select("src", "name", "file").join(near, ["name", "file"], "left").groupBy("src", "name").agg(F.min("near").alias("near")).join(any_, "name")
+    return best.select("src", F.coalesce("near", "any").alias("dst")).filter("src <> dst").distinct()
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, focal: DataFrame | None = None, damping: float = 0.85, tol: float = 1e-5, max_steps: int = 100, fixed_steps: int | None = None) -> DataFrame:
