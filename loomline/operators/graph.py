@@ -206,12 +206,9 @@ def unreferenced(nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] = ("CA
     return nodes.filter(~F.col("name").rlike(exempt)).join(edges.filter(F.col("kind").isin(*kinds)).select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def components(pairs: DataFrame, group: str) -> DataFrame:
-    """Clusters of each group (member, shared): members joined by a shared thing, by smallest label over the bipartite graph to a fixed point. Groups of one member have 1.
-
-    A round takes the smallest label over the shared things, then the label's own label, so long chains close in logarithmically many rounds."""
-    labels = settled(pairs.select(group, "member").distinct().withColumn("label", F.col("member")))
-    rows = settled(pairs.select(group, "member", "shared").distinct())
+def _labelled(rows: DataFrame, group: str) -> DataFrame:
+    """group and member with the smallest member that a chain of shared things leads to. rows: distinct (group, member, shared)."""
+    labels = settled(rows.select(group, "member").distinct().withColumn("label", F.col("member")))
     while True:
         low = rows.join(labels, [group, "member"]).groupBy(group, "shared").agg(F.min("label").alias("low"))
         new = rows.join(low, [group, "shared"]).groupBy(group, "member").agg(F.min("low").alias("low"))
@@ -220,7 +217,23 @@ def components(pairs: DataFrame, group: str) -> DataFrame:
         moved = settled(lower.join(jump, [group, "label"], "left").select(group, "member", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = moved.drop("was")
         if moved.filter("was <> label").isEmpty():
-            return labels.groupBy(group).agg(F.countDistinct("label").alias("clusters"))
+            return labels
+
+
+def components(pairs: DataFrame, group: str) -> DataFrame:
+    """Clusters of each group (member, shared): members joined by a shared thing. Groups of one member have 1.
+
+    A cluster has a shared thing (or is one member without any), and only a member with two or more joins things. So things are counted, and the search runs over such members alone: what they touch
+    counts by cluster instead of by thing. It takes the smallest label over the bipartite graph to a fixed point; a round takes the smallest label over the shared things, then the label's own label, so
+    long chains close in logarithmically many rounds."""
+    pairs = pairs.select(group, "member", "shared")
+    ends = pairs.groupBy(group, "member").agg(F.min("shared").alias("low"), F.max("shared").alias("high"))
+    joining = settled(pairs.join(ends.filter("low < high").select(group, "member"), [group, "member"], "left_semi").filter("shared is not null").distinct())
+    found = joining.groupBy(group).agg(F.countDistinct("shared").alias("touched")).join(_labelled(joining, group).groupBy(group).agg(F.countDistinct("label").alias("joined")), group)
+    things = pairs.filter("member is not null").select(group, "shared").distinct().groupBy(group).agg(F.count("shared").alias("things"))
+    alone = ends.filter("low is null and member is not null").groupBy(group).agg(F.count("*").alias("alone"))
+    count = F.col("things") + F.coalesce("alone", F.lit(0)) - F.coalesce("touched", F.lit(0)) + F.coalesce("joined", F.lit(0))
+    return things.join(alone, group, "left").join(found, group, "left").select(group, count.alias("clusters"))
 
 
 def materialise(ops: DataFrame, key: str) -> DataFrame:
