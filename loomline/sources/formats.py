@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import number_rows
 from ..operators.transcripts import parse_steps
 
 
@@ -42,8 +43,9 @@ def read_audit_events(lines: DataFrame, column: str, *keep: str) -> DataFrame:
 SARIF = "struct<runs:array<struct<tool:struct<driver:struct<name:string>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,partialFingerprints:map<string,string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>>>>"
 
 
-def write_sarif(findings: DataFrame) -> DataFrame:
-    """One findings log a tool: tool, log (JSON). findings: tool, rule_id, level, message, file_path, fingerprint. Only rules that fired are declared."""
+def write_sarif(findings: DataFrame, most: int = 2000) -> DataFrame:
+    """Findings logs: tool, part (from 0), log (JSON). A log has up to `most` results of one tool in order of fingerprint; the next ones go into the tool's next part, so a log's size is bounded however many
+    findings a tool has. findings: tool, rule_id, level, message, file_path, fingerprint. Only rules that fired are declared."""
     result = F.struct(
         F.col("rule_id").alias("ruleId"),
         "level",
@@ -51,9 +53,12 @@ def write_sarif(findings: DataFrame) -> DataFrame:
         F.create_map(F.lit("primary/v1"), "fingerprint").alias("partialFingerprints"),
         F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"),
     )
-    g = findings.withColumn("r", result).groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("file_path", "rule_id", "fingerprint", "r")), lambda a, b: F.when(a["fingerprint"] < b["fingerprint"], -1).when(a["fingerprint"] > b["fingerprint"], 1).otherwise(0)).alias("rs"), F.array_sort(F.collect_set("rule_id")).alias("rules"))
+    rows = number_rows(findings.select("tool", "rule_id", "level", "message", "file_path", "fingerprint"), ["tool", "fingerprint", "file_path", "rule_id", "level", "message"], "n", 0)
+    first = rows.groupBy(F.col("tool").alias("of")).agg(F.min("n").alias("begins"))
+    placed = rows.join(first, F.col("tool").eqNullSafe(F.col("of"))).withColumn("part", F.expr(f"(n - begins) div {most}"))
+    g = placed.withColumn("r", result).groupBy("tool", "part").agg(F.array_sort(F.collect_list(F.struct("n", "r")), lambda a, b: F.when(a["n"] < b["n"], -1).otherwise(1)).alias("rs"), F.array_sort(F.collect_set("rule_id")).alias("rules"))
     run = F.struct(F.struct(F.struct(F.col("tool").alias("name"), F.transform("rules", lambda x: F.struct(x.alias("id"))).alias("rules")).alias("driver")).alias("tool"), F.col("rs.r").alias("results"))
-    return g.select("tool", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("log"))
+    return g.select("tool", "part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("log"))
 
 
 def parse_sarif(logs: DataFrame, column: str) -> DataFrame:
