@@ -69,17 +69,18 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names, first = ["at", "id", *[n for n, _ in self.fields]], None
         for pdf in rows:
-            own = [tuple(None if x is None or x != x else x for x in r) for r in pdf[names].astype(object).itertuples(index=False, name=None)]
+            own = [tuple(None if x is None or x != x else x for x in r) for r in zip(*(pdf[n].tolist() for n in names), strict=True)]
             if own:
                 self.waiting.appendList(own)
                 first = min(r[0] for r in own) if first is None else min(first, *[r[0] for r in own])
         if first is not None:
             self.handle.registerTimer(max(ceil_ms(first), timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(columns=list(self.columns))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        state = tuple(self.own.get()) if self.own.exists() else None
+        held = self.own.get()
+        state = None if held is None else tuple(held)
         out: list[tuple] = []
         free, rest = self.ready([tuple(r) for r in self.waiting.get()], now * 1000)
         if free:
@@ -102,7 +103,7 @@ class InOrder(StatefulProcessor):
                 self.own.update(state)
                 if not rest and end is not None:
                     self.handle.registerTimer(end)
-        yield pd.DataFrame(out, columns=list(self.columns)) if out else pd.DataFrame(columns=list(self.columns))
+        return iter([pd.DataFrame(out, columns=list(self.columns))] if out else ())
 
     def close(self) -> None:
         pass
@@ -218,42 +219,47 @@ def split_reasoning_stream(chunks: DataFrame, ts: str, starts_thinking: bool = F
 
 
 class Leases(StatefulProcessor):
-    """Spells of heartbeats in a map by their beginning. A heartbeat joins the spells that it lies less than the time to live from, so a late one can join two; a timer at each spell's end."""
+    """Spells of heartbeats in a list. A heartbeat joins the spells that it lies less than the time to live from, so a late one can join two. One timer a key, at the earliest end of a spell:
+    each call to the state is a message, so a key costs a few, however many spells it has."""
 
     def __init__(self, ttl_us: int):
         self.ttl = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spells = handle.getMapState("spells", "acquired bigint", "last bigint, beats bigint")
+        self.spells = handle.getListState("spells", "acquired bigint, last bigint, beats bigint")
+
+    def timer(self, spells: list[tuple], now_ms: int) -> None:
+        """A timer at the end of the spell that ends first."""
+        self.handle.registerTimer(max(ceil_ms(min(last for _, last, _ in spells) + self.ttl), now_ms + 1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = {k[0]: tuple(v) for k, v in self.spells.iterator()}
-        spells = [(a, *v) for a, v in before.items()]
-        for pdf in rows:
-            spells += [(int(a), int(a), 1) for a in pdf["at"].tolist()]
+        before = [tuple(v) for v in self.spells.get()]
+        spells = before + [(int(a), int(a), 1) for pdf in rows for a in pdf["at"].tolist()]
         after: list[list[int]] = []
         for a, last, beats in sorted(spells):
             if after and a < after[-1][1] + self.ttl:
                 after[-1][1], after[-1][2] = max(after[-1][1], last), after[-1][2] + beats
             else:
                 after.append([a, last, beats])
-        held = {a: (last, beats) for a, last, beats in after}
-        for a in before.keys() - held.keys():
-            self.spells.removeKey((a,))
-        for a, v in held.items():
-            if before.get(a) != v:
-                self.spells.updateValue((a,), v)
-                self.handle.registerTimer(max(ceil_ms(v[0] + self.ttl), timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(columns=["key", "acquired", "last", "expires", "beats"])
+        if after:
+            self.spells.put([tuple(x) for x in after])
+            self.timer(after, timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        for (a,), (last, beats) in sorted((tuple(k), tuple(v)) for k, v in self.spells.iterator()):
-            if last + self.ttl <= now:  # no heartbeat that comes from now on can prolong it
-                out.append((key[0], a, last, last + self.ttl, beats))
-                self.spells.removeKey((a,))
-        yield pd.DataFrame(out, columns=["key", "acquired", "last", "expires", "beats"])
+        now = timerValues.getCurrentWatermarkInMs()
+        spells = sorted(tuple(v) for v in self.spells.get())
+        over = [x for x in spells if x[1] + self.ttl <= now * 1000]  # no heartbeat that comes from now on can prolong it
+        rest = [x for x in spells if x[1] + self.ttl > now * 1000]
+        if over and rest:
+            self.spells.put(rest)
+        elif over:
+            self.spells.clear()
+        if rest:
+            self.timer(rest, now)
+        out = [(key[0], a, last, last + self.ttl, beats) for a, last, beats in over]
+        return iter([pd.DataFrame(out, columns=["key", "acquired", "last", "expires", "beats"])] if out else ())
 
     def close(self) -> None:
         pass
