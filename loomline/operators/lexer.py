@@ -11,6 +11,7 @@ beyond its end: a block that closes k comments cannot end one of greater depth.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -141,6 +142,12 @@ def states_before(functions: DataFrame, key: str, fan: int, nested: bool) -> Dat
     return groups.select(key, F.inline(walked))
 
 
+def one_by_one(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """The values of each row; only one row at a time is Python objects, which take several times the room of the batch."""
+    own = [batch.column(c) for c in columns]
+    return (tuple(c[i].as_py() for c in own) for i in range(batch.num_rows))
+
+
 def lexed_lines(docs: DataFrame, key: str, text: str, language: str, block: int = 256, fan: int = 256) -> DataFrame:
     """key, line_no (from 1), line, state (before the line), code (comments gone, strings as <LIT>) and comment (the comments' text), of every line.
 
@@ -155,7 +162,8 @@ def lexed_lines(docs: DataFrame, key: str, text: str, language: str, block: int
 
     def functions(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([lexis.function(x) for x in batch.column("lines").to_pylist()], pa.list_(pa.int32()))], ["key", "at", "f"])
+            made = (lexis.function(some) for (some,) in one_by_one(batch, "lines"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.int32()), size=batch.num_rows)], ["key", "at", "f"])
 
     long_ones = settled(blocks.filter("more").select("key", "at", "lines").mapInArrow(functions, f"{of_key}, at long, f array<int>"))
     open_ones = states_before(long_ones, "key", fan, lexis.nested).filter("state <> 0")
@@ -163,7 +171,7 @@ def lexed_lines(docs: DataFrame, key: str, text: str, language: str, block: int
 
     def lines(batches):
         for batch in batches:
-            for i, (at, some, state) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "lines", "state")), strict=True)):
+            for i, (at, some, state) in enumerate(one_by_one(batch, "at", "lines", "state")):
                 states, codes, comments = [], [], []
                 for line in some:
                     states.append(state)
