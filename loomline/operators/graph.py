@@ -50,15 +50,26 @@ def build_edges(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     return best.select("src", F.coalesce("near", "any").alias("dst")).filter("src <> dst").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, focal: DataFrame | None = None, damping: float = 0.85, tol: float = 1e-5, max_steps: int = 100, fixed_steps: int | None = None) -> DataFrame:
-    """id and rank. What dangling nodes hold goes to the personalisation vector (uniform without matching focal nodes). Raises if max_steps don't converge;
+def parts_for(spark: SparkSession, rows: int, most: int = 1_000_000) -> int:
+    """A number of partitions that grows with the rows, so that no task's sort or table does: the session's own at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+
+def distinct_edges(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Each edge (src, dst) once; a task holds about `most` of the edges given."""
+    return edges.select("src", "dst").repartition(parts_for(edges.sparkSession, edges.count(), most), "src", "dst").distinct()
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, focal: DataFrame | None = None, damping: float = 0.85, tol: float = 1e-5, max_steps: int = 100, fixed_steps: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """id and rank. A task sorts about `most` edges, whatever their number. What dangling nodes hold goes to the personalisation vector (uniform without matching focal nodes). Raises if max_steps don't converge;
     fixed_steps runs so many steps and doesn't test."""
     base = nodes.select("id").distinct()
     marks = base.join(focal.select("id").distinct().withColumn("f", F.lit(1.0)), "id", "left").fillna(0.0, ["f"]) if focal is not None else base.withColumn("f", F.lit(0.0))
     total, hits = marks.agg(F.count("*"), F.sum("f")).first()
     p = settled(marks.select("id", (F.col("f") / hits if hits else F.lit(1.0 / max(1, total))).alias("p")))
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    out = settled(edges.join(degree, "src").select("src", "dst", "deg"))
+    out = settled(edges.select("src", "dst"))
+    degree = out.groupBy("src").agg(F.count("*").alias("deg"))
+    out = out.repartition(parts_for(out.sparkSession, out.count(), most), "src")
     state = settled(p.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", "p", "deg", F.col("p").alias("rank")))
     for step in range(1, (fixed_steps or max_steps) + 1):
         flow = state.join(out.select(F.col("src").alias("id"), "dst"), "id").groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("inflow"))
