@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -85,6 +86,20 @@ def one_text_each(base: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return split(~F.col("__aside")), [split("__aside")]
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow task that gives free memory back to the system once it is through. Spark keeps Python workers for later tasks, so what each of them once needed
+    would stand beside the executor's heap in all later stages, those without Python too."""
+
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 #: Tasks work on stretches of so many bytes of text at a time, so their memory does not depend on Arrow's batches.
 BLOCK = 1 << 18
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import U64, mix, tidy
 
 
 def _bits(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -33,7 +33,7 @@ class KeyFilter:
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some].view(np.int64))], ["word", "bits"])
 
-        made = keys.select(F.col(column).cast("long")).filter(f"`{column}` is not null").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        made = keys.select(F.col(column).cast("long")).filter(f"`{column}` is not null").mapInArrow(tidy(words), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         bitmap = np.zeros(1 << (bits - 6), U64)
         bitmap[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(U64)
         self.shared = keys.sparkSession.sparkContext.broadcast(bitmap)
@@ -42,17 +42,19 @@ class KeyFilter:
         at = _bits(keys, self.bits)
         return (self.shared.value[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)
 
+    def hits(self, keys: pa.Array) -> np.ndarray:
+        """Which of a batch's keys may have a partner; null keys have none. For tasks that filter and go on in one pass."""
+        return self.mask(keys.fill_null(0).to_numpy(zero_copy_only=False)) & np.asarray(keys.is_valid())
+
     def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
         """(rows that may have a partner, rows that have none; null keys have none). Every row is in exactly one of them."""
         return self._rows(df, column, True), self._rows(df, column, False)
 
     def _rows(self, df: DataFrame, column: str, want: bool) -> DataFrame:
-        mask = self.mask
+        hits = self.hits
 
         def keep(batches):
             for batch in batches:
-                keys = batch.column(column)
-                hit = mask(keys.fill_null(0).to_numpy(zero_copy_only=False)) & np.asarray(keys.is_valid())
-                yield batch.filter(pa.array(hit == want))
+                yield batch.filter(pa.array(hits(batch.column(column)) == want))
 
-        return df.mapInArrow(keep, df.schema)
+        return df.mapInArrow(tidy(keep), df.schema)

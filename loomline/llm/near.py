@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, bound_batches, forget, id_and_text, mix, named, one_text_each, raw_texts, rolling, settle, slices
+from .common import U64, WordHashes, bound_batches, forget, id_and_text, mix, named, one_text_each, raw_texts, rolling, settle, slices, tidy
 from .graphs import components
 from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2
@@ -115,7 +115,7 @@ def frequencies(texts: DataFrame, width: int, bits: int, coarse: int, block: int
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["block", "is_count", "data"])
 
     schema = "block int, is_count boolean, data binary"
-    merged = texts.select("text").mapInArrow(count, schema).repartition(blocks, "block").mapInArrow(merge, schema)
+    merged = texts.select("text").mapInArrow(tidy(count), schema).repartition(blocks, "block").mapInArrow(tidy(merge), schema)
     repeated, counts = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << coarse, np.uint32)
     for r in merged.collect():
         whole, kind = (counts, np.uint32) if r["is_count"] else (repeated, np.uint8)
@@ -209,7 +209,7 @@ def prefix_table(texts: DataFrame, width: int, percent: int, bits: int, coarse:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, own, k1, k2)], *map(pa.array, np.stack(bitmaps, 1)), *lists], ["doc_id", "n", "own", "k1", "k2", *BITMAP, "entries", "short"])
 
     bits_of = ", ".join(f"{b} long" for b in BITMAP)
-    return settle(texts.mapInArrow(run, f"doc_id long, n long, own long, k1 long, k2 long, {bits_of}, entries array<long>, short array<boolean>"), "near-prefixes")
+    return settle(texts.mapInArrow(tidy(run), f"doc_id long, n long, own long, k1 long, k2 long, {bits_of}, entries array<long>, short array<boolean>"), "near-prefixes")
 
 
 def set_table(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -226,7 +226,7 @@ def set_table(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "tokens"])
 
     own = KeyFilter(wanted, "doc_id").split(texts, "doc_id")[0].join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    return settle(own.mapInArrow(run, "doc_id long, tokens array<long>"), "near-sets")
+    return settle(own.mapInArrow(tidy(run), "doc_id long, tokens array<long>"), "near-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -336,7 +336,7 @@ def set_sizes(texts: DataFrame, width: int) -> DataFrame:
         for part in (part for batch in batches for part in slices(batch)):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in shingle_sets(raw_texts(part), hashes, width)], pa.int64()), part.column("doc_id")], ["doc_id", "n_shingles", "component_id"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
+    return texts.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, component_id long")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, settle, slices
+from .common import id_and_text, settle, slices, tidy
 
 
 def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048,
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -192,7 +192,7 @@ def pack(pieced: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
 
     kept = [f for f in ranked.schema.fields if f.name != "__rank"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import U64, WordHashes, forget, id_and_text, mix, named, one_text_each, raw_texts, rolling, settle, slices
+from .common import U64, WordHashes, forget, id_and_text, mix, named, one_text_each, raw_texts, rolling, settle, slices, tidy
 from .idfilter import KeyFilter
 from .windows import BASE_1, BASE_2, by_document, cover, flat_items, later_runs, repeated_runs, run_table, spread
 
@@ -53,7 +53,7 @@ def removal_intervals(docs: DataFrame, width: int = 20, gram: int = 6) -> DataFr
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "at", "copies", "h1", "h2"])
 
     texts = KeyFilter(places, "doc_id").split(docs, "doc_id")[0].join(places.hint("shuffle_hash"), "doc_id")
-    hashed = settle(texts.select("doc_id", "text", "items").mapInArrow(windows, "doc_id long, at long, copies long, h1 long, h2 int"), "word-windows")
+    hashed = settle(texts.select("doc_id", "text", "items").mapInArrow(tidy(windows), "doc_id long, at long, copies long, h1 long, h2 int"), "word-windows")
     # a window at one place alone stays there: its copies go with the later runs of its stretch
     counted = hashed.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.count("*").alias("places"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1 and places > 1")
     twice = settle(counted.select("h1", "h2", "first"), "word-twice")
@@ -81,15 +81,17 @@ def remove_substrings(docs: DataFrame, width: int = 20, carry: bool = False) ->
     base = id_and_text(docs, *own)
     known, aside = one_text_each(base)
     gone_from = removal_intervals(known.select("doc_id", "text"), width)
-    some, whole = KeyFilter(gone_from, "doc_id").split(known, "doc_id")  # only texts that may lose words are shuffled
+    spared = KeyFilter(gone_from, "doc_id")
+    some, hits = spared.split(known, "doc_id")[0], spared.hits  # only texts that may lose words are shuffled
     kind = "array<struct<lo:bigint,hi:bigint>>"
-    marked = some.join(gone_from.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("items").cast(kind).alias("items"), *more)
-    for rest in (whole, *aside):
-        marked = marked.unionByName(rest.select("doc_id", "text", *more).withColumn("items", F.lit(None).cast(kind)))
+    marked = some.join(gone_from.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("items").cast(kind).alias("items"), F.lit(False).alias("all"), *more)
+    for rest, every in ((known, True), *[(x, False) for x in aside]):  # strip() drops those of all known rows that are among the shuffled ones: no second Python task before it
+        marked = marked.unionByName(rest.select("doc_id", "text", F.lit(None).cast(kind).alias("items"), F.lit(every).alias("all"), *more))
 
     def strip(batches):
         for batch in batches:
-            for part in slices(batch):
+            twice = np.asarray(batch.column("all")) & hits(batch.column("doc_id"))
+            for part in slices(batch.filter(pa.array(~twice)) if twice.any() else batch):
                 row, flat = flat_items(part.column("items"))
                 lo, hi, bounds = flat.field("lo").to_numpy(), flat.field("hi").to_numpy(), np.searchsorted(row, np.arange(part.num_rows + 1))
                 rows = []
@@ -104,4 +106,4 @@ def remove_substrings(docs: DataFrame, width: int = 20, carry: bool = False) ->
     out = StructType([marked.schema["doc_id"], *[marked.schema[c] for c in more]])
     for name, kind_of in (("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType()), ("kept_text", StringType())):
         out = out.add(name, kind_of)
-    return marked.mapInArrow(strip, out)
+    return marked.mapInArrow(tidy(strip), out)

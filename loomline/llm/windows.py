@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, forget, mix, raw_texts, rolling, settle, slices
+from .common import U64, forget, mix, raw_texts, rolling, settle, slices, tidy
 from .idfilter import KeyFilter
 
 #: A text with more tokens is handled in stretches of this many, so that places fit the low bits of a sort key.
@@ -101,7 +101,7 @@ def run_table(docs: DataFrame, tokens: Callable, lift: Callable[[np.ndarray], np
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lo", "n", "deep", "anchor", "stretch", "times"])
 
     known = docs.filter("doc_id is not null")
-    return settle(known.mapInArrow(find, "doc_id long, lo long, n int, deep int, anchor long, stretch long, times int"), name)
+    return settle(known.mapInArrow(tidy(find), "doc_id long, lo long, n int, deep int, anchor long, stretch long, times int"), name)
 
 
 def repeated_runs(table: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
