@@ -7,12 +7,15 @@ by ranges of (tree, signature, id), which split a region of any size.
 
 A first pass goes over some of the trees by their first hash alone. How many others share a document's first hashes says how central it is: an original has the hashes of most
 of its near copies, which have fewer of each other's. Each region compares its documents with its most central one, one pair a document, and these links already join what is much alike. A second pass
-looks around each row, as far as `reach`, but only at rows of other components. Candidates are pruned by exact bounds (sizes, parity bitmaps of a fixed size, then of each set's own), and confirmed on whole sets, the most promising pair of each component first. So a group of near copies
+looks around each row, as far as `reach`, but only at rows of other components. Two rows are candidates if the sizes and parity bitmaps of their sets (exact bounds) and a sketch of 64 of their minimum hashes (two bits each) allow
+the similarity. Candidates are pruned by each set's own larger bitmap, exactly, and confirmed on whole sets, the most promising pair of each component first. So a group of near copies
 is never compared in all its pairs. Documents with equal sets count once.
 
-Two sets of similarity s share the first hash of a tree with probability s. A row whose region was seen whole in `whole` trees misses a partner at 0.8 with probability 0.2^whole (5 in 10^7 at
-the default, where 9 of 16 trees are asked for; rows outside crowds are seen whole in all 16: 7 in 10^12). Rows that were seen whole in fewer trees, since their regions are longer than `reach` or cut by the end of a range, are compared among each other once more, as far as they are in different components, by the exact join of
-operator 4 with this operator's shingles; there are none, or few, unless groups of near copies are larger than `reach`.
+Two sets of similarity s share the first d hashes of a tree with probability s^d. A row sees its partners of a tree if the whole region of some depth d is within its reach and inside its range; it misses one at 0.8
+in that tree with probability 1 - 0.8^d, and in all trees with the product of these. Rows for which the product is above that of `whole` trees at depth 1 (0.2^9, 5 in 10^7; rows outside crowds have 0.2^16, 7 in 10^12) are crowded.
+Both ends of a pair that may be missing are crowded, so a third pass sorts the crowded rows by themselves, in blocks with the rows around them, and looks `far` rows around each. What is still crowded then, in groups of
+near copies beyond that, is compared by the exact join of operator 4 with this operator's shingles, as far as it is in different components. The sketch fails a pair at 0.8 once in a billion times (`most_apart`); it is no bound on how many
+candidates a row or region has.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing. Texts with fewer words than a
 shingle have one token, the whole sequence. Rows that repeat a doc_id and its text are one document. Of rows that share a doc_id but not a
@@ -21,10 +24,13 @@ text, the text with the smallest hash is the document; the others are linked wit
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, forget, id_and_text, mix, one_text_each, raw_texts, settle, slices
@@ -33,8 +39,11 @@ from .idfilter import KeyFilter
 from .near import linked as exactly_linked
 from .near import set_sizes, set_table, shingle_sets, verified
 
-LONGS = 4  # of the parity bitmap that travels with the orders
-ROW = "tree int, key binary, doc_id long, root long, n int, parity binary"
+PARITY = 4  # longs of the parity bitmap that travels with the orders
+LONGS = PARITY + 2  # and those of the sketch behind it
+ROW = "tree int, key binary, doc_id long, root long, n int, traits binary"
+PAIR = "a long, b long, depth long"
+SORTED = ["tree", "key", "doc_id"]
 
 
 def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
@@ -54,12 +63,13 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 
 
 def forest_table(texts: DataFrame, width: int, hashes: int) -> DataFrame:
-    """Settled: doc_id, n (set size), k1, k2 (128-bit hash of the set), bits (parity bitmap of two to four times n bits, 256 at least), parity (the same in 256 bits), keys (minimum hashes)."""
+    """Settled: doc_id, n (set size), k1, k2 (128-bit hash of the set), bits (parity bitmap of two to four times n bits, 256 at least), traits (the same in 256 bits, then the sketch), keys (minimum hashes)."""
 
     def run(batches):
         known = WordHashes()
         for part in (part for batch in batches for part in slices(batch)):
             sets = shingle_sets(raw_texts(part), known, width)
+            keys = signatures(sets, hashes)
             digests, bits = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets], [parities(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -68,22 +78,41 @@ def forest_table(texts: DataFrame, width: int, hashes: int) -> DataFrame:
                     pa.array([(h >> 64) - (1 << 63) for h in digests], pa.int64()),
                     pa.array([(h & (1 << 64) - 1) - (1 << 63) for h in digests], pa.int64()),
                     pa.array(bits, pa.binary()),
-                    pa.array([folded(b, LONGS).tobytes() for b in bits], pa.binary()),
-                    pa.array([k.tobytes() for k in signatures(sets, hashes).astype(">u4")], pa.binary()),
+                    pa.array([folded(b, PARITY).tobytes() + s.tobytes() for b, s in zip(bits, sketches(keys), strict=True)], pa.binary()),
+                    pa.array([k.tobytes() for k in keys.astype(">u4")], pa.binary()),
                 ],
-                ["doc_id", "n", "k1", "k2", "bits", "parity", "keys"],
+                ["doc_id", "n", "k1", "k2", "bits", "traits", "keys"],
             )
 
-    return settle(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, parity binary, keys binary"), "forest-signatures")
+    return settle(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, traits binary, keys binary"), "forest-signatures")
 
 
 def parities(tokens: np.ndarray) -> bytes:
     """How many tokens have each value of their lowest bits, modulo 2: two sets differ in at least as many tokens as their bitmaps in bits."""
-    size = max(64 * LONGS, 1 << (2 * len(tokens)).bit_length())
+    size = max(64 * PARITY, 1 << (2 * len(tokens)).bit_length())
     odd = np.bincount((tokens & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketches(keys: np.ndarray) -> np.ndarray:
+    """The two lowest bits of the first 64 minimum hashes of each row, in two planes of 64 bits."""
+    planes = np.zeros((len(keys), 2, 8), np.uint8)
+    for bit in range(2):
+        packed = np.packbits((keys[:, :64] >> np.uint32(bit) & np.uint32(1)).astype(np.uint8), axis=1)
+        planes[:, bit, : packed.shape[1]] = packed
+    return planes.reshape(-1, 16).view(U64)
+
+
+@lru_cache
+def most_apart(percent: int, hashes: int = 64, miss: float = 1e-9) -> int:
+    """In how many of its places may the sketch of a similar set be another? More come about with a probability below `miss`: a minimum hash is another with probability 1 - s, and three in four of those have other bits."""
+    p = 0.75 * (100 - percent) / 100
+    tail, most = 0.0, hashes
+    while most and (tail := tail + math.comb(hashes, most) * p**most * (1 - p) ** (hashes - most)) < miss:
+        most -= 1
+    return most
+
+
 def folded(bits: bytes, longs: int) -> np.ndarray:
     """A parity bitmap in fewer bits: the parity of two halves' parities is that of both."""
     return np.bitwise_xor.reduce(np.frombuffer(bits, U64).reshape(-1, longs), 0)
@@ -109,7 +138,7 @@ def near_enough(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
 
 
 def orders(table: DataFrame, trees: int, depth: int) -> DataFrame:
-    """A row (ROW) for each document and each of the first trees. table: doc_id, root, n, parity, keys (signatures of `depth` hashes, one after another)."""
+    """A row (ROW) for each document and each of the first trees. table: doc_id, root, n, traits, keys (signatures of `depth` hashes, one after another)."""
     size = 4 * depth
 
     def run(batches):
@@ -120,68 +149,117 @@ def orders(table: DataFrame, trees: int, depth: int) -> DataFrame:
             flat = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint8).reshape(n, -1, size).transpose(1, 0, 2)
             for tree in range(trees):
                 keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), n, [None, pa.py_buffer(np.ascontiguousarray(flat[tree]))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), keys, *map(batch.column, ("doc_id", "root", "n", "parity"))], ["tree", "key", "doc_id", "root", "n", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, np.int32)), keys, *map(batch.column, ("doc_id", "root", "n", "traits"))], ["tree", "key", "doc_id", "root", "n", "traits"])
+
+    return table.select("keys", "doc_id", "root", F.col("n").cast("int").alias("n"), "traits").mapInArrow(run, ROW)
+
+
+class Stretch:
+    """Consecutive rows of a sorted order."""
+
+    def __init__(self, rows: pa.RecordBatch, depth: int):
+        self.tree, self.ids, self.root, self.n = (rows.column(c).to_numpy() for c in ("tree", "doc_id", "root", "n"))
+        self.n = self.n.astype(np.int64)
+        self.keys = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, depth).astype(np.uint32)
+        self.traits = np.frombuffer(b"".join(rows.column("traits").to_pylist()), U64).reshape(-1, LONGS)
+
+    def shared(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """How many hashes the keys at two places begin with alike; none in different trees."""
+        return np.cumprod(self.keys[one] == self.keys[two], axis=1).sum(1) * (self.tree[one] == self.tree[two])
+
+    def pairs(self, low: int, high: int, reach: int, percent: int) -> pa.RecordBatch:
+        """Candidates (a, b, depth of the common prefix) of different roots at most `reach` rows apart; the second row is one from low to below high."""
+        region = np.cumsum(np.concatenate([[True], (self.tree[1:] != self.tree[:-1]) | (self.keys[1:, 0] != self.keys[:-1, 0])]))
+        at, found = np.arange(max(0, low - reach), high), [(np.empty(0, np.int64),) * 3]
+        for step in range(1, reach + 1):
+            at = at[: np.searchsorted(at, high - step)]
+            at = at[region[at] == region[at + step]]
+            if not len(at):
+                break
+            some = at[np.searchsorted(at, low - step) :]
+            some = some[self.root[some] != self.root[some + step]]
+            some = some[alike(self.n, self.traits, some, some + step, percent)]
+            a, b = self.ids[some], self.ids[some + step]
+            found.append((np.minimum(a, b), np.maximum(a, b), self.shared(some, some + step)))
+        return triples(*map(np.concatenate, zip(*found, strict=True)))
+
+    def unseen(self, low: int, high: int, reach: int, percent: int) -> pa.RecordBatch:
+        """(a, null, what it lacks) of the rows from low to below high whose region isn't whole within their reach: the logarithm of how much more probable it is that this tree misses a partner than with a whole region, in millionths.
+        A region that goes on to the first or last row may go on beyond it."""
+        at = np.arange(low, high)
+        depth = self.keys.shape[1]
+        more = np.maximum(self.shared(at, np.maximum(at - reach - 1, 0)), self.shared(at, np.minimum(at + reach + 1, len(self.ids) - 1)))  # so deep is the last region that isn't whole
+        lack = np.array([*(lacking(d + 1, percent) for d in range(depth)), lacking(None, percent)])[more]
+        ids = self.ids[low:high][more > 0]
+        return triples(ids, pa.nulls(len(ids), pa.int64()), lack[more > 0])
+
+
+def lacking(depth: int | None, percent: int) -> int:
+    """Millionths of the logarithm of: the probability that a tree misses a similar partner, if the region of this depth is whole (None: not even the deepest), over that at depth 1."""
+    s = min(percent / 100, 0.999999)
+    return round(1e6 * (math.log1p(-(s**depth) if depth else 0) - math.log1p(-s)))
+
 
-    return table.select("keys", "doc_id", "root", F.col("n").cast("int").alias("n"), "parity").mapInArrow(run, ROW)
+def triples(a, b, depth) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, depth)], ["a", "b", "depth"])
 
 
 def neighbours(depth: int, reach: int, percent: int):
-    """A task over a range of sorted rows: candidates (a, b, depth of the common prefix) of different roots at most `reach` rows apart; and (a, null, 0) for
-    each row whose region goes on beyond its reach or begins or ends with the range, so that it may have partners there that it hasn't met."""
+    """A task over a range of sorted rows: candidates (a, b, depth of the common prefix) and (a, null, what it lacks) of rows that may have partners in this tree which they haven't met."""
     far = reach + 1
 
     def run(batches):
-        held, at_start = None, 0  # at_start: rows seen so far that belong to the region that begins the range; -1 once it is over
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = 0 if held is None else held.num_rows
             held = batch if held is None else pa.concat_batches([held, batch])
-            tree, ids, root, n = (held.column(c).to_numpy() for c in ("tree", "doc_id", "root", "n"))
-            n = n.astype(np.int64)
-            keys = np.frombuffer(b"".join(held.column("key").to_pylist()), ">u4").reshape(-1, depth)
-            parity = np.frombuffer(b"".join(held.column("parity").to_pylist()), U64).reshape(-1, LONGS)
-            begins = np.concatenate([[True], (tree[1:] != tree[:-1]) | (keys[1:, 0] != keys[:-1, 0])])
-            region = np.cumsum(begins)
-            found, lost = [], []
-            if at_start >= 0:  # held begins in the range's first region, of which it has the last `old` rows
-                length = int(np.searchsorted(region, 1, "right"))
-                lost.append(ids[old : min(length, old + max(0, far - at_start))])
-                at_start = at_start + length - old if length == len(ids) else -1
-            at = np.arange(len(ids))
-            for step in range(1, far + 1):
-                at = at[: np.searchsorted(at, len(ids) - step)]
-                at = at[region[at] == region[at + step]]
-                if not len(at):
-                    break
-                some = at[np.searchsorted(at, old - step) :]  # the second row is new
-                if step == far:
-                    lost += [ids[some], ids[some + step]]
-                    break
-                to = some + step
-                may = root[some] != root[to]
-                some, to = some[may], to[may]
-                may = alike(n, parity, some, to, percent)
-                some, to = some[may], to[may]
-                common = np.cumprod(keys[some] == keys[to], axis=1).sum(1)
-                found.append((np.minimum(ids[some], ids[to]), np.maximum(ids[some], ids[to]), common))
-            yield rows_of(*([np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3))
-            if lost:
-                yield lost_rows(np.concatenate(lost))
-            held = held.slice(max(0, held.num_rows - far))
-        if held is not None and held.num_rows:  # the region that ends the range
-            tree, keys, ids = held.column("tree").to_pylist(), [k[:4] for k in held.column("key").to_pylist()], held.column("doc_id").to_numpy()
-            yield lost_rows(ids[[(t, k) == (tree[-1], keys[-1]) for t, k in zip(tree, keys, strict=True)]])
-
-    def rows_of(a, b, common):
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, common)], ["a", "b", "depth"])
-
-    def lost_rows(ids):
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids), np.int64))], ["a", "b", "depth"])
+            rows = Stretch(held, depth)
+            yield rows.pairs(old, held.num_rows, reach, percent)
+            yield rows.unseen(max(0, old - far), max(0, held.num_rows - far), reach, percent)
+            held = held.slice(max(0, held.num_rows - 2 * far))
+        if held is not None:
+            yield Stretch(held, depth).unseen(max(0, held.num_rows - far), held.num_rows, reach, percent)
 
     return run
 
 
+def in_blocks(depth: int, reach: int, percent: int):
+    """The same over whole blocks of `overlapping`; a pair is found in the block of its second row."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            while held.num_rows and (end := int(np.searchsorted(block := held.column("block").to_numpy(), block[0], "right"))) < held.num_rows:
+                yield from of(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield from of(held)
+
+    def of(block):
+        home = np.flatnonzero(block.column("home"))
+        if len(home):
+            rows, ends = Stretch(block, depth), (int(home[0]), int(home[-1]) + 1)
+            yield rows.pairs(*ends, reach, percent)
+            yield rows.unseen(*ends, reach, percent)
+
+    return run
+
+
+def overlapping(rows: DataFrame, reach: int, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(block, home and rows (ROW), sorted in tasks; a table to forget). Blocks are of reach + 1 consecutive rows of the whole order (home), with as many before and after them, so no range ends inside a region."""
+    ranged = settle(dealt(rows, SORTED, n_rows).withColumn("part", F.spark_partition_id()), "forest-ranges")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("own"))
+    before = counts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))  # one row a range
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*SORTED))
+    placed = ranged.withColumn("own", own).join(F.broadcast(before), "part").withColumn("at", F.col("own") - 1 + F.col("before")).drop("own", "part", "before")
+    far, block = reach + 1, F.floor(F.col("at") / (reach + 1))
+    blocks = placed.withColumn("block", F.explode(F.array(block - 1, block, block + 1))).withColumn("home", F.col("block") == F.floor(F.col("at") / far))
+    return blocks.repartition("block").sortWithinPartitions("block", "at").select("block", "home", "tree", "key", "doc_id", "root", "n", "traits"), ranged
+
+
 def sizes(batches):
     """A task over a range of rows sorted by tree and first hash: doc_id and the logarithm of its region's size."""
 
@@ -198,7 +276,7 @@ def sizes(batches):
         done = int(np.searchsorted(region, region[-1]))  # the last region may go on
         if done:
             yield sent(held.column("doc_id").to_numpy()[:done], region[:done])
-        held = held.slice(done).select(["tree", "key", "doc_id", "root", "n", "parity"])
+        held = held.slice(done)
     if held is not None and held.num_rows:
         yield sent(held.column("doc_id").to_numpy(), np.zeros(held.num_rows, np.int64))
 
@@ -213,11 +291,11 @@ def against_first(percent: int):
                 continue
             held = batch if first is None else pa.concat_batches([first, batch])
             tree, ids, n = held.column("tree").to_numpy(), held.column("doc_id").to_numpy(), held.column("n").to_numpy().astype(np.int64)
-            keys, parity = np.frombuffer(b"".join(held.column("key").to_pylist()), ">u4"), np.frombuffer(b"".join(held.column("parity").to_pylist()), U64).reshape(-1, LONGS)
+            keys, traits = np.frombuffer(b"".join(held.column("key").to_pylist()), ">u4"), np.frombuffer(b"".join(held.column("traits").to_pylist()), U64).reshape(-1, LONGS)
             begins = np.concatenate([[True], (tree[1:] != tree[:-1]) | (keys[1:] != keys[:-1])])
             to = np.maximum.accumulate(np.where(begins, np.arange(len(ids)), 0))
             some = np.flatnonzero(ids != ids[to])
-            some, to, last = some[alike(n, parity, some, to[some], percent)], to, int(to[-1])
+            some, last = some[alike(n, traits, some, to[some], percent)], int(to[-1])
             a, b = ids[some], ids[to[some]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(len(a), np.int64))], ["a", "b", "depth"])
             first = held.slice(last, 1)
@@ -225,11 +303,14 @@ def against_first(percent: int):
     return run
 
 
-def alike(n: np.ndarray, parity: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
-    """May the sets at two places be similar, by their sizes and parity bitmaps? Exact: no similar pair fails."""
-    both = n[one] + n[two]
-    apart = np.bitwise_count(parity[one] ^ parity[two]).sum(1, dtype=np.int64)
-    return (100 * np.minimum(n[one], n[two]) >= percent * np.maximum(n[one], n[two])) & ((100 + percent) * (both - apart) >= 2 * percent * both)
+def alike(n: np.ndarray, traits: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets at two places may be similar? By their sizes and parity bitmaps, exactly (no similar pair fails), and by their sketches."""
+    kept = np.flatnonzero(100 * np.minimum(n[one], n[two]) >= percent * np.maximum(n[one], n[two]))
+    x, y = traits[one[kept], PARITY:], traits[two[kept], PARITY:]
+    kept = kept[np.bitwise_count((x[:, 0] ^ y[:, 0]) | (x[:, 1] ^ y[:, 1])) <= most_apart(percent)]
+    both = n[one[kept]] + n[two[kept]]
+    apart = np.bitwise_count(traits[one[kept], :PARITY] ^ traits[two[kept], :PARITY]).sum(1, dtype=np.int64)
+    return kept[(100 + percent) * (both - apart) >= 2 * percent * both]
 
 
 def dealt(rows: DataFrame, order: list[str], n_rows: int) -> DataFrame:
@@ -241,31 +322,22 @@ def dealt(rows: DataFrame, order: list[str], n_rows: int) -> DataFrame:
 def central_pairs(own: DataFrame, trees: int, depth: int, percent: int, n_docs: int) -> DataFrame:
     """Settled: a, b and hits (trees), of each document and the most central one of each of its regions."""
     heads = F.concat(*[F.substring("keys", 4 * depth * t + 1, 4) for t in range(trees)])  # each tree's first hash
-    flat = own.select("doc_id", "n", "parity", heads.alias("keys"))
-    weights = dealt(orders(flat.withColumn("root", F.lit(0).cast("long")), trees, 1), ["tree", "key", "doc_id"], trees * n_docs).mapInArrow(sizes, "doc_id long, weight double")
+    flat = own.select("doc_id", "n", "traits", heads.alias("keys"))
+    bare = orders(flat.select("doc_id", "n", "keys", F.lit(0).cast("long").alias("root"), F.lit(b"").alias("traits")), trees, 1)
+    weights = dealt(bare, SORTED, trees * n_docs).mapInArrow(sizes, "doc_id long, weight double")
     weights = settle(weights.groupBy("doc_id").agg((-1000 * F.sum("weight")).cast("long").alias("root")), "forest-weights")
     ranked = orders(flat.join(weights, "doc_id"), trees, 1)
-    found = dealt(ranked, ["tree", "key", "root", "doc_id"], trees * n_docs).mapInArrow(against_first(percent), "a long, b long, depth long")
+    found = dealt(ranked, ["tree", "key", "root", "doc_id"], trees * n_docs).mapInArrow(against_first(percent), PAIR)
     out = settle(found.groupBy("a", "b").agg(F.sum("depth").alias("hits")).filter("hits > 1"), "forest-candidates")
     forget(weights)
     return out
 
 
-def candidates(rows: DataFrame, depth: int, reach: int, percent: int, n_rows: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Settled: (a, b and hits, the depths of their common prefixes over all trees; doc_id and trees of rows that were not seen whole in so many).
-
-    Pairs that meet in fewer than `least` trees go, unless one of them was not seen whole everywhere: two sets of similarity 0.8 meet in 13 of 16 trees on average, and in fewer than 4 once in
-    four million times.
-    """
-    found = dealt(rows, ["tree", "key", "doc_id"], n_rows).mapInArrow(neighbours(depth, reach, percent), "a long, b long, depth long")
-    found = settle(found.groupBy("a", "b").agg(F.count("*").alias("trees"), F.sum("depth").alias("hits")), "forest-neighbours")
-    lost = settle(found.filter("b is null").select(F.col("a").alias("doc_id"), "trees"), "forest-lost")
-    few, known = found.filter((F.col("b").isNotNull()) & (F.col("trees") < least)), KeyFilter(lost, "doc_id")
-    one, rest = known.split(few, "a")
-    pairs = found.filter((F.col("b").isNotNull()) & (F.col("trees") >= least)).unionByName(one).unionByName(known.split(rest, "b")[0])
-    out = settle(pairs.select("a", "b", "hits"), "forest-candidates")
-    forget(found)
-    return out, lost
+def candidates(met: DataFrame, lack: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b and hits, the depths of their common prefixes over all trees; doc_id of rows that lack more than `lack` in all; the table of both). Settled."""
+    found = settle(met.groupBy("a", "b").agg(F.sum("depth").alias("hits")), "forest-neighbours")
+    crowded = settle(found.filter((F.col("b").isNull()) & (F.col("hits") > lack)).select(F.col("a").alias("doc_id")), "forest-crowded")
+    return found.filter("b is not null"), crowded, found
 
 
 def rooted(pairs: DataFrame, root: DataFrame | None) -> DataFrame:
@@ -321,13 +393,21 @@ def several_roots(some: DataFrame, root: DataFrame | None) -> bool:
     return low["low"] != low["high"]
 
 
-def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 16, depth: int = 4, reach: int = 256, whole: int = 9, first_trees: int = 8, least: int = 4, rounds: int = 2) -> DataFrame:
+def with_roots(rows: DataFrame, root: DataFrame | None) -> DataFrame:
+    """Rows with the root of their doc_id; only documents that are linked are shuffled."""
+    if root is None:
+        return rows.withColumn("root", F.col("doc_id"))
+    in_root, alone = KeyFilter(root, "doc_id").split(rows, "doc_id")
+    return alone.withColumn("root", F.col("doc_id")).unionByName(in_root.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+
+
+def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 16, depth: int = 4, reach: int = 256, whole: int = 9, first_trees: int = 8, far: int = 4096, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of texts whose doc_ids have one text each."""
     table = forest_table(texts, width, trees * depth)
     classes = table.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = settle(table.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "forest-members")
     others = settle(members.filter("n > 0 and (doc_id is null or doc_id <> rep)").select("doc_id").distinct(), "forest-copies")
-    columns = ["doc_id", "n", "bits", "parity", "keys"]
+    columns = ["doc_id", "n", "bits", "traits", "keys"]
     maybe, sure = KeyFilter(others, "doc_id").split(table.filter("n > 0 and doc_id is not null").select(*columns), "doc_id")
     own = sure.unionByName(maybe.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*columns))
     n_docs = members.count()
@@ -336,15 +416,22 @@ def linked(texts: DataFrame, width: int = 2, percent: int = 80, trees: int = 16,
     pairs = settle(near_enough(found, own, percent), "forest-near")
     root = confirmed(pairs, texts, width, percent, rounds, False, None)
     forget(found, pairs)
-    known = own.withColumn("root", F.col("doc_id"))
-    if root is not None:  # only documents that are linked are shuffled
-        in_root, alone = KeyFilter(root, "doc_id").split(own, "doc_id")
-        known = alone.withColumn("root", F.col("doc_id")).unionByName(in_root.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
-    found, lost = candidates(orders(known, trees, depth), depth, reach, percent, trees * n_docs, least)
+    lack = (trees - whole) * lacking(None, percent)
+    met = dealt(orders(with_roots(own, root), trees, depth), SORTED, trees * n_docs).mapInArrow(neighbours(depth, reach, percent), PAIR)
+    found, crowded, both = candidates(met, lack)
     pairs = settle(near_enough(found, own, percent), "forest-near")
     root = confirmed(pairs, texts, width, percent, rounds, True, root)
-    crowded = settle(lost.filter(F.col("trees") > trees - whole).select("doc_id"), "forest-crowded")
-    forget(found, lost, pairs)
+    forget(pairs)
+    if far > reach and several_roots(crowded, root):
+        of = settle(KeyFilter(crowded, "doc_id").split(own.select("doc_id", "n", "traits", "keys"), "doc_id")[0].join(crowded.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "forest-crowd")
+        blocks, ranged = overlapping(orders(with_roots(of, root), trees, depth), far, trees * crowded.count())
+        more, still, rest = candidates(blocks.mapInArrow(in_blocks(depth, far, percent), PAIR), lack)
+        fresh = settle(more.join(found, ["a", "b"], "left_anti"), "forest-candidates")
+        pairs = settle(near_enough(fresh, own, percent), "forest-near")
+        root = confirmed(pairs, texts, width, percent, rounds, True, root)
+        forget(of, ranged, rest, fresh, pairs, crowded)
+        crowded = still
+    forget(both)
     if several_roots(crowded, root):
         crowd = KeyFilter(crowded, "doc_id").split(texts, "doc_id")[0].join(crowded.hint("shuffle_hash"), "doc_id", "left_semi")
         bits = min(27, max(22, (crowded.count() << 9).bit_length() + 4))  # its sketches only prune: a small crowd needs small ones
