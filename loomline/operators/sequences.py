@@ -243,11 +243,13 @@ def classify_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hash_features(rows: DataFrame, key: str, column: str, n: int = 64) -> DataFrame:
-    """Unit vector of n hash-bucket counts of a key's names; a key without names has zeros."""
-    counts = rows.filter(F.col(column) != "").groupBy(key, F.pmod(F.crc32(F.col(column).cast("binary")), F.lit(n)).cast("int").alias("b")).agg(F.count("*").alias("c"))
-    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_divide(F.element_at("m", i), "norm"), F.lit(0.0)))
-    return rows.select(key).distinct().join(maps, key, "left").select(key, dense.alias("vector"))
+    """Unit vector of n hash-bucket counts of a key's names; a key without names (null or empty ones alone) has zeros, and null is a key."""
+    name = F.when(F.col(column) != "", F.col(column))
+    counts = rows.groupBy(key, F.pmod(F.crc32(name.cast("binary")), F.lit(n)).cast("int").alias("b")).agg(F.count("*").alias("c"))
+    named = F.col("b").isNotNull()
+    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(named, F.struct("b", "c")))).alias("m"), F.sqrt(F.sum(F.when(named, F.col("c") * F.col("c")))).alias("norm"))
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_divide(F.element_at(m, i), "norm"), F.lit(0.0)))
+    return maps.select(key, F.transform(F.array("m"), dense)[0].alias("vector"))  # as an element, a map is made once and not for each bucket
 
 
 def cosine(a: Column, b: Column) -> Column:
